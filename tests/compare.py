@@ -23,7 +23,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     def plain(v):
         if isinstance(v, (list, tuple)) or hasattr(v, "tolist") and getattr(v, "ndim", 0):
             return tuple(plain(x) for x in (v.tolist() if hasattr(v, "tolist") else v))
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return None
         if hasattr(v, "item"):
             v = v.item()
