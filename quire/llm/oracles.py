@@ -50,3 +50,13 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        base_failed, NOT base_failed AND rate <= 0.5 AS kept
 FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
 """
+
+OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM d JOIN f USING (payload_digest)
+"""
