@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, oracles, quality, url_filter, warc
+from . import bpe, chat, langid, lines, oracles, quality, url_filter, warc
 from .shared import scratch_path
 
 
@@ -24,12 +24,26 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, drop=("text",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = bpe.decode(bpe.encode(docs, keep_text=False))
@@ -39,11 +53,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op6_quality_rules": op6_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op7_chat_format": op7_chat_format,
     "op8_warc": op8_warc,
+    "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
 }
 ORACLES = {
     "op4_url_filter": oracles.OP4,
     "op6_quality_rules": oracles.OP6,
     "op8_warc": oracles.OP8,
+    "op9_line_dedup": oracles.OP9,
 }
