@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, BROADCAST_ROWS, ascii_lower, materialise, scratch_path
+from .shared import BLANKS, ascii_lower, few, materialise, scratch_path
 
 THRESHOLD = 10
 SHARD_KEYS = 200_000
@@ -271,7 +271,7 @@ def drop_lines(docs: DataFrame, index: LineIndex, pairs: DataFrame | None = None
     """docs with text cleaned, n_lines (before) and n_dropped."""
     pairs = document_keys(docs, key, text) if pairs is None else pairs
     gone = materialise(dropped_keys(index, pairs), "dropped-keys")
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if few(gone):
         hit = pairs.join(F.broadcast(gone), "key")
     else:
         spread = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANK, BROADCAST_ROWS, let, materialise, words
+from .shared import let, materialise, small, words
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50  # percent of the words
@@ -103,9 +103,7 @@ def judge_quality(docs: DataFrame, text: str = "text", host: str = "source", kee
     own = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(host).alias("_host"), F.col(text).alias("_text"))
     judged = materialise(base_rules(own, "_text").drop("_text"), "quality")
     rejected = host_rates(judged, "_host").filter(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("_bad"))
-    if rejected.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        rejected = F.broadcast(rejected)
-    bad = F.col("_bad").isNotNull() | F.col("_flag").isNotNull()
-    rejected = rejected.select("_bad", F.lit(1).alias("_flag"))
+    rejected = small(rejected.select("_bad", F.lit(True).alias("_flag")))
+    bad = F.col("_flag").isNotNull()
     joined = judged.join(rejected, F.col("_host").eqNullSafe(F.col("_bad")), "left")
     return joined.select(*carried, *ADDED, (~F.col("base_failed") & ~bad).alias("kept"))

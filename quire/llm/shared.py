@@ -38,6 +38,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> bool:
+    """Whether df has at most BROADCAST_ROWS rows; counts no further."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df for a join: told to be broadcast if it has few rows, else left to a shuffle."""
+    return F.broadcast(df) if few(df) else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, bucket_of, id_bounds, partitions
+from .shared import bucket_of, id_bounds, partitions, small
 
 MIN_REVISIT = 100
 ROLL_BYTES = 16 << 20
@@ -108,8 +108,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     own = own.withColumn("digest", F.sha2("payload", 256))
     shared = own.filter(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        shared = F.broadcast(shared)
+    shared = small(shared)
     # Beyond the broadcast the adaptive join splits a digest that very many pages share.
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return own.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
@@ -173,9 +172,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], RECORD_FIELDS)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        named = F.broadcast(named)
-    files = files.join(named, "file")
+    files = files.join(small(named), "file")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("file", pa.string())])
