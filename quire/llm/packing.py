@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import wordtok
 from .arrow import texts, with_columns
-from .shared import materialise
+from .shared import materialise, small
 
 WINDOW = 4096
 END_ID = 2
@@ -187,7 +187,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         F.when(F.col("p.length") == F.col("rest"), F.col("rest_crc")).alias("ids_crc32"), "doc_tokens", F.col("p.sequence_id").alias("sequence_id"), F.col("p.offset").alias("offset"),
     )
     laid = materialise(laid, "pieces")
-    cut = laid.filter("ids_crc32 IS NULL").drop("ids_crc32").join(tokens.select("row", "ids"), "row")
+    cut = tokens.select("row", "ids").join(small(laid.filter("ids_crc32 IS NULL").drop("ids_crc32")), "row")
 
     def checksums():
         def work(part: pa.RecordBatch):

@@ -15,7 +15,9 @@ from itertools import islice
 
 import numpy as np
 
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
+#: Words that the library encodes in one call, as one text.
+WORDS_A_CALL = 200
 WORDS_AT_ONCE = 200_000
 
 
@@ -48,6 +50,9 @@ class WordTokenizer:
         self.library.no_padding()
         self.library.no_truncation()
         self.known: dict[str, bytes] = {}
+        names = self.library.get_vocab()
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -56,8 +61,16 @@ class WordTokenizer:
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for k in range(0, len(new), WORDS_A_CALL):
+            some = new[k : k + WORDS_A_CALL]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+            if len(stops) == len(some):
+                data, start = ids.tobytes(), 0
+                for w, stop in zip(some, stops.tolist(), strict=True):
+                    self.known[w], start = data[start:stop], stop
+            else:  # not met so far: a word of another shape than the pattern's
+                self.known.update((w, self._ids(w)) for w in some)
 
     def _runs(self, text: str) -> Iterator[list[str]]:
         found = (m[0] for m in WORD.finditer(text.lower()))
