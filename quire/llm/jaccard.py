@@ -9,17 +9,18 @@ is every document's component. The steps:
    that has it, and are linked with it by an exact comparison. All others are groups of one.
 3. The token-group matrix has a row for each token in the union of a group's prefixes. A document's prefix is
    the part of its set, rarest tokens first by the sketch, in which any linked document must meet it: the
-   first n - ceil(0.8 n) + 1 tokens, and for the smaller document of a pair the first n - ceil(8 n / 9) + 1.
-   Any order would do for right results; rare tokens first keep common passages out of the prefixes. The
-   tokens of a group are combined to one row before they are dealt out, however large the group is.
-4. Groups that meet in a token are compared if the bound on their overlap (sizes and places of the token)
-   allows a link. First the groups' own documents are compared; only groups that this leaves apart are
-   opened, and their members compared one by one. Comparisons are exact, on whole texts.
+   first n - ceil(0.8 n) + 1 tokens; for the smaller document of a pair, the index part, about three quarters
+   of them, will do. Any order would do for right results; rare tokens first keep common passages out of the
+   prefixes. The tokens of a group are combined to one row before they are dealt out, however large it is.
+4. Groups that meet are candidates if the bound on their overlap allows a link: by sizes and by the tokens'
+   places, and by the number of tokens in which they meet. First the groups' own documents are compared; only
+   groups that this leaves apart are opened: the members of the smaller one are asked of the larger one's, in
+   blocks of about BLOCK_TOKENS tokens. Comparisons are exact, on whole texts.
 5. The links' components are the result.
 
 No pairs within a group are made, and no link between different groups is lost: two groups with a linked pair
-meet in a token of both prefixes, and stay candidates until they are one component or all pairs of their
-members that the sizes allow have been compared.
+meet in enough tokens of both prefixes, and stay candidates until they are one component or every member of
+the one has been compared with every member of the other.
 
 Defined cases: texts without words, null and empty ones have no shingles, link with nothing, and are their own
 component. Rows that share a doc_id are one document with all their texts. A null doc_id is linked with
@@ -44,8 +45,21 @@ from .shingles import linked, mix, shingle_sets
 PERCENT = 80
 #: Counters of the sketch, and the blocks in which its parts are summed.
 SKETCH_BITS, BLOCKS = 18, 64
+#: Tokens of a block of an opened group, and documents asked of a block by one task.
+BLOCK_TOKENS, ASKED = 1_000_000, 5_000
 PROFILE = "doc_id bigint, n int, digest binary, near array<bigint>, block int, counters binary"
-ENTRIES = "token bigint, unit bigint, low int, high int, place int, indexed boolean"
+#: sizes: least and greatest set (32 bits each); places: least and greatest place of the token, and whether in an index part.
+ENTRIES = "token bigint, unit bigint, sizes bigint, places bigint"
+
+
+def probed(n):
+    """Tokens of the prefix of a set of n, for numbers and arrays."""
+    return n - -(-4 * n // 5) + 1
+
+
+def index_part(n):
+    """Tokens of the prefix that will do for the smaller set of a pair: at least n - ceil(8 n / 9) + 1."""
+    return (probed(n) + n - -(-8 * n // 9) + 1) // 2
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -124,10 +138,30 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return with_columns(both, "link boolean", make, by="text_b", drop=["text_a", "text_b"]).filter("link").select("a", "b").distinct()
 
 
+def pack(low, high, near, far, indexed):
+    """sizes and places of ENTRIES, of arrays or columns."""
+    return low * (1 << 32) + high, near * (1 << 33) + far * 2 + indexed
+
+
+def unpack(sizes, places):
+    """low, high, near, far and indexed (0 or 1) of arrays."""
+    return sizes >> 32, sizes & 0xFFFFFFFF, places >> 33, (places >> 1) & 0xFFFFFFFF, places & 1
+
+
+def combined(members: DataFrame) -> DataFrame:
+    """ENTRIES of members' documents, one row for each token of each group."""
+    low, high = F.shiftright("sizes", 32), F.col("sizes").bitwiseAND(F.lit(0xFFFFFFFF))
+    near, far = F.shiftright("places", 33), F.shiftright("places", 1).bitwiseAND(F.lit(0xFFFFFFFF))
+    indexed = F.col("places").bitwiseAND(F.lit(1))
+    found = members.groupBy("token", "unit").agg(F.min(low).alias("low"), F.max(high).alias("high"), F.min(near).alias("near"), F.max(far).alias("far"), F.max(indexed).alias("indexed"))
+    sizes, places = pack(*(F.col(c) for c in ("low", "high", "near", "far", "indexed")))
+    return found.select("token", "unit", sizes.alias("sizes"), places.alias("places"))
+
+
 def entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     """ENTRIES of the documents' prefixes; docs has doc_id, text and unit (its group)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    schema = pa.schema([("token", pa.int64()), ("unit", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("place", pa.int32()), ("indexed", pa.bool_())])
+    schema = pa.schema([(c, pa.int64()) for c in ("token", "unit", "sizes", "places")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -137,78 +171,162 @@ def entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 tokens, sizes, lengths = [], [], []
                 for s in sets:
                     n = len(s)
-                    prefix = n - -(-4 * n // 5) + 1 if n else 0
+                    prefix = probed(n) if n else 0
                     order = (counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(40)) | (s >> np.uint64(24))
                     first = np.argpartition(order, prefix - 1)[:prefix] if prefix < n else np.arange(n)
                     first = np.sort(first)  # by token, which settles ties of the order
                     tokens.append(s[first[np.argsort(order[first], kind="stable")]])
                     sizes.append(n)
                     lengths.append(prefix)
-                sizes, lengths = np.array(sizes, np.int32), np.array(lengths, np.int64)
+                sizes, lengths = np.array(sizes, np.int64), np.array(lengths, np.int64)
                 n = np.repeat(sizes, lengths)
-                place = (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+                place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 unit = np.repeat(np.asarray(part.column("unit")), lengths)
-                indexed = place < n - -(-8 * n.astype(np.int64) // 9) + 1
                 if len(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(unit), pa.array(n), pa.array(n), pa.array(place), pa.array(indexed)], schema=schema)
+                    packed = pack(n, n, place, place, place < index_part(n))
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(unit), *map(pa.array, packed)], schema=schema)
 
     return docs.select("doc_id", "text", "unit").mapInArrow(run, ENTRIES)
 
 
-def _meetings(unit: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray, indexed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of units of one token whose overlap may suffice, as two arrays."""
-    a = np.flatnonzero(indexed)
-    found = []
-    for k in range(0, len(a), max(1, 1_000_000 // max(len(unit), 1))):
-        x = a[k : k + max(1, 1_000_000 // max(len(unit), 1))][:, None]
-        # The one with the token in its index part is the smaller document of the pair.
-        sizes = (5 * high[x].astype(np.int64) >= 4 * low[None, :]) & (low[x] <= high[None, :])
-        least = (low[x].astype(np.int64) + np.maximum(low[None, :], low[x])) * 4
-        most = np.minimum(place[x] + 0 * place[None, :], place[None, :]) + np.minimum(high[x] - place[x], (high - place)[None, :])
-        alike = low[x] == high[x]
-        exact = alike & (low == high)[None, :]
-        ok = (unit[x] != unit[None, :]) & sizes & (~exact | (9 * most >= least))
-        i, j = np.nonzero(ok)
-        found.append((unit[x[i, 0]], unit[j]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    u, v = (np.concatenate(c) for c in zip(*found, strict=True))
-    return np.minimum(u, v), np.maximum(u, v)
+def _meetings(unit: np.ndarray, low: np.ndarray, high: np.ndarray, near: np.ndarray, far: np.ndarray, indexed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of units of one token whose overlap may suffice, each pair once, as two arrays at a time."""
+    starts, every, step = np.flatnonzero(indexed), np.arange(len(unit)), max(1, 1_000_000 // len(unit))
+    for k in range(0, len(starts), step):
+        x = starts[k : k + step][:, None]
+        fits = lambda a, b: (5 * high[a] >= 4 * low[b]) & (low[a] <= high[b])  # noqa: E731  a, the smaller, may be linked with b
+        one, other = fits(x, every[None, :]), fits(every[None, :], x) & (indexed[None, :] > 0)
+        # Tokens before this one in both, and what is left of either, against the least overlap of the smallest.
+        most = np.minimum(far[x], far[None, :]) + np.minimum(high[x] - near[x], (high - near)[None, :])
+        least = 4 * (low[x] + low[None, :])
+        i, j = np.nonzero((unit[x] != unit[None, :]) & one & ~(other & (x > every[None, :])) & (9 * most >= least))
+        yield x[i, 0], j
 
 
 def meetings(matrix: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of groups that meet in a token of the matrix and may have linked members."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    names = ("token", "unit", "low", "high", "place", "indexed")
+    """Distinct pairs (a, b) of groups that meet in enough tokens of the matrix to have linked members."""
+    names = ("token", "unit", "sizes", "places")
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "times", "low_a", "high_a", "low_b", "high_b")])
+
+    def counted(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        u, v, *sizes = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((v, u))
+        u, v, sizes = u[order], v[order], [c[order] for c in sizes]
+        at = np.flatnonzero(np.concatenate([[True], (np.diff(u) != 0) | (np.diff(v) != 0)]))
+        times = np.diff(np.concatenate([at, [len(u)]]))
+        spread = [(np.minimum if k % 2 == 0 else np.maximum).reduceat(c, at) for k, c in enumerate(sizes)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (u[at], v[at], times, *spread)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, found, size = None, [], 0
 
-        def pairs(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            token = columns[0]
-            edges = np.flatnonzero(np.diff(token)) + 1
-            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(token)]])
+        def meet(columns: tuple[np.ndarray, ...]) -> None:
+            nonlocal size
+            edges = np.flatnonzero(np.diff(columns[0])) + 1
+            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(columns[0])]])
             many = np.flatnonzero(ends - starts > 1)
-            found = [_meetings(*(c[a:b] for c in columns[1:])) for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True)]
-            if found and sum(len(u) for u, _ in found):
-                u, v = (np.concatenate(c) for c in zip(*found, strict=True))
-                both = np.unique(np.stack([u, v], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
+            for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+                unit, sizes, places = (c[a:b] for c in columns[1:])
+                low, high, *rest = unpack(sizes, places)
+                for i, j in _meetings(unit, low, high, *rest):
+                    first, second = np.where(unit[i] < unit[j], i, j), np.where(unit[i] < unit[j], j, i)
+                    found.append((unit[first], unit[second], low[first], high[first], low[second], high[second]))
+                    size += len(i)
 
         for batch in batches:
-            columns = tuple(np.asarray(batch.column(c)) if c != "indexed" else batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in names)
+            columns = tuple(np.asarray(batch.column(c)) for c in names)
             if held is not None:
                 columns = tuple(np.concatenate(c) for c in zip(held, columns, strict=True))
             if not len(columns[0]):
                 continue
             last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last token may go on in the next batch
             if last:
-                yield from pairs(tuple(c[:last] for c in columns))
+                meet(tuple(c[:last] for c in columns))
             held = tuple(c[last:] for c in columns)
+            if size > 500_000:
+                yield counted(found)
+                found, size = [], 0
         if held is not None and len(held[0]):
-            yield from pairs(held)
+            meet(held)
+        if size:
+            yield counted(found)
+
+    dealt = matrix.select(*names).repartition("token").sortWithinPartitions("token")
+    pairs = dealt.mapInArrow(run, "a bigint, b bigint, times bigint, low_a bigint, high_a bigint, low_b bigint, high_b bigint").groupBy("a", "b")
+    pairs = pairs.agg(F.sum("times").alias("times"), *[F.min(c).alias(c) for c in ("low_a", "low_b")], *[F.max(c).alias(c) for c in ("high_a", "high_b")])
+    # Sets of sizes s <= t that link share i = ceil(4 (s + t) / 9) tokens, the first m of them in the first s - i + m and t - i + m tokens.
+    s, t = F.least("low_a", "low_b"), F.greatest("low_a", "low_b")
+    up = lambda x, n: F.floor((x + (n - 1)) / n)
+    probe = lambda n: n - up(4 * n, 5) + 1
+    index = lambda n: F.floor((probe(n) + n - up(8 * n, 9) + 1) / 2)
+    i = up(4 * (s + t), 9)
+    need = F.when((F.col("low_a") == F.col("high_a")) & (F.col("low_b") == F.col("high_b")), F.least(index(s) - s + i, probe(t) - t + i)).otherwise(F.lit(1))
+    return pairs.filter(F.col("times") >= need).select("a", "b")
+
+
+def open_groups(docs: DataFrame, apart: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links (a, b) between members of the groups of each pair of apart: at least one for each pair that has any in a block.
+
+    groups: unit and sid of groups of more than one; sizes: sid and n. The smaller group's members are asked of
+    the larger one's. Both are dealt in parts of bounded size, the members to each part of the asking ones.
+    """
+    totals = groups.join(sizes, "sid").groupBy("unit").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    told = lambda side: totals.select(F.col("unit").alias(side), F.col("members").alias(f"m_{side}"), F.col("tokens").alias(f"t_{side}"))
+    sides = apart.join(told("a"), "a", "left").join(told("b"), "b", "left")
+    swap = F.coalesce("m_a", F.lit(1)) < F.coalesce("m_b", F.lit(1))
+    sides = sides.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("host"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("guest"), F.when(swap, F.col("t_b")).otherwise(F.col("t_a")).alias("tokens"))
+    asking = sides.join(groups.withColumnsRenamed({"unit": "guest", "sid": "member"}), "guest", "left").select("host", "tokens", F.coalesce("member", "guest").alias("sid")).distinct()
+    asking = materialise(asking, "asking")
+    shape = asking.groupBy("host").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    shape = shape.select("host", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"), F.ceil(F.col("n") / ASKED).cast("int").alias("parts"))
+    place = lambda n, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = groups.withColumnRenamed("unit", "host").join(shape, "host").select("sid", "host", place("blocks", 1).alias("block"), every("parts").alias("part"), F.lit(0).alias("asks"))
+    ask = asking.select("host", "sid").join(shape, "host").select("sid", "host", place("parts", 2).alias("part"), every("blocks").alias("block"), F.lit(1).alias("asks"))
+    roles = materialise(own.unionByName(ask), "roles")
+    dealt = docs.join(small(roles.withColumnRenamed("sid", "doc_id")), "doc_id").select("doc_id", "text", "host", "block", "part", "asks")
+    dealt = dealt.repartition("host", "block", "part").sortWithinPartitions("host", "block", "part", "asks", "doc_id")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    return matrix.select(*names).repartition("token").sortWithinPartitions("token").mapInArrow(run, "a bigint, b bigint").distinct()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, held, index = None, [], [], None
+        for batch in batches:
+            for part in slices(batch, "text"):
+                links = []
+                keys = zip(*(part.column(c).to_pylist() for c in ("host", "block", "part", "asks", "doc_id")), strict=True)
+                for s, (*key, asks, doc_id) in zip(shingle_sets(*raw(part.column("text"))), keys, strict=True):
+                    if key != now:
+                        now, ids, held, index = key, [], [], None
+                    if not asks:
+                        ids.append(doc_id)
+                        held.append(s)
+                        continue
+                    if index is None:
+                        index = Postings(held)
+                    found = index.linked(s)
+                    links += [(ids[k], doc_id) for k in found[:1].tolist()]
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+class Postings:
+    """Sets by token, to find all that link with another set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.of = tokens[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def linked(self, s: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(self.tokens, s, "left"), np.searchsorted(self.tokens, s, "right")
+        a, b = a[a < b], b[a < b]
+        if not len(a):
+            return np.zeros(0, np.int64)
+        common = np.bincount(np.concatenate([self.of[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]), minlength=len(self.sizes))
+        return np.flatnonzero((common > 0) & (100 * common >= PERCENT * (self.sizes + len(s) - common)))
 
 
 def _lead(found: DataFrame) -> DataFrame:
@@ -239,25 +357,20 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = unique.join(small(groups), F.col("doc_id") == F.col("id")).select("doc_id", "text", F.col("label").alias("unit"))
     single = unique.join(small(groups.select(F.col("id").alias("doc_id"))), "doc_id", "left_anti").withColumn("unit", F.col("doc_id"))
     sketch = sketch_of(profiled)
-    union = entries(members, sketch).groupBy("token", "unit").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("place").alias("place"), F.max("indexed").alias("indexed"))
+    union = combined(entries(members, sketch))
     met = materialise(meetings(entries(single, sketch).unionByName(union)), "meetings")
 
     first = materialise(verify(unique, met), "links")
     # Groups of more than one that are still apart are opened.
     again = components(stars.unionByName(first))
     sizes = found.select("sid", "n")
-    inside = groups.select(F.col("label").alias("unit"), F.col("id").alias("sid")).join(sizes, "sid")
-    large = groups.select(F.col("label").alias("large")).distinct()
+    members_of = groups.select(F.col("label").alias("unit"), F.col("id").alias("sid"))
     label = lambda side: again.select(F.col("id").alias(side), F.col("label").alias(f"in_{side}"))
     apart = met.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
+    large = members_of.select(F.col("unit").alias("large")).distinct()
     apart = apart.join(large.select(F.col("large").alias("a"), F.lit(1).alias("many_a")), "a", "left").join(large.select(F.col("large").alias("b"), F.lit(1).alias("many_b")), "b", "left")
     apart = materialise(apart.filter("many_a = 1 OR many_b = 1").select("a", "b"), "apart")
-    of = lambda side: inside.select(F.col("unit").alias(side), F.col("sid").alias(f"sid_{side}"), F.col("n").alias(f"n_{side}"))
-    alone = lambda side: sizes.select(F.col("sid").alias(side), F.col("n").alias(f"own_{side}"))
-    opened = apart.join(of("a"), "a", "left").join(alone("a"), "a", "left").join(of("b"), "b", "left").join(alone("b"), "b", "left")
-    opened = opened.select(F.coalesce("sid_a", "a").alias("x"), F.coalesce("n_a", "own_a").alias("nx"), F.coalesce("sid_b", "b").alias("y"), F.coalesce("n_b", "own_b").alias("ny"))
-    opened = opened.filter("5 * nx >= 4 * ny AND 5 * ny >= 4 * nx").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    second = materialise(verify(unique, opened), "links")
+    second = materialise(open_groups(unique, apart, members_of, sizes), "links")
 
     last = components(stars.unionByName(first).unionByName(second))
     to = found.select("digest", "sid").join(last.withColumnRenamed("id", "sid"), "sid", "left").select("digest", F.coalesce("label", "sid").alias("component"))
