@@ -6,20 +6,21 @@ is every document's component. The steps:
 1. One pass makes each text's set (64-bit shingles), its digest, two min-hashes, and counts of shingles in a
    sketch of fixed size. Documents with equal sets become one (the smallest doc_id stands for them).
 2. Similar documents are partitioned into groups: those that share a min-hash with the most copied document
-   that has it, and are linked with it by an exact comparison. All others are groups of one.
+   that has it, and are at least SIMILAR percent like it by an exact comparison. All others are groups of one.
 3. The token-group matrix has a row for each token in the union of a group's prefixes. A document's prefix is
    the part of its set, rarest tokens first by the sketch, in which any linked document must meet it: the
    first n - ceil(0.8 n) + 1 tokens; for the smaller document of a pair, the index part, about three quarters
    of them, will do. Any order would do for right results; rare tokens first keep common passages out of the
    prefixes. The tokens of a group are combined to one row before they are dealt out, however large it is.
 4. Groups that meet are candidates if the bound on their overlap allows a link: by sizes and by the tokens'
-   places, and by the number of tokens in which they meet. First the groups' own documents are compared; only
-   groups that this leaves apart are opened: the members of the smaller one are asked of the larger one's, in
-   blocks of about BLOCK_TOKENS tokens. Comparisons are exact, on whole texts.
+   places, and by the number of tokens in which they meet. First the groups' own documents are compared. Groups
+   whose members are not all linked with each other by then are opened: the members of the smaller one are asked
+   of the larger one's, and within a group its members outside its largest component are asked of all members,
+   in blocks of about BLOCK_TOKENS tokens. Comparisons are exact, on whole texts.
 5. The links' components are the result.
 
 No pairs within a group are made, and no link between different groups is lost: two groups with a linked pair
-meet in enough tokens of both prefixes, and stay candidates until they are one component or every member of
+meet in enough tokens of both prefixes, and stay candidates until they are in one component or every member of
 the one has been compared with every member of the other.
 
 Defined cases: texts without words, null and empty ones have no shingles, link with nothing, and are their own
@@ -40,13 +41,13 @@ from pyspark.sql import functions as F
 from .arrow import raw, slices, with_columns
 from .components import components
 from .shared import few, materialise, small
-from .shingles import linked, mix, shingle_sets
+from .shingles import likeness, mix, shingle_sets
 
-PERCENT = 80
+PERCENT, SIMILAR = 80, 50
 #: Counters of the sketch, and the blocks in which its parts are summed.
 SKETCH_BITS, BLOCKS = 18, 64
 #: Tokens of a block of an opened group, and documents asked of a block by one task.
-BLOCK_TOKENS, ASKED = 1_000_000, 5_000
+BLOCK_TOKENS, ASKED = 200_000, 1_000
 PROFILE = "doc_id bigint, n int, digest binary, near array<bigint>, block int, counters binary"
 #: sizes: least and greatest set (32 bits each); places: least and greatest place of the token, and whether in an index part.
 ENTRIES = "token bigint, unit bigint, sizes bigint, places bigint"
@@ -115,7 +116,7 @@ def sketch_of(profiled: DataFrame) -> np.ndarray:
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids those whose texts link. A hot a is split by the adaptive join."""
+    """The pairs (a, b) of doc_ids that are at least SIMILAR, with their likeness in percent. A hot a is split by the adaptive join."""
     pairs = materialise(pairs.distinct(), "pairs")
     right = docs.join(small(pairs.withColumnRenamed("b", "doc_id")), "doc_id").select("a", F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     left = docs.join(small(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -130,12 +131,13 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 text = text.as_py()
                 if last[0] != text:
                     last[:] = [text, shingle_sets(*raw(part.column("text_a").slice(k, 1)))[0]]
-                out.append(linked(last[1], s, PERCENT))
-            return [pa.array(out, pa.bool_())]
+                out.append(likeness(last[1], s))
+            return [pa.array(out, pa.int32())]
 
         return work
 
-    return with_columns(both, "link boolean", make, by="text_b", drop=["text_a", "text_b"]).filter("link").select("a", "b").distinct()
+    found = with_columns(both, "likeness int", make, by="text_b", drop=["text_a", "text_b"]).filter(F.col("likeness") >= SIMILAR)
+    return found.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
 def pack(low, high, near, far, indexed):
@@ -264,47 +266,50 @@ def meetings(matrix: DataFrame) -> DataFrame:
     return pairs.filter(F.col("times") >= need).select("a", "b")
 
 
-def open_groups(docs: DataFrame, apart: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Links (a, b) between members of the groups of each pair of apart: at least one for each pair that has any in a block.
+def open_groups(docs: DataFrame, apart: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) between members of the groups of each pair of apart, one for each member and component at least.
 
-    groups: unit and sid of groups of more than one; sizes: sid and n. The smaller group's members are asked of
-    the larger one's. Both are dealt in parts of bounded size, the members to each part of the asking ones.
+    members: unit, sid, n and label (its component so far) of all groups in apart. The smaller group's members
+    are asked of the larger one's; in a group paired with itself, those outside its largest component. Both
+    are dealt in parts of bounded size, the asked ones to each part of the asking ones and the other way round.
     """
-    totals = groups.join(sizes, "sid").groupBy("unit").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    totals = members.groupBy("unit").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    main = members.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("unit").agg(F.max(F.struct("n", "label")).alias("m")).select("unit", F.col("m.label").alias("main"))
     told = lambda side: totals.select(F.col("unit").alias(side), F.col("members").alias(f"m_{side}"), F.col("tokens").alias(f"t_{side}"))
-    sides = apart.join(told("a"), "a", "left").join(told("b"), "b", "left")
-    swap = F.coalesce("m_a", F.lit(1)) < F.coalesce("m_b", F.lit(1))
-    sides = sides.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("host"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("guest"), F.when(swap, F.col("t_b")).otherwise(F.col("t_a")).alias("tokens"))
-    asking = sides.join(groups.withColumnsRenamed({"unit": "guest", "sid": "member"}), "guest", "left").select("host", "tokens", F.coalesce("member", "guest").alias("sid")).distinct()
+    sides = apart.join(told("a"), "a").join(told("b"), "b")
+    swap = F.col("m_a") < F.col("m_b")
+    either = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+    sides = sides.select(either("b", "a").alias("host"), either("a", "b").alias("guest"), either("t_b", "t_a").alias("tokens"))
+    asking = sides.join(members.join(main, "unit").withColumnRenamed("unit", "guest"), "guest").filter("host <> guest OR label <> main").select("host", "tokens", "sid", "label").distinct()
     asking = materialise(asking, "asking")
     shape = asking.groupBy("host").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     shape = shape.select("host", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"), F.ceil(F.col("n") / ASKED).cast("int").alias("parts"))
     place = lambda n, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = groups.withColumnRenamed("unit", "host").join(shape, "host").select("sid", "host", place("blocks", 1).alias("block"), every("parts").alias("part"), F.lit(0).alias("asks"))
-    ask = asking.select("host", "sid").join(shape, "host").select("sid", "host", place("parts", 2).alias("part"), every("blocks").alias("block"), F.lit(1).alias("asks"))
+    own = members.withColumnRenamed("unit", "host").join(shape, "host").select("sid", "label", "host", place("blocks", 1).alias("block"), every("parts").alias("part"), F.lit(0).alias("asks"))
+    ask = asking.drop("tokens").join(shape, "host").select("sid", "label", "host", place("parts", 2).alias("part"), every("blocks").alias("block"), F.lit(1).alias("asks"))
     roles = materialise(own.unionByName(ask), "roles")
-    dealt = docs.join(small(roles.withColumnRenamed("sid", "doc_id")), "doc_id").select("doc_id", "text", "host", "block", "part", "asks")
+    dealt = docs.join(small(roles.withColumnRenamed("sid", "doc_id")), "doc_id").select("doc_id", "text", "label", "host", "block", "part", "asks")
     dealt = dealt.repartition("host", "block", "part").sortWithinPartitions("host", "block", "part", "asks", "doc_id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, held, index = None, [], [], None
+        now, ids, labels, held, index = None, [], [], [], None
         for batch in batches:
             for part in slices(batch, "text"):
                 links = []
-                keys = zip(*(part.column(c).to_pylist() for c in ("host", "block", "part", "asks", "doc_id")), strict=True)
-                for s, (*key, asks, doc_id) in zip(shingle_sets(*raw(part.column("text"))), keys, strict=True):
+                keys = zip(*(part.column(c).to_pylist() for c in ("host", "block", "part", "asks", "doc_id", "label")), strict=True)
+                for s, (*key, asks, doc_id, label) in zip(shingle_sets(*raw(part.column("text"))), keys, strict=True):
                     if key != now:
-                        now, ids, held, index = key, [], [], None
+                        now, ids, labels, held, index = key, [], [], [], None
                     if not asks:
                         ids.append(doc_id)
+                        labels.append(label)
                         held.append(s)
                         continue
                     if index is None:
                         index = Postings(held)
-                    found = index.linked(s)
-                    links += [(ids[k], doc_id) for k in found[:1].tolist()]
+                    links += {labels[k]: (ids[k], doc_id) for k in index.linked(s).tolist() if labels[k] != label}.values()
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
 
@@ -330,12 +335,12 @@ class Postings:
 
 
 def _lead(found: DataFrame) -> DataFrame:
-    """Pairs (a, b): in each class of equal min-hash the most copied document a with each other b that its size allows."""
+    """Pairs (a, b): in each class of equal min-hash the most copied document a with each other b of a size that may be similar."""
     keyed = found.select("sid", "n", "copies", F.explode(F.arrays_zip("near", F.array(F.lit(0), F.lit(1)).alias("which"))).alias("k"))
     keyed = keyed.select("sid", "n", "copies", F.col("k.near").alias("near"), F.col("k.which").alias("which"))
     best = keyed.groupBy("which", "near").agg(F.max(F.struct("copies", (-F.col("sid")).alias("minus"), "n")).alias("best"), F.count(F.lit(1)).alias("size"))
     best = best.filter("size > 1").select("which", "near", (-F.col("best.minus")).alias("a"), F.col("best.n").alias("n_a"))
-    pairs = keyed.join(small(best), ["which", "near"]).filter("a <> sid AND 5 * n >= 4 * n_a AND 5 * n_a >= 4 * n")
+    pairs = keyed.join(small(best), ["which", "near"]).filter(f"a <> sid AND 100 * n >= {SIMILAR} * n_a AND 100 * n_a >= {SIMILAR} * n")
     return pairs.select("a", F.col("sid").alias("b"))
 
 
@@ -352,27 +357,30 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     unique = own.filter("doc_id IS NOT NULL")
     unique = unique.join(F.broadcast(others), "doc_id", "left_anti") if few(others) else unique.join(found.select(F.col("sid").alias("doc_id")), "doc_id", "left_semi")
 
-    stars = materialise(verify(unique, _lead(found)), "links")
+    links = lambda pairs: pairs.filter(F.col("likeness") >= PERCENT).select("a", "b")
+    stars = materialise(verify(unique, _lead(found)), "stars")
     groups = components(stars)
     members = unique.join(small(groups), F.col("doc_id") == F.col("id")).select("doc_id", "text", F.col("label").alias("unit"))
     single = unique.join(small(groups.select(F.col("id").alias("doc_id"))), "doc_id", "left_anti").withColumn("unit", F.col("doc_id"))
     sketch = sketch_of(profiled)
-    union = combined(entries(members, sketch))
-    met = materialise(meetings(entries(single, sketch).unionByName(union)), "meetings")
-
-    first = materialise(verify(unique, met), "links")
-    # Groups of more than one that are still apart are opened.
-    again = components(stars.unionByName(first))
-    sizes = found.select("sid", "n")
-    members_of = groups.select(F.col("label").alias("unit"), F.col("id").alias("sid"))
-    label = lambda side: again.select(F.col("id").alias(side), F.col("label").alias(f"in_{side}"))
-    apart = met.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
-    large = members_of.select(F.col("unit").alias("large")).distinct()
-    apart = apart.join(large.select(F.col("large").alias("a"), F.lit(1).alias("many_a")), "a", "left").join(large.select(F.col("large").alias("b"), F.lit(1).alias("many_b")), "b", "left")
-    apart = materialise(apart.filter("many_a = 1 OR many_b = 1").select("a", "b"), "apart")
-    second = materialise(open_groups(unique, apart, members_of, sizes), "links")
-
-    last = components(stars.unionByName(first).unionByName(second))
+    met = materialise(meetings(entries(single, sketch).unionByName(combined(entries(members, sketch)))), "meetings")
+
+    first = materialise(links(stars).unionByName(links(verify(unique, met))), "links")
+    linked = components(first).select(F.col("id").alias("sid"), "label")
+    units = groups.select(F.col("id").alias("sid"), F.col("label").alias("unit"))
+    large = units.select("unit").distinct()
+    told = lambda side: large.select(F.col("unit").alias(side), F.lit(1).alias(f"many_{side}"))
+    open_ = met.join(told("a"), "a", "left").join(told("b"), "b", "left").filter("many_a = 1 OR many_b = 1").select("a", "b")
+    open_ = materialise(open_.unionByName(large.select(F.col("unit").alias("a"), F.col("unit").alias("b"))), "open")
+    alone = open_.select(F.explode(F.array("a", "b")).alias("unit")).distinct().join(large, "unit", "left_anti").select(F.col("unit").alias("sid"), "unit")
+    inside = units.unionByName(alone).join(found.select("sid", "n"), "sid").join(linked, "sid", "left").select("unit", "sid", "n", F.coalesce("label", "sid").alias("label"))
+    inside = materialise(inside, "members")
+    spread = inside.groupBy("unit").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    of = lambda side: spread.select(F.col("unit").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}"))
+    apart = open_.join(of("a"), "a").join(of("b"), "b").filter("low_a <> high_a OR low_b <> high_b OR low_a <> low_b").select("a", "b")
+    second = materialise(open_groups(unique, materialise(apart, "apart"), inside), "links")
+
+    last = components(first.unionByName(second))
     to = found.select("digest", "sid").join(last.withColumnRenamed("id", "sid"), "sid", "left").select("digest", F.coalesce("label", "sid").alias("component"))
     out = each.join(to, "digest", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

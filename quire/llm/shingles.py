@@ -93,9 +93,9 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
-    """Whether two sets have a Jaccard similarity of at least percent."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
+def likeness(a: np.ndarray, b: np.ndarray) -> int:
+    """Jaccard similarity of two sets in whole percent, rounded down; 0 for empty ones."""
+    if not len(a) or not len(b):
+        return 0
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+    return 100 * common // (len(a) + len(b) - common)

@@ -80,9 +80,9 @@ def test_jaccard_of_repeated_rows_null_ids_and_empty_tables(spark):
 
 def test_threshold_is_exact():
     base = np.arange(100, dtype=np.uint64)
-    assert shingles.linked(base[:80], base)
-    assert not shingles.linked(base[:79], base)
-    assert not shingles.linked(base[:0], base[:0])
+    assert shingles.likeness(base[:80], base) == 80
+    assert shingles.likeness(base[:79], base) == 79
+    assert shingles.likeness(base[:0], base[:0]) == 0
 
 
 def test_shingles_do_not_depend_on_the_neighbours():
