@@ -27,11 +27,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 def with_columns(
-    df: DataFrame, fields: str, make: Callable[[], Callable[[pa.RecordBatch], Sequence[pa.Array]]], by: str, drop: Iterable[str] = ()
+    df: DataFrame, fields: str, make: Callable[[], Callable[[pa.RecordBatch], Sequence[pa.Array]]], by: str, drop: Iterable[str] = (), done: Callable[[], None] = lambda: None
 ) -> DataFrame:
     """df and the columns of fields (a DDL string), which make()(slice) gives for each slice of about SLICE_BYTES of the column by.
 
-    Columns of drop go; columns of df that clash with fields are replaced. make() runs once a task.
+    Columns of drop go; columns of df that clash with fields are replaced. make() runs once a task, done() at its end.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -46,6 +46,7 @@ def with_columns(
             for part in slices(batch, by):
                 new = [x.cast(t.type) if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(work(part), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in stay), *new], names=names)
+        done()
 
     return df.mapInArrow(run, schema)
 

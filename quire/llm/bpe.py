@@ -34,6 +34,8 @@ from .arrow import texts, with_columns
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker keeps; then the dictionary starts anew.
 KEPT_WORDS = 300_000
+#: Words that may stay for a worker's next task.
+IDLE_WORDS = 50_000
 #: Pairs of tokens whose meeting a worker remembers.
 KEPT_PAIRS = 500_000
 #: Words of one text that are held at once.
@@ -182,6 +184,11 @@ class Encoder:
         for word, ids in self.vocabulary.encode_words(w.encode() for w in new - special.keys()):
             self.known[word.decode()] = np.array(ids, "<u4").tobytes()
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps little, as other work needs its memory."""
+        if len(self.known) > IDLE_WORDS:
+            self.known.clear()
+
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """Of each text the ids, as little-endian unsigned 32-bit integers."""
         whole, runs = [], []
@@ -235,7 +242,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, keep_te
 
         return work
 
-    return with_columns(docs, "ids binary, n_tokens bigint", make, by=text, drop=() if keep_text else (text,))
+    return with_columns(docs, "ids binary, n_tokens bigint", make, by=text, drop=() if keep_text else (text,), done=lambda: encoder(path).rest())
 
 
 def decode(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ columns are replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,8 @@ from .arrow import raw, with_columns
 SAMPLE = 1000
 BITS = 12
 BUCKETS = 1 << BITS
+#: Bytes whose n-grams are made at once.
+BLOCK = 1 << 17
 UNKNOWN = "und"
 #: Gradient steps of the support vector machines, and their regularisation.
 ROUNDS, PENALTY = 200, 1e-3
@@ -61,39 +64,50 @@ def _byte_classes() -> np.ndarray:
 CLASSES = _byte_classes()
 
 
-def grams(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """The buckets of the n-grams that end at each byte, for n of 1, 2 and 3; 0 for those that end in a space or begin in another text."""
-    one = CLASSES[data]
-    blank, starts = one == 32, ends[:-1][ends[:-1] < ends[1:]]
-    second = starts[starts + 1 < len(data)] + 1
-    found, code = [], np.zeros(len(one), np.uint64)
-    for n in range(3):
-        code = code * np.uint64(256)
-        code[n:] += one[: len(one) - n] if n else one
-        mixed = (code + np.uint64(n + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        g = (mixed >> np.uint64(64 - BITS)).astype(np.int32)
-        g[blank] = 0
-        if n:
-            g[starts] = 0
-        if n == 2:
-            g[second] = 0
-        found.append(g)
-    return found
-
-
-def spans(ends: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Sums of totals between the places of ends."""
-    run = np.concatenate([np.zeros((1, totals.shape[1])), np.cumsum(totals, axis=0, dtype=np.float64)])
-    return run[ends[1:]] - run[ends[:-1]]
+def grams(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Block by block, each byte's text and the buckets of the n-grams that end there, for n of 1, 2 and 3.
+
+    Bucket 0 is for those that end in a space or begin in another text.
+    """
+    for low in range(0, len(data), BLOCK):
+        lead = min(low, 2)
+        one = CLASSES[data[low - lead : low + BLOCK]]
+        at = np.arange(low, low + len(one) - lead)
+        of = np.searchsorted(ends, at, side="right") - 1
+        inside = at - ends[of]
+        blank, found, code = one[lead:] == 32, [], np.zeros(len(one), np.uint64)
+        for n in range(3):
+            code = code * np.uint64(256)
+            code[n:] += one[: len(one) - n] if n else one
+            g = (((code + np.uint64(n + 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)[lead:]
+            g[blank | (inside < n)] = 0
+            found.append(g)
+        yield of, found
 
 
 def shares(data: np.ndarray) -> np.ndarray:
     """One text's features: how often each bucket occurs among its n-grams."""
-    counts = sum(np.bincount(g, minlength=BUCKETS) for g in grams(data, np.array([0, len(data)]))).astype(np.float32)
+    counts = np.zeros(BUCKETS, np.float32)
+    for _, found in grams(data, np.array([0, len(data)])):
+        for g in found:
+            counts += np.bincount(g, minlength=BUCKETS)
     counts[0] = 0
     return counts / max(counts.sum(), 1)
 
 
+def margins(data: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of each text the mean weights of its n-grams: shares() times weights."""
+    sums, total, n = np.zeros((len(ends) - 1, weights.shape[1])), np.zeros(len(ends) - 1), len(ends) - 1
+    columns = np.ascontiguousarray(weights.T)
+    for of, found in grams(data, ends):
+        base, of = of[0], of - of[0]
+        for g in found:
+            total[base : base + of[-1] + 1] += np.bincount(of, g != 0)
+            for m, w in enumerate(columns):
+                sums[base : base + of[-1] + 1, m] += np.bincount(of, w[g])
+    return sums / np.maximum(total, 1)[:n, None]
+
+
 @dataclass
 class Model:
     """weights: a column a machine; machines: the families' ones first, then those of pairs of languages."""
@@ -225,11 +239,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", drop: tupl
     def make():
         def work(part: pa.RecordBatch):
             data, ends = raw(part.column(text))
-            sums, total = np.zeros((len(ends) - 1, model.weights.shape[1])), np.zeros(len(ends) - 1)
-            for g in grams(data, ends):
-                sums += spans(ends, model.weights[g])
-                total += spans(ends, (g != 0)[:, None])[:, 0]
-            langs, score = model.judge(sums / np.maximum(total, 1)[:, None] + model.bias)
+            langs, score = model.judge(margins(data, ends, model.weights) + model.bias)
             known = part.column(flag).to_pylist()
             return [
                 pa.array([v if k else UNKNOWN for v, k in zip(langs, known, strict=True)], pa.string()),

@@ -143,7 +143,7 @@ def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
         return work
 
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias(text))
-    return materialise(with_columns(own, "doc_tokens bigint, whole array<bigint>, rest_crc bigint, ids binary", make, by=text, drop=[text]), "tokens")
+    return materialise(with_columns(own, "doc_tokens bigint, whole array<bigint>, rest_crc bigint, ids binary", make, by=text, drop=[text], done=lambda: wordtok.tokenizer(path).rest()), "tokens")
 
 
 def salts_for(rows: int) -> int:

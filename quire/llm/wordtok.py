@@ -16,6 +16,8 @@ from itertools import islice
 import numpy as np
 
 KEPT_WORDS = 500_000
+#: Words that may stay for a worker's next task.
+IDLE_WORDS = 50_000
 #: Words that the library encodes in one call, as one text.
 WORDS_A_CALL = 200
 WORDS_AT_ONCE = 200_000
@@ -77,6 +79,11 @@ class WordTokenizer:
         while run := list(islice(found, WORDS_AT_ONCE)):
             yield run
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps little, as other work needs its memory."""
+        if len(self.known) > IDLE_WORDS:
+            self.known.clear()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids, as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
