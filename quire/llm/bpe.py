@@ -35,7 +35,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words whose ids a worker keeps; then the dictionary starts anew.
 KEPT_WORDS = 300_000
 #: Words that may stay for a worker's next task.
-IDLE_WORDS = 50_000
+IDLE_WORDS = 100_000
 #: Pairs of tokens whose meeting a worker remembers.
 KEPT_PAIRS = 500_000
 #: Words of one text that are held at once.
@@ -185,9 +185,9 @@ class Encoder:
             self.known[word.decode()] = np.array(ids, "<u4").tobytes()
 
     def rest(self) -> None:
-        """Between tasks a worker keeps little, as other work needs its memory."""
+        """Between tasks a worker keeps little, as other work needs its memory: the words that came first, so the frequent ones."""
         if len(self.known) > IDLE_WORDS:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), IDLE_WORDS))
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """Of each text the ids, as little-endian unsigned 32-bit integers."""

@@ -17,7 +17,7 @@ import numpy as np
 
 KEPT_WORDS = 500_000
 #: Words that may stay for a worker's next task.
-IDLE_WORDS = 50_000
+IDLE_WORDS = 100_000
 #: Words that the library encodes in one call, as one text.
 WORDS_A_CALL = 200
 WORDS_AT_ONCE = 200_000
@@ -80,9 +80,9 @@ class WordTokenizer:
             yield run
 
     def rest(self) -> None:
-        """Between tasks a worker keeps little, as other work needs its memory."""
+        """Between tasks a worker keeps little, as other work needs its memory: the words that came first, so the frequent ones."""
         if len(self.known) > IDLE_WORDS:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), IDLE_WORDS))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids, as little-endian unsigned 32-bit integers."""
