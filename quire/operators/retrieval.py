@@ -35,10 +35,10 @@ def consult(blocks: DataFrame, query: str, limit: int = 5, max_chars: int = 4000
     """rank, doc_id, unit, block_id, excerpt, excerpt_truncated: the hits that the character budget allows."""
     if not 200 <= max_chars <= 20_000:
         raise ValueError("max_chars must be 200 to 20000")
-    terms, lower = query_terms(query), F.lower("text")
+    best, terms, lower = ranked(blocks, query, limit), query_terms(query), F.lower("text")
     first = F.least(*[F.when(F.locate(t, lower) > 0, F.locate(t, lower) - 1) for t in terms], F.lit(1 << 30))
     first = F.when(first == 1 << 30, 0).otherwise(first)
-    top = ranked(blocks, query, limit).withColumn("first", first.cast("int"))
+    top = best.withColumn("first", first.cast("int"))
     hits = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "doc_id", "unit", "block_id", "text", "first"))).alias("hits"))
 
     def step(s, h):
