@@ -13,7 +13,7 @@ from quire.operators import documents as D
 from quire.operators import library as L
 from quire.operators import retrieval as R
 from quire.operators import sheets as S
-from quire.sources import files, pages
+from quire.sources import answers, files, pages
 from quire.streaming import resumable
 
 
@@ -179,3 +179,36 @@ def test_stream_takes_each_item_once(spark, tmp_path):
     assert resumable.ingest(spark, f"{base}/in", one.schema, f"{base}/state", ["id"], 1).count() == 10
     one.union(spark.createDataFrame([(99, "b")], one.schema)).coalesce(1).write.mode("append").parquet(f"{base}/in")
     assert resumable.ingest(spark, f"{base}/in", one.schema, f"{base}/state", ["id"], 1).count() == 11
+
+
+def test_ooxml_escapes_fences_and_scores(spark):
+    assert [one(spark, T.ooxml_text, x) for x in ("A_x000D_B", "_x005F_x000D_", "a_x00e9__x0041_", "plain _xZZ_", "_xD83D_")] == ["A\rB", "_x000D_", "aéA", "plain _xZZ_", "\ufffd"]
+    assert one(spark, T.code_fence, "a ``` b ```` c") == "`````" and one(spark, T.code_fence, "none") == "```"
+    assert one(spark, T.fenced_json, '```json\n{"a": 1}\n```') == '{"a": 1}' and one(spark, T.fenced_json, "{}") == "{}"
+    rows = [(1.2, [0.1, 0.6, 0.3], True), (1.2, [0.1, 0.6, 0.4], False), (2.5, [0.0, 0.0, 1.0], False), (1.0, [0.5, 0.5], False), (None, [0.0, 1.0, 0.0], False), (1.0, [0.0, 1.0, None], False)]
+    table = spark.createDataFrame(rows, "s double, p array<double>, want boolean")
+    assert all(r.want == r.got for r in table.withColumn("got", T.valid_scores(F.col("s"), F.col("p"))).collect())
+
+
+def test_answers_are_strict(spark):
+    good = '{"job": "j", "unit": 1, "blocks": [{"kind": "paragraph", "text": "x NaN  "}]}'
+    cases = [
+        (good, None), (f"```json\n{good}\n```", None), (good.replace('"j"', '"k"'), "another job"), (good.replace('"unit"', '"unit": 1, "unit"'), "not strict JSON"), ("{", "not strict JSON"), (None, "not strict JSON"),
+        (good.replace("}]}", "}], \"more\": 1}"), "keys"), (good.replace("paragraph", "poem"), "block"), (good.replace("x NaN", " "), "block"), ('{"job": "j", "unit": 1, "blocks": []}', "no blocks"),
+    ]
+    table = spark.createDataFrame([(k, "j", 1, a) for k, (a, _) in enumerate(cases)], "doc_id int, job string, unit int, answer string")
+    found = {r.doc_id: r for r in answers.read_answers(table).collect()}
+    assert [found[k].reason for k in range(len(cases))] == [r for _, r in cases]
+    assert found[0].blocks[0].text == "x NaN\n\n"
+
+
+def test_publishing_again_adds_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "T", "/1"), ("a", "T", "/2"), ("b", "T", "/3"), (None, "T", "/4")], "sha string, title string, path string")
+    ids = answers.package_ids(docs, 7, ["sha", "title"])
+    assert ids.select("package_id").distinct().count() == 3
+    assert answers.package_ids(docs, 8, ["sha", "title"]).join(ids, "package_id").count() == 0
+    folder = str(tmp_path / "packages")
+    answers.publish(ids, None, folder)
+    catalog = spark.read.parquet(folder).select("package_id").withColumn("integrity_ok", F.lit(True))
+    assert catalog.count() == 3 and answers.publish(ids, spark.createDataFrame(catalog.collect(), catalog.schema), folder).count() == 0
+    assert spark.read.parquet(folder).count() == 3
