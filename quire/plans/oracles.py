@@ -147,7 +147,7 @@ t AS (SELECT event_type, CASE WHEN event_id % 3 <> 0 AND k - 50 >= 0 THEN k - 50
 SELECT event_type, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) FILTER (WHERE tokens IS NULL) AS unknown, count(*) AS runs FROM t GROUP BY 1
 """,
     "status_machine": """
-WITH i AS (SELECT l_orderkey AS batch, list_extract(['terminado', 'reutilizado', 'listo', 'bloqueado', 'requiere_revision', 'terminado', 'terminado'], l_partkey % 7 + 1) AS state FROM lineitem WHERE l_linenumber <= 2)
+WITH i AS (SELECT l_orderkey AS batch, list_extract(['terminado', 'reutilizado', 'listo', 'bloqueado', 'requiere_revision', 'terminado', 'terminado'], l_partkey % 7 + 1) AS state FROM lineitem)
 SELECT batch, CASE WHEN bool_and(state IN ('terminado', 'reutilizado')) THEN 'finalizado' WHEN bool_or(state = 'requiere_revision') THEN 'requiere_revision' WHEN bool_or(state = 'bloqueado') THEN 'bloqueado' ELSE 'pausado' END AS status,
        count(*) FILTER (WHERE state IN ('bloqueado', 'requiere_revision')) AS attention, count(*) AS items
 FROM i GROUP BY batch
@@ -188,11 +188,11 @@ FROM cells GROUP BY sheet
 """,
     "sheet_regions": f"""
 WITH RECURSIVE {_CELLS},
-free AS (SELECT sheet, "row" AS r, col AS c, "row" * 100 + col AS id FROM cells WHERE "row" <= 24 AND sheet < 12 AND NOT ("row" BETWEEN 5 AND 12 AND col BETWEEN 1 AND 4)),
+free AS (SELECT sheet, "row" AS r, col AS c, "row" * 100 + col AS id FROM cells WHERE NOT ("row" BETWEEN 5 AND 12 AND col BETWEEN 1 AND 4)),
 reach AS (
   SELECT sheet, r, c, id FROM free
   UNION
-  SELECT f.sheet, f.r, f.c, x.id FROM reach x JOIN free f ON f.sheet = x.sheet AND abs(f.r - x.r) + abs(f.c - x.c) = 1 WHERE x.id < f.id OR x.id < 1000000),
+  SELECT f.sheet, f.r, f.c, x.id FROM reach x JOIN free f ON f.sheet = x.sheet AND abs(f.r - x.r) + abs(f.c - x.c) = 1),
 label AS (SELECT sheet, r, c, min(id) AS region FROM reach GROUP BY ALL),
 box AS (SELECT sheet, region, min(r) AS r1, min(c) AS c1, max(r) AS r2, max(c) AS c2, count(*) AS cells FROM label GROUP BY ALL)
 SELECT sheet, chr(64 + CAST(c1 AS INT)) || r1 || ':' || chr(64 + CAST(c2 AS INT)) || r2 AS source_ref, CASE WHEN cells = 1 THEN 'note' WHEN c1 = c2 THEN 'list' ELSE 'table' END AS kind, cells, r1 AS first_row, c1 AS first_col FROM box
@@ -214,7 +214,7 @@ n AS (SELECT *, CAST(CASE WHEN helper THEN -1 ELSE (row_number() OVER (PARTITION
 SELECT table_id, chunk, count(*) AS n, CASE WHEN arg_min(header, col) = arg_max(header, col) THEN arg_min(header, col) ELSE arg_min(header, col) || ' → ' || arg_max(header, col) END AS title FROM n GROUP BY ALL
 """,
     "merge_overlap_join": """
-WITH t AS (SELECT o_custkey % 200 AS sheet, o_orderkey AS table_id, o_orderkey % 30 + 4 AS min_row, o_orderkey % 11 + 1 AS min_col, o_orderkey % 11 + 6 AS max_col FROM orders WHERE o_orderkey % 5 = 0),
+WITH t AS (SELECT o_custkey % 200 AS sheet, o_orderkey AS table_id, o_orderkey % 30 + 4 AS min_row, o_orderkey % 11 + 1 AS min_col, o_orderkey % 11 + 6 AS max_col FROM orders),
 m AS (SELECT s_suppkey % 200 AS sheet, s_name AS label, s_suppkey % 30 + 2 AS m_last, s_suppkey % 9 + 1 AS m_min, s_suppkey % 9 + 3 AS m_max FROM supplier)
 SELECT t.sheet, table_id, label, greatest(min_col, m_min) AS from_col, least(max_col, m_max) AS to_col
 FROM t JOIN m ON t.sheet = m.sheet AND m_last BETWEEN min_row - 3 AND min_row - 1 AND m_max >= min_col AND m_min <= max_col
@@ -262,5 +262,32 @@ t AS (SELECT k, i, list_extract(['.txt', '.bin', '.MD', ''], k % 4 + 1) AS suffi
              list_extract(['pdf', 'png', 'jpg', 'dwg', 'dxf', 'office-legacy', 'tif', 'tif', 'gif', 'gif', 'webp', 'dxf', 'zip-damaged', 'empty', 'unsupported', '', ''], i + 1) AS known FROM h)
 SELECT '/in/' || k || suffix AS path, CAST(length(head) // 2 AS BIGINT) AS bytes, CASE WHEN known <> '' THEN known WHEN suffix = '.txt' THEN 'txt' WHEN suffix = '.MD' THEN 'md' ELSE 'text' END AS kind, sha256(unhex(head)) AS sha256 FROM t
 """,
+    "workbook_cells": """
+        WITH p AS (SELECT '/in/' || (p_partkey // 40) || '.xlsx' AS path, p_partkey % 40 + 1 AS r, p_name, p_size AS size FROM part)
+        SELECT path, 'A' || r AS cell, r AS row, 1 AS col, 'inlineStr' AS data_type, p_name || ' &A' AS value, CAST(NULL AS VARCHAR) AS formula, 'Main' AS sheet, 'visible' AS state FROM p
+        UNION ALL SELECT path, 'B' || r, r, 2, 'n', CAST(size AS VARCHAR), NULL, 'Main', 'visible' FROM p
+        UNION ALL SELECT path, 'C' || r, r, 3, 'n', CASE WHEN size % 3 = 0 THEN '[SIN CACHÉ] B' || r || '*2' ELSE CAST(size * 2 AS VARCHAR) END, 'B' || r || '*2', 'Main', 'visible' FROM p
+        UNION ALL SELECT path, 'AB' || r, r, 28, 'b', CASE WHEN size % 2 = 1 THEN 'TRUE' ELSE 'FALSE' END, NULL, 'Main', 'visible' FROM p
+        UNION ALL SELECT path, 'B' || r, r, 2, 's', 's ' || p_name, NULL, 'Side', 'hidden' FROM p""",
+    "word_paragraphs": """
+        WITH p AS (SELECT '/in/' || (p_partkey // 20) || '.docx' AS path, p_partkey % 20 AS k, p_name, p_size AS size FROM part),
+        x AS (
+            SELECT path, 0 AS part, k * 2 AS k, 'heading' AS kind, size % 6 + 1 AS level, CAST(NULL AS BOOLEAN) AS ordered, p_name AS text, CAST(NULL AS INT) AS table_no, CAST(NULL AS INT) AS row_no, CAST(NULL AS INT) AS cell_no FROM p
+            UNION ALL SELECT path, 0, k * 2 + 1, 'list', size % 2 + 1, size % 2 = 0, 'item <' || size || '>', NULL, NULL, NULL FROM p
+            UNION ALL SELECT path, 1, k * 2, 'cell', NULL, NULL, 'n' || size, 1, row_number() OVER (PARTITION BY path ORDER BY k), 1 FROM p
+            UNION ALL SELECT path, 1, k * 2 + 1, 'cell', NULL, NULL, CAST(size AS VARCHAR), 1, row_number() OVER (PARTITION BY path ORDER BY k), 2 FROM p)
+        SELECT path, row_number() OVER (PARTITION BY path ORDER BY part, k) AS nth, kind, level, ordered, text, table_no, row_no, cell_no FROM x""",
+    "word_tables": """
+        WITH p AS (SELECT '/in/' || (p_partkey // 20) || '.docx' AS path, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) AS row_no, p_size AS size FROM part),
+        f AS (SELECT *, max(CASE WHEN size % 4 <> 0 THEN row_no END) OVER (PARTITION BY path ORDER BY row_no) AS origin FROM p)
+        SELECT f.path, 1 AS table_no, f.row_no, 1 AS col, coalesce('n' || o.size, '') AS text FROM f LEFT JOIN p o ON o.path = f.path AND o.row_no = f.origin
+        UNION ALL SELECT path, 1, row_no, c, CAST(size AS VARCHAR) FROM p, (VALUES (2), (3)) t(c)""",
+    "slide_edges": """
+        WITH o AS (SELECT *, (o_orderkey // 40) || '#' || (o_orderkey % 40 + 1) || '#' AS shape, 'c' || o_custkey AS a, CASE WHEN o_orderkey % 5 = 0 THEN 'figura ' || (o_orderkey // 40) || '#' || (o_orderkey % 40 + 1) || '#3' ELSE o_orderstatus END AS b,
+            o_orderkey % 4 IN (0, 3) AS head, o_orderkey % 4 = 2 AS unsaid, o_orderkey % 3 = 0 AS tail FROM orders)
+        SELECT shape || '4' AS connector_id, CASE WHEN unsaid THEN a || ' — ' || b WHEN head AND tail THEN a || ' ↔ ' || b WHEN head THEN b || ' → ' || a WHEN tail THEN a || ' → ' || b ELSE a || ' — ' || b END AS edge FROM o""",
+    "drawing_edges": """
+        SELECT '/in/' || (o_orderkey // 40) || '.vsdx' AS path, o_orderkey % 40 + 1 AS page, 3 AS connector_id, 'c' || o_custkey AS src, o_orderpriority AS label, CASE WHEN o_orderkey % 5 = 0 THEN '[forma 2 sin texto]' ELSE o_orderstatus END AS dst
+        FROM orders""",
     "stream_resumable": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY event_type",
 }

@@ -10,9 +10,10 @@ from quire.operators import documents as D
 from quire.operators import library as L
 from quire.operators import retrieval as R
 from quire.operators import sheets as S
-from quire.sources import files, pages
+from quire.sources import files, office, pages
 from quire.streaming import resumable
 
+from . import samples
 from .oracles import ORACLES  # noqa: F401
 
 FLAGSHIP = "retrieval_topk"
@@ -169,7 +170,7 @@ def token_normalise(spark, sf_dir):
 
 def status_machine(spark, sf_dir):
     states = F.array(*map(F.lit, ("terminado", "reutilizado", "listo", "bloqueado", "requiere_revision", "terminado", "terminado")))
-    lines = _t(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    lines = _t(spark, sf_dir, "lineitem")
     items = lines.select(F.col("l_orderkey").alias("batch"), F.get(states, (F.col("l_partkey") % 7).cast("int")).alias("state"))
     return L.batch_status(items)
 
@@ -219,7 +220,7 @@ def sheet_stats(spark, sf_dir):
 
 def sheet_regions(spark, sf_dir):
     """Cells outside a declared table of rows 5 to 12, as regions."""
-    cells = _cells(spark, sf_dir).filter("row <= 24 AND sheet < 12")
+    cells = _cells(spark, sf_dir)
     tables = cells.select("sheet").distinct().withColumns({"min_row": F.lit(5), "max_row": F.lit(12), "min_col": F.lit(1), "max_col": F.lit(4)})
     return S.regions(S.free_cells(cells, tables))
 
@@ -241,7 +242,7 @@ def wide_table_titles(spark, sf_dir):
 
 
 def merge_overlap_join(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0")
+    o = _t(spark, sf_dir, "orders")
     tables = o.select((F.col("o_custkey") % 200).alias("sheet"), F.col("o_orderkey").alias("table_id"), (F.col("o_orderkey") % 30 + 4).alias("min_row"), (F.col("o_orderkey") % 11 + 1).alias("min_col"), (F.col("o_orderkey") % 11 + 6).alias("max_col"))
     s = _t(spark, sf_dir, "supplier")
     merges = s.select((F.col("s_suppkey") % 200).alias("sheet"), F.col("s_name").alias("label"), (F.col("s_suppkey") % 30 + 2).alias("min_row"), (F.col("s_suppkey") % 30 + 2).alias("max_row"), (F.col("s_suppkey") % 9 + 1).alias("min_col"), (F.col("s_suppkey") % 9 + 3).alias("max_col"))
@@ -305,6 +306,30 @@ def inventory_sniff(spark, sf_dir):
     return files.sniffed(files.samples(_t(spark, sf_dir, "part")))
 
 
+def workbook_cells(spark, sf_dir):
+    return office.workbook_cells(office.members(samples.workbooks(_t(spark, sf_dir, "part")), "^xl/.*\\.(xml|rels)$"))
+
+
+def word_paragraphs(spark, sf_dir):
+    return office.word_paragraphs(office.members(samples.word_files(_t(spark, sf_dir, "part")), "^word/"))
+
+
+def word_tables(spark, sf_dir):
+    return office.word_tables(office.members(samples.word_files(_t(spark, sf_dir, "part")), "^word/"))
+
+
+def slide_edges(spark, sf_dir):
+    """Shapes are numbered within their slide, so that ends are told by deck, slide and number."""
+    found = office.members(samples.presentations(_t(spark, sf_dir, "orders")), "^ppt/slides/")
+    at = lambda d, *keys: d.withColumns({k: F.concat_ws("#", F.regexp_extract("path", "([^/.]+)[^/]*$", 1), "slide", k) for k in keys})
+    connectors, shapes = at(office.slide_connectors(found), "connector_id", "src", "dst"), at(office.slide_shapes(found), "shape_id")
+    return S.diagram_edges(connectors, shapes)
+
+
+def drawing_edges(spark, sf_dir):
+    return office.drawing_edges(office.members(samples.drawings(_t(spark, sf_dir, "orders")), "^visio/pages/"))
+
+
 def stream_resumable(spark, sf_dir):
     return resumable.run_events(spark, sf_dir)
 
@@ -315,6 +340,6 @@ QUERIES = {
         retrieval_topk, retrieval_excerpt_budget, unit_search, rerank, block_parse, section_tree, qa_coverage, qa_flags, mark_counts, route_plan, batch_counts, origins_dedup, integrity_report,
         version_cache_lookup, repair_prune_adopt, failure_groups, failure_reopen, ai_budget, token_normalise, status_machine, library_filter, queue_upsert, export_names, scope_parse, md_escape,
         sheet_stats, sheet_regions, grid_render, wide_table_split, wide_table_titles, merge_overlap_join, formula_except, vmerge_fill, page_islands, cad_layer_length, diagram_edges, table_rules,
-        marker_antijoin, html_blocks, inventory_sniff, stream_resumable,
+        marker_antijoin, html_blocks, inventory_sniff, workbook_cells, word_paragraphs, word_tables, slide_edges, drawing_edges, stream_resumable,
     )
 }
