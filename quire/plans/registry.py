@@ -13,8 +13,7 @@ from quire.operators import sheets as S
 from quire.sources import files, office, pages
 from quire.streaming import resumable
 
-from . import samples
-from .oracles import ORACLES  # noqa: F401
+from . import oracles, packages, samples
 
 FLAGSHIP = "retrieval_topk"
 QUERY = "the of"
@@ -343,3 +342,5 @@ QUERIES = {
         marker_antijoin, html_blocks, inventory_sniff, workbook_cells, word_paragraphs, word_tables, slide_edges, drawing_edges, stream_resumable,
     )
 }
+QUERIES |= packages.QUERIES
+ORACLES = oracles.ORACLES | packages.ORACLES
