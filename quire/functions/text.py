@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: Control characters that become line ends, those that go, and names a file may not have.
 LINE_ENDS, CONTROL = "\x0b\x0c\x85", "[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x84\\x86-\\x9f\\ufffe\\uffff]"
 RESERVED = "^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"
+HIDDEN_MARK = " *(oculta)*"
 ACCENTS, PLAIN = "áéíóúüñÁÉÍÓÚÜÑ", "aeiouunAEIOUUN"
 ARROWS, ENDS = ("triangle", "arrow", "stealth"), ("triangle", "arrow", "stealth", "none")
 #: Line beginnings that mean something in Markdown; a number is escaped behind it, the rest before it.
@@ -76,6 +77,36 @@ def range_ref(row1: Column, col1: Column, row2: Column, col2: Column) -> Column:
     return F.concat(column_letter(col1), row1.cast("string"), F.lit(":"), column_letter(col2), row2.cast("string"))
 
 
+def entities(text: Column) -> Column:
+    """The five entities that markup needs and the no-break space, ampersands last."""
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
+
+
+def clean_cell(text: Column) -> Column:
+    """A cell as one line: breaks become dashes, entities are read, pipes escaped, white space is collapsed; null is empty."""
+    read = entities(sub(F.coalesce(text, F.lit("")), "(?i)<br\\s*/?>", " — "))
+    return F.trim(sub(F.replace(read, F.lit("|"), F.lit("&#124;")), "(?U)\\s+", " "))
+
+
+def header_label(header: Column, column: Column) -> Column:
+    """A heading with its column's letter: `Code [A]`; the letter alone where there is no other heading."""
+    letter = column_letter(column)
+    name = F.coalesce(F.nullif(header, F.lit("")), letter)
+    return F.when(name == letter, letter).otherwise(F.concat(name, F.lit(" ["), letter, F.lit("]")))
+
+
+def table_heading(name: Column, otherwise: Column) -> Column:
+    """A table's name with spaces for underscores, or another text where it is empty or a workbook's own (Tabla7)."""
+    text = F.replace(clean_cell(name), F.lit("_"), F.lit(" "))
+    return F.when((text == "") | F.rlike(text, F.lit("(?i)^Tabla\\d+$")), otherwise).otherwise(text)
+
+
+def hidden_mark(state: Column) -> Column:
+    return F.when(state.eqNullSafe("visible"), "").otherwise(HIDDEN_MARK)
+
+
 def helper_header(text: Column) -> Column:
     """Whether a column heading is a workbook's own: S1, x, Columna3."""
     return F.rlike(F.coalesce(text, F.lit("")), F.lit("(?i)^(?:S\\d*|x|Columna\\d*)$"))

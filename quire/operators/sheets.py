@@ -126,6 +126,22 @@ def path_lengths(vertices: DataFrame) -> DataFrame:
     return vertices.withColumn("chord", chord).groupBy("layer").agg(F.coalesce(F.sum(piece), F.lit(0.0)).alias("length"), F.count(F.lit(1)).alias("vertices"))
 
 
+def polyline_lengths(vertices: DataFrame) -> DataFrame:
+    """layer, length, paths of vertices (layer, path, ord, x, y, bulge, closed), windows over one polyline each.
+
+    A closed polyline of over two vertices returns to its first; a bulge makes the piece to the next vertex an arc.
+    """
+    whole = Window.partitionBy("layer", "path")
+    by = whole.orderBy("ord")
+    returns = F.coalesce(F.col("closed"), F.lit(False)) & (F.count(F.lit(1)).over(whole) > 2)
+    following = lambda c: F.coalesce(F.lead(c).over(by), F.when(returns, F.first(c).over(by)))
+    chord = F.hypot(following("x") - F.col("x"), following("y") - F.col("y"))
+    half = 2 * F.atan(F.abs(F.coalesce("bulge", F.lit(0.0))))
+    piece = F.when(F.sin(half) == 0, F.col("chord")).otherwise(F.col("chord") * half / F.sin(half))
+    paths = vertices.withColumn("chord", chord).groupBy("layer", "path").agg(F.coalesce(F.sum(piece), F.lit(0.0)).alias("length"))
+    return paths.groupBy("layer").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("paths"))
+
+
 def diagram_edges(connectors: DataFrame, shapes: DataFrame) -> DataFrame:
     """connector_id and its reading: ends told by their shapes' first lines (60 characters), or `figura n`."""
     name = lambda c: F.substring(F.split_part(c, F.lit("\n"), F.lit(1)), 1, 60)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import cad_text
+from quire.operators.documents import FENCE, HEADING
 
 #: Columns from which a table is wide, the least share of a header row, and what makes a page graphic.
 WIDE, HEADER_SHARE, FEW_CHARS, MANY_GRAPHICS = 12, 0.35, 150, 6
 #: Control characters that a text may not hold, raw escapes, and links of Markdown.
 FORBIDDEN, RAW_ESCAPE, LINK = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\ufffe\\uffff]", "_x[0-9A-Fa-f]{4}_", "(!?)\\[[^\\]]*\\]\\(<?([^)>]+)>?\\)"
 
+#: Names of parts within packages, which no title should show.
+INTERNAL = "(?i)(?:^|[\\s/])(?:OEBPS|OPS|Part\\d+|x_template|_template|rId\\d+|(?:xl|word|ppt|visio)/\\S*|\\S+\\.xml)(?:$|\\s)"
+
 
 def table_shape(text: Column) -> Column:
     """rows, width, wide, empty_percent, empty_columns of a pipe table: folds over its lines, no rows leave the table."""
@@ -85,6 +89,24 @@ def link_faults(blocks: DataFrame, assets: DataFrame) -> DataFrame:
     return lost.unionByName(raw)
 
 
+def section_faults(blocks: DataFrame) -> DataFrame:
+    """doc_id, block_id, rule of parsed blocks: A5 a fence that stays open, E1 a title with a package's inner name, E3 an empty section.
+
+    A section is empty if a heading of its own or a higher rank, or the document's end, follows it at once.
+    """
+    full = blocks.filter(F.length(F.trim(F.regexp_replace("text", "(?U)\\s+", ""))) > 0)
+    order = Window.partitionBy("doc_id").orderBy("unit", "block_no")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    start, end = F.regexp_extract("text", FENCE, 1), F.regexp_extract(F.element_at(lines, -1), "^ {0,3}(`{3,}|~{3,})\\s*$", 1)
+    shut = (F.size(lines) > 1) & (F.substring(start, 1, 1) == F.substring(end, 1, 1)) & (F.length(end) >= F.length(start))
+    heading, fenced = F.col("kind") == "heading", (F.col("kind") == "code") & (start != "")
+    seen = full.withColumns({"next_kind": F.lead("kind").over(order), "next_level": F.lead("level").over(order)})
+    empty = F.col("next_kind").isNull() | ((F.col("next_kind") == "heading") & (F.col("next_level") <= F.col("level")))
+    title = F.trim(F.regexp_replace(F.regexp_replace("text", HEADING, ""), "\\s+", " "))
+    rules = F.array_compact(F.array(F.when(fenced & ~shut, "A5"), F.when(heading & F.rlike(title, F.lit(INTERNAL)), "E1"), F.when(heading & empty, "E3")))
+    return seen.select("doc_id", "block_id", F.explode(rules).alias("rule"))
+
+
 def phase_ids(expected: dict[str, int]) -> Column:
     """The ids of phases with so many tasks each: `F1.01`, `F1.02`, ..."""
     return F.array(*[F.lit(f"{phase}.{k:02}") for phase, n in expected.items() for k in range(1, n + 1)])

@@ -370,3 +370,47 @@ SELECT c_custkey AS shape_id, c_name AS text FROM customer WHERE c_custkey NOT I
 def loose_shapes(spark, sf_dir):
     connectors = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") * 3 % 2000).alias("dst"))
     return S.loose_shapes(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("shape_id"), F.col("c_name").alias("text")), connectors)
+
+
+@query("""
+SELECT p_partkey AS doc_id, 'p1-b2' AS block_id, 'E3' AS rule FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT p_partkey, 'p1-b2', 'E1' FROM part WHERE p_size % 3 = 0
+UNION ALL SELECT p_partkey, 'p1-b4', 'E3' FROM part WHERE p_size % 2 = 1 AND p_size % 5 > 0
+UNION ALL SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'p1-b4' ELSE 'p1-b5' END, 'A5' FROM part WHERE p_size % 5 = 0
+""")
+def section_faults(spark, sf_dir):
+    even = F.col("p_size") % 2 == 0
+    title = F.when(F.col("p_size") % 3 == 0, F.lit("xl/sheet1.xml")).otherwise(F.col("p_name"))
+    text = F.concat(F.lit("# Top\n## "), title, F.lit("\n"), F.when(even, "").otherwise("prose\n"), F.lit("## End\n"), F.when(F.col("p_size") % 5 == 0, "```` x\n# no title\n```\n").when(even, "last\n").otherwise(""))
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("unit"), text.alias("text"))
+    return V.section_faults(D.parse_blocks(part))
+
+
+@query("""
+WITH v AS (SELECT user_id AS layer, event_id // 40 AS path, event_id AS ord, value AS x, event_id % 100 AS y, CASE WHEN event_id % 4 = 0 THEN event_id % 3 * 0.25 ELSE 0 END AS bulge FROM events),
+n AS (SELECT *, lead(ord) OVER w AS nxt, first(ord) OVER w AS head, count(*) OVER (PARTITION BY layer, path) AS k FROM v WINDOW w AS (PARTITION BY layer, path ORDER BY ord)),
+p AS (SELECT a.layer, a.path, a.bulge, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS chord
+      FROM n a LEFT JOIN n b ON b.ord = coalesce(a.nxt, CASE WHEN a.path % 2 = 0 AND a.k > 2 THEN a.head END)),
+s AS (SELECT layer, path, coalesce(sum(CASE WHEN bulge = 0 THEN chord ELSE chord * 2 * atan(bulge) / sin(2 * atan(bulge)) END), 0) AS length FROM p GROUP BY 1, 2)
+SELECT layer, round(sum(length), 4) AS length, count(*) AS paths FROM s GROUP BY layer
+""")
+def polyline_lengths(spark, sf_dir):
+    i, path = F.col("event_id"), F.floor(F.col("event_id") / 40)
+    bulge = F.when(i % 4 == 0, i % 3 * 0.25).otherwise(0.0)
+    vertices = _t(spark, sf_dir, "events").select(F.col("user_id").alias("layer"), path.alias("path"), i.alias("ord"), F.col("value").alias("x"), (i % 100).cast("double").alias("y"), bulge.cast("double").alias("bulge"), (path % 2 == 0).alias("closed"))
+    return S.polyline_lengths(vertices).select("layer", F.round("length", 4).alias("length"), "paths")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'B' ELSE p_name || ' [B]' END AS label, CASE WHEN p_size % 4 = 1 THEN 'Sheet' ELSE replace(p_name, '_', ' ') || ' & — x' END AS heading,
+       CASE WHEN p_size % 3 = 0 THEN '' ELSE ' *(oculta)*' END AS mark, 'a &#124; ' || p_name AS cell
+FROM part
+""")
+def sheet_labels(spark, sf_dir):
+    size = F.col("p_size")
+    name = F.when(size % 4 == 1, F.concat(F.lit("Tabla"), size)).otherwise(F.concat("p_name", F.lit("_&amp;<BR/>x")))
+    state = F.when(size % 3 == 0, "visible").when(size % 3 == 1, "hidden")
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey", T.header_label(F.when(size % 4 == 0, "").otherwise(F.col("p_name")), F.lit(2)).alias("label"), T.table_heading(name, F.lit("Sheet")).alias("heading"),
+        T.hidden_mark(state).alias("mark"), T.clean_cell(F.concat(F.lit(" a |\n\t"), "p_name")).alias("cell"),
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import entities
+
 #: Elements that never hold text to read, and those that make a block.
 HIDDEN = "(?is)<(script|style|noscript|template)\\b.*?</\\1\\s*>|<!--.*?-->|<!doctype[^>]*>"
 BLOCK = "(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|main|aside|blockquote|pre|title|body|head|html|br|hr)\\b[^>]*>"
@@ -21,7 +23,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     marked = F.regexp_replace(F.regexp_replace(marked, BLOCK, "\u0001"), "<[^>]+>", "")
     parts = F.split(marked, "\u0001")
     tag = lambda x: F.regexp_extract(x, "^(h[1-6]|li)\u0002", 1)
-    text = lambda x: F.trim(F.regexp_replace(_entities(F.regexp_replace(x, "^(h[1-6]|li)\u0002", "")), "(?U)\\s+", " "))
+    text = lambda x: F.trim(F.regexp_replace(entities(F.regexp_replace(x, "^(h[1-6]|li)\u0002", "")), "(?U)\\s+", " "))
     blocks = F.filter(F.transform(parts, lambda x: F.struct(tag(x).alias("tag"), text(x).alias("text"))), lambda b: b["text"] != "")
     out = pages.select("page_id", F.posexplode(blocks).alias("pos", "b"))
     heading = F.startswith("b.tag", F.lit("h"))
@@ -31,13 +33,6 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     )
 
 
-def _entities(text: Column) -> Column:
-    """The five entities that markup needs and the no-break space, ampersands last."""
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
-
-
 def word_windows(text: Column, n: int) -> Column:
     """The runs of n words of text, split at spaces, joined by single spaces."""
     words = F.split(F.coalesce(text, F.lit("")), " ")

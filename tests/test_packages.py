@@ -102,3 +102,30 @@ def test_dimension_text(spark):
 def test_encoding_faults(spark):
     d = spark.createDataFrame([("a", b"\xef\xbb\xbfok"), ("b", b"\xff\xfe"), ("c", b"a\x00b\x85".replace(b"\x85", b"\xc2\x85")), ("d", b"a\tb\r\n"), ("e", b""), ("f", None)], "path string, content binary")
     assert rows(V.encoding_faults(d)) == [("a", "B1", 1), ("b", "B2", 1), ("c", "B3", 2)]
+
+
+def test_section_faults(spark):
+    from quire.operators import documents as D
+
+    texts = [(1, "# a\n\n## b\n\nprose\n"), (2, "# a\n# b\n"), (3, "# x.xml\n\n```\ncode\n"), (4, "~~~~\n```\n~~~~\n"), (5, "```\n"), (6, "")]
+    units = spark.createDataFrame([(k, 1, t) for k, t in texts], "doc_id int, unit int, text string")
+    assert rows(V.section_faults(D.parse_blocks(units)).select("doc_id", "rule")) == [(2, "E3"), (2, "E3"), (3, "A5"), (3, "E1"), (5, "A5")]
+
+
+def test_closed_polylines_return(spark):
+    from quire.operators.sheets import polyline_lengths
+
+    square = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0)]
+    v = [("a", 1, k, x, y, 0.0, True) for k, (x, y) in enumerate(square)] + [("a", 2, k, x, y, None, None) for k, (x, y) in enumerate(square)]
+    v += [("b", 1, 0, 0.0, 0.0, 1.0, True), ("b", 1, 1, 2.0, 0.0, 1.0, True), ("c", 1, 0, 5.0, 5.0, 1.0, True)]
+    found = {r.layer: (round(r.length, 6), r.paths) for r in polyline_lengths(spark.createDataFrame(v, "layer string, path int, ord int, x double, y double, bulge double, closed boolean")).collect()}
+    assert found == {"a": (14.0, 2), "b": (3.141593, 1), "c": (0.0, 1)}
+
+
+def test_labels(spark):
+    from quire.functions import text as T
+
+    d = spark.createDataFrame([("Code", 27), ("", 1), (None, 2), ("C", 3)], "h string, c int")
+    assert [r[0] for r in d.select(T.header_label(F.col("h"), F.col("c"))).collect()] == ["Code [AA]", "A", "B", "C"]
+    d = spark.createDataFrame([("Tabla12",), ("My_table",), (None,), ("a<br />b|c",)], "n string")
+    assert [r[0] for r in d.select(T.table_heading(F.col("n"), F.lit("-"))).collect()] == ["-", "My table", "-", "a — b&#124;c"]
