@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Control characters that become line ends, those that go, and names a file may not have.
 LINE_ENDS, CONTROL = "\x0b\x0c\x85", "[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x84\\x86-\\x9f\\ufffe\\uffff]"
@@ -200,3 +203,15 @@ def valid_scores(score: Column, probabilities: Column) -> Column:
     mean = F.aggregate(F.transform(probabilities, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
     fine = (F.size(probabilities) == 3) & ~F.exists(probabilities, lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x > 1))
     return F.coalesce(fine & score.between(0, 2) & (F.abs(total - 1) <= 0.02) & (F.abs(mean - score) <= 0.02), F.lit(False))
+
+
+@F.pandas_udf(StringType())
+def unescaped_twice(text: pd.Series) -> pd.Series:
+    """All HTML entities, named and numbered, read twice: Spark has no function for them."""
+    return text.map(lambda x: html.unescape(html.unescape(x)), na_action="ignore")
+
+
+def readable(text: Column) -> Column:
+    """Published text as it reads (FN-24): no `<br>`, HTML entities read twice, no Markdown escapes, single white space."""
+    plain = unescaped_twice(sub(text, r"(?i)<br\s*/?>", " "))
+    return sub(sub(plain, r"\\([\\`*_{}\[\]()#+\-.!|>~])", "$1"), r"(?U)[\s\x1c-\x1f]+", " ")

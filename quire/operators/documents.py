@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.pages import word_windows
+
 #: What a block may be.
 KINDS = ("heading", "code", "quote", "table", "list", "paragraph", "figure_description")
 #: Line ends that start a new line of a block.
@@ -12,6 +14,8 @@ LINE_END = "(?<=\\n)|(?<=\\r)(?!\\n)|(?<=[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u20
 HEADING, FENCE = "^(#{1,6})[ \\t]+", "^ {0,3}(`{3,}|~{3,})"
 DOUBT, IMAGE, ACTIVE = "(?i)\\[(?:ilegible|verificar|pendiente)", "!\\[[^\\]]*\\]\\([^)]+\\)", "(?i)<script\\b|javascript:"
 WITNESS = "(?m)^## Testigo\\s*\\(pág\\.\\s*(\\d+)\\)"
+#: Words of a marker that find the texts which may hold it.
+WINDOW = 5
 STATE = "struct<fence:string,cur:string,out:array<string>>"
 
 
@@ -118,3 +122,30 @@ def render_units(expected: DataFrame, units: DataFrame) -> DataFrame:
     body = F.concat(F.lit("\n---\n\n## Página/unidad "), F.col("unit"), F.lit("\n\n"), F.coalesce("text", F.lit("[PENDIENTE: esta unidad no fue recibida.]\n")))
     ordered = F.array_sort(F.collect_list(F.struct("pos", body.alias("body"))))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["body"]), "").alias("markdown"))
+
+
+def absent_markers(markers: DataFrame, texts: DataFrame, few: int) -> DataFrame:
+    """Rows of markers (marker) that no text of texts contains; a null marker is in none.
+
+    A marker's words but its first and last stand whole in each text that contains it. The first of them (WINDOW at
+    most) find candidate texts, and `contains` over the whole marker decides. Markers of one or two words are looked
+    for in every text. Up to few markers no text moves; beyond that candidates are told by a hash of the text.
+    """
+    words = F.split("marker", " ")
+    n = F.greatest(F.least(F.size(words) - 2, F.lit(WINDOW)), F.lit(0))
+    known = markers.filter(F.col("marker").isNotNull()).select("marker", n.alias("n"), F.array_join(F.slice(words, 2, n), " ").alias("window")).distinct()
+    lengths = sorted(r.n for r in known.select("n").distinct().collect())
+    short, long = known.filter("n = 0").select("marker"), known.filter("n > 0").select("marker", "window")
+    found = markers.select("marker").limit(0)
+    if lengths[:1] == [0]:
+        found = found.unionByName(texts.join(F.broadcast(short), F.contains("text", "marker")).select("marker"))
+    if lengths[-1:] > [0]:
+        windows = F.array_distinct(F.flatten(F.array(*[word_windows(F.col("text"), k) for k in lengths if k])))
+        keyed = texts.select("text", F.xxhash64("text").alias("key"))
+        parted = keyed.withColumn("windows", windows).select("text", "key", F.explode("windows").alias("window"))
+        if long.limit(few + 1).count() <= few:
+            near = parted.join(F.broadcast(long), "window")
+        else:
+            near = parted.select("key", "window").join(long, "window").select("key", "marker").distinct().join(keyed.distinct(), "key")
+        found = found.unionByName(near.filter(F.contains("text", "marker")).select("marker"))
+    return markers.join(found.distinct(), "marker", "left_anti")

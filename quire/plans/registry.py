@@ -288,13 +288,11 @@ def table_rules(spark, sf_dir):
 
 
 def marker_antijoin(spark, sf_dir):
-    """Benchmark items whose first five words no document holds; markers are few, documents are scanned once."""
-    markers = _t(spark, sf_dir, "benchmark").select("item_id", F.lower(F.array_join(F.slice(F.split("text", " "), 1, 5), " ")).alias("marker"))
-    docs = _t(spark, sf_dir, "documents").select(F.lower("text").alias("text"))
-    grams = docs.select(F.explode(F.array_distinct(pages.word_windows(F.col("text"), 5))).alias("marker"))
-    few = markers.limit(FEW + 1).count() <= FEW  # the markers' own windows alone go on, without a shuffle of all
-    grams = grams.join(F.broadcast(markers.select("marker")) if few else markers.select("marker"), "marker", "left_semi").distinct()
-    return markers.join(grams, "marker", "left_anti").select("item_id")
+    """Benchmark items that no document holds whole, both read as FN-24 does and in lower case."""
+    read = F.lower(T.readable(F.col("text")))
+    markers = _t(spark, sf_dir, "benchmark").select("item_id", read.alias("marker"))
+    docs = _t(spark, sf_dir, "documents").select(read.alias("text"))
+    return D.absent_markers(markers, docs, FEW).select("item_id")
 
 
 def html_blocks(spark, sf_dir):

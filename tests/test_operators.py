@@ -13,6 +13,7 @@ from quire.operators import documents as D
 from quire.operators import library as L
 from quire.operators import retrieval as R
 from quire.operators import sheets as S
+from quire.plans import registry
 from quire.sources import answers, files, pages
 from quire.streaming import resumable
 
@@ -141,6 +142,17 @@ def test_regions_and_tables(spark):
     assert sorted((r.line_no, r.rule) for r in S.table_findings(lines, T.pipe_columns(F.trim("line"))).collect()) == [(2, "A1"), (2, "A2"), (3, "A2"), (5, "A4")]
 
 
+def test_markers_are_whole(spark, tmp_path):
+    """All of the marker counts, not its first five words; line ends, entities and escapes do not part it; short ones are found."""
+    items = [(1, "a b c d e and its own end"), (2, "a b c d e as written"), (3, "two words"), (4, "one"), (5, "u v w"), (6, "nowhere"), (7, "x é & y_z <q> end"), (8, None)]
+    texts = [("a b c d e as\nwritten, two<br/>words",), ("phone u v ware",), ("x &eacute; &amp;amp; y\\_z\t&#60;q&gt;  end",), (None,), ("a b c d e",)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(texts, "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.item_id for r in registry.marker_antijoin(spark, str(tmp_path)).collect()) == [1, 6, 8]
+    markers, docs = (spark.createDataFrame(x, t).withColumn(c, T.readable(F.col("text"))) for x, t, c in ((items, "item_id long, text string", "marker"), (texts, "text string", "text")))
+    assert sorted(r.item_id for r in D.absent_markers(markers, docs, 0).collect()) == [1, 6, 8]
+
+
 def test_sniffing(spark):
     def archive(*names):
         out = io.BytesIO()
