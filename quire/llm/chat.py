@@ -7,7 +7,8 @@ the roles differ); before it, and at the end, empty turns may be inserted (INSER
 finds the cheapest way; among equal ways the first in the order keep, merge, relabel, insert wins, turn by
 turn. Unknown and null roles can only be relabelled or merged.
 
-A conversation of any length is cut into chunks of CHUNK turn numbers. A chunk is a matrix: the least cost
+A conversation of any length is cut into chunks of CHUNK turn numbers; where nulls or repeated numbers put more
+than CHUNK turns into one of them, it is parted again by their order (see _parted). A chunk is a matrix: the least cost
 from each state before it to each state after it. A backward pass over the matrices gives every chunk the
 cost that remains behind it, a forward pass the state in which it begins; then each chunk is repaired on
 its own. Tasks hold one chunk of turns, and of the matrices one at a time.
@@ -26,10 +27,14 @@ from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise, partitions, small
+
 CHUNK = 256
+#: Characters of a text that decide to which task a turn of an overfull chunk goes.
+PREFIX = 1000
 MERGE, RELABEL, INSERT = 1, 2, 3
 ROLES = ("system", "user", "assistant")
 #: Other names of the roles.
@@ -188,6 +193,25 @@ def _schema(**types: pa.DataType) -> pa.Schema:
     return pa.schema([(k, v) for k, v in types.items()])
 
 
+def _parted(own: DataFrame, in_order: list[Column], chunk: int) -> DataFrame:
+    """own with part: 0, or for chunks of more than `chunk` turns rising numbers that at most `chunk` turns share.
+
+    The turns of overfull chunks are dealt out by ranges of their order, equal ones (of up to PREFIX characters) at
+    random, and numbered within their task; they are written once, as the numbers must not change.
+    """
+    over = own.groupBy("conv_id", "chunk").count().filter(F.col("count") > chunk).select(F.col("conv_id").alias("_conv"), F.col("chunk").alias("_chunk"))
+    over = materialise(over, "overfull")
+    if not over.limit(1).count():
+        return own.withColumn("part", F.lit(0).cast("long"))
+    on = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk"))
+    over = small(over)
+    salt = F.when(F.length("text") <= PREFIX, F.rand(7)).otherwise(2.0)
+    full = own.join(over, on, "left_semi").withColumns({"_prefix": F.substring("text", 1, PREFIX), "_salt": salt})
+    dealt = full.repartitionByRange(partitions(own.sparkSession), *in_order[:-1], "_prefix", "_salt").sortWithinPartitions(*in_order)
+    part = F.floor(F.monotonically_increasing_id() / chunk).cast("long")
+    return own.join(over, on, "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(materialise(dealt.select(*own.columns, part.alias("part")), "turns"))
+
+
 def format_chats(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per conversation and chunk: conv_id, chunk, turns, merged, relabelled, inserted, cost, rendered."""
     long, ints = pa.int64(), pa.list_(pa.int64())
@@ -196,48 +220,53 @@ def format_chats(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 62))).cast("long").alias("chunk"),
         F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    key = ["conv_id", "chunk", "part"]
     in_order = [F.col(c).asc_nulls_first() for c in ("conv_id", "chunk", "turn", "role", "text")]
+    own = _parted(own, in_order, chunk)
+    in_order.insert(2, F.col("part").asc())
 
     def matrices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ({"conv_id": k[0], "chunk": k[1], "m": matrix([role_state(r) for (r,) in v])} for k, v in _runs(batches, ("conv_id", "chunk"), ("role",)))
-        return _batches(found, _schema(conv_id=long, chunk=long, m=ints))
+        found = ({"conv_id": k[0], "chunk": k[1], "part": k[2], "m": matrix([role_state(r) for (r,) in v])} for k, v in _runs(batches, tuple(key), ("role",)))
+        return _batches(found, _schema(conv_id=long, chunk=long, part=long, m=ints))
 
     def backward(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
             conv, rest = object(), END_COST
-            for (c, k), ((m,),) in _runs(batches, ("conv_id", "chunk"), ("m",)):
+            for (c, k, p), ((m,),) in _runs(batches, tuple(key), ("m",)):
                 last = c != conv
                 conv, rest = c, END_COST if last else rest
-                yield {"conv_id": c, "chunk": k, "m": m, "rest": list(rest), "last": last}
+                yield {"conv_id": c, "chunk": k, "part": p, "m": m, "rest": list(rest), "last": last}
                 rest = best_start(m, rest)
 
-        return _batches(rows(), _schema(conv_id=long, chunk=long, m=ints, rest=ints, last=pa.bool_()))
+        return _batches(rows(), _schema(conv_id=long, chunk=long, part=long, m=ints, rest=ints, last=pa.bool_()))
 
     def forward(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
-            conv, state = object(), START
-            for (c, k), ((m, rest, last),) in _runs(batches, ("conv_id", "chunk"), ("m", "rest", "last")):
+            conv, state, shown = object(), START, 0
+            for (c, k, p), ((m, rest, last),) in _runs(batches, tuple(key), ("m", "rest", "last")):
+                # Parts of a chunk are shown as chunks of their own, in order.
+                shown = k if c != conv else max(k, shown + 1)
                 conv, state = c, START if c != conv else state
                 # The chunk is held to the state it ends in, so that the next one begins where it ends.
                 to = min(range(STATES), key=lambda x: (m[state * STATES + x] + rest[x], x))
-                yield {"conv_id": c, "chunk": k, "state": state, "rest": [rest[x] if x == to else NO for x in range(STATES)], "last": last}
+                yield {"conv_id": c, "chunk": k, "part": p, "shown": shown, "state": state, "rest": [rest[x] if x == to else NO for x in range(STATES)], "last": last}
                 state = to
 
-        return _batches(rows(), _schema(conv_id=long, chunk=long, state=long, rest=ints, last=pa.bool_()))
+        return _batches(rows(), _schema(conv_id=long, chunk=long, part=long, shown=long, state=long, rest=ints, last=pa.bool_()))
 
     def rendered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
-            for (c, k), v in _runs(batches, ("conv_id", "chunk"), ("role", "text", "state", "rest", "last")):
-                _, _, state, rest, last = v[0]
+            for (c, k, p), v in _runs(batches, tuple(key), ("role", "text", "shown", "state", "rest", "last")):
+                _, _, shown, state, rest, last = v[0]
                 piece = render([(role_state(r), t) for r, t, *_ in v], state, rest, last)
-                yield {"conv_id": c, "chunk": k, "turns": len(v), **piece}
+                yield {"conv_id": c, "chunk": shown, "turns": len(v), **piece}
 
         return _batches(rows(), _schema(conv_id=long, chunk=long, turns=pa.int32(), merged=pa.int32(), relabelled=pa.int32(), inserted=pa.int32(), cost=long, rendered=pa.string()))
 
-    up, down = F.col("chunk").asc(), F.col("chunk").desc()
-    costs = own.drop("text").repartition("conv_id", "chunk").sortWithinPartitions(*in_order[:4]).mapInArrow(matrices, "conv_id bigint, chunk bigint, m array<bigint>")
-    costs = costs.repartition("conv_id").sortWithinPartitions("conv_id", down).mapInArrow(backward, "conv_id bigint, chunk bigint, m array<bigint>, rest array<bigint>, last boolean")
-    starts = costs.repartition("conv_id").sortWithinPartitions("conv_id", up).mapInArrow(forward, "conv_id bigint, chunk bigint, state bigint, rest array<bigint>, last boolean")
-    starts = starts.withColumnsRenamed({"conv_id": "_conv", "chunk": "_chunk"})
-    joined = own.join(starts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk"))).drop("_conv", "_chunk")
-    return joined.repartition("conv_id", "chunk").sortWithinPartitions(*in_order).mapInArrow(rendered, FIELDS)
+    up, down = ([F.col(c).asc() for c in key[1:]], [F.col(c).desc() for c in key[1:]])
+    costs = own.drop("text").repartition(*key).sortWithinPartitions(*in_order[:5]).mapInArrow(matrices, "conv_id bigint, chunk bigint, part bigint, m array<bigint>")
+    costs = costs.repartition("conv_id").sortWithinPartitions("conv_id", *down).mapInArrow(backward, "conv_id bigint, chunk bigint, part bigint, m array<bigint>, rest array<bigint>, last boolean")
+    starts = costs.repartition("conv_id").sortWithinPartitions("conv_id", *up).mapInArrow(forward, "conv_id bigint, chunk bigint, part bigint, shown bigint, state bigint, rest array<bigint>, last boolean")
+    starts = starts.withColumnsRenamed({"conv_id": "_conv", "chunk": "_chunk", "part": "_part"})
+    joined = own.join(starts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk")) & (F.col("part") == F.col("_part"))).drop("_conv", "_chunk", "_part")
+    return joined.repartition(*key).sortWithinPartitions(*in_order).mapInArrow(rendered, FIELDS)

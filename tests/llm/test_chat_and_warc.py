@@ -100,6 +100,20 @@ def test_chat_edge_cases(spark):
     assert chat.format_chats(spark.createDataFrame([], TURNS)).collect() == []
 
 
+def test_chat_turns_without_numbers_are_parted(spark):
+    """Nulls and repeated turn numbers make no chunk longer than the others, and the order holds over the pieces."""
+    rows = [(1, None, ("user", "assistant", "odd")[k % 3], f"n{k:04d}") for k in range(300)] + [(1, 0, "user", "same")] * 100 + [(None, 5, "user", f"z{k:03d}") for k in range(50)] + [(2, 0, "user", "one")]
+    turns = spark.createDataFrame(rows, TURNS).repartition(4)
+    whole = {r.conv_id: r for r in chat.format_chats(turns, chunk=1000).collect() if r.conv_id != 1}
+    found = sorted(chat.format_chats(turns, chunk=16).collect(), key=lambda r: (r.conv_id or 0, r.chunk))
+    assert max(r.turns for r in found) <= 16 and sum(r.turns for r in found) == len(rows) and len({(r.conv_id, r.chunk) for r in found}) == len(found)
+    for c, r in whole.items():
+        assert "".join(p.rendered for p in found if p.conv_id == c) == r.rendered and sum(p.cost for p in found if p.conv_id == c) == r.cost
+    text = "".join(p.rendered for p in found if p.conv_id == 1)
+    at = [text.index(t) for _, _, _, t in sorted(rows[:300], key=lambda x: (x[2], x[3]))]
+    assert at == sorted(at) and at[-1] < text.index("same") and text.count("same") == 100
+
+
 # --- WARC
 
 
