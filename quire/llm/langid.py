@@ -6,7 +6,7 @@ features: the shares of hashed byte n-grams of one to three bytes of the text, A
 but letters read as a space. A text's scores are sums of weights over its n-grams, so long texts need no more
 memory than their bytes.
 
-Training: from the labelled rows a sample of about SAMPLE rows a language, chosen by a hash of doc_id. That
+Training: from the labelled rows a sample of about SAMPLE rows a language, chosen by a hash of doc_id and text. That
 bound is the only one: it keeps the training matrix small, and it holds at every size of the input. The
 label counts and the prediction cover all rows.
 
@@ -206,7 +206,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     if not counts:
         return None
     span = 1 << 20
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(span))
+    place = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(span))  # the text too: rows of one key, or of none, do not fall together
     limit = F.coalesce(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(span, -(-sample * span // n))))])[F.col(lang)], F.lit(0))
     chosen = usable.filter(place < limit).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 

@@ -245,6 +245,15 @@ def test_predictions_need_neither_label_nor_neighbours(spark):
         assert r.lang_pred == together[i].lang_pred and r.score == pytest.approx(together[i].score, abs=1e-5)
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_language_sample_holds_where_keys_repeat(spark, monkeypatch, key):
+    rows = [(key, f"the and of {k}", "en") for k in range(2000)]
+    seen = []
+    monkeypatch.setattr(langid, "learn", lambda x, langs: seen.append(len(langs)))
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=200)
+    assert 120 < seen[0] < 280
+
+
 def test_language_edge_cases(spark):
     rows = language_rows(60) + [(900, None, "en"), (901, "", None), (902, "123 ... !", "xx"), (903, "the and of " * 20_000, None)]
     told = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, DOCS + ", lang string")).collect()}
