@@ -34,13 +34,16 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of linked documents the one with the smallest doc_id stays, once."""
+    """N-gram Jaccard join: of linked documents the one with the smallest doc_id stays.
+
+    Where doc_ids repeat, rows with one doc_id and one text stay once; different texts stay, whatever their doc_id.
+    """
     linked = materialise(jaccard.link_documents(docs), "linked")
     gone = materialise(linked.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(F.broadcast(gone) if few(gone) else gone, "doc_id", "left_anti")
     repeated = linked.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if repeated.limit(1).count():
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id IS NULL"))
     return kept.select(*docs.columns)
 
 

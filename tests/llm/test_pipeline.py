@@ -55,6 +55,12 @@ def test_repeated_rows_stay_once(spark):
     assert sorted(str(r.doc_id) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()) == ["1", "None"]
 
 
+def test_texts_of_one_doc_id_stay(spark):
+    rows = [(1, "a b c d e f", "en", "s", 11)] * 2 + [(1, "u v w x y z", "en", "s", 11), (1, "", "en", "s", 0), (2, "k l m n o p", "en", "s", 11)]
+    kept = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, ""), (1, "a b c d e f"), (1, "u v w x y z"), (2, "k l m n o p")]
+
+
 def test_empty_corpus(spark):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
