@@ -7,14 +7,17 @@ the roles differ); before it, and at the end, empty turns may be inserted (INSER
 finds the cheapest way; among equal ways the first in the order keep, merge, relabel, insert wins, turn by
 turn. Unknown and null roles can only be relabelled or merged.
 
-A conversation of any length is cut into chunks of CHUNK turn numbers; where nulls or repeated numbers put more
-than CHUNK turns into one of them, it is parted again by their order (see _parted). A chunk is a matrix: the least cost
-from each state before it to each state after it. A backward pass over the matrices gives every chunk the
-cost that remains behind it, a forward pass the state in which it begins; then each chunk is repaired on
-its own. Tasks hold one chunk of turns, and of the matrices one at a time.
-
-Result: one row per conversation and chunk (nearly always one), in the order of chunk the pieces of the
-rendered conversation, with the repairs counted.
+Conversations of more than CHUNK turns are numbered in order by a range sort and cut into chunks of CHUNK turns;
+one task's chunks of a conversation are a piece. A chunk is a matrix: the least cost from each state before it to
+each state after it. Matrices are multiplied up to pieces, a backward pass over the pieces and then over the
+chunks of each gives every chunk the cost that remains behind it, and with that the chunk's own task finds for
+each state before it the state after it, turn by turn. These maps are composed in the same way, forward, and give
+every chunk the state in which it begins; then each is rendered on its own. So the result does not depend on
+CHUNK. Tasks hold one chunk of turns, one piece of matrices, or one row a piece of a conversation.
+
+Result: one row per conversation and chunk (nearly always one), chunks numbered from 0, in this order the parts of
+the rendered conversation, with the repairs counted. Where a conversation is cut may differ from run to run; the
+parts joined do not.
 
 Defined cases: turns are ordered by turn, then role, then text (nulls first); repeated rows are turns of
 their own; null text is empty text; a null conv_id is a conversation; a null turn comes first. An empty table
@@ -23,17 +26,19 @@ gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .shared import materialise, partitions, small
 
 CHUNK = 256
-#: Characters of a text that decide to which task a turn of an overfull chunk goes.
+#: Characters of a text that decide to which task a turn of a long conversation goes.
 PREFIX = 1000
 MERGE, RELABEL, INSERT = 1, 2, 3
 ROLES = ("system", "user", "assistant")
@@ -44,7 +49,6 @@ STATES, NO = 4, 1 << 40
 #: The roles that may follow each state.
 FOLLOWS = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
-KEEP_ORDER = ("keep", "merge", "relabel", "insert")
 FIELDS = "conv_id bigint, chunk bigint, turns int, merged int, relabelled int, inserted int, cost bigint, rendered string"
 
 
@@ -109,6 +113,11 @@ def matrix(roles: Sequence[int]) -> list[int]:
     return rows
 
 
+def product(m: Sequence[int], n: Sequence[int]) -> list[int]:
+    """Least costs over the turns of m and then those of n."""
+    return [min(min(m[s * STATES + x] + n[x * STATES + t] for x in range(STATES)), NO) for s in range(STATES) for t in range(STATES)]
+
+
 def best_start(m: Sequence[int], rest: Sequence[int]) -> list[int]:
     """Cost from each state before a chunk to the end, given the costs from each state after it."""
     return [min(min(m[s * STATES + x] + rest[x] for x in range(STATES)), NO) for s in range(STATES)]
@@ -162,7 +171,7 @@ def render(turns: Sequence[tuple[int, str]], state: int, rest: Sequence[int], la
     return {"merged": counts["merge"], "relabelled": counts["relabel"], "inserted": counts["insert"], "cost": cost, "rendered": "".join(out)}
 
 
-def _runs(batches: Iterable[pa.RecordBatch], key: tuple[str, ...], values: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+def _runs(batches: Iterable[pa.RecordBatch], key: Sequence[str], values: Sequence[str]) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of rows with one key, in the order in which they come."""
     now, held = None, []
     for batch in batches:
@@ -177,96 +186,119 @@ def _runs(batches: Iterable[pa.RecordBatch], key: tuple[str, ...], values: tuple
         yield now, held
 
 
-def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-    for row in rows:
-        held.append(row)
-        n += 100 + len(row.get("rendered") or "")
-        if n > size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held, n = [], 0
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+def _by_run(df: DataFrame, key: list[str], order: list[Column], work: Callable[[tuple, list[tuple]], Iterable[tuple]], fields: str, size: int = 1 << 20) -> DataFrame:
+    """Rows (a tuple of fields each) that work(key, rows) gives for each run of rows with one key, in order; rows are tuples of the columns beyond the key."""
+    schema = to_arrow_schema(StructType.fromDDL(fields))
+    values = [c for c in df.columns if c not in key]
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-def _schema(**types: pa.DataType) -> pa.Schema:
-    return pa.schema([(k, v) for k, v in types.items()])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for k, rows in _runs(batches, key, values):
+            for row in work(k, rows):
+                held.append(row)
+                n += 200 + (len(row[-1]) if isinstance(row[-1], str) else 0)
+                if n > size:
+                    yield batch(held)
+                    held, n = [], 0
+        if held:
+            yield batch(held)
 
+    return df.repartition(*key).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in key], *order).mapInArrow(run, fields)
 
-def _parted(own: DataFrame, in_order: list[Column], chunk: int) -> DataFrame:
-    """own with part: 0, or for chunks of more than `chunk` turns rising numbers that at most `chunk` turns share.
 
-    The turns of overfull chunks are dealt out by ranges of their order, equal ones (of up to PREFIX characters) at
-    random, and numbered within their task; they are written once, as the numbers must not change.
-    """
-    over = own.groupBy("conv_id", "chunk").count().filter(F.col("count") > chunk).select(F.col("conv_id").alias("_conv"), F.col("chunk").alias("_chunk"))
-    over = materialise(over, "overfull")
-    if not over.limit(1).count():
-        return own.withColumn("part", F.lit(0).cast("long"))
-    on = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk"))
-    over = small(over)
-    salt = F.when(F.length("text") <= PREFIX, F.rand(7)).otherwise(2.0)
-    full = own.join(over, on, "left_semi").withColumns({"_prefix": F.substring("text", 1, PREFIX), "_salt": salt})
-    dealt = full.repartitionByRange(partitions(own.sparkSession), *in_order[:-1], "_prefix", "_salt").sortWithinPartitions(*in_order)
-    part = F.floor(F.monotonically_increasing_id() / chunk).cast("long")
-    return own.join(over, on, "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(materialise(dealt.select(*own.columns, part.alias("part")), "turns"))
+def _rendered(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+    """FIELDS of a chunk; its plan (kind 0: number, state, rest, last), if it has one, comes before its turns."""
+    nth, state, rest, last = rows[0][-4:] if rows[0][0] == 0 else (0, START, END_COST, True)
+    turns = [(role_state(r[2]), r[3]) for r in rows if r[0]]
+    piece = render(turns, state, rest, last)
+    yield key[0], nth, len(turns), *piece.values()
+
+
+def _plans(turns: DataFrame) -> DataFrame:
+    """conv_id, chunk, nth, state, rest, last of each chunk of turns: where it stands and in which state it begins."""
+    key, up, down = ["conv_id", "piece"], F.col("chunk").asc(), F.col("chunk").desc()
+    told = lambda df, kind, *more: df.select(*key, *more, F.lit(kind).alias("kind"))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+
+    def matrices(k, rows):
+        roles = [role_state(r) for _, r in rows]
+        yield *k, matrix(roles), bytes(roles)
+
+    chunks = _by_run(turns.select(*key, "chunk", "place", "role"), [*key, "chunk"], [F.col("place").asc()], matrices, "conv_id bigint, piece bigint, chunk bigint, m array<bigint>, roles binary")
+    chunks = materialise(chunks, "chat-chunks")
+
+    def multiplied(k, rows):
+        yield *k, reduce(product, (m for _, m in rows))
+
+    pieces = _by_run(chunks.select(*key, "chunk", "m"), key, [up], multiplied, "conv_id bigint, piece bigint, m array<bigint>")
+
+    def backward(k, rows):
+        rest, last = list(END_COST), True
+        for piece, m in rows:
+            yield k[0], piece, rest, last
+            rest, last = best_start(m, rest), False
+
+    rests = _by_run(pieces, ["conv_id"], [F.col("piece").desc()], backward, "conv_id bigint, piece bigint, rest array<bigint>, last boolean")
+
+    def ended(k, rows):
+        (_, _, _, _, rest, last), *own = rows
+        for _, chunk, m, roles, *_ in own:
+            yield *k, chunk, rest, last, [repair(roles, s, rest)[1] for s in range(STATES)]
+            rest, last = best_start(m, rest), False
+
+    both = told(rests, 0, none("chunk", "bigint"), none("m", "array<bigint>"), none("roles", "binary"), "rest", "last").unionByName(told(chunks, 1, "chunk", "m", "roles", none("rest", "array<bigint>"), none("last", "boolean")))
+    both = both.select(*key, "kind", "chunk", "m", "roles", "rest", "last")
+    ends = _by_run(both, key, [F.col("kind").asc(), down], ended, "conv_id bigint, piece bigint, chunk bigint, rest array<bigint>, last boolean, ends array<bigint>")
+    ends = materialise(ends, "chat-ends")
+
+    def composed(k, rows):
+        yield *k, len(rows), reduce(lambda a, b: [b[x] for x in a], (e for _, e in rows))
+
+    ways = _by_run(ends.select(*key, "chunk", "ends"), key, [up], composed, "conv_id bigint, piece bigint, n bigint, ends array<bigint>")
+
+    def forward(k, rows):
+        state, nth = START, 0
+        for piece, n, to in rows:
+            yield k[0], piece, nth, state
+            state, nth = to[state], nth + n
+
+    starts = _by_run(ways, ["conv_id"], [F.col("piece").asc()], forward, "conv_id bigint, piece bigint, nth bigint, state bigint")
+
+    def planned(k, rows):
+        (_, _, _, _, _, nth, state), *own = rows
+        for _, chunk, rest, last, to, *_ in own:
+            yield k[0], chunk, nth, state, rest, last
+            nth, state = nth + 1, to[state]
+
+    both = told(starts, 0, none("chunk", "bigint"), none("rest", "array<bigint>"), none("last", "boolean"), none("ends", "array<bigint>"), "nth", "state")
+    both = both.unionByName(told(ends, 1, "chunk", "rest", "last", "ends", none("nth", "bigint"), none("state", "bigint"))).select(*key, "kind", "chunk", "rest", "last", "ends", "nth", "state")
+    return _by_run(both, key, [F.col("kind").asc(), up], planned, "conv_id bigint, chunk bigint, nth bigint, state bigint, rest array<bigint>, last boolean")
 
 
 def format_chats(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per conversation and chunk: conv_id, chunk, turns, merged, relabelled, inserted, cost, rendered."""
-    long, ints = pa.int64(), pa.list_(pa.int64())
-    own = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 62))).cast("long").alias("chunk"),
-        F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    key = ["conv_id", "chunk", "part"]
-    in_order = [F.col(c).asc_nulls_first() for c in ("conv_id", "chunk", "turn", "role", "text")]
-    own = _parted(own, in_order, chunk)
-    in_order.insert(2, F.col("part").asc())
-
-    def matrices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ({"conv_id": k[0], "chunk": k[1], "part": k[2], "m": matrix([role_state(r) for (r,) in v])} for k, v in _runs(batches, tuple(key), ("role",)))
-        return _batches(found, _schema(conv_id=long, chunk=long, part=long, m=ints))
-
-    def backward(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            conv, rest = object(), END_COST
-            for (c, k, p), ((m,),) in _runs(batches, tuple(key), ("m",)):
-                last = c != conv
-                conv, rest = c, END_COST if last else rest
-                yield {"conv_id": c, "chunk": k, "part": p, "m": m, "rest": list(rest), "last": last}
-                rest = best_start(m, rest)
-
-        return _batches(rows(), _schema(conv_id=long, chunk=long, part=long, m=ints, rest=ints, last=pa.bool_()))
-
-    def forward(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            conv, state, shown = object(), START, 0
-            for (c, k, p), ((m, rest, last),) in _runs(batches, tuple(key), ("m", "rest", "last")):
-                # Parts of a chunk are shown as chunks of their own, in order.
-                shown = k if c != conv else max(k, shown + 1)
-                conv, state = c, START if c != conv else state
-                # The chunk is held to the state it ends in, so that the next one begins where it ends.
-                to = min(range(STATES), key=lambda x: (m[state * STATES + x] + rest[x], x))
-                yield {"conv_id": c, "chunk": k, "part": p, "shown": shown, "state": state, "rest": [rest[x] if x == to else NO for x in range(STATES)], "last": last}
-                state = to
-
-        return _batches(rows(), _schema(conv_id=long, chunk=long, part=long, shown=long, state=long, rest=ints, last=pa.bool_()))
-
-    def rendered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            for (c, k, p), v in _runs(batches, tuple(key), ("role", "text", "shown", "state", "rest", "last")):
-                _, _, shown, state, rest, last = v[0]
-                piece = render([(role_state(r), t) for r, t, *_ in v], state, rest, last)
-                yield {"conv_id": c, "chunk": shown, "turns": len(v), **piece}
-
-        return _batches(rows(), _schema(conv_id=long, chunk=long, turns=pa.int32(), merged=pa.int32(), relabelled=pa.int32(), inserted=pa.int32(), cost=long, rendered=pa.string()))
-
-    up, down = ([F.col(c).asc() for c in key[1:]], [F.col(c).desc() for c in key[1:]])
-    costs = own.drop("text").repartition(*key).sortWithinPartitions(*in_order[:5]).mapInArrow(matrices, "conv_id bigint, chunk bigint, part bigint, m array<bigint>")
-    costs = costs.repartition("conv_id").sortWithinPartitions("conv_id", *down).mapInArrow(backward, "conv_id bigint, chunk bigint, part bigint, m array<bigint>, rest array<bigint>, last boolean")
-    starts = costs.repartition("conv_id").sortWithinPartitions("conv_id", *up).mapInArrow(forward, "conv_id bigint, chunk bigint, part bigint, shown bigint, state bigint, rest array<bigint>, last boolean")
-    starts = starts.withColumnsRenamed({"conv_id": "_conv", "chunk": "_chunk", "part": "_part"})
-    joined = own.join(starts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk")) & (F.col("part") == F.col("_part"))).drop("_conv", "_chunk", "_part")
-    return joined.repartition(*key).sortWithinPartitions(*in_order).mapInArrow(rendered, FIELDS)
+    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    many = own.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk).select(F.col("conv_id").alias("_conv"))
+    many = materialise(many, "long-chats")
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    as_turns = lambda df: df.select("conv_id", F.lit(1).alias("kind"), "turn", "role", "text")
+    if not many.limit(1).count():
+        return _by_run(as_turns(own), ["conv_id"], order, _rendered, FIELDS)
+    is_long = F.col("conv_id").eqNullSafe(F.col("_conv"))
+    short = _by_run(as_turns(own.join(small(many), is_long, "left_anti")), ["conv_id"], order, _rendered, FIELDS)
+    # Equal turns are dealt out at random, as one of them is like the other; the numbers are written once.
+    salt = F.when(F.length("text") <= PREFIX, F.rand(7)).otherwise(2.0)
+    long_ = own.withColumns({"prefix": F.substring("text", 1, PREFIX), "salt": salt}).join(small(many), is_long, "left_semi")
+    by = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role")]
+    dealt = long_.repartitionByRange(partitions(own.sparkSession), *by, "prefix", "salt").sortWithinPartitions(*by, "text")
+    numbered = dealt.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("place"))
+    numbered = numbered.withColumns({"piece": F.shiftright("place", 33), "chunk": F.floor(F.col("place") / chunk).cast("long")})
+    numbered = materialise(numbered, "turns")
+    plans = _plans(numbered)
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    ready = numbered.select("conv_id", "chunk", F.lit(1).alias("kind"), "place", "role", "text", none("nth", "bigint"), none("state", "bigint"), none("rest", "array<bigint>"), none("last", "boolean"))
+    ready = ready.unionByName(plans.select("conv_id", "chunk", F.lit(0).alias("kind"), none("place", "bigint"), none("role", "string"), none("text", "string"), "nth", "state", "rest", "last"))
+    return short.unionByName(_by_run(ready, ["conv_id", "chunk"], [F.col("kind").asc(), F.col("place").asc()], _rendered, FIELDS))

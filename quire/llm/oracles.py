@@ -72,3 +72,41 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE g.key IS NOT NULL) AS
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.key IS NULL), '')) AS kept_sha256
 FROM keyed k LEFT JOIN gone g ON k.key = g.key GROUP BY doc_id
 """
+
+OP7 = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, row_number() OVER o AS k, count(*) OVER (PARTITION BY conv_id) AS n, coalesce(text, '') AS text,
+         CASE lower(trim(role)) WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'human' THEN 2 WHEN 'prompter' THEN 2 WHEN 'assistant' THEN 3
+           WHEN 'gpt' THEN 3 WHEN 'bot' THEN 3 WHEN 'model' THEN 3 ELSE 0 END AS r
+  FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, coalesce(text, ''))),
+opens(x, tag) AS (VALUES (1, '<|system|>' || chr(10)), (2, '<|user|>' || chr(10)), (3, '<|assistant|>' || chr(10))),
+gaps(s, b, fill) AS (VALUES (0, 1, 0), (0, 2, 0), (0, 3, 2), (1, 2, 0), (1, 3, 2), (2, 3, 0), (2, 2, 3), (3, 2, 0), (3, 3, 2)),
+options AS (
+  SELECT s, r, CASE WHEN fill > 0 THEN 3 ELSE 0 END + CASE WHEN r <> b THEN 2 ELSE 0 END AS cost, CASE WHEN fill > 0 THEN 3 WHEN r = b THEN 0 ELSE 2 END AS rank, b AS goes, fill FROM gaps, range(4) q(r)
+  UNION ALL SELECT s, r, 1 + CASE WHEN r <> s THEN 2 ELSE 0 END, 1, s, 0 FROM range(1, 4) p(s), range(4) q(r)),
+ways AS (SELECT r, s, list({'cost': cost, 'rank': rank, 'goes': goes, 'fill': fill} ORDER BY rank, cost, goes) AS w FROM options GROUP BY r, s),
+table_of AS (SELECT r, list(w ORDER BY s) AS m FROM ways GROUP BY r),
+back AS (
+  SELECT DISTINCT conv_id, n AS k, [0, 6, 3, 0] AS c FROM t
+  UNION ALL
+  SELECT b.conv_id, b.k - 1, list_transform(m, lambda os: list_min(list_transform(os, lambda o: o.cost + b.c[o.goes + 1])))
+  FROM back b JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.k = b.k JOIN table_of USING (r)),
+steps AS (
+  SELECT t.conv_id, t.k, n, t.r, text, m, b.c AS before, a.c AS after
+  FROM t JOIN table_of USING (r) JOIN back b ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND b.k = t.k - 1 JOIN back a ON a.conv_id IS NOT DISTINCT FROM t.conv_id AND a.k = t.k),
+run AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, n, 0 AS state, 0 AS merged, 0 AS relabelled, 0 AS inserted, 0 AS cost, '' AS rendered FROM t
+  UNION ALL
+  SELECT conv_id, k, n, o.goes, merged + CAST(o.rank = 1 AS INT), relabelled + CAST(r <> o.goes AS INT), inserted + CAST(o.fill > 0 AS INT), cost + o.cost,
+         rendered || CASE WHEN o.rank = 1 THEN chr(10) || text ELSE
+           CASE WHEN o.fill > 0 THEN CASE WHEN state > 0 THEN chr(10) || '<|end|>' || chr(10) ELSE '' END || (SELECT tag FROM opens WHERE x = o.fill) ELSE '' END
+           || CASE WHEN state > 0 OR o.fill > 0 THEN chr(10) || '<|end|>' || chr(10) ELSE '' END || (SELECT tag FROM opens WHERE x = o.goes) || text END
+  FROM (SELECT u.conv_id, s.k, u.n, u.state, u.merged, u.relabelled, u.inserted, u.cost, u.rendered, s.r, s.text,
+               list_filter(s.m[u.state + 1], lambda x: x.cost + s.after[x.goes + 1] = s.before[u.state + 1])[1] AS o
+        FROM run u JOIN steps s ON s.conv_id IS NOT DISTINCT FROM u.conv_id AND s.k = u.k + 1))
+SELECT conv_id, CAST(0 AS BIGINT) AS chunk, CAST(n AS INTEGER) AS turns, merged, relabelled, inserted + CASE state WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS inserted,
+       CAST(cost + CASE state WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END AS BIGINT) AS cost,
+       rendered || CASE WHEN state = 1 THEN chr(10) || '<|end|>' || chr(10) || '<|user|>' || chr(10) ELSE '' END
+                || CASE WHEN state IN (1, 2) THEN chr(10) || '<|end|>' || chr(10) || '<|assistant|>' || chr(10) ELSE '' END || chr(10) || '<|end|>' || chr(10) AS rendered
+FROM run WHERE k = n
+"""

@@ -77,6 +77,7 @@ QUERIES = {
 ORACLES = {
     "op4_url_filter": oracles.OP4,
     "op6_quality_rules": oracles.OP6,
+    "op7_chat_format": oracles.OP7,
     "op8_warc": oracles.OP8,
     "op9_line_dedup": oracles.OP9,
 }

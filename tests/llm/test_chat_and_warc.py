@@ -69,22 +69,66 @@ def test_costs_equal_brute_force(n):
         assert all(f"t{k}" in piece["rendered"] for k in range(n))
 
 
-def test_chunks_join_to_the_cheapest_repair(spark):
-    rng = random.Random(4)
-    rows = [(c, t, rng.choice(["user", "assistant", "system", "human", None, "odd"]), f"c{c}t{t}") for c in range(30) for t in range(rng.randint(1, 40))]
-    turns = spark.createDataFrame(rows, TURNS).repartition(4)
-    whole = {r.conv_id: r for r in chat.format_chats(turns).collect()}
-    pieces = {}
-    for r in sorted(chat.format_chats(turns, chunk=7).collect(), key=lambda r: (r.conv_id, r.chunk)):
-        pieces.setdefault(r.conv_id, []).append(r)
-    assert whole.keys() == pieces.keys() and any(len(v) > 3 for v in pieces.values())
-    for c, r in whole.items():
-        assert r.cost == sum(p.cost for p in pieces[c]) and r.turns == sum(p.turns for p in pieces[c])
-        text = "".join(p.rendered for p in pieces[c])
-        told = tuple(x.split("|>")[0] for x in text.split("<|") if x.split("|>")[0] in chat.ROLES)
-        assert legal(told)
-        in_order = [text.index(f"c{c}t{t}") for t in range(r.turns)]
-        assert in_order == sorted(in_order)
+GAPS = {("", "system"): [], ("", "user"): [], ("", "assistant"): ["user"], ("system", "user"): [], ("system", "assistant"): ["user"], ("user", "assistant"): [], ("user", "user"): ["assistant"], ("assistant", "user"): [], ("assistant", "assistant"): ["user"]}
+ENDS = {"": [], "system": ["user", "assistant"], "user": ["assistant"], "assistant": []}
+
+
+def brute_repair(roles):
+    """All ways, turn by turn: of the cheapest the first in the order keep, merge, relabel, insert; as (cost, list of (role, numbers of turns))."""
+    ways = [(0, (), "", ())]  # cost, preferences so far, open role, shape
+    for k, r in enumerate(roles):
+        new = []
+        for cost, told, state, shape in ways:
+            if state:
+                new.append((cost + 1 + 2 * (r != state), (*told, (1, 1 + 2 * (r != state), 0)), state, (*shape[:-1], (state, (*shape[-1][1], k)))))
+            for to in ("system", "user", "assistant"):
+                gap = GAPS.get((state, to))
+                if gap is not None:
+                    step = 3 * len(gap) + 2 * (r != to)
+                    rank = 3 if gap else 0 if r == to else 2
+                    new.append((cost + step, (*told, (rank, step, ("system", "user", "assistant").index(to))), to, (*shape, *((g, ()) for g in gap), (to, (k,)))))
+        ways = new
+    cost, _, state, shape = min(((c + 3 * len(ENDS[s]), t, s, x) for c, t, s, x in ways), key=lambda w: w[:2])
+    return cost, [*shape, *((x, ()) for x in ENDS[state])]
+
+
+def shown(shape, texts):
+    return "\n".join(f"<|{role}|>\n" + "\n".join(texts[k] for k in ks) + "\n<|end|>" for role, ks in shape) + "\n"
+
+
+def joined(rows):
+    found = {}
+    for r in sorted(rows, key=lambda r: (r.conv_id, r.chunk)):
+        c = found.setdefault(r.conv_id, {"rendered": "", "turns": 0, "merged": 0, "relabelled": 0, "inserted": 0, "cost": 0, "chunks": []})
+        for k in ("rendered", "turns", "merged", "relabelled", "inserted", "cost"):
+            c[k] += r[k]
+        c["chunks"].append(r.chunk)
+    return found
+
+
+def test_repaired_text_does_not_depend_on_chunks(spark):
+    """1,000 conversations cut into chunks of 1, 2, 7 and 256 turns: one text, which is the brute force's where that is small enough."""
+    rng, kinds = random.Random(4), ["user", "assistant", "system", None]
+    roles = [[rng.choice(kinds) for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8, 12, 30]))] for _ in range(1000)]
+    roles[0] = ["assistant"] * 4 + ["system", None, "assistant", None]
+    turns = spark.createDataFrame([(c, t, r, f"c{c}t{t}") for c, own in enumerate(roles) for t, r in enumerate(own)], TURNS).repartition(4)
+    found = {n: joined(chat.format_chats(turns, chunk=n).collect()) for n in (1, 2, 7, 256)}
+    for n in (1, 2, 7):
+        assert all(v["chunks"] == list(range(len(v["chunks"]))) for v in found[n].values())
+        for c, v in found[256].items():
+            assert {k: x for k, x in found[n][c].items() if k != "chunks"} == {k: x for k, x in v.items() if k != "chunks"}, (n, c)
+    for c, own in enumerate(roles):
+        if len(own) <= 6:
+            cost, shape = brute_repair(own)
+            assert (found[256][c]["cost"], found[256][c]["rendered"]) == (cost, shown(shape, [f"c{c}t{t}" for t in range(len(own))])), own
+
+
+def test_a_long_conversation_is_cut_into_pieces_of_many_tasks(spark):
+    rng = random.Random(5)
+    rows = [(7, t // 3, rng.choice(["user", "assistant", "system", "odd"]), f"t{t:05d}") for t in range(6000)] + [(8, 0, "user", "one")]
+    turns = spark.createDataFrame(rows, TURNS).repartition(8)
+    whole, cut = (joined(chat.format_chats(turns, chunk=n).collect()) for n in (10_000, 16))
+    assert len(cut[7]["chunks"]) > 300 and {k: v for k, v in cut[7].items() if k != "chunks"} == {k: v for k, v in whole[7].items() if k != "chunks"} and cut[8] == whole[8]
 
 
 def test_chat_edge_cases(spark):
@@ -95,7 +139,7 @@ def test_chat_edge_cases(spark):
         found.setdefault(r.conv_id, []).append(r)
     assert found.keys() == {1, None, 2, 3}
     assert (found[2][0].merged, found[2][0].cost) == (1, 1)
-    assert sum(r.cost for r in found[3]) == 0 and len(found[3]) == 2
+    assert sum(r.cost for r in found[3]) == 0 and len(found[3]) == 1 and found[3][0].turns == 2
     assert found[None][0].inserted == 1 and found[None][0].rendered.startswith("<|user|>\n\n<|end|>")
     assert chat.format_chats(spark.createDataFrame([], TURNS)).collect() == []
 
