@@ -1,6 +1,9 @@
 """Byte-level BPE by prefix-sharing trie traversal.
 
-The text is cut into words by the tokenizer's pattern. The distinct words of a slice that are not known yet
+The text is cut into words by the tokenizer's pattern. The pattern is stated here for speed; of each code point met,
+a worker asks the tokenizer's library once whether it takes it for a letter, a number, white space or neither, and
+texts with a code point that the pattern engine at hand takes for something else (newer letters, as a rule) are
+cut by the library itself. So the ids depend on no other Unicode tables than the library's. The distinct words of a slice that are not known yet
 go into a trie, which is walked depth first: at each node the walk settles the last token of the encoding of
 the prefix that ends there. There is exactly one: a vocabulary token that ends the prefix, that the merges
 do build from its own bytes, and that stays apart from the last token of the prefix before it. So a prefix
@@ -156,17 +159,50 @@ class Encoder:
     """Texts to ids, with the dictionary of finished words."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         self.vocabulary = Vocabulary(path)
         self.pattern = regex.compile(PATTERN)
+        self.cutter = Tokenizer.from_file(path).pre_tokenizer
+        self.classes = [regex.compile(x) for x in (r"\p{L}", r"\p{N}", r"\s")]
+        #: Code points that the library and the pattern class alike, and those that they do not.
+        self.alike, self.strange = set(map(chr, range(128))), set()
         special = self.vocabulary.special
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.known: dict[str, bytes] = {}
 
+    def _probe(self, c: str) -> bool:
+        """Whether the library has c in the same class as the pattern: with which neighbour does it make a word?"""
+        joins = [len(self.cutter.pre_tokenize_str(x + c)) == 1 for x in ("a", "1", "!")]
+        own = [bool(p.match(c)) for p in self.classes]
+        return joins == [own[0], own[1], not any(own)]
+
+    def _meet(self, text: str) -> None:
+        for c in set(text) - self.alike - self.strange:
+            (self.alike if self._probe(c) else self.strange).add(c)
+
+    def _cut_by_library(self, text: str) -> Iterator[list[str]]:
+        """The library's words, a slice at a time: a word that ends before a slice's last character is whole."""
+        at, size = 0, WORDS_AT_ONCE
+        while at < len(text):
+            part = text[at : at + size]
+            ends = [b for _, (_, b) in self.cutter.pre_tokenize_str(part)]
+            if at + size < len(text):
+                ends = [b for b in ends if b < len(part) - 1]
+                if not ends:
+                    size *= 2
+                    continue
+            yield [part[a:b] for a, b in zip([0, *ends], ends)]
+            at, size = at + ends[-1], WORDS_AT_ONCE
+
     def _words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text whose code points have been met."""
         parts = self.cut.split(text) if self.cut else [text]
         for k, part in enumerate(parts):
             if k % 2:
                 yield [part]
+            elif self.strange and not self.strange.isdisjoint(part):
+                yield from self._cut_by_library(part)
             elif len(part) <= WORDS_AT_ONCE:
                 yield self.pattern.findall(part)
             else:
@@ -193,6 +229,8 @@ class Encoder:
         """Of each text the ids, as little-endian unsigned 32-bit integers."""
         whole, runs = [], []
         for text in batch:
+            if not text.isascii():
+                self._meet(text)
             if len(text) <= WORDS_AT_ONCE:
                 runs.append([w for run in self._words(text) for w in run])
         self._learn({w for run in runs for w in run})

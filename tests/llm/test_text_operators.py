@@ -55,6 +55,23 @@ def test_bpe_long_texts_piecewise(monkeypatch):
         assert own.decode(ids) == text
 
 
+def test_bpe_words_are_cut_as_the_library_cuts_them(monkeypatch):
+    """Code points that the pattern engine and the library class differently: alone, in runs, and in long texts."""
+    own, tok = bpe.Encoder(bpe.default_path()), library(bpe.default_path())
+    points = [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000), *range(0x20000, 0x34000, 16)]
+    own._meet("".join(chr(c) for c in points))
+    differ = sorted(own.strange)
+    firsts = [c for k, c in enumerate(differ) if not k or ord(c) > ord(differ[k - 1]) + 16]
+    texts = ["\U0001dff6慶", "\U00033388轳", *(x for c in firsts for x in (f"a{c}", f"{c}b 1{c}", f"!{c}{c}?  {c}'s"))]
+    rng = random.Random(12)
+    letters = [*"ab 1!'s\n\t é慶\u3000", "\U00033388", "\u0558", "\ua7ce", *rng.sample(differ, min(len(differ), 20))]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 200))) for _ in range(400)]
+    for at_once in (200_000, 40):
+        monkeypatch.setattr(bpe, "WORDS_AT_ONCE", at_once)
+        for text, ids in zip(texts, own.encode_batch(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_bpe_decodes_broken_bytes_as_the_library_does():
     own, tok = bpe.Encoder(bpe.default_path()), library(bpe.default_path())
     rng = random.Random(3)
