@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import raw, with_columns
+from .shared import fresh
 
 SAMPLE = 1000
 BITS = 12
@@ -234,7 +235,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", drop: tupl
     """docs with lang_pred and score."""
     if model is None:
         return docs.drop("lang_pred", "score", *drop).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    flag = "_has_letter"
+    (flag,) = fresh(docs, "letter")
 
     def make():
         def work(part: pa.RecordBatch):

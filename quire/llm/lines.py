@@ -7,13 +7,16 @@ the threshold. Inserting documents adds their keys to the counts, deleting docum
 keys that cross the threshold either way are put into or taken out of their shard's filter, so every index is
 the one that its documents alone would have built.
 
-Cleaning documents asks the filters about their distinct keys. A filter never misses a key it holds, so only
-its hits are looked up in the exact counts, and the keys found there lose all their lines.
+Cleaning documents asks the filters about the key of every line, where the lines are: the filters, about two
+bytes a repeated key, are sent to all tasks while they take at most FILTER_BYTES, so that only lines that may go
+are moved at all. A filter never misses a key it holds; its hits are looked up in the exact counts, by a broadcast
+of up to BROADCAST_ROWS keys and beyond that by a join that spreads each key over SALTS places. Filters of more
+than FILTER_BYTES stay in their shards, and the distinct keys are sent to them. What comes back are the places of
+the lines to drop, so a document's lines are cut out in one pass, however many they are.
 
-Shards are chosen by the key's hash, about SHARD_KEYS repeated keys each. Keys are reduced to one row before
-they are dealt to shards or compared, so a line that a third of all documents holds is one row there; its
-(document, key) pairs meet the dropped keys in a join that broadcasts them up to BROADCAST_ROWS keys and
-beyond that spreads each key over SALTS places.
+Shards are chosen by the key's hash, about SHARD_KEYS repeated keys each: their number doubles as the index
+grows. Keys are reduced to one row before they are dealt to shards, so a line that a third of all documents hold
+is one row there.
 
 Defined cases: null and empty texts are one empty line. Keys of no code points never count. A key counts once
 a document, however often it holds it; rows with the same doc_id (null too) are one document. Rows are kept
@@ -30,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, ascii_lower, few, materialise, scratch_path
+from .arrow import raw
+from .shared import BLANKS, ascii_lower, few, fresh, let, materialise, scratch_path
 
 THRESHOLD = 10
 SHARD_KEYS = 200_000
 SALTS = 32
+#: Bytes of filters that are sent to every task; larger ones stay in their shards.
+FILTER_BYTES = 32 << 20
 SLOTS, KICKS = 4, 500
 
 
@@ -124,20 +130,12 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def keyed_lines(text: Column) -> Column:
-    """The lines of a text as (line, key): the key is the MD5 of the line's key, null where that is empty."""
-
-    def of(line: Column) -> Column:
-        key = line_key(line)
-        return F.struct(line.alias("line"), F.when(key != "", F.unhex(F.md5(F.encode(key, "utf-8")))).alias("key"))
-
-    return F.transform(split_lines(text), of)
-
-
 def document_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and key, once for each document that holds the key."""
-    held = F.array_compact(F.array_distinct(F.transform(keyed_lines(F.col(text)), lambda x: x["key"])))
-    return docs.select(F.col(key).alias("doc_id"), F.explode(held).alias("key"))
+    """doc_id, hash (of the whole text), pos and key (MD5) of each line that has a key."""
+    of = lambda line: F.when(line_key(line) != "", F.md5(F.encode(line_key(line), "utf-8")))
+    own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    told = own.select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(F.transform(split_lines(F.col("text")), of)).alias("pos", "key"))
+    return told.filter("key IS NOT NULL").withColumn("key", F.unhex("key"))
 
 
 def shard_of(shards: int) -> Column:
@@ -166,31 +164,31 @@ def empty_index(spark: SparkSession, shards: int = 16, threshold: int = THRESHOL
     return index
 
 
-def shards_for(n_docs: int) -> int:
-    """A power of two, from the number of documents: few of a corpus's lines repeat."""
-    shards = 16
-    while shards * SHARD_KEYS < n_docs:
-        shards *= 2
-    return shards
+def shards_for(keys: int, least: int) -> int:
+    """least, doubled until a shard has about SHARD_KEYS of the keys at most."""
+    while least * SHARD_KEYS < keys:
+        least *= 2
+    return least
 
 
 def _update(index: LineIndex, changes: DataFrame) -> LineIndex:
     """A new index: the counts with changes (key, change) added, the filters with the keys that crossed the threshold."""
-    spark = changes.sparkSession
-    new = LineIndex(scratch_path(spark, "lines"), index.shards, index.threshold)
+    spark, t = changes.sparkSession, index.threshold
     was = index.counts(spark).select("key", F.col("n_docs").alias("was"), F.lit(0).cast("long").alias("change"))
     both = was.unionByName(changes.select("key", F.lit(0).cast("long").alias("was"), F.col("change").cast("long").alias("change")))
     both = both.groupBy("key").agg(F.sum("was").alias("was"), F.sum(F.col("was") + F.col("change")).alias("n_docs"))
     # Documents without repeated lines make most keys: their rows stay in the counts, but only crossings meet a filter.
-    written = both.filter((F.col("n_docs") != 0) | (F.col("was") != 0)).select(shard_of(index.shards).alias("shard"), "key", "was", "n_docs")
-    staged = materialise(written, "line-counts")
-    staged.filter("n_docs > 0").select("shard", "key", "n_docs").write.option("compression", "zstd").parquet(f"{new.folder}/counts")
-    t = index.threshold
-    crossed = staged.filter(((F.col("was") >= t) != (F.col("n_docs") >= t))).select("shard", "key", (F.col("n_docs") >= t).alias("up"))
-    old, now = index.filters(spark).select("shard", "filter", "n_keys"), staged.filter(F.col("n_docs") >= t).select("shard", "key")
-    old = old.select("shard", F.lit(0).alias("part"), F.col("filter").alias("value"), F.lit(None).cast("boolean").alias("up"))
-    moved = crossed.select("shard", F.lit(1).alias("part"), F.col("key").alias("value"), "up")
-    held = now.select("shard", F.lit(2).alias("part"), F.col("key").alias("value"), F.lit(None).cast("boolean").alias("up"))
+    staged = materialise(both.filter((F.col("n_docs") != 0) | (F.col("was") != 0)), "line-counts")
+    now = staged.filter(F.col("n_docs") >= t).select("key")
+    new = LineIndex(scratch_path(spark, "lines"), shards_for(now.count(), index.shards), t)
+    shard = shard_of(new.shards).alias("shard")
+    staged.filter("n_docs > 0").select(shard, "key", "n_docs").write.option("compression", "zstd").parquet(f"{new.folder}/counts")
+    none = F.lit(None).cast("boolean").alias("up")
+    dealt = now.select(shard, F.lit(2).alias("part"), F.col("key").alias("value"), none)
+    if new.shards == index.shards:  # else every filter is built anew
+        crossed = staged.filter((F.col("was") >= t) != (F.col("n_docs") >= t))
+        dealt = dealt.unionByName(crossed.select(shard, F.lit(1).alias("part"), F.col("key").alias("value"), (F.col("n_docs") >= t).alias("up")))
+        dealt = dealt.unionByName(index.filters(spark).select("shard", F.lit(0).alias("part"), F.col("filter").alias("value"), none))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int32()), ("filter", pa.binary()), ("n_keys", pa.int64())])
@@ -207,7 +205,7 @@ def _update(index: LineIndex, changes: DataFrame) -> LineIndex:
             if kept:
                 yield pa.RecordBatch.from_pylist([{"shard": shard, "filter": own.dump(), "n_keys": len(kept)}], schema)
 
-    dealt = old.unionByName(moved).unionByName(held).repartition(index.shards, "shard").sortWithinPartitions("shard", "part", "value")
+    dealt = dealt.repartition(new.shards, "shard").sortWithinPartitions("shard", "part", "value")
     dealt.mapInArrow(run, "shard int, filter binary, n_keys bigint").write.parquet(f"{new.folder}/filters")
     return new
 
@@ -235,8 +233,31 @@ def delete_documents(index: LineIndex, pairs: DataFrame) -> LineIndex:
     return _update(index, pairs.dropDuplicates(["doc_id", "key"]).groupBy("key").agg((-F.count(F.lit(1))).alias("change")))
 
 
-def dropped_keys(index: LineIndex, pairs: DataFrame) -> DataFrame:
-    """Of the pairs' keys those at or over the threshold: hits of the filters, looked up in the exact counts."""
+def _shipped(index: LineIndex, pairs: DataFrame) -> DataFrame | None:
+    """The pairs that the filters let through, asked where the pairs are; None if the filters are too large for that."""
+    spark = pairs.sparkSession
+    stored = index.filters(spark)
+    size = stored.agg(F.sum(F.octet_length("filter")).alias("bytes")).first()["bytes"] or 0
+    if size > FILTER_BYTES:
+        return None
+    shared = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in stored.collect()})  # at most FILTER_BYTES
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = {k: CuckooFilter.load(v) for k, v in shared.value.items()}
+        for batch in batches:
+            shards = np.asarray(batch.column("shard"))
+            keys, hit = raw(batch.column("key"))[0].reshape(-1, 16), np.zeros(len(shards), bool)
+            for k, own in filters.items():
+                rows = np.flatnonzero(shards == k)
+                hit[rows] = own.contains(np.ascontiguousarray(keys[rows]))
+            if hit.any():
+                yield batch.filter(pa.array(hit)).drop_columns("shard")
+
+    return pairs.withColumn("shard", shard_of(index.shards)).mapInArrow(run, pairs.schema)
+
+
+def _hits_by_shard(index: LineIndex, pairs: DataFrame) -> DataFrame:
+    """The pairs' distinct keys that the filters let through, asked in the filters' shards."""
     spark = pairs.sparkSession
     asked = pairs.select("key").distinct().select(shard_of(index.shards).alias("shard"), F.lit(1).alias("part"), F.col("key").alias("value"))
     stored = index.filters(spark).select("shard", F.lit(0).alias("part"), F.col("filter").alias("value"))
@@ -244,9 +265,8 @@ def dropped_keys(index: LineIndex, pairs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
         for batch in batches:
-            shards, parts, values = (batch.column(c) for c in ("shard", "part", "value"))
-            hits, asked_of, waiting = [], None, []
-            for s, p, v in zip(shards.to_pylist(), parts.to_pylist(), values.to_pylist(), strict=True):
+            hits, waiting = [], []
+            for s, p, v in zip(*(batch.column(c).to_pylist() for c in ("shard", "part", "value")), strict=True):
                 if s != now:
                     hits += _hits(own, waiting)
                     now, own, waiting = s, None, []
@@ -257,8 +277,7 @@ def dropped_keys(index: LineIndex, pairs: DataFrame) -> DataFrame:
             hits += _hits(own, waiting)
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.binary())], names=["key"])
 
-    hits = stored.unionByName(asked).repartition(index.shards, "shard").sortWithinPartitions("shard", "part").mapInArrow(run, "key binary")
-    return index.counts(spark).filter(F.col("n_docs") >= index.threshold).select("key").join(hits, "key", "left_semi")
+    return stored.unionByName(asked).repartition(index.shards, "shard").sortWithinPartitions("shard", "part").mapInArrow(run, "key binary")
 
 
 def _hits(own: CuckooFilter | None, values: list[bytes]) -> list[bytes]:
@@ -267,28 +286,47 @@ def _hits(own: CuckooFilter | None, values: list[bytes]) -> list[bytes]:
     return [v for v, hit in zip(values, own.contains(_keys(values)).tolist(), strict=True) if hit]
 
 
+def dropped_lines(index: LineIndex, pairs: DataFrame) -> DataFrame:
+    """The pairs whose keys are at or over the threshold: hits of the filters, looked up in the exact counts."""
+    exact = index.counts(pairs.sparkSession).filter(F.col("n_docs") >= index.threshold).select("key")
+    found = _shipped(index, pairs)
+    if found is None:
+        found, exact = pairs, materialise(exact.join(_hits_by_shard(index, pairs), "key", "left_semi"), "dropped-keys")
+    if few(exact):
+        return found.join(F.broadcast(exact), "key")
+    spread = exact.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "hash", "pos"), F.lit(SALTS)).cast("int")).join(spread, ["key", "salt"]).drop("salt")
+
+
+def dropped_keys(index: LineIndex, pairs: DataFrame) -> DataFrame:
+    return dropped_lines(index, pairs).select("key").distinct()
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """text without its lines at the places of gone (rising): the runs between them, in one pass."""
+
+    def of(lines: Column) -> Column:
+        starts, ends = F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines)))
+        runs = F.transform(starts, lambda s, i: F.slice(lines, s + 2, F.get(ends, i) - s - 1))
+        return F.array_join(F.flatten(runs), "\n")
+
+    return let(split_lines(text), of)
+
+
 def drop_lines(docs: DataFrame, index: LineIndex, pairs: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text cleaned, n_lines (before) and n_dropped."""
     pairs = document_keys(docs, key, text) if pairs is None else pairs
-    gone = materialise(dropped_keys(index, pairs), "dropped-keys")
-    if few(gone):
-        hit = pairs.join(F.broadcast(gone), "key")
-    else:
-        spread = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hit = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["key", "salt"])
-    bad = hit.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_bad"))
+    doc, hash_, gone = fresh(docs, "doc", "hash", "gone")
+    bad = dropped_lines(index, pairs).groupBy(F.col("doc_id").alias(doc), F.col("hash").alias(hash_)).agg(F.sort_array(F.collect_set("pos")).alias(gone))
     stay = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    joined = docs.join(bad, F.col(key).eqNullSafe(F.col("_doc")), "left")
-    lines = F.when(F.col("_bad").isNull(), F.transform(split_lines(F.col(text)), lambda x: F.struct(x.alias("line")))).otherwise(
-        F.transform(F.filter(keyed_lines(F.col(text)), lambda x: x["key"].isNull() | ~F.array_contains("_bad", x["key"])), lambda x: F.struct(x["line"].alias("line")))
-    )
-    cleaned = joined.select(*stay, F.size(split_lines(F.col(text))).cast("long").alias("n_lines"), lines.alias("_kept"))
-    return cleaned.select(*stay, F.array_join(F.transform("_kept", lambda x: x["line"]), "\n").alias(text), "n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_dropped"))
+    whole = F.col(f"`{text}`")
+    joined = docs.join(bad, F.col(f"`{key}`").eqNullSafe(F.col(doc)) & (F.xxhash64(whole) == F.col(hash_)), "left")
+    cleaned = F.when(F.col(gone).isNull(), F.coalesce(whole, F.lit(""))).otherwise(without_lines(whole, F.col(gone)))
+    return joined.select(*stay, cleaned.alias(text), F.size(split_lines(whole)).cast("long").alias("n_lines"), F.coalesce(F.size(F.col(gone)), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """docs without the lines whose keys are in at least threshold documents of docs."""
-    spark = docs.sparkSession
     pairs = materialise(document_keys(docs, key, text), "line-keys")
-    index = insert_documents(empty_index(spark, shards_for(docs.count()), threshold), pairs)
+    index = insert_documents(empty_index(docs.sparkSession, threshold=threshold), pairs)
     return drop_lines(docs, index, pairs, key, text)

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, materialise, small, words
+from .shared import fresh, let, materialise, small, words
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50  # percent of the words
@@ -72,10 +72,11 @@ def _figures(text: Column) -> Column:
 
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the figures and base_failed; no row moves."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in [*ADDED, "_figures"]]
-    few = F.col("_figures.n_words") < MIN_WORDS
-    repetitive = 100 * F.col("_figures.n_repeat_words") > MAX_REPEAT_SHARE * F.col("_figures.n_words")
-    return docs.select(*kept, _figures(F.coalesce(F.col(text), F.lit(""))).alias("_figures")).select(*kept, "_figures.*", (few | repetitive).alias("base_failed"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+    (told,) = fresh(docs, "figures")
+    few = F.col(told)["n_words"] < MIN_WORDS
+    repetitive = 100 * F.col(told)["n_repeat_words"] > MAX_REPEAT_SHARE * F.col(told)["n_words"]
+    return docs.select(*kept, _figures(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias(told)).select(*kept, f"{told}.*", (few | repetitive).alias("base_failed"))
 
 
 def beta_prior(hosts: int, mean: float | None, variance: float | None) -> tuple[float, float]:
@@ -99,11 +100,11 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
 
 def judge_quality(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Figures, base_failed and kept for each row, with the columns of keep (all but the text by default)."""
-    carried = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c not in [*ADDED, "kept", "_host"]]
-    own = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(host).alias("_host"), F.col(text).alias("_text"))
-    judged = materialise(base_rules(own, "_text").drop("_text"), "quality")
-    rejected = host_rates(judged, "_host").filter(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("_bad"))
-    rejected = small(rejected.select("_bad", F.lit(True).alias("_flag")))
-    bad = F.col("_flag").isNotNull()
-    joined = judged.join(rejected, F.col("_host").eqNullSafe(F.col("_bad")), "left")
-    return joined.select(*carried, *ADDED, (~F.col("base_failed") & ~bad).alias("kept"))
+    carried = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c not in [*ADDED, "kept"]]
+    carry = [F.col(f"`{c}`") for c in carried]
+    own_host, own_text, bad, flag = fresh(docs, "host", "text", "bad", "flag")
+    own = docs.select(*carry, F.col(f"`{host}`").alias(own_host), F.col(f"`{text}`").alias(own_text))
+    judged = materialise(base_rules(own, own_text).drop(own_text), "quality")
+    rejected = host_rates(judged, own_host).filter(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias(bad), F.lit(True).alias(flag))
+    joined = judged.join(small(rejected), F.col(own_host).eqNullSafe(F.col(bad)), "left")
+    return joined.select(*carry, *ADDED, (~F.col("base_failed") & F.col(flag).isNull()).alias("kept"))

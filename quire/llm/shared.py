@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,9 +19,12 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a local master may use a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quire.scratch.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and the executors of {master or 'this cluster'} share")
         found = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("quire.scratch.dir", found)
     return found.rstrip("/")
@@ -38,6 +42,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores as set it apart from every column of df."""
+    taken, end = {c.lower() for c in df.columns}, "_"
+    while any(f"_{n}{end}" in taken for n in names):
+        end += "_"
+    return [f"_{n}{end}" for n in names]
+
+
 def few(df: DataFrame) -> bool:
     """Whether df has at most BROADCAST_ROWS rows; counts no further."""
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

@@ -24,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower
+from .shared import ascii_lower, fresh
 
 INLINE_RULES = 256
 DEFAULT_VERDICT = "allow"
@@ -102,8 +102,9 @@ def _best(candidates: Column, subject: Column) -> Column:
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", inline_rules: int = INLINE_RULES) -> DataFrame:
     """pages with host, path, rule and verdict; such columns of pages are replaced."""
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    parts = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    (best,) = fresh(pages, "best")
+    parts = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rules = sorted(set(rules))
     if not rules:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(DEFAULT_VERDICT)})
@@ -113,8 +114,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", inlin
         index = F.create_map(*[x for k, rs in filed.items() for x in (F.lit(k), F.array(*map(_rule_struct, rs)))])
         known = F.array(*[F.lit(k) for k in filed])
         fetched = F.flatten(F.transform(F.array_intersect(tokens, known), lambda t: index[t]))
-        found = parts.withColumn("best", _best(fetched, subject))
-        return found.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"))
+        return _judged(parts.withColumn(best, _best(fetched, subject)), kept, best)
     rows = [(k, len(r.text), r.text, r.verdict, r.pattern) for k, rs in index_rules(rules).items() for r in rs]
     table = pages.sparkSession.createDataFrame(rows, "token string, length int, rule string, verdict string, pattern string")
     distinct = parts.select("host", "path").distinct()
@@ -123,10 +123,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", inlin
         .join(table, "token")
         .filter(F.regexp_like(subject, F.col("pattern")))
         .groupBy("host", "path")
-        .agg(F.min(F.struct((-F.col("length")).alias("rank"), "rule", "verdict")).alias("best"))
+        .agg(F.min(F.struct((-F.col("length")).alias("rank"), "rule", "verdict")).alias(best))
     )
-    found = parts.join(fits, ["host", "path"], "left")
-    return found.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"))
+    return _judged(parts.join(fits, ["host", "path"], "left"), kept, best)
+
+
+def _judged(found: DataFrame, kept: list[Column], best: str) -> DataFrame:
+    rule, verdict = (F.col(best)[x] for x in ("rule", "verdict"))
+    return found.select(*kept, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.lit(DEFAULT_VERDICT)).alias("verdict"))
 
 
 #: The production rules of the query op4.

@@ -145,12 +145,44 @@ def test_lines_equal_brute_force(spark):
     assert lines.dedup_lines(spark.createDataFrame([], DOCS)).collect() == []
 
 
-def test_shuffled_lookup_gives_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("shipped", [lines.FILTER_BYTES, 0])
+@pytest.mark.parametrize("few", [True, False])
+def test_every_way_of_looking_up_gives_the_same(spark, monkeypatch, shipped, few):
+    """Filters sent to the lines or asked in their shards, exact keys broadcast or joined by shuffle."""
     rows = line_rows(4)
-    monkeypatch.setattr(lines, "few", lambda df: False)
+    monkeypatch.setattr(lines, "few", lambda df: few)
+    monkeypatch.setattr(lines, "FILTER_BYTES", shipped)
     assert spread(lines.dedup_lines(spark.createDataFrame(rows, DOCS))) == brute_lines(rows, 10)
 
 
+def test_lines_keep_columns_of_any_name(spark):
+    """Columns named like the operator's own stay, and rows of one doc_id with different texts lose each its own lines."""
+    rows = [(i % 3 if i < 6 else i, f"common\nown {i}\n\ncommon " + "z" * i) for i in range(30)]
+    docs = spark.createDataFrame([(*r, *range(6)) for r in rows], DOCS + ", _bad int, _doc int, _doc_ int, _gone_ int, `a.b` int, n_dropped int")
+    found = lines.dedup_lines(docs, threshold=10).collect()
+    assert all((r._bad, r._doc, r["_doc_"], r["_gone_"], r["a.b"]) == (0, 1, 2, 3, 4) for r in found)
+    assert sorted(r.text for r in found) == sorted(f"own {i}\n\ncommon " + "z" * i if i else "own 0\n" for i in range(30)) and {r.n_dropped for r in found} == {1, 2}
+
+
+def test_a_text_of_very_many_lines_is_cut_in_one_pass(spark):
+    own = [("dropped", f"kept {k}")[k % 2] for k in range(100_000)]
+    docs = spark.createDataFrame([(0, "\n".join(own)), *((k, "dropped") for k in range(1, 12))], DOCS)
+    found = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert found[0].text == "\n".join(own[1::2]) and found[0].n_dropped == 50_000 and found[3].text == ""
+
+
+def test_shards_follow_the_keys(spark, monkeypatch):
+    """An index that outgrows its shards gets more of them, and holds and forgets the same keys."""
+    monkeypatch.setattr(lines, "SHARD_KEYS", 5)
+    rows = [(i, "\n".join(f"line {k}" for k in range(60 if i % 2 else 5))) for i in range(12)]
+    pairs = lines.document_keys(spark.createDataFrame(rows, DOCS)).cache()
+    few = lines.insert_documents(lines.empty_index(spark, 2, 5), pairs.filter("doc_id % 2 = 0"))
+    many = lines.insert_documents(few, pairs.filter("doc_id % 2 = 1"))
+    assert few.shards == 2 and many.shards == 16 and lines.dropped_keys(many, pairs).count() == 60
+    back = lines.delete_documents(many, pairs.filter("doc_id % 2 = 1"))
+    assert lines.dropped_keys(back, pairs).count() == 5 and back.filters(spark).agg({"n_keys": "sum"}).first()[0] == 5
+
+
 def test_deleting_documents_undoes_their_insertion(spark):
     rows = [r for r in line_rows(6) if r[0] is not None and r[0] != 5]
     pairs = lines.document_keys(spark.createDataFrame(rows, DOCS)).cache()

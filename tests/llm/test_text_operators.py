@@ -234,6 +234,43 @@ def test_bad_hosts_are_rejected_whole(spark, monkeypatch):
     assert quality.beta_prior(1, None, None)[0] > 0 and quality.beta_prior(3, 0.2, 0.01) == pytest.approx((0.2 * 15, 0.8 * 15))
 
 
+def test_quality_keeps_columns_of_any_name(spark):
+    names = ["_bad", "_text", "_flag", "_host", "_bad_", "_figures_", "a.b"]
+    docs = spark.createDataFrame([(k, "word " * 60, "s", *range(7)) for k in range(3)], DOCS + ", source string, " + ", ".join(f"`{n}` int" for n in names))
+    for r in quality.judge_quality(docs).collect():
+        assert [r[n] for n in names] == list(range(7)) and r.base_failed and not r.kept
+    assert {"text", "_host", "_bad"} <= set(quality.judge_quality(docs, keep=docs.columns).columns)
+
+
+def brute_hosts(rows):
+    """Rejected hosts of (host, failed): a beta prior by moments of the hosts' rates, its weight held to 1 to 10,000 documents."""
+    hosts = {}
+    for host, failed in rows:
+        hosts.setdefault(host, []).append(failed)
+    rates = [sum(v) / len(v) for v in hosts.values()]
+    m = min(max(sum(rates) / len(rates), 1e-6), 1 - 1e-6)
+    v = sum((x - sum(rates) / len(rates)) ** 2 for x in rates) / (len(rates) - 1) if len(rates) > 1 else 0
+    weight = min(max(m * (1 - m) / v - 1, 1), 10_000) if v > 0 else 10_000
+    return {h: (sum(x) + m * weight) / (len(x) + weight) for h, x in hosts.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_host_verdicts_equal_an_independent_prior(spark, seed):
+    """Hosts on both sides of the limit, of one document and of hundreds, one near it whose verdict the prior turns."""
+    rng, good = random.Random(seed), " ".join(f"word{k}" for k in range(60))
+    hosts = {f"h{k}": (rng.choice([1, 2, 5, 40, 300]), rng.choice([0, 0.1, 0.3, 0.5, 0.6, 0.9, 1])) for k in range(25)} | {"turned": (2, 0.5), None: (3, 1)}
+    rows = [(h, rng.random() < share if n > 5 else k < share * n) for h, (n, share) in hosts.items() for k in range(n)]
+    rows += [("tiny bad", True)]
+    docs = spark.createDataFrame([(i, "bad" if failed else good, h) for i, (h, failed) in enumerate(rows)], DOCS + ", source string").repartition(3)
+    rates = brute_hosts(rows)
+    judged = quality.base_rules(docs).select("doc_id", "source", "base_failed")
+    found = {r.host: r for r in quality.host_rates(judged).collect()}
+    assert found.keys() == rates.keys() and all(found[h].rate == pytest.approx(x, rel=1e-9) for h, x in rates.items())
+    kept = {r.doc_id for r in quality.judge_quality(docs).filter("kept").collect()}
+    assert kept == {i for i, (h, failed) in enumerate(rows) if not failed and rates[h] <= quality.MAX_HOST_RATE}
+    assert any(x > quality.MAX_HOST_RATE for x in rates.values()) and any(x <= quality.MAX_HOST_RATE for x in rates.values())
+
+
 # --- language ID
 
 
@@ -307,7 +344,8 @@ def test_url_verdicts_equal_brute_force(spark, inline):
     more = [url_filter.Rule(rng.choice(["allow", "block"]), rng.choice(hosts), rng.choice(["", "/", "/en/", "/en", "/en/7", "/a.b/", "/(x)/"])) for _ in range(40)]
     urls = URLS + [f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/en/77', '/a.b/c', '/(x)/y', '/axb/'])}" for _ in range(200)]
     for rules in (url_filter.RULES, more):
-        pages = spark.createDataFrame([(i, u, "own") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+        pages = spark.createDataFrame([(i, u, "own", i) for i, u in enumerate(urls)], "page_id long, url string, rule string, best long")
+        assert all(r.best == r.page_id for r in url_filter.filter_urls(pages, rules, inline_rules=inline).collect())
         found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules, inline_rules=inline).collect()}
         assert found == {i: brute_url(u, rules) for i, u in enumerate(urls)}
 
