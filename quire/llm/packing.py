@@ -9,7 +9,7 @@ repeated for as long as all its lengths last. Each pattern uses up a length, so
 
 Which remainder takes which place is settled by its rank among the remainders of its length. Ranks come from
 counts by (length, salt), summed over the salts, and from a window within each (length, salt): copies that
-share a length are spread over as many tasks as their number asks for.
+share a length are spread over SALTS places.
 
 A pattern that does not reach the capacity (at the end, as a rule) is cut at powers of two, as sequences of
 such lengths need no padding; so no sequence is padded.
@@ -36,9 +36,8 @@ from .shared import materialise, small
 
 WINDOW = 4096
 END_ID = 2
-#: Rows of one length and salt, about; the number of salts follows the number of documents.
-ROWS_PER_SALT = 100_000
-LEAST_SALTS = 64
+#: Places over which the remainders of one length, and the long documents, are spread to be ranked; the same at every size.
+SALTS = 256
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -146,20 +145,12 @@ def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     return materialise(with_columns(own, "doc_tokens bigint, whole array<bigint>, rest_crc bigint, ids binary", make, by=text, drop=[text], done=lambda: wordtok.tokenizer(path).rest()), "tokens")
 
 
-def salts_for(rows: int) -> int:
-    salts = LEAST_SALTS
-    while salts * ROWS_PER_SALT < rows:
-        salts *= 2
-    return salts
-
-
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     tokens = tokenise(docs, key, text, path, window)
     spark = docs.sparkSession
-    salts = salts_for(tokens.count())
     rest = (F.col("doc_tokens") % window).cast("int")
-    narrow = tokens.select("row", "doc_id", "doc_tokens", "rest_crc", rest.alias("rest"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt")).filter("rest > 0")
+    narrow = tokens.select("row", "doc_id", "doc_tokens", "rest_crc", rest.alias("rest"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")).filter("rest > 0")
     counts = materialise(narrow.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("n")), "length-counts")
     lengths = {r["rest"]: r["n"] for r in counts.groupBy("rest").agg(F.sum("n").alias("n")).collect()}  # at most window - 1 rows
     places = Places(plan(lengths, window), window)
@@ -197,19 +188,18 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         return work
 
     cut = with_columns(cut, "ids_crc32 bigint", checksums, by="ids", drop=["ids"])
-    return laid.filter("ids_crc32 IS NOT NULL").unionByName(cut).drop("row").unionByName(_whole(tokens, places.sequences, salts, window))
+    return laid.filter("ids_crc32 IS NOT NULL").unionByName(cut).drop("row").unionByName(_whole(tokens, places.sequences, window))
 
 
-def _whole(tokens: DataFrame, first: int, salts: int, window: int) -> DataFrame:
+def _whole(tokens: DataFrame, first: int, window: int) -> DataFrame:
     """The full windows of long documents, numbered from first on."""
-    long = tokens.select("row", "doc_id", "doc_tokens", "whole", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt")).filter(F.size("whole") > 0)
+    long = tokens.select("row", "doc_id", "doc_tokens", "whole", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")).filter(F.size("whole") > 0)
     n = F.size("whole").cast("long")
+    # SALTS rows at most: their running sum is one small window.
     totals = long.groupBy("salt").agg(F.sum(n).alias("n"))
-    # One row a salt, a bounded number of them: their running sum is made from an array, not in one task's window.
-    folded = totals.agg(F.sort_array(F.collect_list(F.struct("salt", "n"))).alias("all"))
-    sums = folded.select(F.explode(F.transform("all", lambda x: F.struct(x["salt"].alias("salt"), F.aggregate(F.filter("all", lambda y: y["salt"] < x["salt"]), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("first")))).alias("s")).select("s.*")
+    sums = totals.select("salt", (F.sum("n").over(Window.orderBy("salt")) - F.col("n")).alias("first"))
     within = F.sum(n).over(Window.partitionBy("salt").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
-    placed = long.withColumn("nth", F.coalesce(within, F.lit(0))).join(sums, "salt")
+    placed = long.withColumn("nth", F.coalesce(within, F.lit(0))).join(F.broadcast(sums), "salt")
     return placed.select("doc_id", "doc_tokens", (F.col("first") + F.col("nth") + first).alias("base"), F.posexplode("whole").alias("k", "ids_crc32")).select(
         "doc_id", (F.col("k").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("base") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
