@@ -6,31 +6,37 @@ features: the shares of hashed byte n-grams of one to three bytes of the text, A
 but letters read as a space. A text's scores are sums of weights over its n-grams, so long texts need no more
 memory than their bytes.
 
-Training: from the labelled rows a sample of about SAMPLE rows a language, chosen by a hash of doc_id and text. That
-bound is the only one: it keeps the training matrix small, and it holds at every size of the input. The
-label counts and the prediction cover all rows.
+Training: the LABELS most frequent labels are learned, from a sample of about SAMPLE rows each, or as many as TOTAL
+rows in all allow, chosen by a hash of doc_id and text. These three bounds are the only ones: they keep the training
+rows (sparse, a few kB each) to what the driver and a task can hold, whatever labels the input has, and they hold at
+every size of it. The machines are fitted in tasks, each on its own. The label counts and the prediction cover all rows.
+
+Families: labels of the table FAMILIES are in the family named there. Any other label joins the family whose mean
+features are most like its own, if the cosine of the two reaches NEAR, else it founds one, in the order of names.
 
 Defined cases: lang_pred is `und` with score 0 for null texts, for texts without a letter, and for all rows
-when no labelled row has a letter. With one language every other text gets it. Labels that are null or empty
-are not learned. The score is the probability of the family times that of the language in it, by logistic
+when no labelled row has a letter. With one language every other text gets it. A null label is not learned; the
+empty string is a label like others. The score is the probability of the family times that of the language in it, by logistic
 curves fitted to the margins of the training rows. Rows are kept one for one, repeated rows too; clashing
 columns are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import raw, with_columns
 from .shared import fresh
 
-SAMPLE = 1000
+SAMPLE, TOTAL, LABELS = 1000, 8000, 500
+#: The cosine of mean features from which a label without a known family joins one.
+NEAR = 0.5
 BITS = 12
 BUCKETS = 1 << BITS
 #: Bytes whose n-grams are made at once.
@@ -168,48 +174,94 @@ def slope_of(margin: np.ndarray, y: np.ndarray) -> float:
     return float(min(trials, key=lambda s: np.logaddexp(0, -np.clip(s * margin * y, -30, 30)).mean() + 1e-3 * s))
 
 
-def learn(x: np.ndarray, langs: list[str]) -> Model:
-    """A model from feature rows and their languages."""
-    known = sorted(set(langs))
-    family = [FAMILY_OF.get(v, v) for v in langs]
-    families = sorted(set(family))
-    members = [[v for v in known if FAMILY_OF.get(v, v) == f] for f in families]
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """Feature rows, each packed as its buckets (int32) and their shares (float32)."""
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for k, packed in enumerate(rows):
+        half = len(packed) // 2
+        x[k, np.frombuffer(packed[:half], np.int32)] = np.frombuffer(packed[half:], np.float32)
+    return x
+
+
+def scale_of(rows: list[bytes]) -> np.ndarray:
+    """For each bucket what evens out frequent and rare n-grams, over all training rows."""
+    sums = np.zeros(BUCKETS)
+    for packed in rows:
+        half = len(packed) // 2
+        sums[np.frombuffer(packed[:half], np.int32)] += np.frombuffer(packed[half:], np.float32).astype(float) ** 2
+    spread = (sums / len(rows)) ** 0.5
+    return np.where(spread > 0, 1 / np.sqrt(np.maximum(spread, 1e-9)), 0)
+
+
+def families_of(langs: list[str], rows: list[bytes], scale: np.ndarray) -> dict[str, str]:
+    """The family of each language."""
+    found = {v: FAMILY_OF[v] for v in sorted(set(langs)) if v in FAMILY_OF}
+    others = [v for v in sorted(set(langs)) if v not in found]
+    if not others:
+        return found
+    means = {v: np.zeros(BUCKETS) for v in set(langs)}
+    for v, packed in zip(langs, rows, strict=True):
+        half = len(packed) // 2
+        means[v][np.frombuffer(packed[:half], np.int32)] += np.frombuffer(packed[half:], np.float32)
+    unit = lambda x: x / max(float(np.linalg.norm(x)), 1e-12)
+    means = {v: unit(x * scale) for v, x in means.items()}
+    for v in others:
+        centres = {f: unit(sum(means[w] for w, g in found.items() if g == f)) for f in sorted(set(found.values()))}
+        best = max(centres, key=lambda f: (float(centres[f] @ means[v]), f), default=None)
+        found[v] = best if best is not None and float(centres[best] @ means[v]) >= NEAR else v
+    return found
+
+
+def fit(spark: SparkSession, langs: list[str], rows: list[bytes]) -> Model:
+    """A model from packed feature rows and their languages: a task a machine."""
+    scale = scale_of(rows)
+    family_of = families_of(langs, rows, scale)
+    families, known = sorted(set(family_of.values())), sorted(family_of)
+    members = [[v for v in known if family_of[v] == f] for f in families]
     pairs = [(k, a, b) for k, own in enumerate(members) for i, a in enumerate(own) for b in own[i + 1 :]]
-    spread = (x * x).mean(axis=0) ** 0.5
-    scale = np.where(spread > 0, 1 / np.sqrt(np.maximum(spread, 1e-9)), 0)
-    rows = (x * scale).astype(np.float32)
-    norm = max(float(np.linalg.norm(rows)) / len(rows) ** 0.5, 1e-9)
-    rows /= norm
-    langs_, family_ = np.array(langs), np.array(family)
-    tasks = [(np.ones(len(x), bool), family_ == f) for f in families] if len(families) > 1 else []
-    tasks += [((langs_ == a) | (langs_ == b), langs_ == a) for _, a, b in pairs]
-    weights, bias, slope = [], [], []
-    for rows_in, positive in tasks:
-        y = np.where(positive[rows_in], 1.0, -1.0)
-        w, b = svm(rows[rows_in], y)
-        slope.append(slope_of(rows[rows_in] @ w + b, y))
-        weights.append(w * scale / norm)
-        bias.append(b)
-    m = len(tasks)
-    w = np.array(weights, np.float32).T if m else np.zeros((BUCKETS, 0), np.float32)
+    # A machine: the languages on its one side and on its other.
+    machines = [(own, [v for v in known if v not in own]) for own in members] if len(families) > 1 else []
+    machines += [([a], [b]) for _, a, b in pairs]
+    bias, slope, w = np.zeros(len(machines)), np.zeros(len(machines)), np.zeros((BUCKETS, len(machines)), np.float32)
+    if machines:
+        norm = max(float(sum(((np.frombuffer(r[len(r) // 2 :], np.float32) * scale[np.frombuffer(r[: len(r) // 2], np.int32)]) ** 2).sum() for r in rows)) ** 0.5 / len(rows) ** 0.5, 1e-9)
+        shared = spark.sparkContext.broadcast((langs, rows, scale, norm, machines))  # at most TOTAL rows
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            langs, rows, scale, norm, machines = shared.value
+            for batch in batches:
+                for k in batch.column("id").to_pylist():
+                    one, other = map(set, machines[k])
+                    chosen = [i for i, v in enumerate(langs) if v in one or v in other]
+                    x = unpacked([rows[i] for i in chosen])
+                    x *= (scale / norm).astype(np.float32)
+                    y = np.array([1.0 if langs[i] in one else -1.0 for i in chosen])
+                    found, b = svm(x, y)
+                    told = (found * scale / norm).astype(np.float32)
+                    yield pa.RecordBatch.from_pylist([{"k": k, "bias": b, "slope": slope_of(x @ found + b, y), "weights": told.tobytes()}], pa.schema([("k", pa.int64()), ("bias", pa.float64()), ("slope", pa.float64()), ("weights", pa.binary())]))
+
+        for r in spark.range(len(machines), numPartitions=len(machines)).mapInArrow(run, "k bigint, bias double, slope double, weights binary").collect():
+            bias[r["k"]], slope[r["k"]], w[:, r["k"]] = r["bias"], r["slope"], np.frombuffer(r["weights"], np.float32)
+        shared.unpersist()
     w[0] = 0
-    return Model(families, members, pairs, np.ascontiguousarray(w), np.array(bias), np.array(slope))
+    return Model(families, members, pairs, np.ascontiguousarray(w), bias, slope)
 
 
 def has_letter(text: Column) -> Column:
     return F.coalesce(F.rlike(text, F.lit("\\p{L}")), F.lit(False))
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, total: int = TOTAL) -> Model | None:
     """A model from labelled rows; None if none of them has a letter."""
-    usable = labelled.filter(F.col(lang).isNotNull() & (F.col(lang) != "") & has_letter(F.col(text)))
-    counts = {r[lang]: r["n"] for r in usable.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
+    told = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    usable = told.filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS).collect()
     if not counts:
         return None
-    span = 1 << 20
-    place = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(span))  # the text too: rows of one key, or of none, do not fall together
-    limit = F.coalesce(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(span, -(-sample * span // n))))])[F.col(lang)], F.lit(0))
-    chosen = usable.filter(place < limit).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    span, each = 1 << 20, max(1, min(sample, total // len(counts)))
+    place = F.pmod(F.xxhash64("key", "text"), F.lit(span))  # the text too: rows of one key, or of none, do not fall together
+    limits = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(span, -(-each * span // r["n"]))))])
+    chosen = usable.filter(place < F.coalesce(F.try_element_at(limits, F.col("lang")), F.lit(0))).select("lang", "text")
 
     def make():
         def work(part: pa.RecordBatch):
@@ -224,11 +276,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         return work
 
     rows = sorted((r["lang"], bytes(r["packed"])) for r in with_columns(chosen, "packed binary", make, by="text", drop=["text"]).collect())
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for k, (_, packed) in enumerate(rows):
-        half = len(packed) // 2
-        x[k, np.frombuffer(packed[:half], np.int32)] = np.frombuffer(packed[half:], np.float32)
-    return learn(x, [v for v, _ in rows])
+    return fit(labelled.sparkSession, [v for v, _ in rows], [x for _, x in rows]) if rows else None
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import resource
 from zlib import crc32
 
 import numpy as np
@@ -303,11 +304,26 @@ def test_predictions_need_neither_label_nor_neighbours(spark):
 def test_language_sample_holds_where_keys_repeat(spark, monkeypatch, key):
     rows = [(key, f"the and of {k}", "en") for k in range(2000)]
     seen = []
-    monkeypatch.setattr(langid, "learn", lambda x, langs: seen.append(len(langs)))
+    monkeypatch.setattr(langid, "fit", lambda spark, langs, rows: seen.append(len(langs)))
     langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=200)
     assert 120 < seen[0] < 280
 
 
+def test_two_hundred_labels_take_bounded_memory(spark):
+    """Free labels: the driver holds TOTAL sparse rows, machines are fitted in tasks, and labels without a known family get one."""
+    rng = random.Random(3)
+    letters = [[rng.choice("abcdefghijklmnopqrstuvwxyzäöüéèñçøåßþ") for _ in range(6)] for _ in range(40)]
+    words = [["".join(rng.choice(letters[k // 5]) for _ in range(rng.randint(2, 7))) for _ in range(30)] for k in range(200)]
+    rows = [(i, " ".join(rng.choice(words[i % 200]) for _ in range(40)), "" if i % 200 == 7 else f"x{i % 200}") for i in range(6000)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    model = langid.train(spark.createDataFrame(rows, DOCS + ", lang string"), total=1000)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # kB
+    assert sum(map(len, model.members)) == 200 and any("" in own for own in model.members)
+    assert 1 < len(model.families) < 200 and model.pairs
+    told = langid.predict(spark.createDataFrame([(i, t) for i, t, _ in rows[:400]], DOCS), model).collect()
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in told) > 300
+
+
 def test_language_edge_cases(spark):
     rows = language_rows(60) + [(900, None, "en"), (901, "", None), (902, "123 ... !", "xx"), (903, "the and of " * 20_000, None)]
     told = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, DOCS + ", lang string")).collect()}
