@@ -20,6 +20,7 @@ each other. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b, sha256
@@ -82,57 +83,103 @@ def read(spelled: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]
     return root, out
 
 
-def leaf_counts(spelled: str) -> Counter:
-    return Counter(x for _, ps in read(spelled)[1] for _, leaves in ps for x in leaves)
+Branch = tuple[str, list]
 
 
-def _share(a: Counter, b: Counter) -> float:
-    n = a.total() + b.total()
+def _differing(a: list[Branch], b: list[Branch]) -> tuple[list[Branch], list[Branch]]:
+    """The branches of a and of b that the other does not have, with multiplicity."""
+    spare, left = Counter(x for x, _ in b), []
+    for branch in a:
+        if spare[branch[0]]:
+            spare[branch[0]] -= 1
+        else:
+            left.append(branch)
+    right = []
+    for branch in reversed(b):
+        if spare[branch[0]]:
+            spare[branch[0]] -= 1
+            right.append(branch)
+    return left, right[::-1]
+
+
+def size(sections: list[Branch]) -> int:
+    """Leaves of a tree."""
+    return sum(len(leaves) for _, ps in sections for _, leaves in ps)
+
+
+def share(a: list[Branch], b: list[Branch]) -> float:
+    """The share of leaves that two different trees have in common: less than 1."""
+    n = size(a) + size(b)
     if not n:
         return 0.0
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    common = sum(min(v, large[k]) for k, v in small.items() if k in large)
-    return min(2 * common / n, 1 - 1 / (n + 1))
+    below = lambda side: [x for _, under in side for x in under]
+    a, b = _differing(a, b)
+    a, b = _differing(below(a), below(b))
+    extra = Counter(below(a))
+    extra.subtract(below(b))
+    apart = sum(map(abs, extra.values()))
+    return min((n - apart) / n, 1 - 1 / (n + 1))
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1; 1 if and only if the roots are equal."""
-    return 1.0 if a[:ROOT] == b[:ROOT] else _share(leaf_counts(a), leaf_counts(b))
-
-
-def _aligned(a: list[str], b: list[str]) -> tuple[int, int, int]:
-    """Equal items at both ends: how many first, and where the differing middle ends in a and in b."""
-    first = 0
-    while first < min(len(a), len(b)) and a[first] == b[first]:
-        first += 1
-    ends = (len(a), len(b))
-    while min(ends) > first and a[ends[0] - 1] == b[ends[1] - 1]:
-        ends = (ends[0] - 1, ends[1] - 1)
-    return first, *ends
+    return 1.0 if a[:ROOT] == b[:ROOT] else share(read(a)[1], read(b)[1])
+
+
+def _gaps(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
+    """Where two lists differ: (first, end) in a and in b. Items that both hold once, in one order, are the fixed points."""
+    once = lambda side: {x for x, n in Counter(side).items() if n == 1}
+    both, place = once(a) & once(b), {x: k for k, x in enumerate(b)}
+    tops, links = [], []  # the longest rising run of places in b
+    for i, x in enumerate(a):
+        if x in both:
+            k = bisect_left(tops, place[x], key=lambda t: links[t][1])
+            links.append((i, place[x], tops[k - 1] if k else None))
+            tops[k : k + 1] = [len(links) - 1]
+    fixed, at = [(len(a), len(b))], tops[-1] if tops else None
+    while at is not None:
+        fixed.append(links[at][:2])
+        at = links[at][2]
+    out, i, j = [], 0, 0
+    for x, y in reversed(fixed):
+        end_i, end_j = x, y
+        while i < end_i and j < end_j and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        while i < end_i and j < end_j and a[end_i - 1] == b[end_j - 1]:
+            end_i, end_j = end_i - 1, end_j - 1
+        if i < end_i or j < end_j:
+            out.append((i, end_i, j, end_j))
+        i, j = x, y
+    return out
+
+
+def _edits(a: list[Branch], b: list[Branch], depth: int, base_a: int, base_b: int) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
+    """Ranges of differing leaves of two lists of sections (depth 2), of paragraphs (1) or of leaves (0)."""
+    named = lambda side: [x if depth == 0 else x[0] for x in side]
+    leaves = lambda side: len(side) if depth == 0 else sum(len(x) for _, x in side) if depth == 1 else size(side)
+    i = j = 0
+    for x, end_x, y, end_y in _gaps(named(a), named(b)):
+        base_a, base_b, i, j = base_a + leaves(a[i:x]), base_b + leaves(b[j:y]), x, y
+        if depth:
+            yield from _edits([p for _, below in a[x:end_x] for p in below], [p for _, below in b[y:end_y] for p in below], depth - 1, base_a, base_b)
+        else:
+            yield (base_a, base_a + end_x - x), (base_b, base_b + end_y - y)
 
 
 def locate_edits(a: str, b: str) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Where b differs from a: ((first, last + 1) leaves of a, the same of b), found through differing branches only."""
-    if a[:ROOT] == b[:ROOT]:
-        return []
-    (_, sa), (_, sb) = read(a), read(b)
-    counts = lambda ps: sum(len(x) for _, x in ps)
-    lo, ea, eb = _aligned([s for s, _ in sa], [s for s, _ in sb])
-    base_a = base_b = sum(counts(ps) for _, ps in sa[:lo])
-    pa_, pb_ = ([p for _, ps in s[lo:e] for p in ps] for s, e in ((sa, ea), (sb, eb)))
-    lo, ea, eb = _aligned([p for p, _ in pa_], [p for p, _ in pb_])
-    skipped = counts(pa_[:lo])
-    la, lb = ([x for _, leaves in p[lo:e] for x in leaves] for p, e in ((pa_, ea), (pb_, eb)))
-    lo, ea, eb = _aligned(la, lb)
-    return [((base_a + skipped + lo, base_a + skipped + ea), (base_b + skipped + lo, base_b + skipped + eb))]
+    """Where b differs from a: ((first, last + 1) leaves of a, the same of b) of each edit, found through differing branches only."""
+    return [] if a[:ROOT] == b[:ROOT] else list(_edits(read(a)[1], read(b)[1], 2, 0, 0))
 
 
-FIELDS = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+FIELDS = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits string"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edits", pa.string())])
 
 
 def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """FIELDS of each row; the edited text ends in the beginning of the next document by falling doc_id."""
+    """FIELDS of each row; the edited text ends in the beginning of the next document by falling doc_id.
+
+    edits: where it differs from the document, as ranges of leaves, `12-15:12-17;40-41:42-42`.
+    """
     spark, lowest = docs.sparkSession, -(1 << 63)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("place", F.coalesce("doc_id", F.lit(lowest)))
@@ -175,15 +222,17 @@ def _judged(documents: Iterable[tuple[int | None, str, int]]) -> Iterator[tuple]
     last = None
     for doc_id, text, guest in documents:
         spelled = fingerprint(text)
-        leaves = leaf_counts(spelled)
+        tree_ = read(spelled)[1]
         if last is not None:
-            own_id, own, own_spelled, own_leaves = last
+            own_id, own, own_spelled, own_tree = last
             n = len(own)
             edited = own[: n - n // 3] + text[: n // 3]
             edited_spelled = fingerprint(edited)
-            near_edited = 1.0 if edited_spelled[:ROOT] == own_spelled[:ROOT] else _share(own_leaves, leaf_counts(edited_spelled))
-            near_next = 1.0 if spelled[:ROOT] == own_spelled[:ROOT] else _share(own_leaves, leaves)
-            yield own_id, n, sha256(edited.encode()).hexdigest(), own_spelled, edited_spelled, near_edited, near_next
-        last = doc_id, text, spelled, leaves
+            same, edited_tree = edited_spelled[:ROOT] == own_spelled[:ROOT], read(edited_spelled)[1]
+            near_edited = 1.0 if same else share(own_tree, edited_tree)
+            near_next = 1.0 if spelled[:ROOT] == own_spelled[:ROOT] else share(own_tree, tree_)
+            edits = ";".join(f"{x[0]}-{x[1]}:{y[0]}-{y[1]}" for x, y in ([] if same else _edits(own_tree, edited_tree, 2, 0, 0)))
+            yield own_id, n, sha256(edited.encode()).hexdigest(), own_spelled, edited_spelled, near_edited, near_next, edits
+        last = doc_id, text, spelled, tree_
         if guest:
             return

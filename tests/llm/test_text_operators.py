@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import resource
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -165,6 +166,36 @@ def test_plan_uses_every_length_once_and_stays_small():
 # --- fingerprints
 
 
+def brute_tree(text):
+    """The tree read from its description: root and [[leaves of a paragraph] of a section], by other means than the module's."""
+    short = lambda data, n=16: hashlib.blake2b(data, digest_size=n).digest()
+    sections, now = [], []
+    for line in text.split("\n") if text else []:
+        leaves, k = [], 0
+        while k < len(line):
+            end = k
+            while end < len(line) and end - k < 64 and line[end] not in ".!?":
+                end += 1
+            while end < len(line) and line[end] in ".!?":
+                end += 1
+            leaves.append(short(line[k:end].encode()))
+            k = end
+        digest = short(b"p" + b"".join(leaves))
+        now.append((digest, leaves))
+        if not line.strip() or digest[0] % 8 == 0:
+            sections, now = [*sections, now], []
+    sections += [now] if now else []
+    root = short(b"d" + b"".join(short(b"s" + b"".join(p for p, _ in ps)) for ps in sections))
+    return root.hex(), [[[x.hex()[:8] for x in leaves] for _, leaves in ps] for ps in sections]
+
+
+def brute_likeness(a, b):
+    (root_a, x), (root_b, y) = brute_tree(a), brute_tree(b)
+    x, y = ([leaf for ps in side for p in ps for leaf in p] for side in (x, y))
+    n, common = len(x) + len(y), sum((Counter(x) & Counter(y)).values())
+    return 1.0 if root_a == root_b else min(2 * common / n, 1 - 1 / (n + 1)) if n else 0.0
+
+
 def test_fingerprints_equal_brute_force(spark):
     texts = dict(enumerate([t or "" for t in ODD] + ["Same text. Twice.", "Same text. Twice.", "One.\n\nTwo. Three!\nFour"]))
     docs = spark.createDataFrame([(i, None if i == 0 else t, "x") for i, t in texts.items()], DOCS + ", fingerprint string").repartition(3)
@@ -176,9 +207,30 @@ def test_fingerprints_equal_brute_force(spark):
         own, other = texts[r.doc_id], texts[after[r.doc_id]]
         edited = own[: len(own) - len(own) // 3] + other[: len(own) // 3]
         assert r.n_chars == len(own) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.fingerprint == fingerprint.fingerprint(own) and r.edited_fingerprint == fingerprint.fingerprint(edited)
-        assert r.near_edited == fingerprint.likeness(r.fingerprint, r.edited_fingerprint)
-        assert r.near_next == fingerprint.likeness(r.fingerprint, fingerprint.fingerprint(other))
+        for spelled, text in ((r.fingerprint, own), (r.edited_fingerprint, edited)):
+            root, sections = fingerprint.read(spelled)
+            assert (root, [[leaves for _, leaves in ps] for _, ps in sections]) == brute_tree(text)
+        assert r.near_edited == pytest.approx(brute_likeness(own, edited), abs=1e-12) and r.near_next == pytest.approx(brute_likeness(own, other), abs=1e-12)
+        assert (r.edits == "") == (own == edited)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_edits_are_located_each(seed):
+    """Leaves outside the located ranges are the same on both sides, and ranges do not run over what stayed between two edits."""
+    rng = random.Random(seed)
+    lines = [" ".join(f"w{rng.randint(0, 9) if seed % 2 else rng.random()} x." for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 60))]
+    edited = list(lines)
+    for _ in range(rng.randint(0, 4)):
+        k = rng.randint(0, len(edited))
+        edited[k : k + rng.randint(0, 2)] = ["Something else. And more."] * rng.randint(0, 2)
+    a, b = ("\n".join(x) for x in (lines, edited))
+    x, y = ([leaf for ps in brute_tree(t)[1] for p in ps for leaf in p] for t in (a, b))
+    found = fingerprint.locate_edits(fingerprint.fingerprint(a), fingerprint.fingerprint(b))
+    i = j = 0
+    for (p, q), (r, s) in [*found, ((len(x), len(x)), (len(y), len(y)))]:
+        assert x[i:p] == y[j:r] and p <= q and r <= s
+        i, j = q, s
+    assert fingerprint.likeness(fingerprint.fingerprint(a), fingerprint.fingerprint(b)) == pytest.approx(brute_likeness(a, b), abs=1e-12)
 
 
 def test_fingerprint_edge_tables(spark):
@@ -198,6 +250,8 @@ def test_likeness_and_edits():
     assert fingerprint.likeness(a, fingerprint.fingerprint("")) == 0
     ((x, y),) = fingerprint.locate_edits(a, b)
     assert x == y == (90, 91) and fingerprint.locate_edits(a, a) == []
+    twice = fingerprint.fingerprint(edited.replace("Paragraph 5 begins", "Paragraph five starts").replace("\nParagraph 50 begins. It goes on for a while! Does it end?", ""))
+    assert fingerprint.locate_edits(a, twice) == [((15, 16), (15, 16)), ((90, 91), (90, 91)), ((150, 153), (150, 150))]
     moved = fingerprint.fingerprint("\n".join(reversed(text.split("\n"))))
     assert fingerprint.likeness(a, moved) < 1
 
