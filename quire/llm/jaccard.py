@@ -13,10 +13,13 @@ is every document's component. The steps:
    of them, will do. Any order would do for right results; rare tokens first keep common passages out of the
    prefixes. The tokens of a group are combined to one row before they are dealt out, however large it is.
 4. Groups that meet are candidates if the bound on their overlap allows a link: by sizes and by the tokens'
-   places, and by the number of tokens in which they meet. First the groups' own documents are compared. Groups
-   whose members are not all linked with each other by then are opened: the members of the smaller one are asked
-   of the larger one's, and within a group its members outside its largest component are asked of all members,
-   in blocks of about BLOCK_TOKENS tokens. Comparisons are exact, on whole texts.
+   places, and by the number of tokens in which they meet. A token that more than HOT groups hold is set aside and
+   its groups are compared block by block, in as many tasks as that takes. First the groups' own documents are
+   compared. Groups whose members are not all linked with each other by then are opened: the members of the smaller
+   one are asked of the larger one's, and within a group its members outside its largest component are asked of all
+   members. Of these only such are compared as have enough tokens of their prefixes in common with the other side
+   (see worth_asking; one row a token and document, no pairs), in blocks of about BLOCK_TOKENS tokens. Comparisons are
+   exact, on whole texts.
 5. The links' components are the result.
 
 No pairs within a group are made, and no link between different groups is lost: two groups with a linked pair
@@ -48,6 +51,10 @@ PERCENT, SIMILAR = 80, 50
 SKETCH_BITS, BLOCKS = 18, 64
 #: Tokens of a block of an opened group, and documents asked of a block by one task.
 BLOCK_TOKENS, ASKED = 200_000, 1_000
+#: Groups of one token that a task compares; of more, this many are a block.
+HOT = 16_384
+#: Pairs that a task holds before it counts them and hands them on.
+HELD_PAIRS = 500_000
 PROFILE = "doc_id bigint, n int, digest binary, near array<bigint>, block int, counters binary"
 #: sizes: least and greatest set (32 bits each); places: least and greatest place of the token, and whether in an index part.
 ENTRIES = "token bigint, unit bigint, sizes bigint, places bigint"
@@ -191,24 +198,29 @@ def entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", "unit").mapInArrow(run, ENTRIES)
 
 
-def _meetings(unit: np.ndarray, low: np.ndarray, high: np.ndarray, near: np.ndarray, far: np.ndarray, indexed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of units of one token whose overlap may suffice, each pair once, as two arrays at a time."""
-    starts, every, step = np.flatnonzero(indexed), np.arange(len(unit)), max(1, 1_000_000 // len(unit))
-    for k in range(0, len(starts), step):
-        x = starts[k : k + step][:, None]
-        fits = lambda a, b: (5 * high[a] >= 4 * low[b]) & (low[a] <= high[b])  # noqa: E731  a, the smaller, may be linked with b
-        one, other = fits(x, every[None, :]), fits(every[None, :], x) & (indexed[None, :] > 0)
+def _meetings(x: np.ndarray, y: np.ndarray, both: bool, unit: np.ndarray, low: np.ndarray, high: np.ndarray, near: np.ndarray, far: np.ndarray, indexed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of x and y, units of one token, whose overlap may suffice, as two arrays at a time; both: x and y are the same, and each pair comes once."""
+    fits = lambda a, b: (5 * high[a] >= 4 * low[b]) & (low[a] <= high[b]) & (indexed[a] > 0)  # noqa: E731  a, the smaller, may be linked with b
+    step, y = max(1, 1_000_000 // max(len(y), 1)), y[None, :]
+    for k in range(0, len(x), step):
+        some = x[k : k + step][:, None]
         # Tokens before this one in both, and what is left of either, against the least overlap of the smallest.
-        most = np.minimum(far[x], far[None, :]) + np.minimum(high[x] - near[x], (high - near)[None, :])
-        least = 4 * (low[x] + low[None, :])
-        i, j = np.nonzero((unit[x] != unit[None, :]) & one & ~(other & (x > every[None, :])) & (9 * most >= least))
-        yield x[i, 0], j
+        most = np.minimum(far[some], far[y]) + np.minimum(high[some] - near[some], (high - near)[y])
+        least = 4 * (low[some] + low[y])
+        i, j = np.nonzero((unit[some] < unit[y] if both else unit[some] != unit[y]) & (fits(some, y) | fits(y, some)) & (9 * most >= least))
+        yield some[i, 0], y[0, j]
 
 
-def meetings(matrix: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of groups that meet in enough tokens of the matrix to have linked members."""
-    names = ("token", "unit", "sizes", "places")
-    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "times", "low_a", "high_a", "low_b", "high_b")])
+MET = "a bigint, b bigint, times bigint, low_a bigint, high_a bigint, low_b bigint, high_b bigint, token bigint, unit bigint, sizes bigint, places bigint"
+
+
+def _met(dealt: DataFrame, hot: float) -> DataFrame:
+    """MET rows of rows (token, side, unit, sizes, places) in order of token: the pairs of units of each token, with how often they met, and rows of tokens that more than hot units hold.
+
+    Rows of side 0 meet each other if the token has no others; else rows of side 0 meet those of side 1.
+    """
+    names = ("token", "side", "unit", "sizes", "places")
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in MET.split(", ")])
 
     def counted(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         u, v, *sizes = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -217,44 +229,73 @@ def meetings(matrix: DataFrame) -> DataFrame:
         at = np.flatnonzero(np.concatenate([[True], (np.diff(u) != 0) | (np.diff(v) != 0)]))
         times = np.diff(np.concatenate([at, [len(u)]]))
         spread = [(np.minimum if k % 2 == 0 else np.maximum).reduceat(c, at) for k, c in enumerate(sizes)]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (u[at], v[at], times, *spread)], schema=schema)
+        found = [pa.array(c.astype(np.int64)) for c in (u[at], v[at], times, *spread)]
+        return pa.RecordBatch.from_arrays([*found, *[pa.nulls(len(at), pa.int64())] * 4], schema=schema)
+
+    def set_aside(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        kept = [pa.array(c.astype(np.int64)) for c in (columns[0], *columns[2:])]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(columns[0]), pa.int64())] * 7, *kept], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, found, size = None, [], 0
+        held, found, size, aside = None, [], 0, None
 
-        def meet(columns: tuple[np.ndarray, ...]) -> None:
-            nonlocal size
+        def meet(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            nonlocal found, size
             edges = np.flatnonzero(np.diff(columns[0])) + 1
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(columns[0])]])
             many = np.flatnonzero(ends - starts > 1)
             for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-                unit, sizes, places = (c[a:b] for c in columns[1:])
+                side, unit, sizes, places = (c[a:b] for c in columns[1:])
                 low, high, *rest = unpack(sizes, places)
-                for i, j in _meetings(unit, low, high, *rest):
+                x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                for i, j in _meetings(x, y if len(y) else x, not len(y), unit, low, high, *rest):
                     first, second = np.where(unit[i] < unit[j], i, j), np.where(unit[i] < unit[j], j, i)
                     found.append((unit[first], unit[second], low[first], high[first], low[second], high[second]))
                     size += len(i)
+                    if size > HELD_PAIRS:
+                        yield counted(found)
+                        found, size = [], 0
 
         for batch in batches:
             columns = tuple(np.asarray(batch.column(c)) for c in names)
+            if aside is not None and len(columns[0]):  # the rest of a token that was set aside
+                n = int(np.searchsorted(columns[0], aside, "right"))
+                if n:
+                    yield set_aside(tuple(c[:n] for c in columns))
+                    columns = tuple(c[n:] for c in columns)
             if held is not None:
                 columns = tuple(np.concatenate(c) for c in zip(held, columns, strict=True))
             if not len(columns[0]):
                 continue
             last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last token may go on in the next batch
             if last:
-                meet(tuple(c[:last] for c in columns))
+                yield from meet(tuple(c[:last] for c in columns))
             held = tuple(c[last:] for c in columns)
-            if size > 500_000:
-                yield counted(found)
-                found, size = [], 0
+            if len(held[0]) > hot:
+                aside = held[0][0]
+                yield set_aside(held)
+                held = None
         if held is not None and len(held[0]):
-            meet(held)
+            yield from meet(held)
         if size:
             yield counted(found)
 
-    dealt = matrix.select(*names).repartition("token").sortWithinPartitions("token")
-    pairs = dealt.mapInArrow(run, "a bigint, b bigint, times bigint, low_a bigint, high_a bigint, low_b bigint, high_b bigint").groupBy("a", "b")
+    return dealt.mapInArrow(run, MET)
+
+
+def meetings(matrix: DataFrame, hot: int = HOT) -> DataFrame:
+    """Distinct pairs (a, b) of groups that meet in enough tokens of the matrix to have linked members."""
+    in_turn = lambda df: df.select("token", "side", "unit", "sizes", "places").repartition("token").sortWithinPartitions("token")
+    met = materialise(_met(in_turn(matrix.withColumn("side", F.lit(0).cast("long"))), hot), "met")
+    pairs, aside = met.filter("a IS NOT NULL"), met.filter("token IS NOT NULL").select("token", "unit", "sizes", "places")
+    if aside.limit(1).count():
+        shape = aside.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("blocks"))
+        cut = aside.join(small(shape), "token").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
+        # A row goes to each pair of blocks that its own is in: on side 0 of (own, later), on side 1 of (earlier, own).
+        every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"), (k < F.col("block")).cast("long").alias("side")))
+        spread = cut.select("token", "unit", "sizes", "places", F.inline(every)).withColumn("token", F.xxhash64("token", "i", "j"))
+        pairs = pairs.unionByName(_met(in_turn(spread), float("inf")).filter("a IS NOT NULL"))
+    pairs = pairs.groupBy("a", "b")
     pairs = pairs.agg(F.sum("times").alias("times"), *[F.min(c).alias(c) for c in ("low_a", "low_b")], *[F.max(c).alias(c) for c in ("high_a", "high_b")])
     # Sets of sizes s <= t that link share i = ceil(4 (s + t) / 9) tokens, the first m of them in the first s - i + m and t - i + m tokens.
     s, t = F.least("low_a", "low_b"), F.greatest("low_a", "low_b")
@@ -266,6 +307,80 @@ def meetings(matrix: DataFrame) -> DataFrame:
     return pairs.filter(F.col("times") >= need).select("a", "b")
 
 
+def needed(low, high):
+    """Tokens of their prefixes in which sets of sizes low <= high meet at least if they link; for numbers and arrays."""
+    i = -(-4 * (low + high) // 9)
+    return np.minimum(index_part(low) - low + i, probed(high) - high + i)
+
+
+def worth_asking(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """The rows of roles (host, sid, label, asks) that may have a link to another label's document on the other side of their host.
+
+    For each token of a document's prefix it is told whether the other side has it in a document of another label
+    and of a size that may link; a document that links with any other has at least needed() such tokens. A
+    token's documents of a host are summed up by size (their least and greatest label), and each row is held against
+    these sums as it streams by: work and rows are linear in the documents' tokens, whatever the size of the group.
+    """
+    own = docs.join(small(roles.select(F.col("sid").alias("doc_id")).distinct()), "doc_id").withColumn("unit", F.col("doc_id"))
+    counts = sketch_of(materialise(profile(own), "opened"))
+    found = entries(own, counts).select("token", F.col("unit").alias("sid"), F.shiftright("sizes", 32).alias("n"))
+    found = found.join(small(roles), "sid").select(F.xxhash64("token", "host").alias("token"), "host", "sid", "label", "n", F.col("asks").cast("long").alias("asks"))
+    sums = found.groupBy("token", "asks", "n").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    zero = F.lit(0).cast("long")
+    both = found.select("token", F.lit(1).cast("long").alias("kind"), "asks", "n", "host", "sid", F.col("label").alias("low"), F.col("label").alias("high"))
+    both = both.unionByName(sums.select("token", zero.alias("kind"), "asks", "n", zero.alias("host"), zero.alias("sid"), "low", "high"))
+    names, fields = ("token", "kind", "asks", "n", "host", "sid", "low", "high"), "host bigint, sid bigint, asks bigint, n bigint, low bigint, high bigint"
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in fields.split(", ")])
+
+    def partners(sums: tuple[np.ndarray, ...], n: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which rows of sizes n and these labels have partners of other labels in sums (n, low, high), and the least and greatest size of partners."""
+        sizes, low, high = sums
+        own, at = np.unique(n, return_inverse=True)
+        start, stop = np.searchsorted(sizes, -(-4 * own // 5), "left"), np.searchsorted(sizes, 5 * own // 4, "right")
+        hit = stop > start
+        least, most = (np.array([f(x[a:b]) if a < b else 0 for a, b in zip(start.tolist(), stop.tolist())]) for f, x in ((np.min, low), (np.max, high)))
+        ends = np.minimum(start, len(sizes) - 1), np.maximum(stop, 1) - 1
+        return np.flatnonzero(hit[at] & ((least[at] != label) | (most[at] != label))), sizes[ends[0]][at], sizes[ends[1]][at]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, {}
+        for batch in batches:
+            columns = tuple(np.asarray(batch.column(c)) for c in names)
+            edges = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
+            told = []
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(columns[0])]):
+                if a == b:
+                    continue
+                token, kind, asks, n, host, sid, low, high = (c[a:b] for c in columns)
+                if token[0] != now:
+                    now, sums = token[0], {}
+                for k in (0, 1):
+                    x = np.flatnonzero(asks == k)
+                    if len(x) and not kind[0]:
+                        old = sums.get(k, (np.zeros(0, np.int64),) * 3)
+                        sums[k] = tuple(np.concatenate(c) for c in zip(old, (n[x], low[x], high[x]), strict=True))
+                    elif len(x) and 1 - k in sums:
+                        hit, least, most = partners(sums[1 - k], n[x], low[x])
+                        told.append((host[x][hit], sid[x][hit], asks[x][hit], n[x][hit], least[hit], most[hit]))
+            if told:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*told, strict=True)], schema=schema)
+
+    met = both.repartition("token").sortWithinPartitions("token", "kind", "n").mapInArrow(run, fields)
+    met = met.groupBy("host", "sid", "asks").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+    def make():
+        def work(part: pa.RecordBatch):
+            times, n, low, high = (np.asarray(part.column(c)) for c in ("times", "n", "low", "high"))
+            # Between its ends and n itself the bound is rising or falling, but for rounding.
+            least = np.minimum.reduce([needed(np.minimum(n, t), np.maximum(n, t)) for t in (low, high, np.clip(n, low, high))]) - 2
+            return [pa.array(times >= least)]
+
+        return work
+
+    fine = with_columns(met.withColumn("tag", F.lit("12345678")), "fine boolean", make, by="tag", drop=["tag"]).filter("fine").select("host", "sid", F.col("asks").cast("int").alias("asks"))
+    return roles.join(small(fine), ["host", "sid", "asks"], "left_semi")
+
+
 def open_groups(docs: DataFrame, apart: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b) between members of the groups of each pair of apart, one for each member and component at least.
 
@@ -273,22 +388,29 @@ def open_groups(docs: DataFrame, apart: DataFrame, members: DataFrame) -> DataFr
     are asked of the larger one's; in a group paired with itself, those outside its largest component. Both
     are dealt in parts of bounded size, the asked ones to each part of the asking ones and the other way round.
     """
-    totals = members.groupBy("unit").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    totals = members.groupBy("unit").agg(F.count(F.lit(1)).alias("members"))
     main = members.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("unit").agg(F.max(F.struct("n", "label")).alias("m")).select("unit", F.col("m.label").alias("main"))
-    told = lambda side: totals.select(F.col("unit").alias(side), F.col("members").alias(f"m_{side}"), F.col("tokens").alias(f"t_{side}"))
+    told = lambda side: totals.select(F.col("unit").alias(side), F.col("members").alias(f"m_{side}"))
     sides = apart.join(told("a"), "a").join(told("b"), "b")
     swap = F.col("m_a") < F.col("m_b")
     either = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
-    sides = sides.select(either("b", "a").alias("host"), either("a", "b").alias("guest"), either("t_b", "t_a").alias("tokens"))
-    asking = sides.join(members.join(main, "unit").withColumnRenamed("unit", "guest"), "guest").filter("host <> guest OR label <> main").select("host", "tokens", "sid", "label").distinct()
+    sides = sides.select(either("b", "a").alias("host"), either("a", "b").alias("guest"))
+    asking = sides.join(members.join(main, "unit").withColumnRenamed("unit", "guest"), "guest").filter("host <> guest OR label <> main").select("host", "sid", "label").distinct()
     asking = materialise(asking, "asking")
-    shape = asking.groupBy("host").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    if not asking.limit(1).count():
+        return docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    mine = members.withColumnRenamed("unit", "host").join(asking.select("host").distinct(), "host", "left_semi")
+    roles = materialise(mine.select("host", "sid", "label", F.lit(0).alias("asks")).unionByName(asking.select("host", "sid", "label", F.lit(1).alias("asks"))), "roles")
+    roles = materialise(worth_asking(docs, roles), "worth")
+    sizes = roles.filter("asks = 0").join(members.select("sid", "n").distinct(), "sid").groupBy("host").agg(F.sum("n").alias("tokens"))
+    shape = roles.filter("asks = 1").groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(sizes, "host")
     shape = shape.select("host", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"), F.ceil(F.col("n") / ASKED).cast("int").alias("parts"))
     place = lambda n, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = members.withColumnRenamed("unit", "host").join(shape, "host").select("sid", "label", "host", place("blocks", 1).alias("block"), every("parts").alias("part"), F.lit(0).alias("asks"))
-    ask = asking.drop("tokens").join(shape, "host").select("sid", "label", "host", place("parts", 2).alias("part"), every("blocks").alias("block"), F.lit(1).alias("asks"))
-    roles = materialise(own.unionByName(ask), "roles")
+    placed = roles.join(small(shape), "host")
+    own = placed.filter("asks = 0").select("sid", "label", "host", place("blocks", 1).alias("block"), every("parts").alias("part"), "asks")
+    ask = placed.filter("asks = 1").select("sid", "label", "host", place("parts", 2).alias("part"), every("blocks").alias("block"), "asks")
+    roles = materialise(own.unionByName(ask), "dealt")
     dealt = docs.join(small(roles.withColumnRenamed("sid", "doc_id")), "doc_id").select("doc_id", "text", "label", "host", "block", "part", "asks")
     dealt = dealt.repartition("host", "block", "part").sortWithinPartitions("host", "block", "part", "asks", "doc_id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

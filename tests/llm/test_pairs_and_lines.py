@@ -70,6 +70,44 @@ def test_components_equal_brute_force(spark, seed):
     assert found == brute_components(rows)
 
 
+def template_copies(seed, n=70):
+    """Copies of one template with own words: similar throughout, some linked in chains, some with nothing, of two lengths."""
+    rng = random.Random(seed)
+    base = [f"t{rng.randint(0, 500)}" for _ in range(120)]
+    rows = []
+    for i in range(n):
+        t = list(base[: rng.choice([120, 112])])
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            k = rng.randrange(0, len(t), rng.choice([1, 30]))
+            t[k] = f"own{rng.choice([i, i // 7, 0])}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [3, 16_384])
+@pytest.mark.parametrize("seed", [3, 4])
+def test_opened_groups_and_split_tokens_lose_no_link(spark, monkeypatch, seed, hot):
+    """Groups of similar documents that link only in part, in many small blocks, with tokens that more than HOT groups hold."""
+    monkeypatch.setattr(jaccard, "meetings", lambda matrix, f=jaccard.meetings: f(matrix, hot))
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(jaccard, "ASKED", 4)
+    monkeypatch.setattr(jaccard, "HELD_PAIRS", 10)
+    rows = template_copies(seed) + near_copies(seed, groups=3, hot=15)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert found == brute_components(rows)
+
+
+def test_copies_of_a_template_with_texts_of_their_own_are_not_compared(spark, monkeypatch):
+    """Similar but unlinked documents, each with a quarter of its own: none is worth asking, so none is dealt to a block."""
+    rng, dealt = random.Random(6), []
+    base = " ".join(f"t{rng.random()}" for _ in range(90))
+    rows = [(i, base + " " + " ".join(f"o{i}x{k}" for k in range(32))) for i in range(300)]
+    monkeypatch.setattr(jaccard, "worth_asking", lambda docs, roles, f=jaccard.worth_asking: dealt.append((roles.count(), f(docs, roles))) or dealt[-1][1])
+    found = jaccard.link_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.doc_id == r.component_id for r in found)
+    assert dealt[0][0] > 500 and dealt[0][1].count() == 0
+
+
 def test_jaccard_of_repeated_rows_null_ids_and_empty_tables(spark):
     text = "one two three four five six"
     docs = spark.createDataFrame([(5, text), (5, text), (7, text), (None, text), (9, "other")], DOCS)
