@@ -16,9 +16,21 @@ RESERVED = "^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"
 HIDDEN_MARK = " *(oculta)*"
 ACCENTS, PLAIN = "áéíóúüñÁÉÍÓÚÜÑ", "aeiouunAEIOUUN"
 ARROWS, ENDS = ("triangle", "arrow", "stealth"), ("triangle", "arrow", "stealth", "none")
-#: Line beginnings that mean something in Markdown; a number is escaped behind it, the rest before it.
-NUMBERED = r"^(\s{0,3})(\d{1,9})(?=[.)](?:\s|$))"
-MARKED = r"^(\s{0,3})(#|>|\||`{3,}|~{3,}|[-*_](?:\s*[-*_]){2,}\s*$|[-+*](?=\s|$)|=+\s*$)"
+#: What Markdown reads at the beginning of a line, after up to three blanks, by the block that it would start.
+STARTS = {
+    "heading": "#",
+    "quote": ">",
+    "table": r"\|",
+    "fence": "```|~~~",
+    "thematic break": r"(?:[*_-]\s*){3,}$",
+    "bullet": r"[*+-](?:\s|$)",
+    "underline": r"=+\s*$",
+}
+#: Digits that a dot or bracket makes a list item of.
+ITEM_NUMBER = r"\d{1,9}(?=[.)](?:\s|$))"
+#: Signs of CAD text by their code (fixed values of the format); other codes leave nothing, paragraphs and hard blanks a space.
+CAD_SIGNS = {"%%c": "Ø", "%%d": "°", "%%p": "±", "%%%": "%", "\\p": " ", "\\~": " "}
+CAD_CODE = r"(%%[CcDdPp%]|\\[A-Za-z][^;]*;|\\[P~]|[{}])"
 
 
 def sub(text: Column, pattern: str, by: str) -> Column:
@@ -41,9 +53,9 @@ def md_inline(text: Column) -> Column:
 
 def md_text(text: Column) -> Column:
     """Prose as literal Markdown: line beginnings that would start headings, lists, quotes or tables are escaped."""
-    lines = F.split(sub(sub(md_inline(text), "\r\n", "\n"), "\r", "\n"), "\n")
-    escaped = F.transform(lines, lambda x: F.when(F.rlike(x, F.lit(NUMBERED)), sub(x, NUMBERED, "$1$2\\\\")).otherwise(sub(x, MARKED, "$1\\\\$2")))
-    return F.array_join(escaped, "\n")
+    before = rf"^(\s{{0,3}}(?:{ITEM_NUMBER}|(?={'|'.join(STARTS.values())})))"
+    lines = F.split(F.regexp_replace(md_inline(text), "\r\n?", "\n"), "\n")
+    return F.array_join(F.transform(lines, lambda x: sub(x, before, r"$1\\")), "\n")
 
 
 def md_cell(text: Column) -> Column:
@@ -116,11 +128,15 @@ def helper_header(text: Column) -> Column:
 
 
 def cad_text(text: Column) -> Column:
-    """CAD text without its format codes; %%C, %%D and %%P are Ø, ° and ±."""
-    out = F.coalesce(text, F.lit(""))
-    for code, sign in (("%%[Cc]", "Ø"), ("%%[Dd]", "°"), ("%%[Pp]", "±"), ("%%%", "%"), ("\\\\[fF][^;]*;", ""), ("\\\\[A-Za-z][^;]*;", ""), ("\\\\[P~]", " "), ("[{}]", "")):
-        out = sub(out, code, sign)
-    return F.trim(sub(clean_control(out), "\\s+", " "))
+    """CAD text without its format codes; signs are read. Codes are met once, from the left: the text is cut before and after each."""
+    pieces = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), CAD_CODE, "\u0001$1\u0002"), "\u0001")
+    signs = F.create_map(*[F.lit(x) for pair in CAD_SIGNS.items() for x in pair])
+
+    def read(piece: Column) -> Column:
+        code, rest = F.lower(F.split_part(piece, F.lit("\u0002"), F.lit(1))), F.split_part(piece, F.lit("\u0002"), F.lit(2))
+        return F.when(F.contains(piece, F.lit("\u0002")), F.concat(F.coalesce(F.try_element_at(signs, code), F.lit("")), rest)).otherwise(piece)
+
+    return F.trim(sub(clean_control(F.array_join(F.transform(pieces, read), "")), "\\s+", " "))
 
 
 def arc_length(start: Column, end: Column, radius: Column) -> Column:

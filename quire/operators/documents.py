@@ -103,17 +103,19 @@ def parse_scope(scope: Column) -> Column:
 
 
 def sections(blocks: DataFrame) -> DataFrame:
-    """Headings with their parent, their section's end and whether it is empty: windows over one document each."""
+    """Headings with their parent, their section's end and whether another follows: running windows over one document, one value a level."""
     from pyspark.sql import Window
 
     heads = blocks.filter("kind = 'heading'").select("doc_id", "unit", "block_no", "level", F.btrim(F.regexp_replace("text", HEADING, ""), F.lit(" \t\r\n")).alias("title"))
     order = Window.partitionBy("doc_id").orderBy("unit", "block_no")
-    above, below = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     heads = heads.withColumn("ordinal", F.row_number().over(order))
-    seen = heads.withColumn("before", F.collect_list(F.struct("ordinal", "level")).over(above)).withColumn("after", F.collect_list(F.struct("ordinal", "level")).over(below))
-    parent = F.array_max(F.transform(F.filter("before", lambda h: h["level"] < F.col("level")), lambda h: h["ordinal"]))
-    end = F.array_min(F.transform(F.filter("after", lambda h: h["level"] <= F.col("level")), lambda h: h["ordinal"]))
-    return seen.select("doc_id", "unit", "block_no", "level", "title", "ordinal", parent.alias("parent"), end.alias("next_section"))
+    # Ordinals rise, so the nearest heading of a level is the greatest before and, in falling order, the least behind.
+    above = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("doc_id").orderBy(F.desc("ordinal")).rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda level, f, w: F.when(F.col("level") > level, f(F.when(F.col("level") == level, F.col("ordinal"))).over(w))
+    parent = F.greatest(*[at(k, F.max, above) for k in range(1, 7)])
+    end = F.least(*[F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.col("ordinal"))).over(below)) for k in range(1, 7)])
+    return heads.select("doc_id", "unit", "block_no", "level", "title", "ordinal", parent.alias("parent"), end.alias("next_section"))
 
 
 def render_units(expected: DataFrame, units: DataFrame) -> DataFrame:

@@ -10,6 +10,19 @@ from quire.functions.text import occurrences, query_terms
 EXCERPT, BEFORE = 1400, 100
 
 
+def holding(units: DataFrame, query: str, text: str = "text") -> DataFrame:
+    """The units whose text holds all terms of the query: a block that does lies in such a unit, so the others need not be cut into blocks."""
+    for term in query_terms(query):
+        units = units.filter(F.contains(F.lower(text), F.lit(term)))
+    return units
+
+
+def intact_documents(blocks: DataFrame, integrity: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks of documents whose artifacts are whole (integrity: doc_id, integrity_ok), and the doc_ids of the others, which a consult lists apart."""
+    whole = integrity.groupBy("doc_id").agg(F.bool_and(F.coalesce("integrity_ok", F.lit(False))).alias("ok"))
+    return blocks.join(whole.filter("ok").select("doc_id"), "doc_id", "left_semi"), whole.filter("NOT ok").select("doc_id")
+
+
 def ranked(blocks: DataFrame, query: str, limit: int) -> DataFrame:
     """The best blocks that hold all terms of the query, and one more if there are more; a top-k, no full sort.
 
@@ -24,9 +37,7 @@ def ranked(blocks: DataFrame, query: str, limit: int) -> DataFrame:
     score = F.when(F.contains(lower, F.lit(query.lower())), 100).otherwise(0).cast("long")
     for term in terms:
         score = score + occurrences(lower, term)
-    held = blocks
-    for term in terms:
-        held = held.filter(F.contains(lower, F.lit(term)))
+    held = holding(blocks, query)
     order = [F.desc("score"), "doc_id", "unit", "block_id"]
     return held.select("doc_id", "unit", "block_id", score.alias("score"), "text").orderBy(*order).limit(limit + 1)
 
@@ -63,5 +74,5 @@ def search_units(blocks: DataFrame, query: str) -> DataFrame:
 
 
 def rerank(hits: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
-    """hits (local_rank, ...) by their scores (local_rank, score) falling, then as they stood."""
-    return hits.join(scores, "local_rank").orderBy(F.desc("score"), "local_rank").limit(limit)
+    """hits (local_rank, ...) by their scores (local_rank, score) falling, those without one last, then as they stood."""
+    return hits.join(scores, "local_rank", "left").orderBy(F.desc_nulls_last("score"), "local_rank").limit(limit)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,25 +16,45 @@ WIDE, HEADER_SHARE, FEW_CHARS, MANY_GRAPHICS = 12, 0.35, 150, 6
 #: Control characters that a text may not hold, raw escapes, and links of Markdown.
 FORBIDDEN, RAW_ESCAPE, LINK = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\ufffe\\uffff]", "_x[0-9A-Fa-f]{4}_", "(!?)\\[[^\\]]*\\]\\(<?([^)>]+)>?\\)"
 
-#: Names of parts within packages, which no title should show.
-INTERNAL = "(?i)(?:^|[\\s/])(?:OEBPS|OPS|Part\\d+|x_template|_template|rId\\d+|(?:xl|word|ppt|visio)/\\S*|\\S+\\.xml)(?:$|\\s)"
+#: Folders and parts within packages, which no title should show; numbered ones and files in their own lists.
+PACKAGE_NAMES, NUMBERED_NAMES, PACKAGE_FOLDERS, PART_ENDING = ("OEBPS", "OPS", "_template", "x_template"), ("Part", "rId"), ("ppt", "visio", "word", "xl"), ".xml"
+
+
+def internal_name(title: Column) -> Column:
+    """Whether a title shows a package's inner name, as a word of its own (whatever the case; a slash may stand before it)."""
+    any_of = lambda names: "|".join(map(re.escape, names))
+    word = f"(?:{any_of(PACKAGE_NAMES)}|(?:{any_of(NUMBERED_NAMES)})\\d+|(?:{any_of(PACKAGE_FOLDERS)})/\\S*|\\S+{re.escape(PART_ENDING)})"
+    return F.rlike(title, F.lit(f"(?i)(?<![^\\s/]){word}(?!\\S)"))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once per row however often body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def table_shape(text: Column) -> Column:
-    """rows, width, wide, empty_percent, empty_columns of a pipe table: folds over its lines, no rows leave the table."""
+    """rows, width, wide, empty_percent, empty_columns of a pipe table: the lines are cut once, and one fold over the rows marks the columns in use."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    cells = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), "^\\||\\|$", ""), "\\|", -1), lambda c: F.trim(c)))
-    ruled = F.coalesce(F.forall(F.get(cells, F.lit(1)), lambda c: F.rlike(c, F.lit("^:?-{2,}:?$"))), F.lit(False))
-    body = F.when(ruled, F.slice(cells, F.lit(3), F.greatest(F.size(cells) - 2, F.lit(0)))).otherwise(cells)
-    shown = F.filter(cells, lambda row, i: ~(ruled & (i == 1)))
-    width = F.coalesce(F.array_max(F.transform(shown, F.size)), F.lit(0))
-    filled = F.aggregate(body, F.lit(0), lambda n, row: n + F.size(F.filter(row, lambda c: c != "")))
-    total = width * F.size(body)
-    gone = F.filter(F.sequence(F.lit(1), width), lambda i: F.forall(body, lambda row: F.coalesce(F.get(row, i - 1), F.lit("")) == ""))
-    return F.struct(
-        F.size(body).alias("rows"), width.alias("width"), (width > WIDE).alias("wide"),
-        F.bround(100 * (total - filled) / F.greatest(total, F.lit(1))).cast("long").alias("empty_percent"), F.when(width > 0, F.size(gone)).otherwise(0).alias("empty_columns"),
-    )
+    cut = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), "^\\||\\|$", ""), "\\|", -1), lambda c: F.trim(c)))
+    rule = lambda cells: F.coalesce(F.forall(F.get(cells, F.lit(1)), lambda c: F.rlike(c, F.lit("^:?-{2,}:?$"))), F.lit(False))
+
+    def of(t: Column) -> Column:
+        rows, width = t["rows"], t["width"]
+        filled = F.aggregate(rows, F.lit(0), lambda n, row: n + F.size(F.filter(row, lambda c: c != "")))
+        used = F.aggregate(rows, F.array_repeat(F.lit(False), width), lambda seen, row: F.transform(seen, lambda v, i: v | (F.coalesce(F.get(row, i), F.lit("")) != "")))
+        total = width * F.size(rows)
+        return F.struct(
+            F.size(rows).alias("rows"), width.alias("width"), (width > WIDE).alias("wide"),
+            F.bround(100 * (total - filled) / F.greatest(total, F.lit(1))).cast("long").alias("empty_percent"), F.size(F.filter(used, lambda v: ~v)).alias("empty_columns"),
+        )
+
+    def body(cells: Column) -> Column:
+        without = lambda ruled: F.filter(cells, lambda row, i: ~(ruled & (i == 1)))  # noqa: E731  the rule's row is not shown
+        rows = lambda ruled: F.when(ruled, F.slice(cells, F.lit(3), F.greatest(F.size(cells) - 2, F.lit(0)))).otherwise(cells)
+        parts = lambda ruled: F.struct(rows(ruled).alias("rows"), F.coalesce(F.array_max(F.transform(without(ruled), F.size)), F.lit(0)).alias("width"))
+        return _bound(rule(cells), lambda ruled: _bound(parts(ruled), of))
+
+    return _bound(cut, body)
 
 
 def drawing_summary(entities: DataFrame, blocks: int = 25, texts: int = 120) -> DataFrame:
@@ -103,7 +126,7 @@ def section_faults(blocks: DataFrame) -> DataFrame:
     seen = full.withColumns({"next_kind": F.lead("kind").over(order), "next_level": F.lead("level").over(order)})
     empty = F.col("next_kind").isNull() | ((F.col("next_kind") == "heading") & (F.col("next_level") <= F.col("level")))
     title = F.trim(F.regexp_replace(F.regexp_replace("text", HEADING, ""), "\\s+", " "))
-    rules = F.array_compact(F.array(F.when(fenced & ~shut, "A5"), F.when(heading & F.rlike(title, F.lit(INTERNAL)), "E1"), F.when(heading & empty, "E3")))
+    rules = F.array_compact(F.array(F.when(fenced & ~shut, "A5"), F.when(heading & internal_name(title), "E1"), F.when(heading & empty, "E3")))
     return seen.select("doc_id", "block_id", F.explode(rules).alias("rule"))
 
 

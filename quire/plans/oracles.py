@@ -37,8 +37,8 @@ failures AS (
 
 _CELLS = """
 cells AS (
-  SELECT l_orderkey % 50 AS sheet, (l_orderkey // 50) % 40 + 1 AS "row", CAST(l_linenumber AS BIGINT) AS col, min(l_returnflag) AS value
-  FROM lineitem WHERE l_quantity > 20 GROUP BY ALL)
+  SELECT l_orderkey // 2000 AS sheet, l_orderkey % 2000 + 1 AS "row", CAST(l_linenumber AS BIGINT) AS col, max(CASE WHEN l_quantity > 20 THEN l_returnflag ELSE '' END) AS value
+  FROM lineitem GROUP BY ALL)
 """
 
 _MARKDOWN = """
@@ -70,14 +70,34 @@ walk AS (
   WHERE w.remaining > 0 AND w.n < 5)
 SELECT CAST(n AS INT) AS rank, doc_id, 1 AS unit, 'p1-b1' AS block_id, excerpt, cut AS excerpt_truncated FROM walk WHERE n > 0
 """,
+    "retrieval_intact": f"""
+WITH {_RANKED}
+SELECT 'hit' AS section, doc_id, CAST(score AS BIGINT) AS score FROM (SELECT * FROM ranked WHERE doc_id % 11 <> 0 ORDER BY score DESC, doc_id LIMIT 11)
+UNION ALL SELECT 'damaged', doc_id, NULL FROM documents WHERE doc_id % 11 = 0
+""",
+    "html_blocks": r"""
+WITH shown AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+    '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b.*?</noscript\s*>', ' ', 'g'), '(?is)<template\b.*?</template\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<!doctype[^>]*>', ' ', 'g') AS t FROM pages),
+marked AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)<h([1-6])\b[^>]*>', '\u0001h\1\u0002', 'g'), '(?i)<li\b[^>]*>', '\u0001li\u0002', 'g'),
+    '(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|main|aside|blockquote|pre|title|body|head|html|br|hr)\b[^>]*>', '\u0001', 'g'), '<[^>]+>', '', 'g') AS t FROM shown),
+parts AS (SELECT page_id, unnest(string_split(t, '\u0001')) AS part, generate_subscripts(string_split(t, '\u0001'), 1) AS pos FROM marked),
+told AS (SELECT page_id, pos, regexp_extract(part, '^(h[1-6]|li)\u0002', 1) AS tag, regexp_replace(part, '^(h[1-6]|li)\u0002', '') AS t FROM parts),
+clean AS (SELECT page_id, pos, tag, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM told)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS block_no, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'li' THEN 'list' ELSE 'paragraph' END AS kind,
+       CASE WHEN tag LIKE 'h%' THEN CAST(tag[2:2] AS INTEGER) END AS level, text
+FROM clean WHERE text <> ''
+""".replace(r"\u0001", chr(1)).replace(r"\u0002", chr(2)),
     "unit_search": "SELECT conv_id AS doc_id, string_agg(CAST(turn + 1 AS VARCHAR), ',' ORDER BY turn) AS units FROM conversations WHERE contains(lower(text), 'the on') GROUP BY conv_id",
-    "rerank": "SELECT d.doc_id AS local_rank, n_chars, quality * 2 - toxic AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id ORDER BY score DESC, local_rank LIMIT 50",
+    "rerank": "SELECT d.doc_id AS local_rank, n_chars, quality * 2 - toxic AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY score DESC NULLS LAST, local_rank LIMIT 50",
     "block_parse": f"WITH {_MARKDOWN} SELECT doc_id, 'p' || unit || '-b' || b.n AS block_id, b.kind AS kind, b.level AS level, b.text AS text FROM part_blocks",
-    "section_tree": f"""
-WITH {_MARKDOWN}
-SELECT doc_id, b.level AS level, CASE WHEN b.level = 1 THEN p_name ELSE 'End ' || p_size END AS title, b.level AS ordinal,
-       CASE WHEN b.level = 2 THEN 1 END AS parent, CAST(NULL AS INT) AS next_section
-FROM part_blocks WHERE b.kind = 'heading'
+    "section_tree": """
+WITH h AS (SELECT p_partkey AS doc_id, i AS ordinal, CAST((p_partkey * i * i + p_size) % 6 + 1 AS INTEGER) AS level FROM part, LATERAL (SELECT unnest(range(1, p_size % 12 + 2)) AS i) r)
+SELECT doc_id, level, 't' || ordinal AS title, CAST(ordinal AS INTEGER) AS ordinal,
+       CAST((SELECT max(x.ordinal) FROM h x WHERE x.doc_id = h.doc_id AND x.ordinal < h.ordinal AND x.level < h.level) AS INTEGER) AS parent,
+       CAST((SELECT min(x.ordinal) FROM h x WHERE x.doc_id = h.doc_id AND x.ordinal > h.ordinal AND x.level <= h.level) AS INTEGER) AS next_section
+FROM h
 """,
     "qa_coverage": """
 WITH e AS (SELECT l_orderkey AS doc_id, max(l_linenumber) AS n FROM lineitem GROUP BY 1),
@@ -184,11 +204,11 @@ FROM r
     "sheet_stats": f"""
 WITH {_CELLS}
 SELECT sheet, count(DISTINCT "row") AS rows, count(DISTINCT col) AS cols, count(*) AS cells, chr(64 + CAST(min(col) AS INT)) || min("row") || ':' || chr(64 + CAST(max(col) AS INT)) || max("row") AS used
-FROM cells GROUP BY sheet
+FROM cells WHERE value <> '' GROUP BY sheet
 """,
     "sheet_regions": f"""
 WITH RECURSIVE {_CELLS},
-free AS (SELECT sheet, "row" AS r, col AS c, "row" * 100 + col AS id FROM cells WHERE NOT ("row" BETWEEN 5 AND 12 AND col BETWEEN 1 AND 4)),
+free AS (SELECT sheet, "row" AS r, col AS c, "row" * 100 + col AS id FROM cells WHERE value <> '' AND NOT ("row" BETWEEN 5 AND 12 AND col BETWEEN 1 AND 4)),
 reach AS (
   SELECT sheet, r, c, id FROM free
   UNION
@@ -229,7 +249,7 @@ t AS (SELECT table_id, "row", col, CASE WHEN p % 3 = 0 THEN CAST(p AS VARCHAR) E
 SELECT *, last_value(text IGNORE NULLS) OVER (PARTITION BY table_id, col ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM t
 """,
     "page_islands": """
-WITH p AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS page FROM lineitem WHERE l_quantity > 10),
+WITH p AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber + CASE WHEN l_quantity > 10 THEN 0 ELSE 10 END AS page FROM lineitem),
 r AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS run FROM p)
 SELECT doc_id, min(page) AS first, max(page) AS last, count(*) AS n FROM r GROUP BY doc_id, run
 """,
@@ -251,15 +271,17 @@ FROM e
 WITH r AS (SELECT p_partkey AS k FROM part)
 SELECT 'A1' AS rule, count(*) AS n FROM r WHERE k % 13 = 0 UNION ALL SELECT 'A2', count(*) FROM r WHERE k % 13 = 0 OR k % 7 = 0 UNION ALL SELECT 'A4', count(*) FROM r WHERE k % 11 = 0
 """,
-    "marker_antijoin": """
-WITH m AS (SELECT item_id, lower(array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ')) AS marker FROM benchmark)
-SELECT item_id FROM m WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(' ' || lower(d.text) || ' ', ' ' || marker || ' '))
+    "marker_antijoin": r"""
+WITH r AS (
+  SELECT side, id, lower(regexp_replace(regexp_replace(regexp_replace(text, '(?i)<br\s*/?>', ' ', 'g'), '\\([\\`*_{}\[\]()#+\-.!|>~])', '\1', 'g'), '\s+', ' ', 'g')) AS t
+  FROM (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'm', item_id, text FROM benchmark))
+SELECT id AS item_id FROM r m WHERE side = 'm' AND NOT EXISTS (SELECT 1 FROM r d WHERE d.side = 'd' AND contains(d.t, m.t))
 """,
     "inventory_sniff": """
 WITH h AS (SELECT p_partkey AS k, p_partkey % 17 AS i FROM part),
 t AS (SELECT k, i, list_extract(['.txt', '.bin', '.MD', ''], k % 4 + 1) AS suffix,
-             list_extract(['25504446', '89504E470D0A1A0A', 'FFD8FF', '41433130', '4175746F4341442042696E61727920445846', 'D0CF11E0', '49492A00', '4D4D002A', '474946383761', '474946383961', '524946460000000057454250', '0A300A53454354494F4E0A', '504B0304', '', 'FF00FE', 'C3B16F', '616263'], i + 1) AS head,
-             list_extract(['pdf', 'png', 'jpg', 'dwg', 'dxf', 'office-legacy', 'tif', 'tif', 'gif', 'gif', 'webp', 'dxf', 'zip-damaged', 'empty', 'unsupported', '', ''], i + 1) AS known FROM h)
+             list_extract(['474946383761', '474946383961', '49492A00', '4D4D002A', 'FFD8FF', '89504E470D0A1A0A', '25504446', '41433130', '4175746F4341442042696E61727920445846', 'D0CF11E0', '524946460000000057454250', '0A300A53454354494F4E0A', '504B0304', '', 'FF00FE', 'C3B16F', '616263'], i + 1) AS head,
+             list_extract(['gif', 'gif', 'tif', 'tif', 'jpg', 'png', 'pdf', 'dwg', 'dxf', 'office-legacy', 'webp', 'dxf', 'zip-damaged', 'empty', 'unsupported', '', ''], i + 1) AS known FROM h)
 SELECT '/in/' || k || suffix AS path, CAST(length(head) // 2 AS BIGINT) AS bytes, CASE WHEN known <> '' THEN known WHEN suffix = '.txt' THEN 'txt' WHEN suffix = '.MD' THEN 'md' ELSE 'text' END AS kind, sha256(unhex(head)) AS sha256 FROM t
 """,
     "workbook_cells": """

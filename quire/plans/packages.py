@@ -70,9 +70,9 @@ def _batches(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch"), k.alias("source"), F.when(F.col("o_orderkey") % 3 == 0, k * 3 % 2000).alias("output"), state.alias("state"))
 
 
-@query("SELECT o_custkey AS source, max(o_orderkey) AS batch FROM orders WHERE o_orderstatus <> 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0) GROUP BY 1")
+@query("SELECT o_custkey AS source, max(o_orderkey) AS batch FROM orders WHERE o_orderstatus <> 'F' AND o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1")
 def pending_batches(spark, sf_dir):
-    return P.unfinished_sources(_batches(spark, sf_dir), _t(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("source")))
+    return P.unfinished_sources(_batches(spark, sf_dir), _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source")))
 
 
 @query("""
@@ -154,11 +154,11 @@ def package_cap(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'deleted' END AS outcome FROM documents WHERE doc_id % 2 = 0
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'deleted' END AS outcome FROM documents
 """)
 def deletion_plan(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id")
-    return P.deletions(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 3 <> 0"), d.filter("doc_id % 7 = 0"))
+    return P.deletions(d, d.filter("doc_id % 3 <> 0"), d.filter("doc_id % 7 = 0"))
 
 
 @query("SELECT 'part/' || p_partkey AS file, CASE WHEN p_partkey % 23 = 0 THEN 'ausente' ELSE 'modificado' END AS status FROM part WHERE p_partkey % 23 = 0 OR p_partkey % 29 = 0")
@@ -182,11 +182,11 @@ def run_history(spark, sf_dir):
 @query("""
 SELECT 'Report (' || source || ')' || ' x' AS title, doc_id,
        '- [Report (' || source || ') x](<documentos/' || doc_id || '/documento.md>) — **revisar**, ' || CASE WHEN doc_id % 13 = 0 THEN 'integridad dañada' ELSE doc_id % 5 || '/5 unidades; ' || doc_id % 3 || ' avisos' END || '.' AS line
-FROM documents WHERE source IS NOT NULL
+FROM (SELECT doc_id, coalesce(source, '?') AS source FROM documents)
 """)
 def library_index(spark, sf_dir):
     i = F.col("doc_id")
-    d = _t(spark, sf_dir, "documents").filter("source IS NOT NULL")
+    d = _t(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("?")))
     catalog = d.select("doc_id", F.concat(F.lit("Report ["), "source", F.lit("]\nx")).alias("title"), F.lit("revisar").alias("status"), (i % 13 != 0).alias("integrity_ok"), (i % 5).alias("received"), F.lit(5).alias("expected"), (i % 3).alias("warnings"))
     return P.library_index(catalog).select(F.translate(F.regexp_replace("title", "\n", " "), "[]", "()").alias("title"), "doc_id", "line")
 
@@ -302,16 +302,16 @@ def vision_pages(spark, sf_dir):
 
 
 @query("""
-WITH cells AS (SELECT DISTINCT l_orderkey % 50 AS sheet, (l_orderkey // 50) % 40 + 1 AS "row", l_linenumber AS col FROM lineitem WHERE l_quantity > 20),
-t AS (SELECT s_suppkey AS table_id, s_suppkey % 50 AS sheet, s_suppkey % 30 + 2 AS header_row, s_suppkey % 4 + 1 AS min_col, s_suppkey % 4 + 5 AS max_col FROM supplier),
+WITH cells AS (SELECT DISTINCT l_orderkey // 2000 AS sheet, l_orderkey % 2000 + 1 AS "row", l_linenumber AS col FROM lineitem WHERE l_quantity > 20),
+t AS (SELECT s_suppkey AS table_id, s_suppkey % 8 AS sheet, s_suppkey * 19 % 1990 + 2 AS header_row, s_suppkey % 4 + 1 AS min_col, s_suppkey % 4 + 5 AS max_col FROM supplier),
 f AS (SELECT table_id, min_col, max_col, count(c.col) AS filled FROM t LEFT JOIN cells c ON t.sheet = c.sheet AND c."row" = header_row - 1 AND col BETWEEN min_col AND max_col GROUP BY ALL)
 SELECT table_id, filled, filled / (max_col - min_col + 1) >= 0.35 AS visual FROM f
 """)
 def visual_headers(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").filter("l_quantity > 20")
-    cells = li.select((F.col("l_orderkey") % 50).alias("sheet"), (F.floor(F.col("l_orderkey") / 50) % 40 + 1).alias("row"), F.col("l_linenumber").alias("col"), F.col("l_returnflag").alias("value"))
+    key = F.col("l_orderkey")
+    cells = _t(spark, sf_dir, "lineitem").select(F.floor(key / 2000).alias("sheet"), (key % 2000 + 1).alias("row"), F.col("l_linenumber").alias("col"), F.when(F.col("l_quantity") > 20, F.col("l_returnflag")).otherwise("").alias("value"))
     k = F.col("s_suppkey")
-    tables = _t(spark, sf_dir, "supplier").select(k.alias("table_id"), (k % 50).alias("sheet"), (k % 30 + 2).alias("header_row"), (k % 4 + 1).alias("min_col"), (k % 4 + 5).alias("max_col"))
+    tables = _t(spark, sf_dir, "supplier").select(k.alias("table_id"), (k % 8).alias("sheet"), (k * 19 % 1990 + 2).alias("header_row"), (k % 4 + 1).alias("min_col"), (k % 4 + 5).alias("max_col"))
     return V.visual_headers(tables, cells)
 
 
@@ -365,10 +365,10 @@ def render_documents(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey AS shape_id, c_name AS text FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders UNION SELECT o_custkey * 3 % 2000 FROM orders)
+SELECT c_custkey AS shape_id, c_name AS text FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 4 % 2000 FROM orders UNION SELECT o_custkey * 6 % 2000 FROM orders)
 """)
 def loose_shapes(spark, sf_dir):
-    connectors = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") * 3 % 2000).alias("dst"))
+    connectors = _t(spark, sf_dir, "orders").select((F.col("o_custkey") * 4 % 2000).alias("src"), (F.col("o_custkey") * 6 % 2000).alias("dst"))
     return S.loose_shapes(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("shape_id"), F.col("c_name").alias("text")), connectors)
 
 

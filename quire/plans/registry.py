@@ -13,7 +13,7 @@ from quire.operators import sheets as S
 from quire.sources import files, office, pages
 from quire.streaming import resumable
 
-from . import oracles, packages, samples
+from . import checks, oracles, packages, samples  # noqa: F401  checks registers its queries in packages
 
 FLAGSHIP = "retrieval_topk"
 QUERY = "the of"
@@ -26,8 +26,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of the documents that may answer QUERY."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("unit"), "text")
-    return D.parse_blocks(docs.filter(F.col("text").isNotNull()))
+    return D.parse_blocks(R.holding(docs, QUERY))
 
 
 def retrieval_topk(spark, sf_dir):
@@ -38,6 +39,14 @@ def retrieval_excerpt_budget(spark, sf_dir):
     return R.consult(_blocks(spark, sf_dir), QUERY, 5, 4000)
 
 
+def retrieval_intact(spark, sf_dir):
+    """Hits in intact documents only; the damaged ones apart."""
+    integrity = _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 11 != 0).alias("integrity_ok"))
+    blocks, damaged = R.intact_documents(_blocks(spark, sf_dir), integrity)
+    hits = R.ranked(blocks, QUERY, 10).select(F.lit("hit").alias("section"), "doc_id", "score")
+    return hits.unionByName(damaged.select(F.lit("damaged").alias("section"), "doc_id", F.lit(None).cast("long").alias("score")))
+
+
 def unit_search(spark, sf_dir):
     turns = _t(spark, sf_dir, "conversations")
     blocks = turns.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("unit"), F.lit(1).alias("block_no"), "text")
@@ -62,7 +71,10 @@ def block_parse(spark, sf_dir):
 
 
 def section_tree(spark, sf_dir):
-    return D.sections(D.parse_blocks(_markdown(spark, sf_dir))).select("doc_id", "level", "title", "ordinal", "parent", "next_section")
+    """Up to twelve headings a part, of ranks that rise, fall, repeat and skip."""
+    heads = F.expr("transform(sequence(1, cast(p_size % 12 AS int) + 1), i -> concat(repeat('#', cast((p_partkey * i * i + p_size) % 6 AS int) + 1), ' t', i, '\n', if(i % 2 = 0, 'prose\n', '')))")
+    units = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("unit"), F.array_join(heads, "").alias("text"))
+    return D.sections(D.parse_blocks(units)).select("doc_id", "level", "title", "ordinal", "parent", "next_section")
 
 
 def qa_coverage(spark, sf_dir):
@@ -208,9 +220,11 @@ def md_escape(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    keep = _t(spark, sf_dir, "lineitem").filter("l_quantity > 20")
-    place = keep.select((F.col("l_orderkey") % 50).alias("sheet"), (F.floor(F.col("l_orderkey") / 50) % 40 + 1).alias("row"), F.col("l_linenumber").cast("long").alias("col"), F.col("l_returnflag").alias("value"))
-    return place.groupBy("sheet", "row", "col").agg(F.min("value").alias("value"))
+    """A sheet for every 2,000 orders, a row an order; cells of small quantities are empty."""
+    key = F.col("l_orderkey")
+    value = F.when(F.col("l_quantity") > 20, F.col("l_returnflag")).otherwise("")
+    place = _t(spark, sf_dir, "lineitem").select(F.floor(key / 2000).alias("sheet"), (key % 2000 + 1).alias("row"), F.col("l_linenumber").cast("long").alias("col"), value.alias("value"))
+    return place.groupBy("sheet", "row", "col").agg(F.max("value").alias("value"))
 
 
 def sheet_stats(spark, sf_dir):
@@ -260,7 +274,8 @@ def vmerge_fill(spark, sf_dir):
 
 
 def page_islands(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").filter("l_quantity > 10").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"))
+    page = F.col("l_linenumber") + F.when(F.col("l_quantity") > 10, 0).otherwise(10)  # gaps
+    li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), page.alias("page"))
     return S.islands(li, "doc_id", "page")
 
 
@@ -334,7 +349,7 @@ def stream_resumable(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        retrieval_topk, retrieval_excerpt_budget, unit_search, rerank, block_parse, section_tree, qa_coverage, qa_flags, mark_counts, route_plan, batch_counts, origins_dedup, integrity_report,
+        retrieval_topk, retrieval_excerpt_budget, retrieval_intact, unit_search, rerank, block_parse, section_tree, qa_coverage, qa_flags, mark_counts, route_plan, batch_counts, origins_dedup, integrity_report,
         version_cache_lookup, repair_prune_adopt, failure_groups, failure_reopen, ai_budget, token_normalise, status_machine, library_filter, queue_upsert, export_names, scope_parse, md_escape,
         sheet_stats, sheet_regions, grid_render, wide_table_split, wide_table_titles, merge_overlap_join, formula_except, vmerge_fill, page_islands, cad_layer_length, diagram_edges, table_rules,
         marker_antijoin, html_blocks, inventory_sniff, workbook_cells, word_paragraphs, word_tables, slide_edges, drawing_edges, stream_resumable,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +43,13 @@ def package_ids(documents: DataFrame, version: int, identity: list[str]) -> Data
 def publish(documents: DataFrame, catalog: DataFrame | None, folder: str) -> DataFrame:
     """Append the packages that catalog (package_id, integrity_ok) does not hold intact; what was new.
 
-    A package is written once: repeated rows are one, and a second run with the new catalog adds nothing.
+    A package is written once: repeated rows are one, and a second run with the new catalog adds nothing. Each run
+    writes a part of its own below folder, which Spark's committer makes whole or leaves without _SUCCESS; the
+    result is read from there, so it is what was written, and catalog may be read from the same folder.
     """
     new = documents.dropDuplicates(["package_id"])
     if catalog is not None:
         new = new.join(catalog.filter("integrity_ok").select("package_id"), "package_id", "left_anti")
-    new.write.mode("append").parquet(folder)
-    return new
+    path = f"{folder}/run={uuid.uuid4().hex}"
+    new.write.parquet(path)
+    return documents.sparkSession.read.schema(new.schema).parquet(path)

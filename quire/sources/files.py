@@ -10,15 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Signatures in the order in which they are tried, and folders that an inventory skips.
+#: How files of a kind begin. None is the beginning of another, so their order says nothing.
 SIGNATURES = (
-    ("25504446", "pdf"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpg"), ("41433130", "dwg"), ("4175746F4341442042696E61727920445846", "dxf"), ("D0CF11E0", "office-legacy"),
-    ("49492A00", "tif"), ("4D4D002A", "tif"), ("474946383761", "gif"), ("474946383961", "gif"),
+    (b"GIF87a", "gif"), (b"GIF89a", "gif"), (b"II*\0", "tif"), (b"MM\0*", "tif"), (b"\xff\xd8\xff", "jpg"), (b"\x89PNG\r\n\x1a\n", "png"),
+    (b"%PDF", "pdf"), (b"AC10", "dwg"), (b"AutoCAD Binary DXF", "dxf"), (b"\xd0\xcf\x11\xe0", "office-legacy"),
 )
+WEBP = (b"RIFF", b"WEBP")
+ARCHIVE = b"PK"
+#: Folders that an inventory skips.
 SKIPPED = "/(\\.git|\\.claude|\\.codex|\\.venv|__pycache__)/"
-OFFICE = (("word/", "docx"), ("xl/", "xlsx"), ("ppt/", "pptx"), ("visio/", "vsdx"))
+#: The folder of an Office archive that tells its kind.
+OFFICE = {"word": "docx", "xl": "xlsx", "ppt": "pptx", "visio": "vsdx"}
 TEXT = ("txt", "md", "csv", "json", "html", "xml")
-ASCII_DXF = "(?s)^(?:\\s*999[^\\r\\n]*\\r?\\n[^\\r\\n]*\\r?\\n)*\\s*0\\s*\\r?\\n\\s*SECTION\\b.*"
+#: A drawing in text: pairs of a group code and its value, comments (code 999) before the first section (code 0).
+COMMENT, SECTION = r"\s*999[ \t]*\R.*\R", r"\s*0\s*\R\s*SECTION\b"
 HEAD = 1024
 
 
@@ -31,10 +36,9 @@ def zip_kind(content: pd.Series) -> pd.Series:
             names = zipfile.ZipFile(io.BytesIO(data)).namelist()
         except (zipfile.BadZipFile, ValueError):
             return "zip-damaged"
-        if "xl/workbook.bin" in names:
-            return "xlsb"
-        kinds = [kind for prefix, kind in OFFICE if any(n.startswith(prefix) for n in names)]
-        return kinds[0] if len(kinds) == 1 else "zip-ambiguous" if kinds else "zip"
+        kinds = {OFFICE[top] for top, inside, _ in (n.partition("/") for n in names) if inside and top in OFFICE}
+        binary = "xl/workbook.bin" in names
+        return "xlsb" if binary else "zip" if not kinds else kinds.pop() if len(kinds) == 1 else "zip-ambiguous"
 
     return content.map(told)
 
@@ -50,14 +54,13 @@ def _readable(content: Column) -> Column:
 
 def kind_of(path: Column, content: Column) -> Column:
     """The kind of a file; archives (the only ones that need a parser) are told by their member names."""
-    head = F.hex(F.substring(content, 1, HEAD))
+    begins = lambda sign, at=1: F.substring(content, at, len(sign)) == F.lit(sign)
     suffix = F.lower(F.regexp_extract(path, "\\.([^./]+)$", 1))
     kind = F.when(F.octet_length(content) == 0, "empty")
-    for signature, name in SIGNATURES:
-        kind = kind.when(F.startswith(head, F.lit(signature)), name)
-    kind = kind.when(F.startswith(head, F.lit("52494646")) & (F.substring(head, 17, 8) == "57454250"), "webp")
-    kind = kind.when(F.rlike(F.decode(F.substring(content, 1, HEAD), "ISO-8859-1"), F.lit(ASCII_DXF)), "dxf")
-    kind = kind.when(F.startswith(head, F.lit("504B")), "zip")
+    for sign, name in SIGNATURES:
+        kind = kind.when(begins(sign), name)
+    kind = kind.when(begins(WEBP[0]) & begins(WEBP[1], 9), "webp").when(begins(ARCHIVE), "zip")
+    kind = kind.when(F.rlike(F.decode(F.substring(content, 1, HEAD), "ISO-8859-1"), F.lit(f"^(?:{COMMENT})*{SECTION}")), "dxf")
     return kind.when(_readable(content), F.when(suffix.isin(*TEXT), suffix).otherwise("text")).otherwise("unsupported")
 
 
@@ -70,19 +73,27 @@ def sniffed(found: DataFrame) -> DataFrame:
 
 
 def inventory(spark: SparkSession, folder: str, limit: int = 200) -> DataFrame:
-    """The first files below a folder by path, skipped folders left out, and whether there are more than limit.
+    """path, length, modificationTime of the first files below a folder by path, skipped folders left out, and truncated: whether there are more than limit.
 
     The limit is this operator's report size, as a listing for people.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(~F.rlike("path", F.lit(SKIPPED)))
     first = found.select("path", "length", "modificationTime").orderBy("path").limit(limit + 1)
-    return first.withColumn("nth", F.row_number().over(Window.orderBy("path"))).filter(F.col("nth") <= limit).drop("nth")
+    numbered = first.withColumns({"nth": F.row_number().over(Window.orderBy("path")), "truncated": F.count(F.lit(1)).over(Window.partitionBy()) > limit})
+    return numbered.filter(F.col("nth") <= limit).drop("nth")
+
+
+def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path, change (added, gone, changed) of two listings (path, length, modificationTime); a file that keeps both is not read again."""
+    old = before.select("path", F.struct("length", "modificationTime").alias("old"))
+    both = old.join(after.select("path", F.struct("length", "modificationTime").alias("new")), "path", "full_outer")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "gone").when(F.col("old") != F.col("new"), "changed")
+    return both.select("path", change.alias("change")).filter("change IS NOT NULL")
 
 
 def samples(part: DataFrame) -> DataFrame:
     """A file a part, with a known beginning: signatures, text and damage in turn."""
-    heads = [*(h for h, _ in SIGNATURES), "524946460000000057454250", "0A300A53454354494F4E0A", "504B0304", "", "FF00FE", "C3B16F", "616263"]
+    heads = [*(h for h, _ in SIGNATURES), b"RIFF\0\0\0\0WEBP", b"\n0\nSECTION\n", b"PK\x03\x04", b"", b"\xff\0\xfe", "ño".encode(), b"abc"]
     at = (F.col("p_partkey") % len(heads)).cast("int")
     name = F.concat(F.lit("/in/"), "p_partkey", F.get(F.array(*map(F.lit, (".txt", ".bin", ".MD", ""))), (F.col("p_partkey") % 4).cast("int")))
-    head = F.get(F.array(*map(F.lit, heads)), at)
-    return part.select(name.alias("path"), F.unhex(head).alias("content"))
+    return part.select(name.alias("path"), F.get(F.array(*map(F.lit, heads)), at).alias("content"))

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, one of our own where none is set."""
+    """The folder that driver and executors share; a local master may use one of our own where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quire.scratch.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("quire.scratch.dir", found)
     return found.rstrip("/")
@@ -22,13 +26,26 @@ def ingest(spark: SparkSession, source: str, schema, state: str, keys: list[str]
     """Take what is new in source (Parquet files) since the last run with this state folder; all items taken so far.
 
     Each run goes through the new files in micro-batches of max_files and stops. The checkpoint remembers the
-    files, the deduplication's state the keys: a run that is cut short goes on where it stood, and an item that
-    comes again, in the same run or a later one, is not taken twice.
+    files; the items taken remember the keys: a batch is joined against what earlier batches have published and
+    written under its own number, so a batch that is run again writes the same place anew, an item that comes
+    again, in the same run or a later one, is not taken twice, and no state grows in memory.
     """
+    items, fields = f"{state}/items", StructType([*schema.fields, StructField("batch", LongType())])
+
+    def taken() -> DataFrame:
+        return spark.read.schema(fields).parquet(items)
+
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{items}/batch=-1")
+
+    def publish(batch: DataFrame, number: int) -> None:
+        old = taken().filter(F.col("batch") != number).select(*keys)
+        same = reduce(lambda a, b: a & b, (batch[k].eqNullSafe(old[k]) for k in keys))
+        batch.dropDuplicates(keys).join(old, same, "left_anti").write.mode("overwrite").parquet(f"{items}/batch={number}")
+
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    query = stream.dropDuplicates(keys).writeStream.format("parquet").option("path", f"{state}/items").option("checkpointLocation", f"{state}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(publish).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{state}/items")
+    return taken().drop("batch")
 
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
