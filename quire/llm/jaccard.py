@@ -33,12 +33,12 @@ nothing and has a null component. An empty table gives an empty result. Other co
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import raw, slices, with_columns
@@ -297,87 +297,58 @@ def meetings(matrix: DataFrame, hot: int = HOT) -> DataFrame:
         pairs = pairs.unionByName(_met(in_turn(spread), float("inf")).filter("a IS NOT NULL"))
     pairs = pairs.groupBy("a", "b")
     pairs = pairs.agg(F.sum("times").alias("times"), *[F.min(c).alias(c) for c in ("low_a", "low_b")], *[F.max(c).alias(c) for c in ("high_a", "high_b")])
-    # Sets of sizes s <= t that link share i = ceil(4 (s + t) / 9) tokens, the first m of them in the first s - i + m and t - i + m tokens.
-    s, t = F.least("low_a", "low_b"), F.greatest("low_a", "low_b")
-    up = lambda x, n: F.floor((x + (n - 1)) / n)
-    probe = lambda n: n - up(4 * n, 5) + 1
-    index = lambda n: F.floor((probe(n) + n - up(8 * n, 9) + 1) / 2)
-    i = up(4 * (s + t), 9)
-    need = F.when((F.col("low_a") == F.col("high_a")) & (F.col("low_b") == F.col("high_b")), F.least(index(s) - s + i, probe(t) - t + i)).otherwise(F.lit(1))
+    fixed = (F.col("low_a") == F.col("high_a")) & (F.col("low_b") == F.col("high_b"))
+    need = F.when(fixed, needed(F.least("low_a", "low_b"), F.greatest("low_a", "low_b"))).otherwise(F.lit(1))
     return pairs.filter(F.col("times") >= need).select("a", "b")
 
 
-def needed(low, high):
-    """Tokens of their prefixes in which sets of sizes low <= high meet at least if they link; for numbers and arrays."""
-    i = -(-4 * (low + high) // 9)
-    return np.minimum(index_part(low) - low + i, probed(high) - high + i)
+def _up(x: Column, n: int) -> Column:
+    return F.floor((x + (n - 1)) / n)
+
+
+def _probed(n: Column) -> Column:
+    return n - _up(4 * n, 5) + 1
+
+
+def _index_part(n: Column) -> Column:
+    return F.floor((_probed(n) + n - _up(8 * n, 9) + 1) / 2)
+
+
+def needed(s: Column, t: Column) -> Column:
+    """Of their prefixes' tokens, in how many sets of sizes s <= t at least meet if they link.
+
+    They share i = ceil(4 (s + t) / 9) tokens, the first m of them in the first s - i + m and t - i + m tokens.
+    """
+    i = _up(4 * (s + t), 9)
+    return F.least(_index_part(s) - s + i, _probed(t) - t + i)
 
 
 def worth_asking(docs: DataFrame, roles: DataFrame) -> DataFrame:
     """The rows of roles (host, sid, label, asks) that may have a link to another label's document on the other side of their host.
 
     For each token of a document's prefix it is told whether the other side has it in a document of another label
-    and of a size that may link; a document that links with any other has at least needed() such tokens. A
-    token's documents of a host are summed up by size (their least and greatest label), and each row is held against
-    these sums as it streams by: work and rows are linear in the documents' tokens, whatever the size of the group.
+    and of a size that may link; a document that links with any other has at least needed() such tokens. That is
+    told from the least and greatest label and size of each side, so work and rows are linear in the documents'
+    tokens, whatever the size of the group.
     """
     own = docs.join(small(roles.select(F.col("sid").alias("doc_id")).distinct()), "doc_id").withColumn("unit", F.col("doc_id"))
     counts = sketch_of(materialise(profile(own), "opened"))
     found = entries(own, counts).select("token", F.col("unit").alias("sid"), F.shiftright("sizes", 32).alias("n"))
-    found = found.join(small(roles), "sid").select(F.xxhash64("token", "host").alias("token"), "host", "sid", "label", "n", F.col("asks").cast("long").alias("asks"))
-    sums = found.groupBy("token", "asks", "n").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    zero = F.lit(0).cast("long")
-    both = found.select("token", F.lit(1).cast("long").alias("kind"), "asks", "n", "host", "sid", F.col("label").alias("low"), F.col("label").alias("high"))
-    both = both.unionByName(sums.select("token", zero.alias("kind"), "asks", "n", zero.alias("host"), zero.alias("sid"), "low", "high"))
-    names, fields = ("token", "kind", "asks", "n", "host", "sid", "low", "high"), "host bigint, sid bigint, asks bigint, n bigint, low bigint, high bigint"
-    schema = pa.schema([(c.split()[0], pa.int64()) for c in fields.split(", ")])
-
-    def partners(sums: tuple[np.ndarray, ...], n: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which rows of sizes n and these labels have partners of other labels in sums (n, low, high), and the least and greatest size of partners."""
-        sizes, low, high = sums
-        own, at = np.unique(n, return_inverse=True)
-        start, stop = np.searchsorted(sizes, -(-4 * own // 5), "left"), np.searchsorted(sizes, 5 * own // 4, "right")
-        hit = stop > start
-        least, most = (np.array([f(x[a:b]) if a < b else 0 for a, b in zip(start.tolist(), stop.tolist())]) for f, x in ((np.min, low), (np.max, high)))
-        ends = np.minimum(start, len(sizes) - 1), np.maximum(stop, 1) - 1
-        return np.flatnonzero(hit[at] & ((least[at] != label) | (most[at] != label))), sizes[ends[0]][at], sizes[ends[1]][at]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sums = None, {}
-        for batch in batches:
-            columns = tuple(np.asarray(batch.column(c)) for c in names)
-            edges = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
-            told = []
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(columns[0])]):
-                if a == b:
-                    continue
-                token, kind, asks, n, host, sid, low, high = (c[a:b] for c in columns)
-                if token[0] != now:
-                    now, sums = token[0], {}
-                for k in (0, 1):
-                    x = np.flatnonzero(asks == k)
-                    if len(x) and not kind[0]:
-                        old = sums.get(k, (np.zeros(0, np.int64),) * 3)
-                        sums[k] = tuple(np.concatenate(c) for c in zip(old, (n[x], low[x], high[x]), strict=True))
-                    elif len(x) and 1 - k in sums:
-                        hit, least, most = partners(sums[1 - k], n[x], low[x])
-                        told.append((host[x][hit], sid[x][hit], asks[x][hit], n[x][hit], least[hit], most[hit]))
-            if told:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*told, strict=True)], schema=schema)
-
-    met = both.repartition("token").sortWithinPartitions("token", "kind", "n").mapInArrow(run, fields)
-    met = met.groupBy("host", "sid", "asks").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = found.join(small(roles), "sid").select(F.xxhash64("token", "host").alias("token"), "host", "sid", "label", "n", "asks")
+    token, n = Window.partitionBy("token"), F.col("n")
 
-    def make():
-        def work(part: pa.RecordBatch):
-            times, n, low, high = (np.asarray(part.column(c)) for c in ("times", "n", "low", "high"))
-            # Between its ends and n itself the bound is rising or falling, but for rounding.
-            least = np.minimum.reduce([needed(np.minimum(n, t), np.maximum(n, t)) for t in (low, high, np.clip(n, low, high))]) - 2
-            return [pa.array(times >= least)]
-
-        return work
+    def across(f: Callable[[Column], Column], column: str) -> Column:
+        one, other = (f(F.when(F.col("asks") == k, F.col(column))).over(token) for k in (0, 1))
+        return F.when(F.col("asks") == 0, other).otherwise(one)
 
-    fine = with_columns(met.withColumn("tag", F.lit("12345678")), "fine boolean", make, by="tag", drop=["tag"]).filter("fine").select("host", "sid", F.col("asks").cast("int").alias("asks"))
+    told = found.select("host", "sid", "asks", "n", "label", *[across(f, c).alias(f"{name}_{c}") for c in ("label", "n") for name, f in (("least", F.min), ("most", F.max))])
+    low, high = F.greatest("least_n", _up(4 * n, 5)), F.least("most_n", F.floor(5 * n / 4))
+    met = told.filter(((F.col("least_label") != F.col("label")) | (F.col("most_label") != F.col("label"))) & (low <= high)).select("host", "sid", "asks", "n", low.alias("low"), high.alias("high"))
+    met = met.groupBy("host", "sid", "asks").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # Between its ends and n itself the bound is rising or falling, but for rounding.
+    ends = [F.col("low"), F.col("high"), F.greatest("low", F.least("high", n))]
+    least = F.least(*[needed(F.least(n, t), F.greatest(n, t)) for t in ends]) - 2
+    fine = materialise(met.filter(F.col("times") >= least).select("host", "sid", "asks"), "worth")
     return roles.join(small(fine), ["host", "sid", "asks"], "left_semi")
 
 
@@ -401,7 +372,7 @@ def open_groups(docs: DataFrame, apart: DataFrame, members: DataFrame) -> DataFr
         return docs.sparkSession.createDataFrame([], "a bigint, b bigint")
     mine = members.withColumnRenamed("unit", "host").join(asking.select("host").distinct(), "host", "left_semi")
     roles = materialise(mine.select("host", "sid", "label", F.lit(0).alias("asks")).unionByName(asking.select("host", "sid", "label", F.lit(1).alias("asks"))), "roles")
-    roles = materialise(worth_asking(docs, roles), "worth")
+    roles = materialise(worth_asking(docs, roles), "roles")
     sizes = roles.filter("asks = 0").join(members.select("sid", "n").distinct(), "sid").groupBy("host").agg(F.sum("n").alias("tokens"))
     shape = roles.filter("asks = 1").groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(sizes, "host")
     shape = shape.select("host", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"), F.ceil(F.col("n") / ASKED).cast("int").alias("parts"))
