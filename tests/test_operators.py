@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import contracts as C
 from quire.operators import documents as D
 from quire.operators import library as L
 from quire.operators import retrieval as R
@@ -224,3 +225,28 @@ def test_publishing_again_adds_nothing(spark, tmp_path):
     catalog = spark.read.parquet(folder).select("package_id").withColumn("integrity_ok", F.lit(True))
     assert catalog.count() == 3 and answers.publish(ids, spark.createDataFrame(catalog.collect(), catalog.schema), folder).count() == 0
     assert spark.read.parquet(folder).count() == 3
+
+
+def test_contract_rules_one_by_one(spark):
+    """A sound document, one with every fault, and one that nothing was received of."""
+    docs = spark.createDataFrame(
+        [(1, 1, "T", [1, 2], None), (2, 2, "\u00a0 ", [1, 1, 3, 0], [3]), (3, 1, None, [1], []), (4, None, "T", None, None)],
+        "doc_id int, schema_version int, title string, expected array<int>, missing_images array<int>",
+    )
+    rows = [
+        (1, 1, 1, 1, "a", "heading", 6, "x"), (1, 2, 1, 1, "b", "paragraph", None, "[Verificar] y"),
+        (2, 1, 1, 1, "a", "heading", 7, "x"), (2, 1, 2, 1, "a", "paragraph", None, "again"), (2, 9, 3, 1, "", "poem", None, " "), (2, 0, 4, 1, None, None, None, None),
+    ]
+    blocks = spark.createDataFrame(rows, "doc_id int, unit int, entry int, pos int, block_id string, kind string, level int, text string")
+    found = sorted((r.doc_id, r.rule, r.unit or 0, r.n) for r in C.contract_faults(docs, blocks).collect())
+    assert found == sorted([
+        (2, "version", 0, 1), (2, "title", 0, 1), (2, "scope", 0, 1), (2, "scope_repeated", 0, 1), (2, "unit", 1, 1), (2, "unit", 9, 1), (2, "empty", 9, 1), (2, "empty", 0, 1), (2, "block", 1, 1), (2, "block", 9, 1),
+        (2, "level", 1, 1), (2, "missing", 3, 1), (2, "image", 3, 1), (3, "title", 0, 1), (3, "missing", 1, 1), (4, "version", 0, 1), (4, "scope", 0, 1),
+    ])
+    told = {r.doc_id: r for r in C.contract_verdict(docs, blocks).collect()}
+    assert (told[1].status, told[1].errors, told[1].warnings) == ("revisar", [], ["doubt 2"]) and {told[k].status for k in (2, 3, 4)} == {"parcial"}
+
+
+def test_rerank_keeps_hits_without_a_score_last(spark):
+    hits, scores = spark.createDataFrame([(k,) for k in (1, 2, 3)], "local_rank int"), spark.createDataFrame([(3, 2.0), (2, -1.0)], "local_rank int, score double")
+    assert [r.local_rank for r in R.rerank(hits, scores, 5).collect()] == [3, 2, 1]
