@@ -37,11 +37,11 @@ def _gathered(table: DataFrame, key: str, order: str, **texts: Column) -> DataFr
     return table.groupBy(key).agg(*[joined(c).alias(k) for k, c in texts.items()])
 
 
-def _sheaf(table: DataFrame, suffix: str, member: str, text: Column) -> DataFrame:
-    """path, content: forty orders an archive, a member each."""
+def _sheaf(table: DataFrame, suffix: str, *parts: tuple[str, Column]) -> DataFrame:
+    """path, content: forty orders an archive, a member each for every name (# is the order's number in its archive)."""
     k = F.col("o_orderkey")
-    one = F.struct(F.concat(F.lit(member), (k % 40 + 1).cast("string"), F.lit(".xml")).alias("name"), text.alias("text"))
-    sheaf = table.groupBy(F.concat(F.lit("/in/"), F.floor(k / 40).cast("string"), F.lit(suffix)).alias("path")).agg(F.array_sort(F.collect_list(one)).alias("m"))
+    own = F.array(*[F.struct(F.replace(F.lit(name), F.lit("#"), (k % 40 + 1).cast("string")).alias("name"), text.alias("text")) for name, text in parts])
+    sheaf = table.groupBy(F.concat(F.lit("/in/"), F.floor(k / 40).cast("string"), F.lit(suffix)).alias("path")).agg(F.array_sort(F.flatten(F.collect_list(own))).alias("m"))
     return sheaf.select("path", zipped(F.transform("m", lambda x: x["name"]), F.transform("m", lambda x: x["text"])).alias("content"))
 
 
@@ -89,7 +89,7 @@ def presentations(orders: DataFrame) -> DataFrame:
         F.lit(HEAD + '<p:sld xmlns:p="urn:p" xmlns:a="urn:a">'), shape(2, F.concat(F.lit("c"), F.col("o_custkey"))), F.when(k % 5 != 0, shape(3, F.col("o_orderstatus"))).otherwise(F.lit("")),
         F.lit('<p:cxnSp><p:nvCxnSpPr><p:cNvPr id="4" name="c"/><p:cNvCxnSpPr><a:stCxn id="2" idx="1"/><a:endCxn id="3" idx="0"/></p:cNvCxnSpPr></p:nvCxnSpPr><a:ln>'), F.get(ends, (k % 4).cast("int")), tail, F.lit("</a:ln></p:cxnSp></p:sld>"),
     )
-    return _sheaf(orders, ".pptx", "ppt/slides/slide", slide)
+    return _sheaf(orders, ".pptx", ("ppt/slides/slide#.xml", slide))
 
 
 def drawings(orders: DataFrame) -> DataFrame:
@@ -99,4 +99,43 @@ def drawings(orders: DataFrame) -> DataFrame:
         F.lit(HEAD + '<PageContents><Shapes><Shape ID="1" Type="Shape"><Text>c'), F.col("o_custkey"), F.lit('\n</Text></Shape><Shape ID="2">'), F.when(k % 5 != 0, F.concat(F.lit("<Text>"), F.col("o_orderstatus"), F.lit("</Text>"))).otherwise(F.lit("")),
         F.lit('</Shape><Shape ID="3"><Text><cp IX="0"/>'), F.col("o_orderpriority"), F.lit('</Text></Shape></Shapes><Connects><Connect FromSheet="3" FromCell="BeginX" ToSheet="1"/><Connect FromSheet="3" FromCell="EndX" ToSheet="2"/></Connects></PageContents>'),
     )
-    return _sheaf(orders, ".vsdx", "visio/pages/page", page)
+    return _sheaf(orders, ".vsdx", ("visio/pages/page#.xml", page))
+
+
+def word_margins(part: DataFrame) -> DataFrame:
+    """path, content: twenty parts a document, each with a footnote, a link, a formula and sometimes a comment; one header, an empty footer."""
+    k, size = F.col("k"), F.col("size")
+    p = part.select(F.concat(F.lit("/in/"), F.floor(F.col("p_partkey") / 20).cast("string"), F.lit(".docx")).alias("path"), (F.col("p_partkey") % 20).cast("int").alias("k"), "p_partkey", "p_name", F.col("p_size").cast("int").alias("size"))
+    says = lambda t: F.concat(F.lit("<w:p><w:r><w:t>"), t, F.lit("</w:t></w:r></w:p>"))
+    math = lambda t: F.concat(F.lit("<m:r><m:t>"), t, F.lit("</m:t></m:r>"))
+    note = F.concat(F.lit('<w:footnote w:id="'), k, F.lit('">'), says(F.concat(F.lit("note "), "p_name")), F.lit("</w:footnote>"))
+    comment = F.when(size % 3 == 0, F.concat(F.lit('<w:comment w:id="'), k, F.lit('" w:author="A'), size, F.lit('">'), says(F.lit("first")), says(size.cast("string")), F.lit("</w:comment>")))
+    link = F.when(k % 4 == 0, F.concat(F.lit('<w:hyperlink w:anchor="a'), size, F.lit('">'))).otherwise(F.concat(F.lit('<w:hyperlink r:id="rId'), k, F.lit('" w:history="1">')))
+    power = F.concat(F.lit("<m:sSup><m:e>"), math(F.lit("x")), F.lit("</m:e><m:sup>"), math(k.cast("string")), F.lit("</m:sup></m:sSup>"))
+    fraction = F.concat(F.lit("<m:f><m:fPr/><m:num>"), math(size.cast("string")), F.lit("</m:num><m:den>"), power, F.lit("</m:den></m:f>"))
+    root = F.concat(F.lit('<m:rad><m:deg/><m:e><m:d><m:dPr><m:begChr m:val="["/></m:dPr><m:e>'), math(F.lit("a")), F.lit("</m:e><m:e>"), math(size.cast("string")), F.lit("</m:e></m:d></m:e></m:rad>"))
+    body = F.concat(F.lit("<w:p>"), link, F.lit("<w:r><w:t>see &amp; "), size, F.lit("</w:t></w:r></w:hyperlink><m:oMath>"), F.when(size % 2 == 0, fraction).otherwise(root), F.lit("</m:oMath></w:p>"))
+    target = F.when(k % 4 > 0, F.concat(F.lit('<Relationship Id="rId'), k, F.lit('" Type="t" Target="https://x/'), "p_partkey", F.lit('"/>')))
+    docs = _gathered(p.withColumns({"n": note, "c": comment, "b": body, "t": target}), "path", "k", notes=F.col("n"), comments=F.col("c"), body=F.col("b"), targets=F.col("t"))
+    whole = lambda tag, inside, before="": F.concat(F.lit(f'{HEAD}<w:{tag} xmlns:w="urn:w" xmlns:r="urn:r" xmlns:m="urn:m">{before}'), inside, F.lit(f"</w:{tag}>"))
+    parts = {
+        "word/document.xml": whole("document", F.col("body")), "word/_rels/document.xml.rels": F.concat(F.lit(HEAD + '<Relationships xmlns="urn:p">'), F.col("targets"), F.lit("</Relationships>")),
+        "word/footnotes.xml": whole("footnotes", F.col("notes"), '<w:footnote w:type="separator" w:id="-1"><w:p><w:r><w:t>-</w:t></w:r></w:p></w:footnote>'), "word/comments.xml": whole("comments", F.col("comments")),
+        "word/header1.xml": whole("hdr", says(F.concat(F.lit("head "), "path"))), "word/footer1.xml": whole("ftr", F.lit("<w:p/>")),
+    }
+    return docs.select("path", _archive(parts).alias("content"))
+
+
+def decks(orders: DataFrame) -> DataFrame:
+    """path, content: an order a slide, forty a deck: a table of two rows and speaker's notes, which every fifth slide does not have."""
+    k = F.col("o_orderkey")
+    says = lambda *t: F.concat(*[x for part in t for x in (F.lit("<a:p><a:r><a:t>"), part, F.lit("</a:t></a:r></a:p>"))])
+    cell = lambda t, more="": F.concat(F.lit(f"<a:tc{more}><a:txBody>"), t, F.lit("</a:txBody><a:tcPr/></a:tc>"))
+    row = lambda *cells: F.concat(F.lit('<a:tr h="1">'), *cells, F.lit("</a:tr>"))
+    table = F.concat(F.lit("<a:tbl><a:tblPr/>"), row(cell(says(F.concat(F.lit("c"), F.col("o_custkey"))), ' gridSpan="2"'), cell(F.lit("<a:p/>"), ' hMerge="1"')), row(cell(says(F.col("o_orderstatus"), F.lit("a&lt;b_x0041_"))), cell(says(F.col("o_orderpriority")))), F.lit("</a:tbl>"))
+    slide = F.concat(F.lit(HEAD + '<p:sld xmlns:p="urn:p" xmlns:a="urn:a"><p:graphicFrame>'), table, F.lit("</p:graphicFrame></p:sld>"))
+    target = F.when(k % 5 != 0, F.concat(F.lit('<Relationship Id="rId1" Type="n" Target="../notesSlides/notesSlide'), k % 40 + 1, F.lit('.xml"/>'))).otherwise(F.lit(""))
+    related = F.concat(F.lit(HEAD + '<Relationships xmlns="urn:p"><Relationship Id="rId9" Type="l" Target="../slideLayouts/slideLayout1.xml"/>'), target, F.lit("</Relationships>"))
+    shape = lambda kind, t: F.concat(F.lit(f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}" idx="1"/></p:nvPr></p:nvSpPr><p:txBody>'), t, F.lit("</p:txBody></p:sp>"))
+    notes = F.concat(F.lit(HEAD + '<p:notes xmlns:p="urn:p" xmlns:a="urn:a">'), shape("sldNum", says((k % 40 + 1).cast("string"))), shape("body", says(F.concat(F.lit("say "), F.col("o_custkey")), F.lit(" "), F.col("o_orderstatus"))), F.lit("</p:notes>"))
+    return _sheaf(orders, ".pptx", ("ppt/slides/slide#.xml", slide), ("ppt/slides/_rels/slide#.xml.rels", related), ("ppt/notesSlides/notesSlide#.xml", notes))

@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from quire.sources import office
+from quire.sources import channels, office
 
 NS = 'xmlns="urn:s" xmlns:r="urn:r" xmlns:w="urn:w"'
 
@@ -78,3 +78,37 @@ def test_archive_limits(names, sizes, encrypted, size, want):
 def test_no_archives_give_no_rows(spark):
     none = office.members(spark.createDataFrame([], "path string, content binary"))
     assert [f(none).count() for f in (office.workbook_cells, office.word_tables, office.word_paragraphs, office.slide_shapes, office.drawing_edges)] == [0] * 5
+
+
+def test_word_channels_skip_separators_and_blanks_and_keep_lines(spark):
+    notes = f'<w:footnotes {NS}><w:footnote w:type="separator" w:id="-1"><w:p><w:r><w:t>-</w:t></w:r></w:p></w:footnote><w:footnote w:id="2"><w:p><w:r><w:footnoteRef/><w:t xml:space="preserve">a </w:t></w:r><w:r><w:tab/><w:t>b</w:t></w:r></w:p> <w:p w:x="1"><w:r><w:t>c</w:t></w:r></w:p></w:footnote><w:footnote w:id="3"><w:p/></w:footnote></w:footnotes>'
+    found = members(spark, zipped(**{"word/footnotes.xml": notes, "word/endnotes.xml": f"<w:endnotes {NS}/>", "word/footer2.xml": f"<w:ftr {NS}><w:p><w:r><w:t>end</w:t></w:r></w:p></w:ftr>", "word/settings.xml": "<x/>"}), None)
+    rows = {tuple(r) for r in channels.word_channels(found).drop("member", "path").collect()}
+    assert rows == {("footnote", 2, 2, None, "a \tb\nc"), ("footer", 1, None, None, "end")}
+
+
+def test_links_without_relation_and_with_anchor(spark):
+    link = lambda inside, text: f"<w:hyperlink {inside}><w:r><w:t>{text}</w:t></w:r></w:hyperlink>"
+    body = f'<w:document {NS}><w:p>{link("r:id=\"r1\"", "one")}{link("r:id=\"r1\" w:anchor=\"top\"", "two")}{link("r:id=\"r9\"", "lost")}{link("w:anchor=\"x\"", "in")}</w:p></w:document>'
+    found = members(spark, zipped(**{"word/document.xml": body, "word/_rels/document.xml.rels": '<Relationships><Relationship Id="r1" Target="https://e/"/></Relationships>'}))
+    assert {(r.text, r.target) for r in channels.word_links(found).collect()} == {("one", "https://e/"), ("two", "https://e/#top"), ("lost", None), ("in", "#x")}
+
+
+@pytest.mark.parametrize(
+    "xml,want",
+    [
+        ("<m:oMath><m:sSubSup><m:e><m:r><m:t>x</m:t></m:r></m:e><m:sub><m:r><m:t>i</m:t></m:r></m:sub><m:sup><m:r><m:t>2</m:t></m:r></m:sup></m:sSubSup></m:oMath>", "x_(i)^(2)"),
+        ('<m:oMath><m:nary><m:naryPr><m:chr m:val="∑"/></m:naryPr><m:sub><m:r><m:t>i</m:t></m:r></m:sub><m:sup/><m:e><m:r><m:t>i</m:t></m:r></m:e></m:nary></m:oMath>', "∑_(i)^() i"),
+        ("<m:oMath><m:rad><m:deg><m:r><m:t>3</m:t></m:r></m:deg><m:e><m:r><w:rPr/><m:t>{y}</m:t></m:r></m:e></m:rad></m:oMath>", "root[3]({y})"),
+        ("<m:oMath><m:d><m:e><m:r><m:t>a</m:t></m:r></m:e><m:e><m:r><m:t>b</m:t></m:r></m:e></m:d></m:oMath>", "(a,b)"),
+        ("<m:oMath><m:f></m:oMath>", None),
+        ("<m:oMath/>", ""),
+    ],
+)
+def test_formulas_on_one_line(xml, want):
+    assert channels.linear_formula(xml) == want
+
+
+def test_slides_without_tables_or_notes_give_no_rows(spark):
+    found = members(spark, zipped(**{"ppt/slides/slide1.xml": "<p:sld/>", "ppt/slides/_rels/slide1.xml.rels": "<Relationships/>", "ppt/notesSlides/notesSlide1.xml": "<p:notes/>"}), b"no archive")
+    assert channels.slide_tables(found).count() == channels.slide_notes(found).count() == 0
