@@ -98,6 +98,19 @@ def classify_error(kind: Column) -> Column:
     )
 
 
+#: What to do next about a cause.
+REMEDIES = {
+    "path": "choose the source again", "access": "close the file and check the folder's rights", "encoding": "keep the original and state its encoding",
+    "dependency": "run the diagnosis before anything is installed", "index": "close other processes and repair", "control": "correct the value that was told",
+    "unknown": "repeat once with the same source and keep the record",
+}
+
+
+def remedy_for(cause: Column) -> Column:
+    """The next step for a cause of `classify_error`; null for any other word."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in REMEDIES.items() for x in pair]), cause)
+
+
 def run_budget(items: DataFrame, call_budget: int, token_budget: int) -> DataFrame:
     """Items (batch, position, calls: 0 or 1, tokens, null if unknown) with whether a run starts them.
 

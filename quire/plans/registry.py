@@ -13,7 +13,7 @@ from quire.operators import sheets as S
 from quire.sources import files, office, pages
 from quire.streaming import resumable
 
-from . import channels, checks, oracles, packages, samples  # noqa: F401  channels and checks register their queries in packages
+from . import channels, checks, oracles, packages, queues, samples  # noqa: F401  channels, checks and queues register their queries in packages
 
 FLAGSHIP = "retrieval_topk"
 QUERY = "the of"
