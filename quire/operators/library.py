@@ -12,6 +12,12 @@ LOCAL_TEXT = ("txt", "md", "text")
 NATIVE = ("docx", "xlsx", "pptx", "vsdx", "xls", "doc", "ppt", "xlsb", "png", "jpg", "tif", "gif", "webp")
 LOCAL = LOCAL_TEXT + NATIVE
 REASONS = {"pdf": "choose pages first", "office-legacy": "no adapter", "dwg": "review geometry one by one", "dxf": "review geometry one by one", "deferred": "download first", "zip-damaged": "damaged archive"}
+#: Why content of a sniffed kind is refused, and the most pages of a PDF that are prepared at once.
+REFUSED = {
+    "empty": "empty file", "zip-damaged": "damaged archive", "zip": "archive of no document", "zip-ambiguous": "archive of several kinds",
+    "office-legacy": "binary document of another program", "unsupported": "unknown binary content",
+}
+MOST_PAGES = 2000
 REQUIRED = ("document.json", "documento.md", "verificacion.json")
 ATTENTION = ("error", "consumo_desconocido", "requiere_revision", "bloqueado")
 
@@ -35,6 +41,20 @@ def plan_routes(queue: DataFrame) -> DataFrame:
     return joined.select("number", "format", "sha256", route.alias("route"), F.when(route == "duplicado", F.col("first")).alias("duplicate_of"), F.when(route == "pendiente", reason).alias("reason"))
 
 
+def entry_routes(found: DataFrame) -> DataFrame:
+    """path, kind, pages with route (text, native, pages, refused) and reason of sniffed files (path, kind, pages).
+
+    pages: how many a PDF has, null if it cannot be read; it says nothing of other kinds. Every refused file has a reason.
+    """
+    kind, pages = F.col("kind"), F.col("pages")
+    of_pdf = F.when(pages.isNull(), "damaged document").when(pages < 1, "no pages").when(pages > MOST_PAGES, "prepare its pages in parts")
+    why = F.try_element_at(F.create_map(*[F.lit(x) for pair in REFUSED.items() for x in pair]), kind)
+    other = F.coalesce(why, F.concat(F.lit("no adapter for "), kind), F.lit("unknown kind"))
+    reason = F.when(kind == "pdf", of_pdf).when(~F.coalesce(kind.isin(*LOCAL), F.lit(False)), other)
+    route = F.when(reason.isNotNull(), "refused").when(kind == "pdf", "pages").when(kind.isin(*LOCAL_TEXT), "text").otherwise("native")
+    return found.select("path", "kind", "pages", route.alias("route"), reason.alias("reason"))
+
+
 def route_counts(plan: DataFrame) -> DataFrame:
     """Counts by route and by format in one pass: dimension, value, n."""
     return (
@@ -90,6 +110,18 @@ def group_failures(events: DataFrame, resolutions: DataFrame | None = None) -> D
     return found.join(solved, "signature", "left").withColumns({"status": status, "resolutions": F.coalesce("resolutions", F.lit(0))})
 
 
+def resolve_failures(failures: DataFrame, asked: DataFrame) -> DataFrame:
+    """signature, cause, evidence and status (`resuelto` or `rechazado`) with reason, for each asked resolution (signature, cause, evidence).
+
+    A resolution needs a cause and an evidence that are not blank, and a signature that failures has. Nulls are blank.
+    """
+    blank = lambda c: F.col(c).isNull() | F.rlike(c, F.lit("(?U)^\\s*$"))
+    known = failures.select("signature", F.lit(True).alias("known")).distinct()
+    reason = F.when(blank("cause") | blank("evidence"), "cause and evidence are needed").when(F.col("known").isNull(), "unknown signature")
+    told = asked.join(known, "signature", "left").withColumn("reason", reason)
+    return told.select("signature", "cause", "evidence", F.when(F.col("reason").isNull(), "resuelto").otherwise("rechazado").alias("status"), "reason")
+
+
 def classify_error(kind: Column) -> Column:
     """The probable cause of an error type, in order of precedence."""
     return (
@@ -146,12 +178,22 @@ def batch_status(items: DataFrame) -> DataFrame:
     return items.groupBy("batch").agg(status.alias("status"), F.count_if(F.col("state").isin(*ATTENTION)).alias("attention"), F.count(F.lit(1)).alias("items"))
 
 
-def upsert_queue(queue: DataFrame, seen: DataFrame) -> DataFrame:
-    """The queue (path, sha256, status) after an inventory (path, sha256, format): unchanged finished files stay, others are set anew."""
-    both = queue.select("path", F.col("sha256").alias("old"), "status").join(seen, "path", "full_outer")
-    kept = F.col("old").eqNullSafe(F.col("sha256")) & F.col("old").isNotNull()
+def upsert_queue(queue: DataFrame, seen: DataFrame, intact: DataFrame | None = None) -> DataFrame:
+    """The queue (path, sha256, status) after an inventory (path, sha256, format): unchanged finished files stay, others are set anew.
+
+    With intact (output: the packages that passed their check) and a queue that tells each file's output, an
+    unchanged file stays only if its output is among them; a file set anew loses its output.
+    """
+    held = queue.select("path", F.col("sha256").alias("old"), "status", *(["output"] if intact is not None else []))
+    if intact is not None:
+        held = held.join(intact.select("output", F.lit(True).alias("whole")).distinct(), "output", "left")
+    both = held.join(seen, "path", "full_outer")
+    same = F.col("old").eqNullSafe(F.col("sha256")) & F.col("old").isNotNull()
+    kept = same if intact is None else same & F.col("whole").isNotNull()
     status = F.when(F.col("format").isNull() | kept, F.coalesce("status", action_for(F.col("format")))).otherwise(action_for(F.col("format")))
-    return both.select("path", F.coalesce("sha256", "old").alias("sha256"), status.alias("status"), (F.col("old").isNotNull() & F.col("sha256").isNotNull() & ~kept).alias("source_changed"))
+    changed = F.col("old").isNotNull() & F.col("sha256").isNotNull() & ~same
+    output = [F.when(F.col("format").isNull() | kept, F.col("output")).alias("output")] if intact is not None else []
+    return both.select("path", F.coalesce("sha256", "old").alias("sha256"), status.alias("status"), changed.alias("source_changed"), *output)
 
 
 def export_names(titles: DataFrame) -> DataFrame:

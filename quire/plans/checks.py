@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import contracts as C
+from quire.operators import library as L
 from quire.sources import answers, files
 from quire.streaming.resumable import folder
 
@@ -134,3 +135,62 @@ def text_marks(spark, sf_dir):
         "p_partkey", T.code_fence(F.concat("p_name", F.lit(" "), F.expr("repeat('`', cast(p_size % 6 AS int))"), F.lit(" x"))).alias("fence"), T.fenced_json(fenced).alias("body"),
         T.valid_scores(score, F.array(F.lit(0.2), F.lit(0.5), F.lit(0.3))).alias("valid"), F.round(T.arc_length((size * 10).cast("double"), (size * 25).cast("double"), F.lit(2.0)), 6).alias("arc"),
     )
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, CASE WHEN doc_id % 5 = 2 THEN 'not utf-8' WHEN doc_id % 5 = 1 OR regexp_full_match(t, '\\s*') THEN 'blank' ELSE 'unit' END AS state FROM d)
+SELECT '/in/a.b/' || doc_id || '.x.md' AS path, doc_id || '.x' AS title, CASE WHEN state = 'unit' THEN 1 END AS unit, state, CASE WHEN state = 'unit' THEN sha256(t) END AS text_sha256,
+       CASE doc_id % 5 WHEN 0 THEN sha256(chr(65279) || t) WHEN 1 THEN sha256(chr(65279) || chr(160) || ' ' || chr(10)) WHEN 2 THEN sha256('\\xFF\\x41'::BLOB) ELSE sha256(t) END AS sha256
+FROM s
+""")
+def text_units(spark, sf_dir):
+    """Texts with and without the mark of their encoding, blank ones and such as are not UTF-8."""
+    k, text = F.col("doc_id") % 5, F.coalesce("text", F.lit("")).cast("binary")
+    mark = F.lit(files.MARK)
+    content = F.when(k == 0, F.concat(mark, text)).when(k == 1, F.concat(mark, F.lit("\u00a0 \n").cast("binary"))).when(k == 2, F.lit(b"\xff\x41")).otherwise(text)
+    found = files.text_units(_t(spark, sf_dir, "documents").select(F.concat(F.lit("/in/a.b/"), "doc_id", F.lit(".x.md")).alias("path"), content.alias("content")))
+    return found.select("path", "title", "sha256", "unit", "state", T.sha256(F.col("text")).alias("text_sha256"))
+
+
+@query("""
+WITH k AS (SELECT o_orderkey, list_extract(['md', 'docx', 'pdf', 'zip', 'empty', 'csv', NULL, 'pdf', 'zip-damaged', 'unsupported'], CAST(o_orderkey % 10 + 1 AS INT)) AS kind, CASE WHEN o_custkey % 9 > 0 THEN o_custkey * 37 % 2500 * (o_custkey % 8) END AS pages FROM orders),
+r AS (SELECT *, CASE WHEN kind = 'pdf' THEN CASE WHEN pages IS NULL THEN 'damaged document' WHEN pages < 1 THEN 'no pages' WHEN pages > 2000 THEN 'prepare its pages in parts' END
+  WHEN kind = 'zip' THEN 'archive of no document' WHEN kind = 'empty' THEN 'empty file' WHEN kind = 'zip-damaged' THEN 'damaged archive' WHEN kind = 'unsupported' THEN 'unknown binary content'
+  WHEN kind = 'csv' THEN 'no adapter for csv' WHEN kind IS NULL THEN 'unknown kind' END AS reason FROM k)
+SELECT '/in/' || o_orderkey AS path, kind, CAST(pages AS BIGINT) AS pages, CASE WHEN reason IS NOT NULL THEN 'refused' WHEN kind = 'pdf' THEN 'pages' WHEN kind = 'md' THEN 'text' ELSE 'native' END AS route, reason FROM r
+""")
+def entry_routes(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ("md", "docx", "pdf", "zip", "empty", "csv", None, "pdf", "zip-damaged", "unsupported")))
+    c = F.col("o_custkey").cast("long")
+    pages = F.when(c % 9 > 0, c * 37 % 2500 * (c % 8))
+    return L.entry_routes(_t(spark, sf_dir, "orders").select(F.concat(F.lit("/in/"), "o_orderkey").alias("path"), F.get(kinds, (F.col("o_orderkey") % 10).cast("int")).alias("kind"), pages.alias("pages")))
+
+
+@query("""
+WITH f AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'),
+a AS (SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 THEN ' ' WHEN event_id % 11 > 0 THEN 'c' || event_id END AS cause, CASE WHEN event_id % 5 > 0 THEN 'seen' ELSE chr(10) END AS evidence FROM events),
+r AS (SELECT a.*, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 5 = 0 THEN 'cause and evidence are needed' WHEN f.user_id IS NULL THEN 'unknown signature' END AS reason FROM a LEFT JOIN f ON f.user_id = a.user_id)
+SELECT 's' || user_id AS signature, cause, evidence, CASE WHEN reason IS NULL THEN 'resuelto' ELSE 'rechazado' END AS status, reason FROM r
+""")
+def failures_resolved(spark, sf_dir):
+    e, i = _t(spark, sf_dir, "events"), F.col("event_id")
+    signature = F.concat(F.lit("s"), "user_id").alias("signature")
+    asked = e.select(signature, F.when(i % 7 == 0, " ").when(i % 11 > 0, F.concat(F.lit("c"), i)).alias("cause"), F.when(i % 5 > 0, "seen").otherwise("\n").alias("evidence"))
+    return L.resolve_failures(e.filter("event_type = 'error'").select(signature), asked)
+
+
+@query("""
+WITH d AS (SELECT doc_id, '/in/' || doc_id AS path, sha256(text) AS sha FROM documents),
+o AS (SELECT doc_id, path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha END AS old, CASE WHEN doc_id % 4 > 0 THEN 'out' || doc_id END AS output FROM d WHERE doc_id % 5 <> 0),
+s AS (SELECT path, sha, CASE WHEN doc_id % 3 = 0 THEN 'requiere_paginas' ELSE 'listo' END AS fresh FROM d WHERE doc_id % 6 <> 0),
+b AS (SELECT coalesce(o.path, s.path) AS path, old, sha, output, fresh, coalesce(old = sha AND output IS NOT NULL AND doc_id % 9 > 0, false) AS kept FROM o FULL JOIN s ON o.path = s.path)
+SELECT path, coalesce(sha, old) AS sha256, CASE WHEN fresh IS NULL OR kept THEN 'terminado' ELSE fresh END AS status, old IS NOT NULL AND sha IS NOT NULL AND old <> sha AS source_changed,
+       CASE WHEN fresh IS NULL OR kept THEN output END AS output FROM b
+""")
+def queue_upsert_intact(spark, sf_dir):
+    i = F.col("doc_id")
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/in/"), "doc_id").alias("path"), T.sha256(F.col("text")).alias("sha256"), F.concat(F.lit("out"), "doc_id").alias("made"))
+    old = d.filter("doc_id % 5 <> 0").select("path", F.when(i % 7 == 0, "old").otherwise(F.col("sha256")).alias("sha256"), F.lit("terminado").alias("status"), F.when(i % 4 > 0, F.col("made")).alias("output"))
+    seen = d.filter("doc_id % 6 <> 0").select("path", "sha256", F.when(i % 3 == 0, "pdf").otherwise("md").alias("format"))
+    return L.upsert_queue(old, seen, d.filter("doc_id % 9 > 0").select(F.col("made").alias("output")))

@@ -25,6 +25,9 @@ TEXT = ("txt", "md", "csv", "json", "html", "xml")
 #: A drawing in text: pairs of a group code and its value, comments (code 999) before the first section (code 0).
 COMMENT, SECTION = r"\s*999[ \t]*\R.*\R", r"\s*0\s*\R\s*SECTION\b"
 HEAD = 1024
+MARK = b"\xef\xbb\xbf"
+#: A text of nothing but white space, the separators U+001C to U+001F included.
+NOTHING = "(?U)^[\\s\\x1c-\\x1f]*$"
 
 
 @F.pandas_udf(StringType())
@@ -72,6 +75,20 @@ def sniffed(found: DataFrame) -> DataFrame:
     return both.select("path", F.octet_length("content").cast("long").alias("bytes"), "kind", F.sha2("content", 256).alias("sha256"))
 
 
+def text_units(found: DataFrame) -> DataFrame:
+    """path, title, sha256, unit, state and text of text files (path, content), each whole file a unit of its own.
+
+    state is `unit`, `blank` (nothing but white space, or no content) or `not utf-8`; only a unit has a text, without
+    the mark of its encoding, and a number. The digest is of the bytes as they are.
+    """
+    body = F.when(F.substring("content", 1, len(MARK)) == F.lit(MARK), F.expr(f"substring(content, {len(MARK) + 1})")).otherwise(F.col("content")).cast("string")
+    read = found.select("path", F.regexp_extract("path", "([^/]+?)(?:\\.[^./]*)?$", 1).alias("title"), F.sha2("content", 256).alias("sha256"), body.alias("text"))
+    blank = F.col("text").isNull() | F.rlike("text", F.lit(NOTHING))
+    state = F.when(~F.is_valid_utf8("text"), "not utf-8").when(blank, "blank").otherwise("unit")
+    fine = F.col("state") == "unit"
+    return read.withColumn("state", state).select("path", "title", "sha256", F.when(fine, 1).alias("unit"), "state", F.when(fine, F.col("text")).alias("text"))
+
+
 def inventory(spark: SparkSession, folder: str, limit: int = 200) -> DataFrame:
     """path, length, modificationTime of the first files below a folder by path, skipped folders left out, and truncated: whether there are more than limit.
 

@@ -250,3 +250,24 @@ def test_contract_rules_one_by_one(spark):
 def test_rerank_keeps_hits_without_a_score_last(spark):
     hits, scores = spark.createDataFrame([(k,) for k in (1, 2, 3)], "local_rank int"), spark.createDataFrame([(3, 2.0), (2, -1.0)], "local_rank int, score double")
     assert [r.local_rank for r in R.rerank(hits, scores, 5).collect()] == [3, 2, 1]
+
+
+def test_a_text_file_is_one_unit_or_is_told_why_not(spark):
+    given = [("/a/n.md", b"\xef\xbb\xbfx\n"), ("/a/b", b"\xef\xbb\xbf"), ("/a/.md", "\u2003\x1c".encode()), ("/a.b/c", b"\xff"), ("/d.txt", None), ("/e.tar.gz", "\ufeff\ufeff".encode())]
+    found = {r.path: (r.title, r.unit, r.state, r.text) for r in files.text_units(spark.createDataFrame(given, "path string, content binary")).collect()}
+    assert found["/a/n.md"] == ("n", 1, "unit", "x\n") and found["/a/b"] == ("b", None, "blank", None) and found["/a/.md"][2] == "blank"
+    assert found["/a.b/c"] == ("c", None, "not utf-8", None) and found["/d.txt"] == ("d", None, "blank", None) and found["/e.tar.gz"] == ("e.tar", 1, "unit", "\ufeff")
+
+
+def test_every_refused_file_has_a_reason(spark):
+    given = [("a", "pdf", 2000), ("b", "pdf", 2001), ("c", "pdf", None), ("d", "pdf", 0), ("e", None, None), ("f", "dwg", None), ("g", "text", None), ("h", "png", 9)]
+    found = {r.path: (r.route, r.reason) for r in L.entry_routes(spark.createDataFrame(given, "path string, kind string, pages long")).collect()}
+    assert [found[k][0] for k in "abcdefgh"] == ["pages", "refused", "refused", "refused", "refused", "refused", "text", "native"]
+    assert found["e"][1] == "unknown kind" and found["f"][1] == "no adapter for dwg" and found["a"][1] is None
+
+
+def test_resolutions_need_cause_evidence_and_a_known_failure(spark):
+    failures = spark.createDataFrame([("s",), ("s",), (None,)], "signature string")
+    asked = spark.createDataFrame([("s", "c", "e"), ("s", "c", " "), ("s", None, "e"), ("t", "c", "e"), (None, "c", "e")], "signature string, cause string, evidence string")
+    found = sorted((r.signature or "", r.cause or "", r.evidence, r.status) for r in L.resolve_failures(failures, asked).collect())
+    assert [x[3] for x in found] == ["rechazado", "rechazado", "rechazado", "resuelto", "rechazado"] and len(found) == 5
