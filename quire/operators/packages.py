@@ -81,10 +81,13 @@ def plan_ids(items: DataFrame, policy: str) -> DataFrame:
 
     Null for a plan of over 200 pages.
     """
+    counts = items.groupBy("batch").agg(F.count(F.lit(1)).alias("pages"))
+    # Only plans of bounded length are gathered, whatever the size of the others.
+    short = items.join(counts.filter(F.col("pages") <= MOST_PAGES).select("batch"), "batch", "left_semi")
     line = F.concat_ws("|", "position", "unit", F.coalesce("sha256", F.lit("-")))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"])
-    text = F.concat(F.lit(policy + "\n"), F.array_join(lines, "\n"))
-    return items.groupBy("batch").agg(F.count(F.lit(1)).alias("pages"), F.when(F.count(F.lit(1)) <= MOST_PAGES, F.sha2(text, 256)).alias("plan_id"))
+    ids = short.groupBy("batch").agg(F.sha2(F.concat(F.lit(policy + "\n"), F.array_join(lines, "\n")), 256).alias("plan_id"))
+    return counts.join(ids, "batch", "left").select("batch", "pages", "plan_id")
 
 
 def reserve(jobs: DataFrame, ledger: DataFrame) -> DataFrame:

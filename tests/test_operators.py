@@ -271,3 +271,14 @@ def test_resolutions_need_cause_evidence_and_a_known_failure(spark):
     asked = spark.createDataFrame([("s", "c", "e"), ("s", "c", " "), ("s", None, "e"), ("t", "c", "e"), (None, "c", "e")], "signature string, cause string, evidence string")
     found = sorted((r.signature or "", r.cause or "", r.evidence, r.status) for r in L.resolve_failures(failures, asked).collect())
     assert [x[3] for x in found] == ["rechazado", "rechazado", "rechazado", "resuelto", "rechazado"] and len(found) == 5
+
+
+def test_a_title_of_very_many_documents_is_numbered_in_parts(spark):
+    titles = spark.range(3000).selectExpr("2999 - id AS doc_id", "if(id % 3 = 0, concat('t', id), if(id % 2 = 0, 'Same', 'same')) AS title")
+    named = {r.doc_id: r.name for r in L.export_names(titles).collect()}
+    same = [d for d in range(3000) if (2999 - d) % 3]
+    want = {d: ("Same" if (2999 - d) % 2 == 0 else "same") + (f" ({k})" if k > 1 else "") for k, d in enumerate(same, 1)}
+    assert {d: named[d] for d in same} == want and len({n.lower() for n in named.values()}) == 3000
+    one_id = spark.createDataFrame([(None, "a"), (7, "a"), (7, "a")], "doc_id long, title string")
+    assert sorted(r.name for r in L.export_names(one_id).collect()) == ["a", "a (2)", "a (3)"]
+    assert L.export_names(titles.limit(0)).count() == 0
