@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import failure_signature, safe_filename
 
+from .ranges import range_of
+
 #: Kinds that can be converted locally, reasons for those that cannot, and required files of a package.
 LOCAL_TEXT = ("txt", "md", "text")
 NATIVE = ("docx", "xlsx", "pptx", "vsdx", "xls", "doc", "ppt", "xlsb", "png", "jpg", "tif", "gif", "webp")
@@ -18,8 +20,6 @@ REFUSED = {
     "office-legacy": "binary document of another program", "unsupported": "unknown binary content",
 }
 MOST_PAGES = 2000
-#: Parts in which the documents of one name are numbered.
-RANGES = 64
 REQUIRED = ("document.json", "documento.md", "verificacion.json")
 ATTENTION = ("error", "consumo_desconocido", "requiere_revision", "bloqueado")
 
@@ -198,22 +198,15 @@ def upsert_queue(queue: DataFrame, seen: DataFrame, intact: DataFrame | None = N
     return both.select("path", F.coalesce("sha256", "old").alias("sha256"), status.alias("status"), changed.alias("source_changed"), *output)
 
 
-def _range_of(df: DataFrame, number: str) -> Column:
-    """Which of RANGES about equal ranges of a number holds it, 0 for null; greater numbers are never in an earlier range."""
-    marks = df.agg(F.percentile_approx(number, [k / RANGES for k in range(1, RANGES)], 20 * RANGES).alias("marks")).first()["marks"]
-    below = [(F.col(number) > mark).cast("int") for mark in sorted(set(marks or []))]
-    return F.coalesce(sum(below, F.lit(0)), F.lit(0))
-
-
 def export_names(titles: DataFrame) -> DataFrame:
     """doc_id and a file name of its own: equal names, whatever their case, get (2), (3) by doc_id.
 
     A name that another title has already with its number would clash: such numbers are looked up and the
     clashing names take their doc_id instead. doc_id is a number; a title that very many documents have is
-    numbered in RANGES parts, by ranges of doc_id.
+    numbered in parts, by ranges of doc_id.
     """
     named = titles.select("doc_id", safe_filename(F.col("title")).alias("base"))
-    named = named.withColumns({"key": F.lower("base"), "range": _range_of(named, "doc_id")})
+    named = named.withColumns({"key": F.lower("base"), "range": range_of(named, "doc_id")})
     sizes = named.groupBy("key", "range").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("key", "range", before.alias("before")).filter("before > 0")

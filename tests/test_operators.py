@@ -2,6 +2,7 @@
 
 import datetime
 import io
+import math
 import uuid
 import zipfile
 
@@ -282,3 +283,16 @@ def test_a_title_of_very_many_documents_is_numbered_in_parts(spark):
     one_id = spark.createDataFrame([(None, "a"), (7, "a"), (7, "a")], "doc_id long, title string")
     assert sorted(r.name for r in L.export_names(one_id).collect()) == ["a", "a (2)", "a (3)"]
     assert L.export_names(titles.limit(0)).count() == 0
+
+
+def test_a_layer_of_very_many_vertices_is_measured_in_parts(spark):
+    vertices = spark.range(2000).selectExpr("if(id < 1900, 'hot', concat('l', id % 3)) AS layer", "id AS ord", "cast(id * 2 AS double) AS x", "cast(if(id % 2 = 0, 0, 5) AS double) AS y", "if(id % 100 = 7, 1.0D, null) AS bulge")
+    found = {r.layer: (round(r.length, 6), r.vertices) for r in S.path_lengths(vertices).collect()}
+    rows = sorted((r.layer, r.ord, r.x, r.y, r.bulge) for r in vertices.collect())
+    want = {}
+    for a, b in zip(rows, [*rows[1:], (None,) * 5], strict=True):
+        length, n = want.get(a[0], (0.0, 0))
+        step = math.hypot(b[2] - a[2], b[3] - a[3]) * (math.pi / 2 if a[4] else 1) if a[0] == b[0] else 0.0
+        want[a[0]] = (length + step, n + 1)
+    assert found == {k: (round(length, 6), n) for k, (length, n) in want.items()}
+    assert S.path_lengths(vertices.limit(0)).count() == 0
