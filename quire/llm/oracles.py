@@ -110,3 +110,93 @@ SELECT conv_id, CAST(0 AS BIGINT) AS chunk, CAST(n AS INTEGER) AS turns, merged,
                 || CASE WHEN state IN (1, 2) THEN chr(10) || '<|end|>' || chr(10) || '<|assistant|>' || chr(10) ELSE '' END || chr(10) || '<|end|>' || chr(10) AS rendered
 FROM run WHERE k = n
 """
+
+OP11 = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents),
+placed AS (
+  SELECT doc_id, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY content) AS group_size, row_number() OVER o = 1 AS kept, content
+  FROM t WINDOW o AS (PARTITION BY content ORDER BY points DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, kept, sha256(content) AS text_sha256 FROM placed
+"""
+
+OP12 = r"""
+WITH t AS (
+  SELECT d.doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         coalesce(quality, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic
+  FROM documents d LEFT JOIN (SELECT doc_id, max((quality = 1)::int) AS quality, max((toxic = 1)::int) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+masks AS (
+  SELECT part, good, toxic,
+         [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws),
+          100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'),
+          coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM t),
+counts AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY part, fails),
+letters AS (SELECT * FROM (VALUES (1), (2), (3), (4), (5)) AS v(f)),
+orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, step, o[step] AS f, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+each AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS failing,
+         len(list_filter(o[1:step - 1], lambda x: fails[x])) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS alone
+  FROM counts, steps),
+told AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::bigint AS kept, coalesce(sum(n) FILTER (failing AND NOT gone), 0)::bigint AS removed,
+         coalesce(sum(n) FILTER (failing AND gone), 0)::bigint AS redundant, coalesce(sum(n) FILTER (failing AND alone), 0)::bigint AS unique_fails,
+         coalesce(sum(good) FILTER (failing AND NOT gone), 0)::bigint AS good_lost, coalesce(sum(toxic) FILTER (failing AND NOT gone), 0)::bigint AS toxic_lost
+  FROM each GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::int AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::bigint AS shapley
+FROM told
+"""
+
+#: A level is made of the one below by halves of the places; a way up is a list of 'left|right', one of them empty.
+OP13 = r"""
+WITH RECURSIVE
+field AS (
+  SELECT doc_id, '=' || lang AS lang, n_chars,
+         coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+         coalesce(strlen(text) || ':' || text, '-') AS behind,
+         xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda c, b:
+           list_reduce([0::bigint, 1, 2, 3, 4, 5, 6, 7], lambda d, k: CASE WHEN d % 2 = 1 THEN xor(d // 2, 3988292384::bigint) ELSE d // 2 END, xor(c, b)),
+           4294967295::bigint), 4294967295::bigint) % 7 = 0 AS hit
+  FROM documents),
+leaves AS (
+  SELECT doc_id, coalesce(lang, '') AS tree, coalesce(hit, false) AS hit,
+         sha256(before || coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-') || behind) AS leaf,
+         sha256(before || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1)::varchar, '-') || behind) AS changed
+  FROM field),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+nodes(tree, level, i, digest, n) AS (
+  SELECT tree, 0, i, leaf, count(*) OVER (PARTITION BY tree) FROM placed
+  UNION ALL
+  SELECT tree, level + 1, i, digest, count(*) OVER (PARTITION BY tree) FROM (
+    SELECT tree, any_value(level) AS level, i // 2 AS i, sha256(string_agg(digest, '' ORDER BY i)) AS digest FROM nodes WHERE n > 1 GROUP BY tree, i // 2)),
+subroots AS (SELECT tree, digest, level AS height, row_number() OVER (ORDER BY tree) - 1 AS i FROM nodes WHERE n = 1),
+top(level, i, digest, n) AS (
+  SELECT 0, i, digest, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT level + 1, i, digest, count(*) OVER () FROM (
+    SELECT any_value(level) AS level, i // 2 AS i, sha256(string_agg(digest, '' ORDER BY i)) AS digest FROM top WHERE n > 1 GROUP BY i // 2)),
+steps AS (
+  SELECT p.doc_id, p.tree, p.i, s.level, n.digest, s.at % 2 = 1 AS behind
+  FROM (SELECT doc_id, tree, p.i, level, p.i // (2 ** level)::bigint AS at FROM placed p JOIN subroots r USING (tree), unnest(range(height)) AS u(level)) s
+  JOIN placed p ON p.tree = s.tree AND p.i = s.i
+  LEFT JOIN nodes n ON n.tree = s.tree AND n.level = s.level AND n.i = xor(s.at, 1)),
+ways AS (SELECT tree, i, list(CASE WHEN behind THEN coalesce(digest, '') || '|' ELSE '|' || coalesce(digest, '') END ORDER BY level) AS way FROM steps GROUP BY tree, i),
+over AS (
+  SELECT s.tree, list(CASE WHEN s.at % 2 = 1 THEN coalesce(t.digest, '') || '|' ELSE '|' || coalesce(t.digest, '') END ORDER BY s.level) AS way
+  FROM (SELECT tree, level, i // (2 ** level)::bigint AS at FROM subroots, unnest(range((SELECT max(level) FROM top))) AS u(level)) s
+  LEFT JOIN top t ON t.level = s.level AND t.i = xor(s.at, 1) GROUP BY s.tree),
+told AS (
+  SELECT p.doc_id, p.leaf, r.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root,
+         coalesce(w.way, []) || coalesce(o.way, []) AS way, CASE WHEN hit THEN changed ELSE leaf END AS claimed
+  FROM placed p JOIN subroots r USING (tree) LEFT JOIN ways w ON w.tree = p.tree AND w.i = p.i LEFT JOIN over o ON o.tree = p.tree)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(way, ''), '|', '')) AS proof_sha256,
+       list_reduce(way, lambda d, s: sha256(split_part(s, '|', 1) || d || split_part(s, '|', 2)), claimed) AS folded_root,
+       list_reduce(way, lambda d, s: sha256(split_part(s, '|', 1) || d || split_part(s, '|', 2)), claimed) = root AS verified
+FROM told
+"""

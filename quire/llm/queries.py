@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, jaccard, langid, lines, oracles, packing, quality, url_filter, warc
+from . import audit, bpe, chat, exact, fingerprint, jaccard, langid, lines, manifest, oracles, packing, quality, url_filter, warc
 from .shared import scratch_path
 
 
@@ -62,6 +62,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact.find_copies(docs).select("doc_id", "keep_id", "group_size", "kept", F.col("content_sha256").alias("text_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    own = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = [F.try_add("n_chars", F.lit(1)) if c == "n_chars" else F.col(c) for c in own]
+    rows = docs.select("doc_id", "lang", manifest.leaf(*map(F.col, own)).alias("leaf"), F.when(changed, manifest.leaf(*tampered)).alias("claimed"))
+    proofs = manifest.Manifest(rows, "lang", "doc_id", "leaf", "claimed", keep=["doc_id"]).proofs()
+    siblings = F.concat_ws("", F.zip_with("before", "behind", lambda a, b: F.concat(a, b)))
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_fingerprint": op2_fingerprint,
@@ -73,6 +93,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES = {
     "op4_url_filter": oracles.OP4,
@@ -80,4 +103,7 @@ ORACLES = {
     "op7_chat_format": oracles.OP7,
     "op8_warc": oracles.OP8,
     "op9_line_dedup": oracles.OP9,
+    "op11_exact_dedup": oracles.OP11,
+    "op12_filter_audit": oracles.OP12,
+    "op13_merkle_manifest": oracles.OP13,
 }
