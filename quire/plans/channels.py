@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quire.operators import sheets as S
 from quire.sources import channels, office
 
 from . import samples
@@ -60,3 +63,39 @@ SELECT path, slide, 'say ' || o_custkey || chr(10) || ' ' || chr(10) || o_orders
 """)
 def slide_notes(spark, sf_dir):
     return channels.slide_notes(_deck(spark, sf_dir))
+
+
+@query(r"""
+WITH p AS (SELECT '/in/' || p_partkey // 20 || '.docx' AS path, (row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey))::varchar AS n, p_partkey, p_name, p_size, chr(10) AS nl FROM part),
+inner_ AS (SELECT * FROM p WHERE p_size % 3 <> 0)
+SELECT path, n AS label, NULL AS parent, 1 AS row_no, 1 AS col, p_name || CASE WHEN p_size % 3 <> 0 THEN nl || '[tabla anidada ' || n || '.1]' ELSE '' END AS text FROM p
+UNION ALL SELECT path, n, NULL, 1, 2, p_size::varchar FROM p
+UNION ALL SELECT path, n || '.1', n, 1, c, 'i-' || p_size FROM inner_, (VALUES (1), (2)) v(c)
+UNION ALL SELECT path, n || '.1', n, r, 1, 'm' || p_size FROM inner_, (VALUES (2), (3)) v(r)
+UNION ALL SELECT path, n || '.1', n, 2, 2, 'x' || nl || 'y' FROM inner_
+UNION ALL SELECT path, n || '.1', n, 3, 2, CASE WHEN p_size % 2 = 0 THEN '[tabla anidada ' || n || '.1.1]' ELSE '' END FROM inner_
+UNION ALL SELECT path, n || '.1.1', n || '.1', 1, 1, 'deep' || p_partkey FROM inner_ WHERE p_size % 2 = 0
+""")
+def word_nested_tables(spark, sf_dir):
+    return office.word_grids(office.members(samples.nested_word_files(_t(spark, sf_dir, "part")), "^word/"))
+
+
+_LISTED = "s AS (SELECT '/in/' || o_orderkey // 40 || '.pptx' AS path, row_number() OVER (PARTITION BY o_orderkey // 40 ORDER BY o_orderkey DESC) AS slide, * FROM orders)"
+
+
+@query(f"""
+WITH {_LISTED}
+SELECT path, slide, 2 AS shape_id, 0 AS depth, 'c' || o_custkey AS text, o_orderkey % 7 = 0 AS hidden FROM s
+UNION ALL SELECT path, slide, 5, 2, o_orderpriority, o_orderkey % 7 = 0 FROM s
+""")
+def slide_order(spark, sf_dir):
+    found = office.members(samples.listed_decks(_t(spark, sf_dir, "orders")), "^ppt/")
+    return office.slide_shapes(found).select("path", "slide", "shape_id", F.size("groups").alias("depth"), "text", "hidden")
+
+
+@query(f"WITH {_LISTED} SELECT path, slide, 'c' || o_custkey || ' → ' || o_orderpriority AS edge FROM s")
+def grouped_edges(spark, sf_dir):
+    found = office.members(samples.listed_decks(_t(spark, sf_dir, "orders")), "^ppt/")
+    at = lambda d, *keys: d.withColumns({k: F.concat_ws("#", "path", "slide", k) for k in keys})
+    edges = S.diagram_edges(at(office.slide_connectors(found), "connector_id", "src", "dst"), at(office.slide_shapes(found), "shape_id"))
+    return edges.select(F.split_part("connector_id", F.lit("#"), F.lit(1)).alias("path"), F.split_part("connector_id", F.lit("#"), F.lit(2)).cast("int").alias("slide"), "edge")

@@ -139,3 +139,48 @@ def decks(orders: DataFrame) -> DataFrame:
     shape = lambda kind, t: F.concat(F.lit(f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}" idx="1"/></p:nvPr></p:nvSpPr><p:txBody>'), t, F.lit("</p:txBody></p:sp>"))
     notes = F.concat(F.lit(HEAD + '<p:notes xmlns:p="urn:p" xmlns:a="urn:a">'), shape("sldNum", says((k % 40 + 1).cast("string"))), shape("body", says(F.concat(F.lit("say "), F.col("o_custkey")), F.lit(" "), F.col("o_orderstatus"))), F.lit("</p:notes>"))
     return _sheaf(orders, ".pptx", ("ppt/slides/slide#.xml", slide), ("ppt/slides/_rels/slide#.xml.rels", related), ("ppt/notesSlides/notesSlide#.xml", notes))
+
+
+def nested_word_files(part: DataFrame) -> DataFrame:
+    """path, content: a table a part, twenty a document, most with a table in their first cell and some with one in that; prefixes in turn.
+
+    Paragraphs have tab stops, hyphens that don't break and breaks; the inner table has cells over columns and rows.
+    """
+    size = F.col("size")
+    p = part.select(F.floor(F.col("p_partkey") / 20).alias("doc"), (F.col("p_partkey") % 20).cast("int").alias("k"), "p_partkey", "p_name", F.col("p_size").cast("int").alias("size"))
+    says = lambda *t: F.concat(F.lit('<w:p><w:pPr><w:tabs><w:tab w:val="left" w:pos="9"/></w:tabs></w:pPr><w:r><w:t>'), *t, F.lit("</w:t></w:r></w:p>"))
+    cell = lambda inside, props="": F.concat(F.lit(f"<w:tc><w:tcPr>{props}</w:tcPr>"), inside, F.lit("</w:tc>"))
+    table = lambda *rows: F.concat(F.lit("<w:tbl><w:tblPr/>"), *[x for r in rows for x in (F.lit('<w:tr w:rsidR="1">'), r, F.lit("</w:tr>"))], F.lit("</w:tbl>"))
+    deep = F.when(size % 2 == 0, table(cell(says(F.lit("deep"), "p_partkey")))).otherwise(F.lit("<w:p/>"))
+    inner = table(
+        cell(says(F.lit("i</w:t><w:noBreakHyphen/><w:t>"), size), '<w:gridSpan w:val="2"/>'),
+        F.concat(cell(says(F.lit("m"), size), '<w:vMerge w:val="restart"/>'), cell(says(F.lit("x</w:t><w:cr/><w:t>y")))),
+        F.concat(cell(F.lit("<w:p/>"), "<w:vMerge/>"), cell(deep)),
+    )
+    p = p.withColumn("t", table(F.concat(cell(F.concat(says("p_name"), F.when(size % 3 != 0, inner).otherwise(F.lit("")))), cell(says(size.cast("string"))))))
+    docs = _gathered(p, "doc", "k", body=F.col("t"))
+    body = F.concat(F.lit(HEAD + '<w:document xmlns:w="urn:w"><w:body>'), "body", F.lit("</w:body></w:document>"))
+    prefix = F.get(F.array(*map(F.lit, ("w:", "word:", ""))), (F.col("doc") % 3).cast("int"))
+    return docs.select(F.concat(F.lit("/in/"), "doc", F.lit(".docx")).alias("path"), _archive({"word/document.xml": F.replace(body, F.lit("w:"), prefix)}).alias("content"))
+
+
+def listed_decks(orders: DataFrame) -> DataFrame:
+    """path, content: an order a slide, forty a deck, which lists them from the last order to the first; some are hidden.
+
+    A slide has a shape, a group within a group that holds another, and a connector from the one into the other.
+    """
+    k, nth = F.col("o_orderkey"), (F.col("o_orderkey") % 40).cast("string")
+    shape = lambda n, t: F.concat(F.lit(f'<p:sp useBgFill="1"><p:nvSpPr><p:cNvPr id="{n}" name="s"/></p:nvSpPr><p:txBody><a:p><a:r><a:t>'), t, F.lit("</a:t></a:r></a:p></p:txBody></p:sp>"))
+    group = lambda n, inside: F.concat(F.lit(f'<p:grpSp><p:nvGrpSpPr><p:cNvPr id="{n}" name="g"/></p:nvGrpSpPr>'), inside, F.lit("</p:grpSp>"))
+    line = '<p:cxnSp><p:nvCxnSpPr><p:cNvPr id="9" name="c"/><p:cNvCxnSpPr><a:stCxn id="2" idx="1"/><a:endCxn id="5" idx="0"/></p:cNvCxnSpPr></p:nvCxnSpPr><p:spPr><a:ln><a:headEnd type="none"/><a:tailEnd type="arrow"/></a:ln></p:spPr></p:cxnSp>'
+    show = F.when(k % 7 == 0, F.lit(' show="false"')).when(k % 7 == 1, F.lit(' show="1"')).otherwise(F.lit(""))
+    slide = F.concat(F.lit(HEAD + '<p:sld xmlns:p="urn:p" xmlns:a="urn:a"'), show, F.lit(">"), shape(2, F.concat(F.lit("c"), "o_custkey")), group(3, group(4, shape(5, F.col("o_orderpriority")))), F.lit(line + "</p:sld>"))
+    listed = F.concat(F.lit('<p:sldId id="'), k % 40 + 256, F.lit('" r:id="rId'), nth, F.lit('"/>'))
+    related = F.concat(F.lit('<Relationship Id="rId'), nth, F.lit('" Type="t" Target="slides/slide'), nth, F.lit('.xml"/>'))
+    one = F.struct((-k).alias("o"), F.concat(F.lit("ppt/slides/slide"), nth, F.lit(".xml")).alias("name"), slide.alias("text"), listed.alias("listed"), related.alias("related"))
+    decks = orders.groupBy(F.concat(F.lit("/in/"), F.floor(k / 40).cast("string"), F.lit(".pptx")).alias("path")).agg(F.array_sort(F.collect_list(one)).alias("m"))
+    joined = lambda field: F.array_join(F.transform("m", lambda x: x[field]), "")
+    whole = F.concat(F.lit(HEAD + '<p:presentation xmlns:p="urn:p" xmlns:r="urn:r"><p:sldIdLst>'), joined("listed"), F.lit("</p:sldIdLst></p:presentation>"))
+    rels = F.concat(F.lit(HEAD + '<Relationships xmlns="urn:q">'), joined("related"), F.lit("</Relationships>"))
+    names = F.concat(F.array(F.lit("ppt/presentation.xml"), F.lit("ppt/_rels/presentation.xml.rels")), F.transform("m", lambda x: x["name"]))
+    return decks.select("path", zipped(names, F.concat(F.array(whole, rels), F.transform("m", lambda x: x["text"]))).alias("content"))

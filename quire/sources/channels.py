@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quire.functions.text import md_text, ooxml_text
 
-from .office import RELATIONS, _attribute, _runs, _slides, _xml
+from .office import RELATIONS, WORD_BODY, _slide_rows, _xml, numbered_slides
+from .ooxml import NOTES, SlidePart, WordPart, rows_of
 
-#: How a formula's element is written on one line, by the names of its parts.
-LINEAR = {
-    "f": "({num})/({den})",
-    "sSup": "{e}^({sup})",
-    "sSub": "{e}_({sub})",
-    "sSubSup": "{e}_({sub})^({sup})",
-    "nary": "{chr}_({sub})^({sup}) {e}",
-}
+CHANNELS = "^word/(?:(?:footnotes|endnotes|comments)|(?:header|footer)\\d*)\\.xml$"
 SPEAKER = "> **Notas del orador:** "
 
 
@@ -31,17 +20,9 @@ def word_channels(found: DataFrame) -> DataFrame:
     Separators of notes and parts without text are no rows; a header or footer is one row a member, and
     paragraphs are lines. Only narrow rows leave the scan: nothing is shuffled.
     """
-    channel = F.regexp_extract("member", "^word/(footnote|endnote|comment|header|footer)s?\\d*\\.xml$", 1)
-    own = found.select("path", "member", channel.alias("channel"), F.col("content").cast("string").alias("xml")).filter("channel <> ''")
-    noted = F.regexp_extract_all("xml", F.concat(F.lit("(?s)(<w:"), "channel", F.lit("\\b.*?</w:"), "channel", F.lit(">)")), F.lit(1))
-    each = own.select("path", "member", "channel", F.posexplode(F.when(F.col("channel").isin("header", "footer"), F.array("xml")).otherwise(noted)).alias("nth", "x"))
-    opening = F.regexp_extract("x", "^(<w:[^>]*>)", 1)
-    kept = each.filter(_attribute(opening, "w:(?:foot|end)note", "w:type").isNull())
-    told = kept.select(
-        "path", "member", "channel", (F.col("nth") + 1).alias("nth"), _attribute(opening, "w:\\w+", "w:id").try_cast("int").alias("id"),
-        _attribute(opening, "w:comment", "w:author").alias("author"), _runs(F.col("x"), "w:t", "w:p", "w:br", "w:tab").alias("text"),
-    )
-    return told.filter(F.trim(F.regexp_replace("text", "\\s+", "")) != "")
+    rows = rows_of(found, CHANNELS, WordPart).filter(F.col("kind").isin(*NOTES, "header", "footer"))
+    kept = rows.filter("type IS NULL OR kind NOT IN ('footnote', 'endnote')")
+    return kept.select("path", "member", F.col("kind").alias("channel"), "nth", "id", "author", "text").filter(F.trim(F.regexp_replace("text", "\\s+", "")) != "")
 
 
 def word_links(found: DataFrame) -> DataFrame:
@@ -49,64 +30,21 @@ def word_links(found: DataFrame) -> DataFrame:
 
     A link whose relation is missing has a null target.
     """
-    body = found.filter("member = 'word/document.xml'").select("path", F.col("content").cast("string").alias("xml"))
-    links = body.select("path", F.posexplode(F.regexp_extract_all("xml", F.lit("(?s)(<w:hyperlink\\b.*?</w:hyperlink>)"), F.lit(1))).alias("nth", "x"))
-    links = links.select("path", (F.col("nth") + 1).alias("nth"), _runs(F.col("x"), "w:t", "", "w:br", "w:tab").alias("text"), _attribute(F.col("x"), "w:hyperlink", "r:id").alias("rel"), _attribute(F.col("x"), "w:hyperlink", "w:anchor").alias("anchor"))
+    links = rows_of(found, WORD_BODY, WordPart).filter("kind = 'link'").select("path", "nth", "text", "rel", "anchor")
     targets = _xml(found, "^word/_rels/document\\.xml\\.rels$", RELATIONS).select("path", F.inline("x.Relationship")).select("path", F.col("_Id").alias("rel"), F.col("_Target").alias("outer"))
     told = links.join(targets, ["path", "rel"], "left")
     mark = F.concat(F.lit("#"), "anchor")
     return told.select("path", "nth", "text", F.when(F.col("rel").isNull(), mark).otherwise(F.concat("outer", F.coalesce(mark, F.lit("")))).alias("target"))
 
 
-def linear_formula(xml: str) -> str | None:
-    """A formula on one line; null if its XML is damaged."""
-    try:
-        return _linear(ElementTree.fromstring(re.sub(r"(</?|\s)\w+:(?=\w)", r"\1", xml)))
-    except ElementTree.ParseError:
-        return None
-
-
-def _linear(element: ElementTree.Element) -> str:
-    parts, settings = {}, {}
-    for child in element:
-        if child.tag.endswith("Pr"):
-            settings |= {s.tag: s.get("val", "") for s in child}
-        else:
-            parts.setdefault(child.tag, []).append(_linear(child))
-    joined = {name: "".join(texts) for name, texts in parts.items()}
-    if element.tag == "t":
-        return element.text or ""
-    if element.tag == "d":
-        return (settings.get("begChr") or "(") + ",".join(parts.get("e", [])) + (settings.get("endChr") or ")")
-    if element.tag == "rad":
-        root = f"root[{joined['deg']}]" if joined.get("deg") else "√"
-        return f"{root}({joined.get('e', '')})"
-    if element.tag in LINEAR:
-        empty = dict.fromkeys(("num", "den", "e", "sub", "sup"), "")
-        return LINEAR[element.tag].format(**empty | {"chr": settings.get("chr") or "∫"} | joined)
-    return "".join(_linear(child) for child in element if not child.tag.endswith("Pr"))
-
-
-@F.pandas_udf(StringType())
-def formula_text(xml: pd.Series) -> pd.Series:
-    """Formulas of Office XML on one line each."""
-    return xml.map(linear_formula, na_action="ignore")
-
-
 def word_formulas(found: DataFrame) -> DataFrame:
-    """path, nth, text of the formulas of Word bodies, in order."""
-    body = found.filter("member = 'word/document.xml'").select("path", F.col("content").cast("string").alias("xml"))
-    each = body.select("path", F.posexplode(F.regexp_extract_all("xml", F.lit("(?s)(<m:oMath\\b.*?</m:oMath>)"), F.lit(1))).alias("nth", "x"))
-    return each.select("path", (F.col("nth") + 1).alias("nth"), formula_text("x").alias("text"))
+    """path, nth, text of the formulas of Word bodies, in order, each on one line."""
+    return rows_of(found, WORD_BODY, WordPart).filter("kind = 'formula'").select("path", "nth", "text")
 
 
 def slide_tables(found: DataFrame) -> DataFrame:
     """path, slide, table_no, row_no, col, text: the cells of the tables on slides, merged ones as they are written."""
-    inner = lambda tag: F.regexp_extract_all("x", F.lit(f"(?s)<{tag}\\b[^>]*>(.*?)</{tag}>"), F.lit(1))
-    tables = _slides(found).withColumnRenamed("xml", "x").select("path", "slide", F.posexplode(inner("a:tbl")).alias("t", "x"))
-    rows = tables.select("path", "slide", (F.col("t") + 1).alias("table_no"), F.posexplode(inner("a:tr")).alias("r", "x"))
-    cells = rows.select("path", "slide", "table_no", (F.col("r") + 1).alias("row_no"), F.posexplode(inner("a:tc")).alias("c", "x"))
-    return cells.select("path", "slide", "table_no", "row_no", (F.col("c") + 1).alias("col"), ooxml_text(_runs(F.col("x"), "a:t", "a:p", "a:br")).alias("text"))
+    return _slide_rows(found).filter("kind = 'cell'").select("path", "slide", "table_no", "row_no", "col", ooxml_text(F.col("text")).alias("text"))
 
 
 def slide_notes(found: DataFrame) -> DataFrame:
@@ -115,12 +53,12 @@ def slide_notes(found: DataFrame) -> DataFrame:
     Only the body of a notes page counts, not its number or date; notes without text are no rows. `quoted` is
     Markdown with every line inside the quotation.
     """
-    number = lambda c, name: F.regexp_extract(c, f"{name}(\\d+)\\.xml(?:\\.rels)?$", 1).try_cast("int")
-    related = _xml(found, "^ppt/slides/_rels/slide\\d+\\.xml\\.rels$", RELATIONS).select("path", number("member", "slide").alias("slide"), F.inline("x.Relationship"))
-    related = related.select("path", "slide", number("_Target", "notesSlide").alias("page")).filter("page IS NOT NULL")
-    pages = found.filter(F.rlike("member", F.lit("^ppt/notesSlides/notesSlide\\d+\\.xml$"))).select("path", number("member", "notesSlide").alias("page"), F.col("content").cast("string").alias("xml"))
-    bodies = F.filter(F.regexp_extract_all("xml", F.lit("(?s)(<p:sp>.*?</p:sp>)"), F.lit(1)), lambda s: F.rlike(s, F.lit("<p:ph\\b[^>]*type=\"body\"")))
-    text = F.regexp_replace(ooxml_text(_runs(F.get(bodies, F.lit(0)), "a:t", "a:p", "a:br")), "^\\s+|\\s+\\z", "")
+    page = lambda c: F.regexp_extract(c, "notesSlide(\\d+)\\.xml$", 1).try_cast("int")
+    related = _xml(found, "^ppt/slides/_rels/[^/]+\\.xml\\.rels$", RELATIONS).select("path", F.regexp_replace("member", "_rels/|\\.rels$", "").alias("member"), F.inline("x.Relationship"))
+    related = numbered_slides(related.select("path", "member", page("_Target").alias("page")).filter("page IS NOT NULL"), found)
+    shapes = rows_of(found, "^ppt/notesSlides/notesSlide\\d+\\.xml$", SlidePart).filter("kind = 'shape' AND ph = 'body'")
+    pages = shapes.groupBy("path", page("member").alias("page")).agg(F.min_by("text", "nth").alias("body"))
+    text = F.regexp_replace(ooxml_text(F.col("body")), "^\\s+|\\s+\\z", "")
     told = pages.select("path", "page", text.alias("text")).filter("text <> ''").join(related, ["path", "page"])
     lines = F.transform(F.split(md_text(F.col("text")), "\n"), lambda line, n: F.concat(F.when(n == 0, F.lit(SPEAKER)).when(F.trim(line) == "", F.lit(">")).otherwise(F.lit("> ")), F.when((n == 0) | (F.trim(line) != ""), line).otherwise(F.lit(""))))
     return told.select("path", "slide", "text", F.array_join(lines, "\n").alias("quoted"))

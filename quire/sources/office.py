@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import ooxml_text
 
+from .ooxml import DeckPart, SlidePart, WordPart, rows_of
+
 #: What an archive may hold: bytes, entries, bytes of all entries, bytes of one.
 MOST_BYTES, MOST_ENTRIES, MOST_TOTAL, MOST_ENTRY = 100_000_000, 20_000, 200_000_000, 50_000_000
 #: Bytes of members after which a task hands them on.
 HELD_BYTES = 16_000_000
 NO_CACHE = "[SIN CACHÉ] "
-WORD_CUT = "(?=<w:p[ >/]|</?w:tbl>|<w:tr[ >]|<w:tc>)"
+WORD_BODY = "^word/document\\.xml$"
 XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
 WORKBOOK = "sheets struct<sheet: array<struct<_name: string, _state: string, _id: string>>>"
 RELATIONS = "Relationship array<struct<_Id: string, _Target: string>>"
@@ -149,38 +151,40 @@ def _read(text: Column) -> Column:
     return text
 
 
-def _runs(xml: Column, tag: str, paragraph: str, brk: str, tab: str = "") -> Column:
-    """The text of an element: its runs, a line end for each break and between paragraphs."""
-    marked = F.regexp_replace(xml, f"<{brk}\\b[^>]*/>", f"<{tag}>\n</{tag}>")
-    marked = F.regexp_replace(marked, f"</{paragraph}>\\s*(?=<{paragraph}[ >])", f"<{tag}>\n</{tag}>") if paragraph else marked
-    marked = F.regexp_replace(marked, f"<{tab}\\b[^>]*/>", f"<{tag}>\t</{tag}>") if tab else marked
-    return _read(F.array_join(F.regexp_extract_all(marked, F.lit(f"(?s)<{tag}(?:\\s[^>]*)?>([^<]*)</{tag}>"), F.lit(1)), ""))
-
-
 def _attribute(xml: Column, element: str, name: str) -> Column:
     """An attribute of the first such element, null without it."""
     return F.nullif(F.regexp_extract(xml, f"<{element}\\b[^>]*?\\s{name}=\"([^\"]*)\"", 1), F.lit(""))
 
 
-def _slides(found: DataFrame) -> DataFrame:
-    slide = F.regexp_extract("member", "(\\d+)\\.xml$", 1).cast("int")
-    return found.filter(F.rlike("member", F.lit("^ppt/slides/slide\\d+\\.xml$"))).select("path", slide.alias("slide"), F.col("content").cast("string").alias("xml"))
+def numbered_slides(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (path, member of a slide, ...) with slide: the place in the presentation's own list, over its relations.
+
+    A deck that lists nothing has its slides by the number of their file.
+    """
+    listed = rows_of(found, "^ppt/presentation\\.xml$", DeckPart).filter("kind = 'slide'").select("path", F.col("nth").alias("slide"), "rel")
+    targets = _xml(found, "^ppt/_rels/presentation\\.xml\\.rels$", RELATIONS).select("path", F.inline("x.Relationship"))
+    member = F.when(F.startswith("_Target", F.lit("/")), F.substring("_Target", 2, 1 << 30)).otherwise(F.concat(F.lit("ppt/"), "_Target"))
+    placed = listed.join(targets.select("path", F.col("_Id").alias("rel"), member.alias("member")), ["path", "rel"]).drop("rel")
+    own = F.regexp_extract("member", "(\\d+)\\.xml$", 1).try_cast("int")
+    return rows.join(placed, ["path", "member"], "left").withColumn("slide", F.coalesce("slide", own))
+
+
+def _slide_rows(found: DataFrame) -> DataFrame:
+    return numbered_slides(rows_of(found, "^ppt/slides/[^/]+\\.xml$", SlidePart), found)
 
 
 def slide_shapes(found: DataFrame) -> DataFrame:
-    """path, slide, nth, shape_id, text, hidden: shapes with text in slide order, slides by number."""
-    shapes = _slides(found).select("path", "slide", (F.coalesce(_attribute(F.col("xml"), "p:sld", "show"), F.lit("1")) == "0").alias("hidden"), F.posexplode(F.regexp_extract_all("xml", F.lit("(?s)(<p:sp>.*?</p:sp>)"), F.lit(1))).alias("nth", "s"))
-    return shapes.select("path", "slide", "nth", _attribute(F.col("s"), "p:cNvPr", "id").try_cast("long").alias("shape_id"), _runs(F.col("s"), "a:t", "a:p", "a:br").alias("text"), "hidden")
+    """path, slide, nth, shape_id, groups, text, hidden: shapes in slide order, those within groups too; slides as the presentation lists them.
+
+    A deck without such a list has its slides by the number of their file. hidden: the slide is not shown.
+    """
+    rows = _slide_rows(found).filter("kind = 'shape'")
+    return rows.select("path", "slide", "nth", "shape_id", "groups", "text", "hidden")
 
 
 def slide_connectors(found: DataFrame) -> DataFrame:
-    """path, slide, connector_id, src, dst, head, tail, as `diagram_edges` takes them by slide."""
-    c = _slides(found).select("path", "slide", F.explode(F.regexp_extract_all("xml", F.lit("(?s)(<p:cxnSp>.*?</p:cxnSp>)"), F.lit(1))).alias("s"))
-    end = lambda e, a: _attribute(F.col("s"), e, a)
-    return c.select(
-        "path", "slide", end("p:cNvPr", "id").try_cast("long").alias("connector_id"), end("a:stCxn", "id").try_cast("long").alias("src"), end("a:endCxn", "id").try_cast("long").alias("dst"),
-        end("a:headEnd", "type").alias("head"), end("a:tailEnd", "type").alias("tail"),
-    )
+    """path, slide, connector_id, src, dst, head, tail, as `diagram_edges` takes them by slide; ends may be shapes within groups."""
+    return _slide_rows(found).filter("kind = 'connector'").select("path", "slide", F.col("shape_id").alias("connector_id"), "src", "dst", "head", "tail")
 
 
 def drawing_edges(found: DataFrame) -> DataFrame:
@@ -202,56 +206,37 @@ def drawing_edges(found: DataFrame) -> DataFrame:
     return both.select("path", "page", "connector_id", name("a").alias("src"), F.coalesce("connector_id_text", F.lit("")).alias("label"), name("b").alias("dst"))
 
 
-def _word_events(found: DataFrame) -> DataFrame:
-    """path, at, x, depth, table_no, row_no, cell_no: Word bodies cut at their paragraphs and table marks.
+def word_grids(found: DataFrame) -> DataFrame:
+    """path, label, parent, row_no, col, text: the cells of Word's tables on their grids, a table within a cell as one of its own.
 
-    Running counts of the marks tell tables, rows and cells, one document a window (a member has at most 50 MB).
-    Tables within tables count as content of the outermost's cell.
+    label is 2 for the second table of the body and 2.1 for the first within it; parent is the table around it. A cell
+    over several columns is repeated in each, columns that a row skips stay empty, and a cell that goes on from above
+    has the text of its beginning. Paragraphs of a cell are lines; an inner table is told there by its label.
     """
-    body = found.filter("member = 'word/document.xml'").select("path", F.posexplode(F.split(F.col("content").cast("string"), WORD_CUT)).alias("at", "x"))
-    order = Window.partitionBy("path").orderBy("at")
-    mark = lambda pattern: F.rlike("x", F.lit(pattern)).cast("int")
-    told = body.withColumn("depth", F.sum(mark("^<w:tbl>") - mark("^</w:tbl>")).over(order)).withColumn("outer", (F.col("depth") == 1).cast("int"))
-    table = told.withColumn("table_no", F.sum(F.col("outer") * mark("^<w:tbl>")).over(order))
-    table = table.withColumn("row_no", F.sum(F.col("outer") * mark("^<w:tr[ >]")).over(Window.partitionBy("path", "table_no").orderBy("at")))
-    return table.withColumn("cell_no", F.sum(F.col("outer") * mark("^<w:tc>")).over(Window.partitionBy("path", "table_no", "row_no").orderBy("at")))
+    cells = rows_of(found, WORD_BODY, WordPart).filter("kind = 'cell'")
+    columns = F.explode(F.sequence("col", F.col("col") + F.col("span") - 1)).alias("col")
+    grid = cells.select("path", "label", "row_no", columns, F.when(~F.col("goes_on"), F.col("text")).alias("text"))
+    above = Window.partitionBy("path", "label", "col").orderBy("row_no")
+    parent = F.nullif(F.regexp_extract("label", "^(.*)\\.\\d+$", 1), F.lit(""))
+    return grid.select("path", "label", parent.alias("parent"), "row_no", "col", F.coalesce(F.last("text", ignorenulls=True).over(above), F.lit("")).alias("text"))
 
 
 def word_tables(found: DataFrame) -> DataFrame:
-    """path, table_no, row_no, col, text: the cells of Word's tables on their grid.
-
-    A cell over several columns is repeated in each, columns that a row skips stay empty, and a cell that goes on
-    from above has the text of its beginning. Paragraphs of a cell are lines.
-    """
-    events, x = _word_events(found).filter("depth > 0"), F.col("x")
-    is_ = lambda pattern: F.rlike(x, F.lit(pattern))
-    row, cell = ["path", "table_no", "row_no"], ["path", "table_no", "row_no", "cell_no"]
-    skipped = events.filter("depth = 1 AND cell_no = 0").groupBy(*row).agg(F.coalesce(F.max(_attribute(x, "w:gridBefore", "w:val").try_cast("int")), F.lit(0)).alias("skip"))
-    start = is_("^<w:tc>") & (F.col("depth") == 1)
-    goes_on = start & is_("<w:vMerge(?:\\s+w:val=\"continue\")?\\s*/>")
-    line = F.when(is_("^<w:p[ >]"), _runs(x, "w:t", "", "w:br", "w:tab"))
-    cells = events.filter("cell_no > 0").groupBy(*cell).agg(
-        F.coalesce(F.max(F.when(start, _attribute(x, "w:gridSpan", "w:val").try_cast("int"))), F.lit(1)).alias("span"), F.bool_or(goes_on).alias("goes_on"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("at", line.alias("t"))))), lambda p: p["t"]), "\n").alias("text"),
-    )
-    before = F.coalesce(F.sum("span").over(Window.partitionBy(*row).orderBy("cell_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = cells.withColumn("before", before).join(skipped, row, "left").withColumn("first", F.col("before") + F.coalesce("skip", F.lit(0)) + 1)
-    grid = placed.select(*row, F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + F.col("span") - 1).cast("int"))).alias("col"), F.when(~F.col("goes_on"), F.col("text")).alias("text"))
-    above = Window.partitionBy("path", "table_no", "col").orderBy("row_no")
-    return grid.withColumn("text", F.coalesce(F.last("text", ignorenulls=True).over(above), F.lit("")))
+    """path, table_no, row_no, col, text: the tables of Word bodies that stand in no other, as `word_grids` tells them."""
+    return word_grids(found).filter("parent IS NULL").select("path", F.col("label").try_cast("int").alias("table_no"), "row_no", "col", "text")
 
 
 def word_paragraphs(found: DataFrame) -> DataFrame:
     """path, nth, kind (heading, list, cell or paragraph), level, ordered, text, table_no, row_no, cell_no in document order.
 
-    List formats come by number and level from the numbering, two lookups by path.
+    table_no is the outermost table's. List formats come by number and level from the numbering, two lookups by path.
     """
-    table, x, order = _word_events(found), F.col("x"), Window.partitionBy("path").orderBy("at")
-    own = table.filter(F.rlike(x, F.lit("^<w:p[ >]")))
-    level = F.regexp_extract(F.coalesce(_attribute(x, "w:pStyle", "w:val"), F.lit("")), "(?i)^(?:heading|título|titulo|ttulo)\\s*([1-6])$", 1).try_cast("int")
-    own = own.select(
-        "path", "at", (F.col("depth") > 0).alias("in_table"), "table_no", "row_no", "cell_no", level.alias("heading"),
-        _attribute(x, "w:numId", "w:val").try_cast("int").alias("num"), F.coalesce(_attribute(x, "w:ilvl", "w:val").try_cast("int"), F.lit(0)).alias("ilvl"), _runs(x, "w:t", "", "w:br", "w:tab").alias("text"),
+    order = Window.partitionBy("path").orderBy("at")
+    rows = rows_of(found, WORD_BODY, WordPart).filter("kind = 'paragraph'")
+    level = F.regexp_extract(F.coalesce("style", F.lit("")), "(?i)^(?:heading|título|titulo|ttulo)\\s*([1-6])$", 1).try_cast("int")
+    own = rows.select(
+        "path", F.col("nth").alias("at"), F.col("label").isNotNull().alias("in_table"), F.split_part("label", F.lit("."), F.lit(1)).try_cast("int").alias("table_no"), "row_no", "cell_no",
+        level.alias("heading"), "num", F.coalesce("ilvl", F.lit(0)).alias("ilvl"), "text",
     )
     numbering = _xml(found, "^word/numbering\\.xml$", NUMBERING)
     nums = numbering.select("path", F.inline("x.num")).select("path", F.col("_numId").alias("num"), F.col("abstractNumId._val").alias("abstract"))

@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from quire.sources import channels, office
+from quire.sources import channels, office, ooxml
 
 NS = 'xmlns="urn:s" xmlns:r="urn:r" xmlns:w="urn:w"'
 
@@ -56,7 +56,7 @@ def test_word_tables_spans_merges_gaps_and_inner_tables(spark):
     table = "".join(f"<w:tr>{'<w:trPr><w:gridBefore w:val=\"1\"/></w:trPr>' if k == 2 else ''}{r}</w:tr>" for k, r in enumerate(rows))
     found = members(spark, zipped(**{"word/document.xml": f"<w:document {NS}><w:body>{paragraph('before')}<w:tbl>{table}</w:tbl>{paragraph('after')}</w:body></w:document>"}))
     grid = {(r.row_no, r.col): r.text for r in office.word_tables(found).collect()}
-    assert grid == {(1, 1): "a", (1, 2): "b\nc", (1, 3): "b\nc", (2, 1): "a", (2, 2): "d", (2, 3): "in", (3, 2): "e"}
+    assert grid == {(1, 1): "a", (1, 2): "b\nc", (1, 3): "b\nc", (2, 1): "a", (2, 2): "d", (2, 3): "[tabla anidada 1.1]", (3, 2): "e"}
     told = [(r.kind, r.text) for r in office.word_paragraphs(found).orderBy("nth").collect()]
     assert told == [("paragraph", "before"), ("cell", "a"), ("cell", "b"), ("cell", "c"), ("cell", "d"), ("cell", "in"), ("cell", "e"), ("paragraph", "after")]
 
@@ -103,10 +103,58 @@ def test_links_without_relation_and_with_anchor(spark):
         ("<m:oMath><m:d><m:e><m:r><m:t>a</m:t></m:r></m:e><m:e><m:r><m:t>b</m:t></m:r></m:e></m:d></m:oMath>", "(a,b)"),
         ("<m:oMath><m:f></m:oMath>", None),
         ("<m:oMath/>", ""),
+        ("<m:oMath><m:r><m:t>see a:b</m:t></m:r></m:oMath>", "see a:b"),
+        ("<oMath><r><t>bare</t></r></oMath>", "bare"),
     ],
 )
 def test_formulas_on_one_line(xml, want):
-    assert channels.linear_formula(xml) == want
+    rows = ooxml.WordPart().read(f"<w:document><w:p>{xml}</w:p></w:document>".encode())
+    assert [r["text"] for r in rows if r["kind"] == "formula"] == ([want] if want is not None else [])
+    assert want is not None or rows == [{"kind": "damaged"}]
+
+
+def test_runs_keep_hyphens_breaks_and_symbols_and_no_tab_stops():
+    body = """<x:document xmlns:x="urn:any" xmlns:y="urn:mc"><x:p><x:pPr><x:tabs><x:tab x:val="left"/><x:tab x:val="left"/></x:tabs></x:pPr>
+      <x:r><x:t>A</x:t><x:noBreakHyphen/><x:t>B</x:t><x:cr/><x:t>C</x:t><x:tab/><x:sym x:font="Wingdings" x:char="F041"/><x:sym x:char="zz"/></x:r>
+      <x:del><x:r><x:delText>gone</x:delText></x:r></x:del><y:AlternateContent><y:Choice><x:r><x:t>one</x:t></x:r></y:Choice><y:Fallback><x:r><x:t>one</x:t></x:r></y:Fallback></y:AlternateContent></x:p></x:document>"""
+    assert [r["text"] for r in ooxml.WordPart().read(body.encode())] == ["A-B\nC\tAone"]
+
+
+def test_parts_that_are_damaged_or_declare_entities_are_told(spark):
+    assert ooxml.WordPart().read(b"<a><b></a>") == ooxml.SlidePart().read(b'<!DOCTYPE a [<!ENTITY e "x">]><a>&e;</a>') == [{"kind": "damaged"}]
+    found = members(spark, zipped(**{"word/document.xml": "<w:p"}))
+    assert office.word_paragraphs(found).count() == office.word_grids(found).count() == 0
+
+
+def test_tables_within_tables_are_tables_of_their_own(spark):
+    cell = lambda inside, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{inside}</w:tc>"
+    table = lambda *rows: "<w:tbl>" + "".join(f"<w:tr>{r}</w:tr>" for r in rows) + "</w:tbl>"
+    deep = table(cell(paragraph("deep")))
+    inner = table(cell(paragraph("i"), '<w:gridSpan w:val="2"/>') + cell(deep + "<w:p/>"), cell(paragraph("j"), '<w:vMerge w:val="restart"/>'), cell(paragraph("lost"), "<w:vMerge/>"))
+    found = members(spark, zipped(**{"word/document.xml": f"<w:document {NS}>{table(cell(paragraph('a') + inner + paragraph('b') + table(cell(paragraph('second')))))}{table(cell(paragraph('next')))}</w:document>"}))
+    grid = {(r.label, r.row_no, r.col): (r.parent, r.text) for r in office.word_grids(found).collect()}
+    assert grid == {
+        ("1", 1, 1): (None, "a\n[tabla anidada 1.1]\nb\n[tabla anidada 1.2]"), ("1.1", 1, 1): ("1", "i"), ("1.1", 1, 2): ("1", "i"), ("1.1", 1, 3): ("1", "[tabla anidada 1.1.1]"),
+        ("1.1", 2, 1): ("1", "j"), ("1.1", 3, 1): ("1", "j"), ("1.1.1", 1, 1): ("1.1", "deep"), ("1.2", 1, 1): ("1", "second"), ("2", 1, 1): (None, "next"),
+    }
+    assert [r.text for r in office.word_tables(found).filter("table_no = 2").collect()] == ["next"]
+
+
+def test_slides_are_as_the_presentation_lists_them_and_groups_are_walked(spark):
+    shape = lambda n, text, more="": f'<q:sp {more}><q:nvSpPr><q:cNvPr id="{n}"/></q:nvSpPr><q:txBody><d:p><d:r><d:t>{text}</d:t></d:r></d:p></q:txBody></q:sp>'
+    line = '<q:cxnSp><q:nvCxnSpPr><q:cNvPr id="9"/><q:cNvCxnSpPr><d:stCxn id="2" idx="0"/><d:endCxn id="5" idx="0"/></q:cNvCxnSpPr></q:nvCxnSpPr><d:ln><d:tailEnd type="arrow"/></d:ln></q:cxnSp>'
+    group = f'<q:grpSp><q:nvGrpSpPr><q:cNvPr id="3"/></q:nvGrpSpPr><q:grpSp><q:nvGrpSpPr><q:cNvPr id="4"/></q:nvGrpSpPr>{shape(5, "in")}</q:grpSp></q:grpSp>'
+    deck = zipped(**{
+        "ppt/presentation.xml": '<q:presentation xmlns:q="u" xmlns:s="v"><q:sldIdLst><q:sldId id="256" s:id="r2"/><q:sldId s:id="r1" id="257"/></q:sldIdLst></q:presentation>',
+        "ppt/_rels/presentation.xml.rels": '<Relationships><Relationship Id="r1" Target="slides/slide1.xml"/><Relationship Id="r2" Target="/ppt/slides/slide7.xml"/></Relationships>',
+        "ppt/slides/slide1.xml": f'<q:sld show="false">{shape(2, "last", "useBgFill=\'1\'")}</q:sld>', "ppt/slides/slide7.xml": f"<q:sld>{shape(2, 'first')}{group}{line}</q:sld>",
+        "ppt/slides/_rels/slide7.xml.rels": '<Relationships><Relationship Id="r1" Target="../notesSlides/notesSlide4.xml"/></Relationships>',
+        "ppt/notesSlides/notesSlide4.xml": '<q:notes><q:sp><q:nvPr><q:ph type="body"/></q:nvPr><q:txBody><d:p><d:r><d:t>say</d:t></d:r></d:p></q:txBody></q:sp></q:notes>',
+    })
+    found = members(spark, deck)
+    assert [(r.slide, r.shape_id, r.groups, r.text, r.hidden) for r in office.slide_shapes(found).orderBy("slide", "nth").collect()] == [(1, 2, [], "first", False), (1, 5, [3, 4], "in", False), (2, 2, [], "last", True)]
+    assert [tuple(r)[1:] for r in office.slide_connectors(found).collect()] == [(1, 9, 2, 5, None, "arrow")]
+    assert [(r.slide, r.text) for r in channels.slide_notes(found).collect()] == [(1, "say")]
 
 
 def test_slides_without_tables_or_notes_give_no_rows(spark):
