@@ -16,18 +16,8 @@ RESERVED = "^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"
 HIDDEN_MARK = " *(oculta)*"
 ACCENTS, PLAIN = "áéíóúüñÁÉÍÓÚÜÑ", "aeiouunAEIOUUN"
 ARROWS, ENDS = ("triangle", "arrow", "stealth"), ("triangle", "arrow", "stealth", "none")
-#: What Markdown reads at the beginning of a line, after up to three blanks, by the block that it would start.
-STARTS = {
-    "heading": "#",
-    "quote": ">",
-    "table": r"\|",
-    "fence": "```|~~~",
-    "thematic break": r"(?:[*_-]\s*){3,}$",
-    "bullet": r"[*+-](?:\s|$)",
-    "underline": r"=+\s*$",
-}
-#: Digits that a dot or bracket makes a list item of.
-ITEM_NUMBER = r"\d{1,9}(?=[.)](?:\s|$))"
+#: Signs of CommonMark's blocks: those that start one whatever follows, bullets, those of thematic breaks, the fences.
+OPENERS, BULLETS, BREAKS, FENCES = ("#", ">", "|"), ("-", "+", "*"), "*-_", ("```", "~~~")
 #: Signs of CAD text by their code (fixed values of the format); other codes leave nothing, paragraphs and hard blanks a space.
 CAD_SIGNS = {"%%c": "Ø", "%%d": "°", "%%p": "±", "%%%": "%", "\\p": " ", "\\~": " "}
 CAD_CODE = r"(%%[CcDdPp%]|\\[A-Za-z][^;]*;|\\[P~]|[{}])"
@@ -51,11 +41,30 @@ def md_inline(text: Column) -> Column:
     return sub(sub(clean_control(text), "&(?=#?[A-Za-z0-9]+;)", "&amp;"), "<(?=[A-Za-z/!?])", "&lt;")
 
 
+def _literal_line(line: Column) -> Column:
+    """A line with a backslash where its first token would start a block, unless it is indented by four or more.
+
+    A token of up to nine digits and a dot or bracket is a list's number: there the backslash stands before the sign.
+    """
+    body = sub(line, "^\\s+", "")
+    indent = F.length(line) - F.length(body)
+    token, bare = F.regexp_extract(body, "^(\\S*)", 1), sub(body, "\\s+", "")
+    only = lambda text, signs: (text != "") & (F.translate(text, signs, "") == "")
+    starts = F.substring(body, 1, 1).isin(*OPENERS) | token.isin(*BULLETS)
+    for fence in FENCES:
+        starts |= F.startswith(body, F.lit(fence))
+    starts |= (F.length(bare) >= 3) & only(bare, BREAKS)
+    starts |= only(sub(body, "\\s+$", ""), "=")
+    digits = F.substring(token, 1, F.length(token) - 1)
+    numbered = F.substring(token, -1, 1).isin(".", ")") & (F.length(digits) <= 9) & only(digits, "0123456789")
+    at = F.when(indent > 3, 0).when(starts, indent + 1).when(numbered, indent + F.length(token)).otherwise(0)
+    return F.when(at == 0, line).otherwise(F.concat(F.substring(line, F.lit(1), at - 1), F.lit("\\"), F.substring(line, at, F.length(line))))
+
+
 def md_text(text: Column) -> Column:
     """Prose as literal Markdown: line beginnings that would start headings, lists, quotes or tables are escaped."""
-    before = rf"^(\s{{0,3}}(?:{ITEM_NUMBER}|(?={'|'.join(STARTS.values())})))"
     lines = F.split(F.regexp_replace(md_inline(text), "\r\n?", "\n"), "\n")
-    return F.array_join(F.transform(lines, lambda x: sub(x, before, r"$1\\")), "\n")
+    return F.array_join(F.transform(lines, _literal_line), "\n")
 
 
 def md_cell(text: Column) -> Column:

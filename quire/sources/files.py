@@ -22,8 +22,8 @@ SKIPPED = "/(\\.git|\\.claude|\\.codex|\\.venv|__pycache__)/"
 #: The folder of an Office archive that tells its kind.
 OFFICE = {"word": "docx", "xl": "xlsx", "ppt": "pptx", "visio": "vsdx"}
 TEXT = ("txt", "md", "csv", "json", "html", "xml")
-#: A drawing in text: pairs of a group code and its value, comments (code 999) before the first section (code 0).
-COMMENT, SECTION = r"\s*999[ \t]*\R.*\R", r"\s*0\s*\R\s*SECTION\b"
+#: A drawing in text is pairs of lines, a group code and its value: comments have code 999, a section begins with 0, SECTION.
+COMMENT, BEGINS = "999", ("0", "SECTION")
 HEAD = 1024
 MARK = b"\xef\xbb\xbf"
 #: A text of nothing but white space, the separators U+001C to U+001F included.
@@ -55,6 +55,19 @@ def _readable(content: Column) -> Column:
     return valid & (F.instr(F.decode(head, "ISO-8859-1"), "\u0000") == 0)
 
 
+def _drawing(head: Column) -> Column:
+    """Whether the first pair that is no comment begins a section. Blank lines before a code, or before the section's name, say nothing."""
+    lines = F.split(F.replace(head, F.lit("\r\n"), F.lit("\n")), "\n")
+
+    def step(state: Column, line: Column) -> Column:
+        said, settled = F.btrim(line, F.lit(" \t\r\x0b\x0c")), state.isin("yes", "no")
+        begins = F.when(F.regexp_extract(said, "^(\\w*)", 1) == BEGINS[1], "yes").otherwise("no")
+        code = F.when(said == COMMENT, "comment").when(said == BEGINS[0], "begins").otherwise("no")
+        return F.when(settled, state).when(state == "comment", "code").when(said == "", state).when(state == "begins", begins).otherwise(code)
+
+    return F.aggregate(lines, F.lit("code"), step) == "yes"
+
+
 def kind_of(path: Column, content: Column) -> Column:
     """The kind of a file; archives (the only ones that need a parser) are told by their member names."""
     begins = lambda sign, at=1: F.substring(content, at, len(sign)) == F.lit(sign)
@@ -63,7 +76,7 @@ def kind_of(path: Column, content: Column) -> Column:
     for sign, name in SIGNATURES:
         kind = kind.when(begins(sign), name)
     kind = kind.when(begins(WEBP[0]) & begins(WEBP[1], 9), "webp").when(begins(ARCHIVE), "zip")
-    kind = kind.when(F.rlike(F.decode(F.substring(content, 1, HEAD), "ISO-8859-1"), F.lit(f"^(?:{COMMENT})*{SECTION}")), "dxf")
+    kind = kind.when(_drawing(F.decode(F.substring(content, 1, HEAD), "ISO-8859-1")), "dxf")
     return kind.when(_readable(content), F.when(suffix.isin(*TEXT), suffix).otherwise("text")).otherwise("unsupported")
 
 

@@ -27,7 +27,9 @@ def one(spark, function, *values):
 
 @pytest.mark.parametrize(
     ("given", "want"),
-    [("# no", "\\# no"), ("> no", "\\> no"), ("---", "\\---"), ("1. no", "1\\. no"), ("- no", "\\- no"), ("text # as it is", "text # as it is"), ("<script>", "&lt;script>"), ("a\r\n| b", "a\n\\| b"), ("&amp; &x", "&amp;amp; &x"), ("a\x00\x07b\x0bc", "ab\nc")],
+    [("# no", "\\# no"), ("> no", "\\> no"), ("---", "\\---"), ("1. no", "1\\. no"), ("- no", "\\- no"), ("text # as it is", "text # as it is"), ("<script>", "&lt;script>"), ("a\r\n| b", "a\n\\| b"),
+     ("   12) x", "   12\\) x"), ("1234567890. x", "1234567890. x"), ("1.x", "1.x"), ("7.", "7\\."), ("    # code", "    # code"), ("===", "\\==="), ("== =", "== ="), ("* * *", "\\* * *"), ("-_*", "\\-_*"), ("**bold**", "**bold**"), ("+", "\\+"), ("~~~", "\\~~~"), ("``x", "``x"), ("", ""),
+     ("&amp; &x", "&amp;amp; &x"), ("a\x00\x07b\x0bc", "ab\nc")],
 )
 def test_markdown_text(spark, given, want):
     assert one(spark, T.md_text, given) == want
@@ -165,7 +167,7 @@ def test_sniffing(spark):
 
     rows = [
         ("a.docx", archive("word/document.xml"), "docx"), ("b", archive("xl/workbook.xml"), "xlsx"), ("c", archive("xl/workbook.bin"), "xlsb"), ("d", archive("word/a", "xl/b"), "zip-ambiguous"), ("e", archive("other"), "zip"), ("f", b"PK\x03\x04", "zip-damaged"),
-        ("g.md", b"a" * 1023 + "ñ".encode(), "md"), ("h.xyz", b"text", "text"), ("i.txt", b"a\x00b", "unsupported"), ("j", b"\xff\xfe\x00", "unsupported"), ("k", b"", "empty"), ("l", b"999\nc\n0\nSECTION\n", "dxf"), ("m.json", b"%PDF-1", "pdf"), ("n.html", "﻿é".encode(), "html"),
+        ("g.md", b"a" * 1023 + "ñ".encode(), "md"), ("h.xyz", b"text", "text"), ("i.txt", b"a\x00b", "unsupported"), ("j", b"\xff\xfe\x00", "unsupported"), ("k", b"", "empty"), ("l", b"999\nc\n0\nSECTION\n", "dxf"), ("l2", b"\n 999 \r\n\r\n999\nx\n  0\n\nSECTION", "dxf"), ("l3", b"0\nSECTIONS\n", "text"), ("l4", b"999\n0\nSECTION\n", "text"), ("l5", b"0\n", "text"), ("m.json", b"%PDF-1", "pdf"), ("n.html", "﻿é".encode(), "html"),
     ]
     found = {r.path: r.kind for r in files.sniffed(spark.createDataFrame([(p, bytearray(c)) for p, c, _ in rows], "path string, content binary")).collect()}
     assert found == {p: k for p, _, k in rows}
@@ -204,6 +206,18 @@ def test_ooxml_escapes_fences_and_scores(spark):
     assert all(r.want == r.got for r in table.withColumn("got", T.valid_scores(F.col("s"), F.col("p"))).collect())
 
 
+def test_answers_of_two_million_characters_are_read(spark):
+    block = lambda text: '{"kind": "paragraph", "text": "' + text + '"}'
+    answer = lambda blocks: '{"job": "j", "unit": 1, "blocks": [' + ", ".join(blocks) + "]}"
+    many = answer([block(r'NaN \\\" x')] * 40_000)
+    long = answer([block("y" + " " * (1_999_999 - len(answer([block("y")])) + 1))])
+    rows = [(1, "j", 1, many), (2, "j", 1, long), (3, "j", 1, long + " "), (4, "j", 1, answer([block("a"), "NaN"])), (5, "j", 1, answer([block(r'\\'), "Infinity"]))]
+    assert len(many) < answers.LONGEST == len(long)
+    found = {r.doc_id: (r.accepted, r.reason, r.n) for r in answers.read_answers(spark.createDataFrame(rows, "doc_id long, job string, unit int, answer string")).select("doc_id", "accepted", "reason", F.size("blocks").alias("n")).collect()}
+    assert found[1] == (True, None, 40_000) and found[2] == (True, None, 1)
+    assert found[3][:2] == (False, "too long") and found[4][:2] == found[5][:2] == (False, "not strict JSON")
+
+
 def test_answers_are_strict(spark):
     good = '{"job": "j", "unit": 1, "blocks": [{"kind": "paragraph", "text": "x NaN  "}]}'
     cases = [
