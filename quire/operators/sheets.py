@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.functions.text import column_letter, connector, helper_header, md_cell, range_ref
 
@@ -53,22 +54,24 @@ def _label(rows: pd.Series, cols: pd.Series) -> list[int]:
 def regions(cells: DataFrame) -> DataFrame:
     """Connected regions (4 neighbours) of non-empty cells, one sheet a group of at most MOST_CELLS cells, the reader's limit.
 
-    sheet, source_ref, kind (note, list or table), cells, first_row, first_col. A sheet of more cells is not read: it
-    is one row of kind `too large`.
+    sheet, source_ref, kind (note, list or table), cells, first_row, first_col, last_row, last_col. A sheet of more
+    cells is not read: it is one row of kind `too large`.
     """
 
     def label(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["row", "col"]).drop_duplicates(["row", "col"]).reset_index(drop=True)
         return frame.assign(region=_label(frame["row"], frame["col"]))[["sheet", "row", "col", "region"]]
 
-    full = cells.filter(F.length(F.trim("value")) > 0).select(F.col("sheet").cast("long").alias("sheet"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    key = StructField("sheet", cells.schema["sheet"].dataType)
+    places = StructType([key] + [StructField(c, LongType()) for c in ("row", "col", "region")])
+    full = cells.filter(F.length(F.trim("value")) > 0).select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     large = full.groupBy("sheet").agg(F.count(F.lit(1)).alias("cells")).filter(F.col("cells") > MOST_CELLS)
-    labelled = full.join(large, "sheet", "left_anti").groupBy("sheet").applyInPandas(label, "sheet bigint, row bigint, col bigint, region bigint")
+    labelled = full.join(large, "sheet", "left_anti").groupBy("sheet").applyInPandas(label, places)
     corners = labelled.groupBy("sheet", "region").agg(F.min("row").alias("r1"), F.min("col").alias("c1"), F.max("row").alias("r2"), F.max("col").alias("c2"), F.count(F.lit(1)).alias("cells"))
     kind = F.when(F.col("cells") == 1, "note").when(F.col("c1") == F.col("c2"), "list").otherwise("table")
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    refused = large.select("sheet", none("source_ref", "string"), F.lit("too large").alias("kind"), "cells", none("first_row", "bigint"), none("first_col", "bigint"))
-    return corners.select("sheet", range_ref(*(F.col(c) for c in ("r1", "c1", "r2", "c2"))).alias("source_ref"), kind.alias("kind"), "cells", F.col("r1").alias("first_row"), F.col("c1").alias("first_col")).unionByName(refused)
+    refused = large.select("sheet", none("source_ref", "string"), F.lit("too large").alias("kind"), "cells", *[none(c, "bigint") for c in ("first_row", "first_col", "last_row", "last_col")])
+    return corners.select("sheet", range_ref(*(F.col(c) for c in ("r1", "c1", "r2", "c2"))).alias("source_ref"), kind.alias("kind"), "cells", F.col("r1").alias("first_row"), F.col("c1").alias("first_col"), F.col("r2").alias("last_row"), F.col("c2").alias("last_col")).unionByName(refused)
 
 
 def split_wide(headers: DataFrame) -> DataFrame:

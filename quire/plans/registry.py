@@ -13,7 +13,7 @@ from quire.operators import sheets as S
 from quire.sources import files, office, pages
 from quire.streaming import resumable
 
-from . import channels, checks, oracles, packages, queues, samples  # noqa: F401  channels, checks and queues register their queries in packages
+from . import channels, checks, oracles, packages, queues, samples, structure  # noqa: F401  they register their queries in packages
 
 FLAGSHIP = "retrieval_topk"
 QUERY = "the of"
@@ -235,7 +235,7 @@ def sheet_regions(spark, sf_dir):
     """Cells outside a declared table of rows 5 to 12, as regions."""
     cells = _cells(spark, sf_dir)
     tables = cells.select("sheet").distinct().withColumns({"min_row": F.lit(5), "max_row": F.lit(12), "min_col": F.lit(1), "max_col": F.lit(4)})
-    return S.regions(S.free_cells(cells, tables))
+    return S.regions(S.free_cells(cells, tables)).drop("last_row", "last_col")
 
 
 def grid_render(spark, sf_dir):
