@@ -31,14 +31,14 @@ def with_columns(
 ) -> DataFrame:
     """df and the columns of fields (a DDL string), which make()(slice) gives for each slice of about SLICE_BYTES of the column by.
 
-    Columns of drop go; columns of df that clash with fields are replaced. make() runs once a task, done() at its end.
+    Columns of drop go; columns of df that clash with fields, whatever their case, are replaced. make() runs once a task, done() at its end.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     added = StructType.fromDDL(fields)
-    gone = {*drop, *added.names}
-    schema = StructType([f for f in df.schema.fields if f.name not in gone] + added.fields)
-    stay = [f.name for f in df.schema.fields if f.name not in gone]
+    gone = {c.lower() for c in (*drop, *added.names)}
+    schema = StructType([f for f in df.schema.fields if f.name.lower() not in gone] + added.fields)
+    stay = [f.name for f in df.schema.fields if f.name.lower() not in gone]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, names, types = make(), [*stay, *added.names], to_arrow_schema(added)

@@ -3,13 +3,18 @@
 First a family is chosen (linear classifiers, one against the rest), then the language within it by linear
 support vector machines, one for each pair of the family's languages, which vote. All machines read the same
 features: the shares of hashed byte n-grams of one to three bytes of the text, A-Z lower-cased, with everything
-but letters read as a space. A text's scores are sums of weights over its n-grams, so long texts need no more
-memory than their bytes.
+but letters read as a space. Features are counted block by block, so long texts need no more memory than their bytes.
 
-Training: the LABELS most frequent labels are learned, from a sample of about SAMPLE rows each, or as many as TOTAL
-rows in all allow, chosen by a hash of doc_id and text. These three bounds are the only ones: they keep the training
-rows (sparse, a few kB each) to what the driver and a task can hold, whatever labels the input has, and they hold at
-every size of it. The machines are fitted in tasks, each on its own. The label counts and the prediction cover all rows.
+The hierarchy is a tree: a node has at most FAN children and a last family at most CLOSE languages. A larger family is
+cut again into families of like languages, and so are very many families, along the direction in which their mean
+features differ most. So the machines grow with the number of labels and not with its square, and a text meets those
+on its own way down the tree only. The model is broadcast to the tasks: about 60 kB a label.
+
+Training: a sample of SAMPLE rows of each label, or as many as TOTAL rows in all allow, chosen by a hash of doc_id and
+text; a label of fewer rows gives all of them. These two bounds are the only ones: they keep the training rows (sparse,
+a few kB each) to what the driver and a task can hold. If there are more than TOTAL labels, TOTAL of them, chosen by a
+hash, give a row each and the others can't be predicted. The machines are fitted in tasks. The label counts and the
+prediction cover all rows.
 
 Families: labels of the table FAMILIES are in the family named there. Any other label joins the family whose mean
 features are most like its own, if the cosine of the two reaches NEAR, else it founds one, in the order of names.
@@ -23,18 +28,22 @@ columns are replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import raw, with_columns
-from .shared import fresh
+from .shared import fresh, materialise, small
 
-SAMPLE, TOTAL, LABELS = 1000, 8000, 500
+SAMPLE, TOTAL = 1000, 8000
+#: Children of a node, languages of a last family, at most; rows of a label between which its sample is chosen, at least.
+FAN, CLOSE, LEAST = 8, 8, 16
+#: Texts whose features are held at once; tasks that fit machines.
+TEXTS, TASKS = 256, 256
 #: The cosine of mean features from which a label without a known family joins one.
 NEAR = 0.5
 BITS = 12
@@ -102,53 +111,79 @@ def shares(data: np.ndarray) -> np.ndarray:
     return counts / max(counts.sum(), 1)
 
 
-def margins(data: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Of each text the mean weights of its n-grams: shares() times weights."""
-    sums, total, n = np.zeros((len(ends) - 1, weights.shape[1])), np.zeros(len(ends) - 1), len(ends) - 1
-    columns = np.ascontiguousarray(weights.T)
-    for of, found in grams(data, ends):
-        base, of = of[0], of - of[0]
-        for g in found:
-            total[base : base + of[-1] + 1] += np.bincount(of, g != 0)
-            for m, w in enumerate(columns):
-                sums[base : base + of[-1] + 1, m] += np.bincount(of, w[g])
-    return sums / np.maximum(total, 1)[:n, None]
+def features(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The number of the first text, and shares() of it and those behind it, a row each, TEXTS at a time."""
+    for low in range(0, len(ends) - 1, TEXTS):
+        some = ends[low : low + TEXTS + 1]
+        x = np.zeros((len(some) - 1, BUCKETS), np.float32)
+        for of, found in grams(data[some[0] : some[-1]], some - some[0]):
+            first, n = of[0], of[-1] - of[0] + 1
+            at = (of - first).astype(np.int64) * BUCKETS
+            for g in found:
+                x[first : first + n] += np.bincount(at + g, minlength=n * BUCKETS).reshape(n, BUCKETS)
+        x[:, 0] = 0
+        yield low, x / np.maximum(x.sum(axis=1), 1)[:, None]
+
+
+@dataclass
+class Node:
+    """Languages below, children (none: a last family), and its machines: one a child, or one a pair of languages."""
+
+    langs: list[str]
+    children: list[Node]
+    first: int = 0
+
+    def pairs(self) -> list[tuple[int, int]]:
+        n = len(self.langs)
+        return [(i, j) for i in range(n) for j in range(i + 1, n)]
+
+    def machines(self) -> list[tuple[list[str], list[str]]]:
+        """Of each machine the languages on its one side and on its other."""
+        if self.children:
+            return [(c.langs, [v for d in self.children if d is not c for v in d.langs]) for c in self.children]
+        return [([self.langs[i]], [self.langs[j]]) for i, j in self.pairs()]
+
+    def below(self) -> Iterator[Node]:
+        yield self
+        for c in self.children:
+            yield from c.below()
 
 
 @dataclass
 class Model:
-    """weights: a column a machine; machines: the families' ones first, then those of pairs of languages."""
+    """The tree of families, and of each machine a row of weights, its bias and the slope of its logistic curve."""
 
-    families: list[str]
-    members: list[list[str]]
-    pairs: list[tuple[int, str, str]]
+    root: Node
     weights: np.ndarray
     bias: np.ndarray
     slope: np.ndarray
 
-    def judge(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Languages and scores of texts with these margins, one row a text."""
-        sure = 1 / (1 + np.exp(-np.clip(margins * self.slope, -30, 30)))
-        f = len(self.families) if len(self.families) > 1 else 0
-        of = np.argmax(margins[:, :f], axis=1) if f else np.zeros(len(margins), int)
-        first = sure[:, :f].max(axis=1) if f else np.ones(len(margins))
-        out, score = [""] * len(margins), np.array(first)
-        for k, langs in enumerate(self.members):
-            rows = np.flatnonzero(of == k)
+    def judge(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Languages and scores of texts with these features, one row a text."""
+        out, score = [""] * len(x), np.ones(len(x))
+        todo = [(self.root, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
             if not len(rows):
                 continue
-            votes, chance = np.zeros((len(rows), len(langs))), np.ones((len(rows), len(langs)))
-            for j, (family, a, b) in enumerate(self.pairs):
-                if family == k:
-                    p, ia, ib = sure[rows, f + j], langs.index(a), langs.index(b)
-                    votes[:, ia] += p > 0.5
-                    votes[:, ib] += p <= 0.5
-                    chance[:, ia] = np.minimum(chance[:, ia], p)
-                    chance[:, ib] = np.minimum(chance[:, ib], 1 - p)
+            own = slice(node.first, node.first + (len(node.children) or len(node.pairs())))
+            margin = x[rows] @ self.weights[own].T + self.bias[own]
+            sure = 1 / (1 + np.exp(-np.clip(margin * self.slope[own], -30, 30)))
+            if node.children:
+                of = np.argmax(margin, axis=1)
+                score[rows] *= sure[np.arange(len(rows)), of]
+                todo += [(c, rows[of == k]) for k, c in enumerate(node.children)]
+                continue
+            votes, chance = np.zeros((len(rows), len(node.langs))), np.ones((len(rows), len(node.langs)))
+            for p, (i, j) in zip(sure.T, node.pairs(), strict=True):
+                votes[:, i] += p > 0.5
+                votes[:, j] += p <= 0.5
+                chance[:, i] = np.minimum(chance[:, i], p)
+                chance[:, j] = np.minimum(chance[:, j], 1 - p)
             won = np.argmax(votes + chance / 2, axis=1)
             score[rows] *= chance[np.arange(len(rows)), won]
             for r, w in zip(rows.tolist(), won.tolist(), strict=True):
-                out[r] = langs[w]
+                out[r] = node.langs[w]
         return out, np.clip(score, 0, 1)
 
 
@@ -193,58 +228,111 @@ def scale_of(rows: list[bytes]) -> np.ndarray:
     return np.where(spread > 0, 1 / np.sqrt(np.maximum(spread, 1e-9)), 0)
 
 
-def families_of(langs: list[str], rows: list[bytes], scale: np.ndarray) -> dict[str, str]:
-    """The family of each language."""
-    found = {v: FAMILY_OF[v] for v in sorted(set(langs)) if v in FAMILY_OF}
-    others = [v for v in sorted(set(langs)) if v not in found]
-    if not others:
-        return found
-    means = {v: np.zeros(BUCKETS) for v in set(langs)}
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / max(float(np.linalg.norm(x)), 1e-12)
+
+
+def means_of(langs: list[str], rows: list[bytes], scale: np.ndarray) -> dict[str, np.ndarray]:
+    """The direction of each language's mean features."""
+    sums = {v: np.zeros(BUCKETS) for v in sorted(set(langs))}
     for v, packed in zip(langs, rows, strict=True):
         half = len(packed) // 2
-        means[v][np.frombuffer(packed[:half], np.int32)] += np.frombuffer(packed[half:], np.float32)
-    unit = lambda x: x / max(float(np.linalg.norm(x)), 1e-12)
-    means = {v: unit(x * scale) for v, x in means.items()}
-    for v in others:
-        centres = {f: unit(sum(means[w] for w, g in found.items() if g == f)) for f in sorted(set(found.values()))}
-        best = max(centres, key=lambda f: (float(centres[f] @ means[v]), f), default=None)
-        found[v] = best if best is not None and float(centres[best] @ means[v]) >= NEAR else v
+        sums[v][np.frombuffer(packed[:half], np.int32)] += np.frombuffer(packed[half:], np.float32)
+    return {v: unit(x * scale).astype(np.float32) for v, x in sums.items()}
+
+
+def families_of(means: dict[str, np.ndarray]) -> dict[str, str]:
+    """The family of each language."""
+    found = {v: FAMILY_OF[v] for v in means if v in FAMILY_OF}
+    names = sorted(set(found.values()))
+    sums = np.zeros((len(means), BUCKETS), np.float32)
+    for v, f in found.items():
+        sums[names.index(f)] += means[v]
+    norms = np.linalg.norm(sums, axis=1)
+    for v in (v for v in means if v not in found):
+        like = sums[: len(names)] @ means[v] / np.maximum(norms[: len(names)], 1e-12)
+        best = int(np.argmax(like)) if names else -1
+        if best < 0 or like[best] < NEAR:
+            best = len(names)
+            names.append(v)
+        found[v] = names[best]
+        sums[best] += means[v]
+        norms[best] = np.linalg.norm(sums[best])
     return found
 
 
+def arranged(nodes: list[Node], means: dict[str, np.ndarray]) -> list[Node]:
+    """Nodes along the direction in which their centres differ most (by power iteration)."""
+    centres = np.stack([sum(means[v] for v in n.langs) / len(n.langs) for n in nodes])
+    centres = centres - centres.mean(axis=0)
+    axis = unit(centres[int(np.argmax(np.linalg.norm(centres, axis=1)))])
+    for _ in range(20):
+        axis = unit(centres.T @ (centres @ axis))
+    along = centres @ axis
+    return [nodes[k] for k in sorted(range(len(nodes)), key=lambda k: (round(float(along[k]), 6), nodes[k].langs))]
+
+
+def gathered(nodes: list[Node], most: int, means: dict[str, np.ndarray], join: Callable[[list[Node]], Node]) -> list[Node]:
+    """Like nodes joined, `most` at a time at most and evenly."""
+    n = -(-len(nodes) // most)
+    order = arranged(nodes, means)
+    return [join(order[k * len(order) // n : (k + 1) * len(order) // n]) for k in range(n)]
+
+
+def inner(children: list[Node]) -> Node:
+    return children[0] if len(children) == 1 else Node([v for c in children for v in c.langs], children)
+
+
+def tree_of(means: dict[str, np.ndarray]) -> Node:
+    """The tree of families; its machines are numbered from the root on."""
+    family_of = families_of(means)
+    families = []
+    for f in sorted(set(family_of.values())):
+        own = [Node([v], []) for v in means if family_of[v] == f]
+        nodes = gathered(own, CLOSE, means, lambda some: Node(sorted(v for n in some for v in n.langs), [])) if len(own) > CLOSE else [Node([n.langs[0] for n in own], [])]
+        while len(nodes) > FAN:
+            nodes = gathered(nodes, FAN, means, inner)
+        families.append(inner(nodes))
+    while len(families) > FAN:
+        families = gathered(families, FAN, means, inner)
+    root, first = inner(families), 0
+    for node in root.below():
+        node.first = first
+        first += len(node.children) or len(node.pairs())
+    return root
+
+
 def fit(spark: SparkSession, langs: list[str], rows: list[bytes]) -> Model:
-    """A model from packed feature rows and their languages: a task a machine."""
+    """A model from packed feature rows and their languages; machines are dealt to TASKS tasks at most."""
     scale = scale_of(rows)
-    family_of = families_of(langs, rows, scale)
-    families, known = sorted(set(family_of.values())), sorted(family_of)
-    members = [[v for v in known if family_of[v] == f] for f in families]
-    pairs = [(k, a, b) for k, own in enumerate(members) for i, a in enumerate(own) for b in own[i + 1 :]]
-    # A machine: the languages on its one side and on its other.
-    machines = [(own, [v for v in known if v not in own]) for own in members] if len(families) > 1 else []
-    machines += [([a], [b]) for _, a, b in pairs]
-    bias, slope, w = np.zeros(len(machines)), np.zeros(len(machines)), np.zeros((BUCKETS, len(machines)), np.float32)
+    root = tree_of(means_of(langs, rows, scale))
+    machines = [m for node in root.below() for m in node.machines()]
+    bias, slope, w = np.zeros(len(machines)), np.zeros(len(machines)), np.zeros((len(machines), BUCKETS), np.float32)
     if machines:
         norm = max(float(sum(((np.frombuffer(r[len(r) // 2 :], np.float32) * scale[np.frombuffer(r[: len(r) // 2], np.int32)]) ** 2).sum() for r in rows)) ** 0.5 / len(rows) ** 0.5, 1e-9)
         shared = spark.sparkContext.broadcast((langs, rows, scale, norm, machines))  # at most TOTAL rows
+        schema = pa.schema([("k", pa.int64()), ("bias", pa.float64()), ("slope", pa.float64()), ("weights", pa.binary())])
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             langs, rows, scale, norm, machines = shared.value
+            places: dict[str, list[int]] = {}
+            for i, v in enumerate(langs):
+                places.setdefault(v, []).append(i)
             for batch in batches:
                 for k in batch.column("id").to_pylist():
-                    one, other = map(set, machines[k])
-                    chosen = [i for i, v in enumerate(langs) if v in one or v in other]
-                    x = unpacked([rows[i] for i in chosen])
+                    one, other = ([i for v in side for i in places[v]] for side in machines[k])
+                    x = unpacked([rows[i] for i in one + other])
                     x *= (scale / norm).astype(np.float32)
-                    y = np.array([1.0 if langs[i] in one else -1.0 for i in chosen])
+                    y = np.repeat([1.0, -1.0], [len(one), len(other)])
                     found, b = svm(x, y)
                     told = (found * scale / norm).astype(np.float32)
-                    yield pa.RecordBatch.from_pylist([{"k": k, "bias": b, "slope": slope_of(x @ found + b, y), "weights": told.tobytes()}], pa.schema([("k", pa.int64()), ("bias", pa.float64()), ("slope", pa.float64()), ("weights", pa.binary())]))
+                    yield pa.RecordBatch.from_pylist([{"k": k, "bias": b, "slope": slope_of(x @ found + b, y), "weights": told.tobytes()}], schema)
 
-        for r in spark.range(len(machines), numPartitions=len(machines)).mapInArrow(run, "k bigint, bias double, slope double, weights binary").collect():
-            bias[r["k"]], slope[r["k"]], w[:, r["k"]] = r["bias"], r["slope"], np.frombuffer(r["weights"], np.float32)
+        for r in spark.range(len(machines), numPartitions=min(len(machines), TASKS)).mapInArrow(run, "k bigint, bias double, slope double, weights binary").toLocalIterator():
+            bias[r["k"]], slope[r["k"]], w[r["k"]] = r["bias"], r["slope"], np.frombuffer(r["weights"], np.float32)
         shared.unpersist()
-    w[0] = 0
-    return Model(families, members, pairs, np.ascontiguousarray(w), bias, slope)
+    w[:, 0] = 0
+    return Model(root, w, bias, slope)
 
 
 def has_letter(text: Column) -> Column:
@@ -255,13 +343,18 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     """A model from labelled rows; None if none of them has a letter."""
     told = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     usable = told.filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS).collect()
-    if not counts:
+    counts = materialise(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "labels")
+    labels = counts.count()
+    if not labels:
         return None
-    span, each = 1 << 20, max(1, min(sample, total // len(counts)))
+    span, each = 1 << 30, max(1, min(sample, total // labels))
+    # Twice the sample is chosen by hash, LEAST rows at least, and of these the first: no label of few rows is missed by chance.
+    limit = F.ceil(F.lit(max(2 * each, LEAST) * span) / F.col("n"))
+    limits = counts.filter(F.pmod(F.xxhash64("lang"), F.lit(labels)) < total).select(F.col("lang").alias("label"), limit.alias("limit"))
     place = F.pmod(F.xxhash64("key", "text"), F.lit(span))  # the text too: rows of one key, or of none, do not fall together
-    limits = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(span, -(-each * span // r["n"]))))])
-    chosen = usable.filter(place < F.coalesce(F.try_element_at(limits, F.col("lang")), F.lit(0))).select("lang", "text")
+    near = usable.withColumn("place", place).join(small(limits), F.col("lang") == F.col("label")).filter("place < limit").dropDuplicates(["lang", "place"])
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    chosen = near.withColumn("nth", order).filter(F.col("nth") <= each).select("lang", "text")
 
     def make():
         def work(part: pa.RecordBatch):
@@ -275,7 +368,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
         return work
 
-    rows = sorted((r["lang"], bytes(r["packed"])) for r in with_columns(chosen, "packed binary", make, by="text", drop=["text"]).collect())
+    rows = sorted((r["lang"], bytes(r["packed"])) for r in with_columns(materialise(chosen, "sample"), "packed binary", make, by="text", drop=["text"]).collect())
     return fit(labelled.sparkSession, [v for v, _ in rows], [x for _, x in rows]) if rows else None
 
 
@@ -284,11 +377,18 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", drop: tupl
     if model is None:
         return docs.drop("lang_pred", "score", *drop).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     (flag,) = fresh(docs, "letter")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        model = shared.value
+
         def work(part: pa.RecordBatch):
             data, ends = raw(part.column(text))
-            langs, score = model.judge(margins(data, ends, model.weights) + model.bias)
+            langs, score = [], []
+            for _, x in features(data, ends):
+                found, sure = model.judge(x)
+                langs += found
+                score += sure.tolist()
             known = part.column(flag).to_pylist()
             return [
                 pa.array([v if k else UNKNOWN for v, k in zip(langs, known, strict=True)], pa.string()),
@@ -308,4 +408,5 @@ def held_out(key: Column) -> Column:
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with held_out, lang_pred and score; learned from the rows that are not held out."""
     model = train(docs.filter(~held_out(F.col(key))).select(key, text, lang), text, lang, key, sample)
-    return predict(docs.withColumn("held_out", held_out(F.col(key))), model, text, drop)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "held_out"]
+    return predict(docs.select(*kept, held_out(F.col(key)).alias("held_out")), model, text, drop)

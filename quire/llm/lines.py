@@ -318,7 +318,7 @@ def drop_lines(docs: DataFrame, index: LineIndex, pairs: DataFrame | None = None
     pairs = document_keys(docs, key, text) if pairs is None else pairs
     doc, hash_, gone = fresh(docs, "doc", "hash", "gone")
     bad = dropped_lines(index, pairs).groupBy(F.col("doc_id").alias(doc), F.col("hash").alias(hash_)).agg(F.sort_array(F.collect_set("pos")).alias(gone))
-    stay = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
+    stay = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text.lower(), "n_lines", "n_dropped")]
     whole = F.col(f"`{text}`")
     joined = docs.join(bad, F.col(f"`{key}`").eqNullSafe(F.col(doc)) & (F.xxhash64(whole) == F.col(hash_)), "left")
     cleaned = F.when(F.col(gone).isNull(), F.coalesce(whole, F.lit(""))).otherwise(without_lines(whole, F.col(gone)))

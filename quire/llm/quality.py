@@ -72,7 +72,7 @@ def _figures(text: Column) -> Column:
 
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the figures and base_failed; no row moves."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED]
     (told,) = fresh(docs, "figures")
     few = F.col(told)["n_words"] < MIN_WORDS
     repetitive = 100 * F.col(told)["n_repeat_words"] > MAX_REPEAT_SHARE * F.col(told)["n_words"]
@@ -100,7 +100,7 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
 
 def judge_quality(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Figures, base_failed and kept for each row, with the columns of keep (all but the text by default)."""
-    carried = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c not in [*ADDED, "kept"]]
+    carried = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c.lower() not in [*ADDED, "kept"]]
     carry = [F.col(f"`{c}`") for c in carried]
     own_host, own_text, bad, flag = fresh(docs, "host", "text", "bad", "flag")
     own = docs.select(*carry, F.col(f"`{host}`").alias(own_host), F.col(f"`{text}`").alias(own_text))

@@ -98,6 +98,7 @@ QUERIES = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES = {
+    "op3_jaccard_join": oracles.OP3,
     "op4_url_filter": oracles.OP4,
     "op6_quality_rules": oracles.OP6,
     "op7_chat_format": oracles.OP7,

@@ -101,8 +101,8 @@ def _best(candidates: Column, subject: Column) -> Column:
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", inline_rules: int = INLINE_RULES) -> DataFrame:
-    """pages with host, path, rule and verdict; such columns of pages are replaced."""
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    """pages with host, path, rule and verdict; such columns of pages are replaced, whatever their case."""
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     (best,) = fresh(pages, "best")
     parts = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rules = sorted(set(rules))

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from compare import differences
+from pyspark.sql import functions as F
 from test_pairs_and_lines import brute_components, brute_lines
 
 import corpus_pipeline
@@ -61,6 +62,31 @@ def test_texts_of_one_doc_id_stay(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, ""), (1, "a b c d e f"), (1, "u v w x y z"), (2, "k l m n o p")]
 
 
+def test_a_text_is_not_lost_with_the_doc_id_that_it_shares(spark):
+    a, b = "a b c d e f", "quite another text of seven words here"
+    rows = [(0, a, "en", "s", 11), (1, a, "en", "s", 11), (1, b, "en", "s", 38), (2, b + " x", "de", "t", 1), (2, None, "de", "t", 0)]
+    docs = spark.createDataFrame(rows, COLUMNS).withColumn("SHA", F.lit(1))
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(0, a), (1, b), (2, "")] + [(2, b + " x")]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES[:-1]])
+def test_a_stage_carries_other_columns_and_takes_nulls_long_texts_and_repeated_rows(spark, name):
+    rng = random.Random(2)
+    long = "\n".join(" ".join(rng.choice("the and of to in that with for this from was".split()) + str(rng.randint(0, 999)) for _ in range(12)) for _ in range(9000))
+    rows = [*corpus(), (None, None, None, None, None), (400, long, "en", "src0", len(long)), (401, None, None, "src0", None)]
+    rows += [rows[0]] * 2
+    extra = {"KEPT": "k", "n_words": "w", "Score": "s", "N_LINES": "l", "component_id": "c", "held_out": "h"}
+    docs = spark.createDataFrame(rows, COLUMNS).withColumns({c: F.lit(v) for c, v in extra.items()})
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert all({r[c] for r in found} == {v} for c, v in extra.items())
+    assert [len(r.text) > 500_000 for r in found if r.doc_id == 400] == [True]
+    times = sum(r.doc_id == 0 for r in found)
+    assert times == (1 if name == "jaccard_join" else 3)
+
+
 def test_empty_corpus(spark):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
