@@ -33,12 +33,12 @@ nothing and has a null component. An empty table gives an empty result. Other co
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import raw, slices, with_columns
@@ -335,13 +335,12 @@ def worth_asking(docs: DataFrame, roles: DataFrame) -> DataFrame:
     counts = sketch_of(materialise(profile(own), "opened"))
     found = entries(own, counts).select("token", F.col("unit").alias("sid"), F.shiftright("sizes", 32).alias("n"))
     found = found.join(small(roles), "sid").select(F.xxhash64("token", "host").alias("token"), "host", "sid", "label", "n", "asks")
-    token, n = Window.partitionBy("token"), F.col("n")
-
-    def across(f: Callable[[Column], Column], column: str) -> Column:
-        one, other = (f(F.when(F.col("asks") == k, F.col(column))).over(token) for k in (0, 1))
-        return F.when(F.col("asks") == 0, other).otherwise(one)
-
-    told = found.select("host", "sid", "asks", "n", "label", *[across(f, c).alias(f"{name}_{c}") for c in ("label", "n") for name, f in (("least", F.min), ("most", F.max))])
+    found, n = materialise(found, "opened-tokens"), F.col("n")
+    # Extremes are combined before they are dealt; what a hot token's rows are told comes back by a join that can split them.
+    ends = [(f"{name}_{c}", f, c) for c in ("label", "n") for name, f in (("least", F.min), ("most", F.max))]
+    extremes = found.groupBy("token").agg(*[f(F.when(F.col("asks") == k, F.col(c))).alias(f"{name}_{k}") for name, f, c in ends for k in (0, 1)])
+    across = [F.when(F.col("asks") == 0, F.col(f"{name}_1")).otherwise(F.col(f"{name}_0")).alias(name) for name, _, _ in ends]
+    told = found.join(extremes, "token").select("host", "sid", "asks", "n", "label", *across)
     low, high = F.greatest("least_n", _up(4 * n, 5)), F.least("most_n", F.floor(5 * n / 4))
     met = told.filter(((F.col("least_label") != F.col("label")) | (F.col("most_label") != F.col("label"))) & (low <= high)).select("host", "sid", "asks", "n", low.alias("low"), high.alias("high"))
     met = met.groupBy("host", "sid", "asks").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
