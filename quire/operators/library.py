@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import failure_signature, safe_filename
 
-from .ranges import range_of
+from .ranges import HOT, numbered
 
 #: Kinds that can be converted locally, reasons for those that cannot, and required files of a package.
 LOCAL_TEXT = ("txt", "md", "text")
@@ -198,24 +198,19 @@ def upsert_queue(queue: DataFrame, seen: DataFrame, intact: DataFrame | None = N
     return both.select("path", F.coalesce("sha256", "old").alias("sha256"), status.alias("status"), changed.alias("source_changed"), *output)
 
 
-def export_names(titles: DataFrame) -> DataFrame:
+def export_names(titles: DataFrame, most: int = HOT) -> DataFrame:
     """doc_id and a file name of its own: equal names, whatever their case, get (2), (3) by doc_id.
 
     A name that another title has already with its number would clash: such numbers are looked up and the
-    clashing names take their doc_id instead. doc_id is a number; a title that very many documents have is
-    numbered in parts, by ranges of doc_id.
+    clashing names take their doc_id instead. A title of more than most documents is numbered by ranges.
     """
     named = titles.select("doc_id", safe_filename(F.col("title")).alias("base"))
-    named = named.withColumns({"key": F.lower("base"), "range": range_of(named, "doc_id")})
-    sizes = named.groupBy("key", "range").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("key", "range", before.alias("before")).filter("before > 0")
-    own = F.row_number().over(Window.partitionBy("key", "range").orderBy("doc_id"))
-    numbered = named.withColumn("own", own).join(offsets, ["key", "range"], "left").select("doc_id", "base", (F.col("own") + F.coalesce("before", F.lit(0))).alias("nth"))
-    numbered = numbered.withColumn("name", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), "nth", F.lit(")"))))
+    named = named.withColumn("key", F.lower("base"))
+    ranked = numbered(named, "key", ["doc_id"], "nth", most).select("doc_id", "base", "nth")
+    ranked = ranked.withColumn("name", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), "nth", F.lit(")"))))
     taken = named.select("key").distinct().withColumn("taken", F.lit(True))
     clash = (F.col("nth") > 1) & F.coalesce("taken", F.lit(False))
-    out = numbered.join(taken, F.lower("name") == F.col("key"), "left")
+    out = ranked.join(taken, F.lower("name") == F.col("key"), "left")
     return out.select("doc_id", F.when(clash, F.concat("base", F.lit(" #"), "doc_id")).otherwise(F.col("name")).alias("name"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.functions.text import column_letter, connector, helper_header, md_cell, range_ref
 
-from .ranges import range_of
+from .ranges import HOT, followed
 
 CHUNK = 9
 #: Fixed value: cells of a sheet beyond which it is not read.
@@ -128,21 +128,17 @@ def islands(numbers: DataFrame, group: str, number: str) -> DataFrame:
     return own.withColumn("run", run).groupBy(group, "run").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n")).drop("run")
 
 
-def path_lengths(vertices: DataFrame) -> DataFrame:
+def path_lengths(vertices: DataFrame, most: int = HOT) -> DataFrame:
     """layer, length: polylines (layer, ord, x, y, bulge) by layer; a bulge makes the piece to the next vertex an arc.
 
-    A layer of very many vertices is measured in parts, by ranges of ord (a number); the last vertex of a part is
-    followed by the first of the layer's next one.
+    A layer of more than most vertices is measured in stretches; the last vertex of a stretch is followed by the first
+    of the layer's next one.
     """
-    parts = vertices.withColumn("range", range_of(vertices, "ord"))
-    begins = parts.groupBy("layer", "range").agg(F.min_by(F.struct("x", "y"), "ord").alias("begin"))
-    after = begins.select("layer", "range", F.lead("begin").over(Window.partitionBy("layer").orderBy("range")).alias("after")).filter("after IS NOT NULL")
-    by = Window.partitionBy("layer", "range").orderBy("ord")
-    parts = parts.withColumn("next", F.lead(F.struct("x", "y")).over(by)).join(after, ["layer", "range"], "left").withColumn("next", F.coalesce("next", "after"))
+    rows = followed(vertices, "layer", "ord", ["x", "y"], most)
     chord = F.hypot(F.col("next.x") - F.col("x"), F.col("next.y") - F.col("y"))
     angle = 4 * F.atan(F.abs("bulge"))
     piece = F.when(F.coalesce("bulge", F.lit(0.0)) == 0, F.col("chord")).otherwise(F.col("chord") * angle / (2 * F.sin(angle / 2)))
-    return parts.withColumn("chord", chord).groupBy("layer").agg(F.coalesce(F.sum(piece), F.lit(0.0)).alias("length"), F.count(F.lit(1)).alias("vertices"))
+    return rows.withColumn("chord", chord).groupBy("layer").agg(F.coalesce(F.sum(piece), F.lit(0.0)).alias("length"), F.count(F.lit(1)).alias("vertices"))
 
 
 def polyline_lengths(vertices: DataFrame) -> DataFrame:

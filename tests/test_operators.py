@@ -13,6 +13,7 @@ from quire.functions import text as T
 from quire.operators import contracts as C
 from quire.operators import documents as D
 from quire.operators import library as L
+from quire.operators import ranges
 from quire.operators import retrieval as R
 from quire.operators import sheets as S
 from quire.plans import registry
@@ -290,7 +291,8 @@ def test_resolutions_need_cause_evidence_and_a_known_failure(spark):
 
 def test_a_title_of_very_many_documents_is_numbered_in_parts(spark):
     titles = spark.range(3000).selectExpr("2999 - id AS doc_id", "if(id % 3 = 0, concat('t', id), if(id % 2 = 0, 'Same', 'same')) AS title")
-    named = {r.doc_id: r.name for r in L.export_names(titles).collect()}
+    named = {r.doc_id: r.name for r in L.export_names(titles, most=300).collect()}
+    assert named == {r.doc_id: r.name for r in L.export_names(titles).collect()}
     same = [d for d in range(3000) if (2999 - d) % 3]
     want = {d: ("Same" if (2999 - d) % 2 == 0 else "same") + (f" ({k})" if k > 1 else "") for k, d in enumerate(same, 1)}
     assert {d: named[d] for d in same} == want and len({n.lower() for n in named.values()}) == 3000
@@ -310,3 +312,12 @@ def test_a_layer_of_very_many_vertices_is_measured_in_parts(spark):
         want[a[0]] = (length + step, n + 1)
     assert found == {k: (round(length, 6), n) for k, (length, n) in want.items()}
     assert S.path_lengths(vertices.limit(0)).count() == 0
+
+
+def test_a_hot_key_is_parted_within_itself(spark):
+    """900 rows that lie together are in many stretches, and each row knows the one behind it."""
+    rows = spark.range(3000).selectExpr("if(id between 1000 and 1899, 'hot', if(id % 7 = 0, null, concat('k', id % 50))) AS layer", "id AS ord", "cast(id AS double) AS x", "id % 3 * 1.0D AS y", "if(id % 5 = 0, 0.5D, 0D) AS bulge")
+    rest, hot = ranges.parted(rows, "layer", ["ord"], 100)
+    assert hot.filter("layer = 'hot'").select(ranges.PART).distinct().count() == 9 and hot.filter("layer = 'hot' AND ord - 1000 <> _place").count() == 0 and rest.count() + hot.count() == 3000
+    plain, parts = ({r.layer: (round(r.length, 6), r.vertices) for r in S.path_lengths(rows, most).collect()} for most in (10_000, 100))
+    assert plain == parts and len(parts) == 52
