@@ -41,11 +41,11 @@ def parted(df: DataFrame, key: str, order: Sequence[str], most: int = HOT) -> tu
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // most + 1)
     dealt = settled(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "dealt")
     dealt = dealt.withColumn("_task", F.shiftright("_at", 33))
-    counts = dealt.groupBy(KEY, "_task").agg(F.count(F.lit(1)).alias("rows"), F.min("_at").alias("first"))
+    counts = dealt.groupBy(KEY, "_task").agg(F.count(F.lit(1)).alias("rows"), F.min("_at").alias("_first"))
     before = Window.partitionBy(KEY).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    begins = settled(counts.select(F.col(KEY).alias("k_"), F.col("_task").alias("t_"), "first", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("begin")), "begins")
-    placed = dealt.join(begins, (F.col(KEY) == F.col("k_")) & (F.col("_task") == F.col("t_"))).withColumn(PLACE, F.col("begin") + F.col("_at") - F.col("first"))
-    return rest, placed.withColumn(PART, F.floor(F.col(PLACE) / most)).drop("k_", "t_", "first", "begin", "_at", "_task")
+    begins = settled(counts.select(F.col(KEY).alias("k_"), F.col("_task").alias("t_"), "_first", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_begin")), "begins")
+    placed = dealt.join(begins, (F.col(KEY) == F.col("k_")) & (F.col("_task") == F.col("t_"))).withColumn(PLACE, F.col("_begin") + F.col("_at") - F.col("_first"))
+    return rest, placed.withColumn(PART, F.floor(F.col(PLACE) / most)).drop("k_", "t_", "_first", "_begin", "_at", "_task")
 
 
 def numbered(df: DataFrame, key: str, order: Sequence[str], name: str = "nth", most: int = HOT) -> DataFrame:
