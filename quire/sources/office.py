@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import ooxml_text
+from quire.functions.text import column_letter, ooxml_text
 
-from .ooxml import DeckPart, SlidePart, WordPart, rows_of
+from .ooxml import DeckPart, SheetPart, SlidePart, StringsPart, TablePart, WordPart, rows_of
 
 #: What an archive may hold: bytes, entries, bytes of all entries, bytes of one.
 MOST_BYTES, MOST_ENTRIES, MOST_TOTAL, MOST_ENTRY = 100_000_000, 20_000, 200_000_000, 50_000_000
@@ -25,11 +25,9 @@ WORD_BODY = "^word/document\\.xml$"
 XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
 WORKBOOK = "sheets struct<sheet: array<struct<_name: string, _state: string, _id: string>>>"
 RELATIONS = "Relationship array<struct<_Id: string, _Target: string>>"
-STRINGS = "si array<struct<t: string, r: array<struct<t: string>>>>"
-SHEET = (
-    "sheetData struct<row: array<struct<_r: int, c: array<struct<_r: string, _t: string, f: string, v: string, is: struct<t: string, r: array<struct<t: string>>>>>>>>, "
-    "mergeCells struct<mergeCell: array<struct<_ref: string>>>"
-)
+SHEETS = "^xl/worksheets/[^/]+\\.xml$"
+#: A reference within a formula: no part of a longer name, no function.
+REFERENCE = r"(?<![A-Za-z0-9_.$])(\$?)([A-Z]{1,3})(\$?)([1-9][0-9]{0,6})(?![A-Za-z0-9_(])"
 NUMBERING = "abstractNum array<struct<_abstractNumId: int, lvl: array<struct<_ilvl: int, numFmt: struct<_val: string>>>>>, num array<struct<_numId: int, abstractNumId: struct<_val: int>>>"
 
 
@@ -94,12 +92,6 @@ def _xml(found: DataFrame, member: str, schema: str) -> DataFrame:
     return found.filter(F.rlike("member", F.lit(member))).select("path", "member", F.from_xml(F.col("content").cast("string"), schema, XML).alias("x"))
 
 
-def _rich(item: Column) -> Column:
-    """The text of a string item: plain, or its runs."""
-    runs = F.array_join(F.transform(item["r"], lambda r: F.coalesce(r["t"], F.lit(""))), "")
-    return ooxml_text(F.coalesce(item["t"], runs, F.lit("")))
-
-
 def column_number(reference: Column) -> Column:
     """AB12 to 28."""
     letters = F.split(F.regexp_extract(reference, "^([A-Z]{1,3})", 1), "")
@@ -116,32 +108,85 @@ def workbook_sheets(found: DataFrame) -> DataFrame:
     return told.join(named, ["path", "rel"]).drop("rel")
 
 
+def _placed(cell: Column) -> list[Column]:
+    return [F.regexp_extract(cell, "(\\d+)$", 1).try_cast("int").alias("row"), column_number(cell).alias("col")]
+
+
+def shifted(formula: Column, rows: Column, columns: Column) -> Column:
+    """A formula moved by rows and columns: relative references move along, absolute ones ($) and quoted texts stay."""
+    moved = lambda p: F.concat(
+        F.when(_part(p, 1) == "$", F.concat(F.lit("$"), _part(p, 2))).otherwise(column_letter(column_number(_part(p, 2)) + columns)),
+        F.when(_part(p, 3) == "$", F.concat(F.lit("$"), _part(p, 4))).otherwise((_part(p, 4).try_cast("int") + rows).cast("string")),
+        F.split_part(p, F.lit("\u0002"), F.lit(2)),
+    )
+    marked = lambda piece: F.split(F.regexp_replace(piece, REFERENCE, "\u0001$1|$2|$3|$4\u0002"), "\u0001")
+    said = lambda piece: F.array_join(F.transform(marked(piece), lambda p: F.when(F.contains(p, F.lit("\u0002")), moved(p)).otherwise(p)), "")
+    return F.array_join(F.transform(F.split(formula, '"'), lambda piece, i: F.when(i % 2 == 0, said(piece)).otherwise(piece)), '"')
+
+
+def _part(piece: Column, k: int) -> Column:
+    return F.split_part(F.split_part(piece, F.lit("\u0002"), F.lit(1)), F.lit("|"), F.lit(k))
+
+
+def workbook_layers(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two layers of workbooks, (path, member, cell, row, col, ...): formulas (formula), and values (data_type, value).
+
+    A shared formula is written once in its file: the other cells of its range get it moved to their place. Values of
+    shared strings are looked up by (path, number); only those cells are part of that join, so that a workbook's others
+    stay where they are. Numbers and texts are as written, booleans TRUE or FALSE; a value that is not there is no row.
+    """
+    rows = rows_of(found, SHEETS, SheetPart).filter("kind = 'cell'").select("path", "member", "cell", *_placed(F.col("cell")), "type", "value", "text", "formula", "shared")
+    own = rows.filter("formula <> ''")
+    masters = own.filter("shared IS NOT NULL").groupBy("path", "member", "shared").agg(F.min(F.struct("row", "col", "formula")).alias("m"))
+    followers = rows.filter("shared IS NOT NULL AND formula = ''").join(masters, ["path", "member", "shared"])
+    spread = followers.select("path", "member", "cell", "row", "col", shifted(F.col("m.formula"), F.col("row") - F.col("m.row"), F.col("col") - F.col("m.col")).alias("formula"))
+    formulas = own.select("path", "member", "cell", "row", "col", "formula").unionByName(spread)
+
+    plain = F.when(F.col("type") == "b", F.when(F.col("value") == "1", "TRUE").otherwise("FALSE")).when(F.col("type") == "inlineStr", ooxml_text(F.col("text"))).when(F.col("type") == "str", ooxml_text(F.col("value"))).otherwise(F.col("value"))
+    direct = rows.filter("type <> 's'").select("path", "member", "cell", "row", "col", F.col("type").alias("data_type"), plain.alias("value"))
+    strings = rows_of(found, "^xl/sharedStrings\\.xml$", StringsPart).filter("kind = 'string'").select("path", F.col("nth").alias("n"), ooxml_text(F.col("text")).alias("said"))
+    looked = rows.filter("type = 's'").withColumn("n", F.col("value").try_cast("int")).join(strings, ["path", "n"], "left").select("path", "member", "cell", "row", "col", F.col("type").alias("data_type"), F.col("said").alias("value"))
+    return formulas, direct.unionByName(looked).filter("value IS NOT NULL AND value <> ''")
+
+
 def workbook_cells(found: DataFrame) -> DataFrame:
-    """path, sheet, state, cell, row, col, data_type, value, formula of the cells that hold something.
+    """path, sheet, state, cell, row, col, data_type, value, formula of the cells that hold something: both layers, met by cell.
 
-    Shared strings are looked up by (path, number). A formula without cached value says so; the cells of a
-    sheet are rows of their own from here on.
+    A formula without cached value says so; the cells of a sheet are rows of their own from here on.
     """
-    rows = _xml(found, "^xl/worksheets/", SHEET).select("path", "member", F.explode("x.sheetData.row").alias("r")).select("path", "member", F.explode("r.c").alias("c"))
-    strings = _xml(found, "^xl/sharedStrings\\.xml$", STRINGS).select("path", F.posexplode("x.si").alias("n", "si")).select("path", "n", _rich(F.col("si")).alias("shared"))
-    keyed = rows.withColumn("n", F.when(F.col("c._t") == "s", F.col("c.v").try_cast("int"))).join(strings, ["path", "n"], "left")
-    plain = F.when(F.col("c._t") == "b", F.when(F.col("c.v") == "1", "TRUE").otherwise("FALSE")).when(F.col("c._t") == "s", F.col("shared")).when(F.col("c._t") == "inlineStr", _rich(F.col("c.is"))).otherwise(F.col("c.v"))
-    formula = F.nullif(F.col("c.f"), F.lit(""))
-    value = F.when(formula.isNotNull() & (F.coalesce("c.v", F.lit("")) == ""), F.concat(F.lit(NO_CACHE), formula)).otherwise(plain)
-    cells = keyed.select(
-        "path", "member", F.col("c._r").alias("cell"), F.regexp_extract("c._r", "(\\d+)$", 1).try_cast("int").alias("row"), column_number(F.col("c._r")).alias("col"),
-        F.coalesce("c._t", F.lit("n")).alias("data_type"), value.alias("value"), formula.alias("formula"),
-    )
-    return cells.filter("value IS NOT NULL AND value <> ''").join(workbook_sheets(found), ["path", "member"]).drop("member", "position")
+    formulas, values = workbook_layers(found)
+    both = values.join(formulas, ["path", "member", "cell", "row", "col"], "full_outer")
+    value = F.coalesce("value", F.concat(F.lit(NO_CACHE), "formula"))
+    cells = both.select("path", "member", "cell", "row", "col", F.coalesce("data_type", F.lit("n")).alias("data_type"), value.alias("value"), "formula")
+    return cells.join(workbook_sheets(found), ["path", "member"]).drop("member", "position")
+
+
+def workbook_refusals(found: DataFrame) -> DataFrame:
+    """path, sheet, cells, reason of the sheets that are not read: over the limit of cells, or damaged."""
+    rows = rows_of(found, SHEETS, SheetPart).filter("kind IN ('too large', 'damaged')")
+    return rows.join(workbook_sheets(found), ["path", "member"]).select("path", "sheet", F.col("value").try_cast("long").alias("cells"), F.col("kind").alias("reason"))
+
+
+def _corners(ref: Column) -> list[Column]:
+    ends = F.split(ref, ":")
+    first, last = F.get(ends, F.lit(0)), F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0)))
+    return [x.alias(f"{side}_{name}") for side, end in (("min", first), ("max", last)) for name, x in (("row", F.regexp_extract(end, "(\\d+)$", 1).try_cast("int")), ("col", column_number(F.replace(end, F.lit("$"), F.lit("")))))]
 
 
 def workbook_merges(found: DataFrame) -> DataFrame:
     """path, sheet, min_row, min_col, max_row, max_col of the merged ranges."""
-    refs = _xml(found, "^xl/worksheets/", SHEET).select("path", "member", F.explode("x.mergeCells.mergeCell").alias("m")).select("path", "member", F.split("m._ref", ":").alias("e"))
-    row = lambda k: F.regexp_extract(F.get("e", F.lit(k)), "(\\d+)$", 1).try_cast("int")
-    col = lambda k: column_number(F.get("e", F.lit(k)))
-    ends = refs.filter(F.size("e") == 2).select("path", "member", row(0).alias("min_row"), col(0).alias("min_col"), row(1).alias("max_row"), col(1).alias("max_col"))
-    return ends.join(workbook_sheets(found), ["path", "member"]).drop("member", "position", "state")
+    refs = rows_of(found, SHEETS, SheetPart).filter("kind = 'merge' AND ref LIKE '%:%'").select("path", "member", *_corners(F.col("ref")))
+    return refs.join(workbook_sheets(found), ["path", "member"]).drop("member", "position", "state")
+
+
+def workbook_tables(found: DataFrame) -> DataFrame:
+    """path, sheet, name, min_row, min_col, max_row, max_col of the tables that sheets declare, over the sheets' relations."""
+    asked = rows_of(found, SHEETS, SheetPart).filter("kind = 'table'").select("path", "member", "rel")
+    related = _xml(found, "^xl/worksheets/_rels/[^/]+\\.xml\\.rels$", RELATIONS).select("path", F.regexp_replace("member", "_rels/|\\.rels$", "").alias("member"), F.inline("x.Relationship"))
+    target = F.when(F.startswith("_Target", F.lit("/")), F.substring("_Target", 2, 1 << 30)).otherwise(F.concat(F.lit("xl/"), F.regexp_replace("_Target", "^\\.\\./", "")))
+    related = related.select("path", "member", F.col("_Id").alias("rel"), target.alias("part"))
+    declared = rows_of(found, "^xl/tables/[^/]+\\.xml$", TablePart).filter("kind = 'declared'").select("path", F.col("member").alias("part"), "name", *_corners(F.col("ref")))
+    return asked.join(related, ["path", "member", "rel"]).join(declared, ["path", "part"]).join(workbook_sheets(found), ["path", "member"]).drop("member", "part", "rel", "position", "state")
 
 
 def _read(text: Column) -> Column:

@@ -310,6 +310,95 @@ class DeckPart(Part):
         pass
 
 
+class SheetPart(Part):
+    """Rows of kind cell, merge and table, of a sheet: a cell's type, value as written, own text, formula and shared formula.
+
+    A sheet of over MOST_CELLS cells gives one row of kind `too large` and nothing else. rel: a declared table's relation.
+    """
+
+    MOST_CELLS = 1_000_000
+    fields = "kind string, cell string, type string, value string, text string, formula string, shared int, ref string, rel string"
+
+    def __init__(self):
+        super().__init__()
+        self.cell, self.into, self.n = None, None, 0
+
+    def read(self, content: bytes) -> list[dict]:
+        rows = super().read(content)
+        return [{"kind": "too large", "value": str(self.n)}] if self.n > self.MOST_CELLS else rows
+
+    def opened(self, name: str, given: dict[str, str]) -> None:
+        if name == "c":
+            self.n += 1
+            if self.n > self.MOST_CELLS:
+                self.rows.clear()
+            self.cell = {"kind": "cell", "cell": given.get("r"), "type": given.get("t", "n")}
+        elif name == "mergeCell":
+            self.rows.append({"kind": "merge", "ref": given.get("ref")})
+        elif name == "tablePart":
+            self.rows.append({"kind": "table", "rel": given.get("*id")})
+        elif self.cell is not None and name in ("v", "f", "t"):
+            self.into = {"v": "value", "f": "formula", "t": "text"}[name]
+            self.cell.setdefault(self.into, "")
+            if name == "f" and given.get("t") == "shared":
+                self.cell |= {"shared": number(given.get("si")), "ref": given.get("ref")}
+
+    def closed(self, name: str) -> None:
+        if name == "c" and self.cell is not None:
+            if self.n <= self.MOST_CELLS:
+                self.rows.append(self.cell)
+            self.cell = None
+        elif name in ("v", "f", "t"):
+            self.into = None
+
+    def said(self, text: str) -> None:
+        if self.into and self.cell is not None:
+            self.cell[self.into] += text
+
+
+class StringsPart(Part):
+    """Rows of kind string: a workbook's shared strings by their number from 0, without their phonetic readings."""
+
+    fields = "kind string, nth int, text string"
+
+    def __init__(self):
+        super().__init__()
+        self.own, self.away, self.writing = None, 0, False
+
+    def opened(self, name: str, given: dict[str, str]) -> None:
+        if name == "si":
+            self.own = []
+        self.away += name == "rPh"
+        self.writing = name == "t" and not self.away
+
+    def closed(self, name: str) -> None:
+        if name == "si" and self.own is not None:
+            self.rows.append({"kind": "string", "nth": len(self.rows), "text": "".join(self.own)})
+            self.own = None
+        self.away -= name == "rPh"
+        self.writing = False
+
+    def said(self, text: str) -> None:
+        if self.writing and self.own is not None:
+            self.own.append(text)
+
+
+class TablePart(Part):
+    """A row of kind declared: a table's name and range."""
+
+    fields = "kind string, name string, ref string"
+
+    def opened(self, name: str, given: dict[str, str]) -> None:
+        if name == "table":
+            self.rows.append({"kind": "declared", "name": given.get("displayName") or given.get("name"), "ref": given.get("ref")})
+
+    def closed(self, name: str) -> None:
+        pass
+
+    def said(self, text: str) -> None:
+        pass
+
+
 def rows_of(found: DataFrame, member: str, reader: type[Part]) -> DataFrame:
     """path, member and the reader's rows of the members of this name (a pattern); found: path, member, content."""
     fields = StructType.fromDDL("path string, member string, " + reader.fields)

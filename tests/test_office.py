@@ -160,3 +160,36 @@ def test_slides_are_as_the_presentation_lists_them_and_groups_are_walked(spark):
 def test_slides_without_tables_or_notes_give_no_rows(spark):
     found = members(spark, zipped(**{"ppt/slides/slide1.xml": "<p:sld/>", "ppt/slides/_rels/slide1.xml.rels": "<Relationships/>", "ppt/notesSlides/notesSlide1.xml": "<p:notes/>"}), b"no archive")
     assert channels.slide_tables(found).count() == channels.slide_notes(found).count() == 0
+
+
+def test_shared_formulas_are_moved_to_their_cells_and_both_layers_meet(spark):
+    rows = """<row r="1"><c r="A1"><v>5</v></c><c r="B1"><f t="shared" ref="B1:C2" si="0">A1*$A$1+A$1&amp;"A1"+SUM(A1:A2)</f><v>10</v></c><c r="C1"><f t="shared" si="0"/><v>1</v></c></row>
+      <row r="2"><c r="B2"><f t="shared" si="0"/></c><c r="D2" t="str"><f>T(1)</f><v>_x0041_</v></c><c r="E2" t="e"><v>#N/A</v></c></row>"""
+    found = members(spark, workbook(Main=rows))
+    cells = {r.cell: (r.value, r.formula) for r in office.workbook_cells(found).collect()}
+    assert cells == {
+        "A1": ("5", None), "B1": ("10", 'A1*$A$1+A$1&"A1"+SUM(A1:A2)'), "C1": ("1", 'B1*$A$1+B$1&"A1"+SUM(B1:B2)'), "B2": ('[SIN CACHÉ] A2*$A$1+A$1&"A1"+SUM(A2:A3)', 'A2*$A$1+A$1&"A1"+SUM(A2:A3)'), "D2": ("A", "T(1)"), "E2": ("#N/A", None),
+    }
+    formulas, values = office.workbook_layers(found)
+    assert formulas.count() == 4 and values.count() == 5
+
+
+def test_sheets_over_the_limit_are_told(spark, monkeypatch):
+    class Small(ooxml.SheetPart):
+        MOST_CELLS = 2
+
+    assert Small().read(b'<s><c r="A1"/><mergeCell ref="A1:B1"/><c r="A2"/></s>') == [{"kind": "cell", "cell": "A1", "type": "n"}, {"kind": "merge", "ref": "A1:B1"}, {"kind": "cell", "cell": "A2", "type": "n"}]
+    assert Small().read(b'<s><c r="A1"/><c r="A2"/><c r="A3"/><mergeCell ref="A1:B1"/></s>') == [{"kind": "too large", "value": "3"}]
+    found = members(spark, workbook(Main="<row><c r='A1'></row>", Fine=""))
+    assert [tuple(r) for r in office.workbook_refusals(found).collect()] == [("f0", "Main", None, "damaged")]
+
+
+def test_declared_tables_and_merges(spark):
+    sheet = '<x:worksheet xmlns:x="u" xmlns:q="r"><x:sheetData/><x:mergeCells><x:mergeCell ref="B2:C3"/></x:mergeCells><x:tableParts><x:tablePart q:id="r1"/></x:tableParts></x:worksheet>'
+    book = zipped(**{
+        "xl/workbook.xml": f'<workbook {NS}><sheets><sheet name="S" sheetId="1" r:id="r0"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r0" Target="worksheets/s.xml"/></Relationships>', "xl/worksheets/s.xml": sheet,
+        "xl/worksheets/_rels/s.xml.rels": '<Relationships><Relationship Id="r1" Target="../tables/table1.xml"/></Relationships>', "xl/tables/table1.xml": '<table name="t" displayName="Tabla_1" ref="B5:AA9"/>',
+    })
+    found = members(spark, book)
+    assert [tuple(r) for r in office.workbook_tables(found).select("path", "sheet", "name", "min_row", "min_col", "max_row", "max_col").collect()] == [("f0", "S", "Tabla_1", 5, 2, 9, 27)]
+    assert [tuple(r) for r in office.workbook_merges(found).select("sheet", "min_row", "min_col", "max_row", "max_col").collect()] == [("S", 2, 2, 3, 3)]
