@@ -13,7 +13,7 @@ from quire.operators import sheets as S
 from quire.sources import files, office, pages
 from quire.streaming import resumable
 
-from . import channels, checks, exports, machines, oracles, packages, queues, samples, structure, upkeep, views_html  # noqa: F401  they register their queries in packages
+from . import books, channels, checks, exports, machines, oracles, packages, queues, samples, structure, upkeep, views_html  # noqa: F401  they register their queries in packages
 
 FLAGSHIP = "retrieval_topk"
 QUERY = "the of"

@@ -184,3 +184,47 @@ def listed_decks(orders: DataFrame) -> DataFrame:
     rels = F.concat(F.lit(HEAD + '<Relationships xmlns="urn:q">'), joined("related"), F.lit("</Relationships>"))
     names = F.concat(F.array(F.lit("ppt/presentation.xml"), F.lit("ppt/_rels/presentation.xml.rels")), F.transform("m", lambda x: x["name"]))
     return decks.select("path", zipped(names, F.concat(F.array(whole, rels), F.transform("m", lambda x: x["text"]))).alias("content"))
+
+
+def epubs(orders: DataFrame) -> DataFrame:
+    """path, content: an order a chapter, forty a book, whose spine lists them from the last order to the first; the package lies in a folder."""
+    k, nth = F.col("o_orderkey"), (F.col("o_orderkey") % 40).cast("string")
+    html = F.concat(F.lit("<html><head><title/></head><body><h2>c"), "o_custkey", F.lit("</h2><p>"), "o_orderpriority", F.lit(" &amp; "), k, F.lit("</p><ul><li>i"), "o_orderstatus", F.lit("</li></ul></body></html>"))
+    item = F.concat(F.lit('<item id="x'), nth, F.lit('" href="text/c%20'), nth, F.lit('.xhtml" media-type="application/xhtml+xml"/>'))
+    one = F.struct((-k).alias("o"), F.concat(F.lit("OPS/text/c "), nth, F.lit(".xhtml")).alias("name"), html.alias("text"), item.alias("item"), F.concat(F.lit('<itemref idref="x'), nth, F.lit('"/>')).alias("ref"))
+    found = orders.groupBy(F.concat(F.lit("/in/"), F.floor(k / 40).cast("string"), F.lit(".epub")).alias("path")).agg(F.array_sort(F.collect_list(one)).alias("m"))
+    joined = lambda field: F.array_join(F.transform("m", lambda x: x[field]), "")
+    package = F.concat(F.lit(HEAD + '<o:package xmlns:o="urn:o"><o:manifest>'), joined("item"), F.lit("</o:manifest><o:spine>"), joined("ref"), F.lit("</o:spine></o:package>"))
+    container = F.lit(HEAD + '<container><rootfiles><rootfile full-path="OPS/book.opf" media-type="x"/><rootfile full-path="other.opf"/></rootfiles></container>')
+    names = F.concat(F.array(F.lit("META-INF/container.xml"), F.lit("OPS/book.opf"), F.lit("other.opf")), F.transform("m", lambda x: x["name"]))
+    return found.select("path", zipped(names, F.concat(F.array(container, F.regexp_replace(package, "<(/?)(item|itemref)\\b", "<$1o:$2"), F.lit("<package/>")), F.transform("m", lambda x: x["text"]))).alias("content"))
+
+
+def csv_files(part: DataFrame) -> DataFrame:
+    """path, content: thirty parts a file, with one of four separators, quoted cells over two lines, some with a mark of their encoding."""
+    file, k = F.floor(F.col("p_partkey") / 30), F.col("p_partkey")
+    sign = F.get(F.array(*map(F.lit, (",", ";", "\t", "|"))), (F.col("file") % 4).cast("int"))
+    p = part.select(file.alias("file"), k, "p_name", "p_size").withColumn("sign", sign)
+    line = F.concat(F.col("p_partkey").cast("string"), "sign", F.lit('"a ""b""'), "sign", F.lit("\n"), "p_name", F.lit('"'), "sign", F.col("p_size").cast("string"), F.lit("\r\n"), F.when(F.col("p_size") % 9 == 0, "\r\n").otherwise(""))
+    files = _gathered(p.withColumn("line", line), "file", "p_partkey", text=F.col("line"))
+    mark = F.when(F.col("file") % 3 == 0, "﻿").otherwise("")
+    return files.select(F.concat(F.lit("/in/"), "file", F.lit(".csv")).alias("path"), F.encode(F.concat(mark, "text"), "UTF-8").alias("content"))
+
+
+def shared_books(part: DataFrame) -> DataFrame:
+    """path, content: forty parts a workbook: a number, and a formula that the first row shares with the others (every third without cache); a merge and a declared table."""
+    p = part.select(F.floor(F.col("p_partkey") / 40).alias("book"), (F.col("p_partkey") % 40).cast("int").alias("k"), F.col("p_size").cast("int").alias("size"))
+    first = F.row_number().over(Window.partitionBy("book").orderBy("k")) == 1
+    r = (F.col("k") + 1).cast("string")
+    shared = F.when(first, F.concat(F.lit('<f t="shared" ref="B1:B40" si="0">A'), r, F.lit("*2+$A$1+SUM(A"), r, F.lit(":C"), (F.col("k") + 2).cast("string"), F.lit(")</f>"))).otherwise(F.lit('<f t="shared" si="0"/>'))
+    cached = F.when(F.col("size") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<v>"), F.col("size") * 2, F.lit("</v>")))
+    row = F.concat(F.lit('<x:row r="'), r, F.lit('"><x:c r="A'), r, F.lit('"><x:v>'), F.col("size"), F.lit('</x:v></x:c><x:c r="B'), r, F.lit('">'), F.regexp_replace(F.concat(shared, cached), "<(/?)([fv])\\b", "<$1x:$2"), F.lit("</x:c></x:row>"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"]), "")
+    books = p.withColumn("row", row).groupBy("book").agg(joined.alias("rows"), F.count(F.lit(1)).alias("n"))
+    sheet = F.concat(F.lit(HEAD + '<x:worksheet xmlns:x="urn:s" xmlns:y="urn:r"><x:sheetData>'), "rows", F.lit('</x:sheetData><x:mergeCells><x:mergeCell ref="A1:C1"/></x:mergeCells><x:tableParts><x:tablePart y:id="rId5"/></x:tableParts></x:worksheet>'))
+    table = F.concat(F.lit(HEAD + '<table xmlns="urn:s" id="1" name="t" displayName="Tabla_'), "book", F.lit('" ref="A2:B'), F.col("n") + 2, F.lit('"/>'))
+    fixed = F.lit(HEAD + '<workbook xmlns="urn:s" xmlns:r="urn:r"><sheets><sheet name="Main" sheetId="1" r:id="rId1"/></sheets></workbook>')
+    rels = F.lit(HEAD + '<Relationships xmlns="urn:p"><Relationship Id="rId1" Type="t" Target="worksheets/sheet1.xml"/></Relationships>')
+    own = F.lit(HEAD + '<Relationships xmlns="urn:p"><Relationship Id="rId5" Type="t" Target="../tables/table1.xml"/></Relationships>')
+    parts = {"xl/workbook.xml": fixed, "xl/_rels/workbook.xml.rels": rels, "xl/worksheets/sheet1.xml": sheet, "xl/worksheets/_rels/sheet1.xml.rels": own, "xl/tables/table1.xml": table}
+    return books.select(F.concat(F.lit("/in/"), "book", F.lit(".xlsx")).alias("path"), _archive(parts).alias("content"))
