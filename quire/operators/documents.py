@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.sources.pages import word_windows
-
 #: What a block may be.
 KINDS = ("heading", "code", "quote", "table", "list", "paragraph", "figure_description")
 #: Line ends that start a new line of a block.
@@ -14,8 +12,6 @@ LINE_END = "(?<=\\n)|(?<=\\r)(?!\\n)|(?<=[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u20
 HEADING, FENCE = "^(#{1,6})[ \\t]+", "^ {0,3}(`{3,}|~{3,})"
 DOUBT, IMAGE, ACTIVE = "(?i)\\[(?:ilegible|verificar|pendiente)", "!\\[[^\\]]*\\]\\([^)]+\\)", "(?i)<script\\b|javascript:"
 WITNESS = "(?m)^## Testigo\\s*\\(pág\\.\\s*(\\d+)\\)"
-#: Words of a marker that find the texts which may hold it.
-WINDOW = 5
 STATE = "struct<fence:string,cur:string,out:array<string>>"
 
 
@@ -127,27 +123,30 @@ def render_units(expected: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def absent_markers(markers: DataFrame, texts: DataFrame, few: int) -> DataFrame:
-    """Rows of markers (marker) that no text of texts contains; a null marker is in none.
+    """Rows of markers (marker) that no text of texts contains; a null marker is in none, an empty one in each.
 
-    A marker's words but its first and last stand whole in each text that contains it. The first of them (WINDOW at
-    most) find candidate texts, and `contains` over the whole marker decides. Markers of one or two words are looked
-    for in every text. Up to few markers no text moves; beyond that candidates are told by a hash of the text.
+    A marker's words but its first and last stand whole in each text that contains it. The longest pair of neighbours
+    among them (or the one that there is) finds candidates, by a join on pairs of words that carries a hash of the text
+    and not the text; `contains` over the whole marker decides, on the candidates' texts alone. Markers of one or two
+    words are found by their first two characters in the same way. One pass finds candidates, a second asks them. What is joined to is told to be sent to all tasks
+    up to few rows.
     """
     words = F.split("marker", " ")
-    n = F.greatest(F.least(F.size(words) - 2, F.lit(WINDOW)), F.lit(0))
-    known = markers.filter(F.col("marker").isNotNull()).select("marker", n.alias("n"), F.array_join(F.slice(words, 2, n), " ").alias("window")).distinct()
-    lengths = sorted(r.n for r in known.select("n").distinct().collect())
-    short, long = known.filter("n = 0").select("marker"), known.filter("n > 0").select("marker", "window")
-    found = markers.select("marker").limit(0)
-    if lengths[:1] == [0]:
-        found = found.unionByName(texts.join(F.broadcast(short), F.contains("text", "marker")).select("marker"))
-    if lengths[-1:] > [0]:
-        windows = F.array_distinct(F.flatten(F.array(*[word_windows(F.col("text"), k) for k in lengths if k])))
-        keyed = texts.select("text", F.xxhash64("text").alias("key"))
-        parted = keyed.withColumn("windows", windows).select("text", "key", F.explode("windows").alias("window"))
-        if long.limit(few + 1).count() <= few:
-            near = parted.join(F.broadcast(long), "window")
-        else:
-            near = parted.select("key", "window").join(long, "window").select("key", "marker").distinct().join(keyed.distinct(), "key")
-        found = found.unionByName(near.filter(F.contains("text", "marker")).select("marker"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    pairs = F.when(F.size(inner) > 1, F.transform(F.sequence(F.lit(1), F.size(inner) - 1), lambda k: F.array_join(F.slice(inner, k, 2), " "))).otherwise(inner)
+    longest = F.array_max(F.transform(pairs, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    known = markers.filter(F.col("marker").isNotNull()).select("marker", longest.alias("gram"), F.least(F.size(inner), F.lit(2)).alias("kind")).distinct()
+    known = known.withColumn("gram", F.when(F.col("kind") == 0, F.substring("marker", 1, 2)).otherwise(F.col("gram")))
+    keyed = texts.filter(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("key"))
+    said, signs = F.split("text", " "), F.split("text", "")
+    beside = lambda values, by: F.zip_with(values, F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(by), b))
+    grams = {2: beside(said, " "), 1: said, 0: F.concat(beside(signs, ""), signs, F.array(F.lit("")))}
+    kinds = sorted(r.kind for r in known.select("kind").distinct().collect())
+    if not kinds:
+        return markers
+    own = known.select("marker", "gram")
+    asked = F.broadcast(own) if own.limit(few + 1).count() <= few else own
+    said_all = F.array_distinct(F.concat(*[grams[k] for k in kinds]))
+    met = keyed.select("key", F.explode(said_all).alias("gram")).join(asked, "gram").select("key", "marker").distinct()
+    found = keyed.join(met, "key").filter(F.contains("text", "marker")).select("marker")
     return markers.join(found.distinct(), "marker", "left_anti")

@@ -1,4 +1,4 @@
-"""Web pages to blocks, and word windows of texts."""
+"""Web pages to blocks."""
 
 from __future__ import annotations
 
@@ -31,9 +31,3 @@ def html_blocks(pages: DataFrame) -> DataFrame:
         "page_id", (F.col("pos") + 1).alias("block_no"), F.when(heading, "heading").when(F.col("b.tag") == "li", "list").otherwise("paragraph").alias("kind"),
         F.when(heading, F.substring("b.tag", 2, 1).cast("int")).alias("level"), F.col("b.text").alias("text"),
     )
-
-
-def word_windows(text: Column, n: int) -> Column:
-    """The runs of n words of text, split at spaces, joined by single spaces."""
-    words = F.split(F.coalesce(text, F.lit("")), " ")
-    return F.transform(F.array(words), lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda k: F.array_join(F.slice(w, k, n), " "))))[0]
