@@ -73,6 +73,22 @@ def search_units(blocks: DataFrame, query: str) -> DataFrame:
     return whole.filter(F.contains(F.lower("text"), F.lit(query.lower()))).groupBy("doc_id").agg(F.array_sort(F.collect_set("unit")).alias("units"))
 
 
+def library_report(catalog: DataFrame, intact: DataFrame, kinds: DataFrame, blocks: DataFrame | None = None, query: str | None = None) -> DataFrame:
+    """The library by title and doc_id: doc_id, title, status, integrity_ok, kind and, with a query, the units that hold it.
+
+    catalog: doc_id, title, status; intact: doc_id, integrity_ok; kinds: doc_id, input_kind. A package of which nothing
+    is known is not intact, and only an intact one tells its kind. With a query (and blocks: doc_id, unit, block_no,
+    text) intact packages with a hit remain; it is neither cut into words nor ranked, and nothing is left out.
+    """
+    rows = catalog.join(intact.groupBy("doc_id").agg(F.bool_and("integrity_ok").alias("integrity_ok")), "doc_id", "left").join(kinds.groupBy("doc_id").agg(F.min("input_kind").alias("input_kind")), "doc_id", "left")
+    fine = F.coalesce("integrity_ok", F.lit(False))
+    told = rows.select("doc_id", "title", "status", fine.alias("integrity_ok"), F.when(fine, F.coalesce("input_kind", F.lit(""))).otherwise("").alias("kind"))
+    if query is not None:
+        whole = blocks.join(told.filter("integrity_ok").select("doc_id"), "doc_id", "left_semi")
+        told = told.filter("integrity_ok").join(search_units(whole, query), "doc_id")
+    return told.orderBy("title", "doc_id")
+
+
 def rerank(hits: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
     """hits (local_rank, ...) by their scores (local_rank, score) falling, those without one last, then as they stood."""
     return hits.join(scores, "local_rank", "left").orderBy(F.desc_nulls_last("score"), "local_rank").limit(limit)

@@ -91,12 +91,12 @@ def group_titles(split: DataFrame) -> DataFrame:
 def merged_labels(tables: DataFrame, merges: DataFrame) -> DataFrame:
     """Merged ranges just above a table's header (at most three rows) with the table columns they cover.
 
-    An interval join within a sheet: the sheet is the equality, the rest are ranges.
+    A range is met by the row it ends in: the join is by sheet and row, however many there are on a sheet.
     """
-    m = merges.select(F.col("sheet").alias("_s"), "label", F.col("min_row").alias("m_row"), F.col("max_row").alias("m_last"), F.col("min_col").alias("m_min"), F.col("max_col").alias("m_max"))
-    near = F.col("m_last").between(F.col("min_row") - 3, F.col("min_row") - 1)
+    m = merges.select(F.col("sheet").alias("_s"), "label", F.col("max_row").alias("_last"), F.col("min_col").alias("m_min"), F.col("max_col").alias("m_max"))
+    near = tables.withColumn("_above", F.explode(F.sequence(F.col("min_row") - 3, F.col("min_row") - 1)))
     over = (F.col("m_max") >= F.col("min_col")) & (F.col("m_min") <= F.col("max_col"))
-    found = tables.join(m, (F.col("sheet") == F.col("_s")) & near & over)
+    found = near.join(m, (F.col("sheet") == F.col("_s")) & (F.col("_above") == F.col("_last")) & over)
     return found.select("sheet", "table_id", "label", F.greatest("min_col", "m_min").alias("from_col"), F.least("max_col", "m_max").alias("to_col"))
 
 

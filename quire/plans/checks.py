@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import contracts as C
 from quire.operators import library as L
+from quire.operators import retrieval as R
+from quire.session import shared_dir
 from quire.sources import answers, files
-from quire.streaming.resumable import folder
 
 from .packages import _t, query
 
@@ -100,7 +101,7 @@ def publish_once(spark, sf_dir):
     """Two runs into one folder: what the first has published intact, the second does not publish again."""
     own = _t(spark, sf_dir, "documents").select("doc_id", T.sha256(F.col("text")).alias("sha"), "source")
     ids = answers.package_ids(own, 7, ["sha", "source"])
-    place = f"{folder(spark)}/quire/packages-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/quire/packages-{uuid.uuid4().hex}"
     first = answers.publish(ids.filter("doc_id % 2 = 0"), None, place)
     catalog = first.select("package_id", F.lit(True).alias("integrity_ok"))
     runs = [r.select(F.lit(k).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("packages")) for k, r in ((1, first), (2, answers.publish(ids, catalog, place)))]
@@ -194,3 +195,28 @@ def queue_upsert_intact(spark, sf_dir):
     old = d.filter("doc_id % 5 <> 0").select("path", F.when(i % 7 == 0, "old").otherwise(F.col("sha256")).alias("sha256"), F.lit("terminado").alias("status"), F.when(i % 4 > 0, F.col("made")).alias("output"))
     seen = d.filter("doc_id % 6 <> 0").select("path", "sha256", F.when(i % 3 == 0, "pdf").otherwise("md").alias("format"))
     return L.upsert_queue(old, seen, d.filter("doc_id % 9 > 0").select(F.col("made").alias("output")))
+
+
+_CONVERSATIONS = "c AS (SELECT DISTINCT conv_id FROM conversations), r AS (SELECT conv_id AS doc_id, 't' || conv_id % 7 AS title, 'ok' AS status, conv_id % 4 > 0 AND conv_id % 9 > 0 AS integrity_ok, CASE WHEN conv_id % 4 > 0 AND conv_id % 9 > 0 AND conv_id % 5 > 0 THEN 'k' || conv_id % 3 ELSE '' END AS kind FROM c)"
+
+
+def _report(spark, sf_dir, query=None):
+    turns, k = _t(spark, sf_dir, "conversations"), F.col("doc_id")
+    docs = turns.select(F.col("conv_id").alias("doc_id")).distinct()
+    blocks = turns.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("unit"), F.lit(1).alias("block_no"), "text")
+    intact = docs.filter(k % 9 > 0).select("doc_id", (k % 4 > 0).alias("integrity_ok"))
+    kinds = docs.filter(k % 5 > 0).select("doc_id", F.concat(F.lit("k"), k % 3).alias("input_kind"))
+    return R.library_report(docs.select("doc_id", F.concat(F.lit("t"), k % 7).alias("title"), F.lit("ok").alias("status")), intact, kinds, blocks, query)
+
+
+@query(f"WITH {_CONVERSATIONS} SELECT * FROM r")
+def library_report(spark, sf_dir):
+    return _report(spark, sf_dir)
+
+
+@query(f"""
+WITH {_CONVERSATIONS}, u AS (SELECT conv_id AS doc_id, string_agg((turn + 1)::varchar, ',' ORDER BY turn) AS units FROM conversations WHERE contains(lower(text), 'the on') GROUP BY conv_id)
+SELECT r.*, units FROM r JOIN u ON u.doc_id = r.doc_id WHERE integrity_ok
+""")
+def library_search(spark, sf_dir):
+    return _report(spark, sf_dir, "The On").withColumn("units", F.array_join(F.col("units").cast("array<string>"), ","))

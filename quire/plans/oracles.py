@@ -234,8 +234,8 @@ n AS (SELECT *, CAST(CASE WHEN helper THEN -1 ELSE (row_number() OVER (PARTITION
 SELECT table_id, chunk, count(*) AS n, CASE WHEN arg_min(header, col) = arg_max(header, col) THEN arg_min(header, col) ELSE arg_min(header, col) || ' → ' || arg_max(header, col) END AS title FROM n GROUP BY ALL
 """,
     "merge_overlap_join": """
-WITH t AS (SELECT o_custkey % 200 AS sheet, o_orderkey AS table_id, o_orderkey % 30 + 4 AS min_row, o_orderkey % 11 + 1 AS min_col, o_orderkey % 11 + 6 AS max_col FROM orders),
-m AS (SELECT s_suppkey % 200 AS sheet, s_name AS label, s_suppkey % 30 + 2 AS m_last, s_suppkey % 9 + 1 AS m_min, s_suppkey % 9 + 3 AS m_max FROM supplier)
+WITH t AS (SELECT o_orderkey // 400 AS sheet, o_orderkey AS table_id, o_orderkey % 30 + 4 AS min_row, o_orderkey % 11 + 1 AS min_col, o_orderkey % 11 + 6 AS max_col FROM orders),
+m AS (SELECT s_suppkey // 3 AS sheet, s_name AS label, s_suppkey % 30 + 2 AS m_last, s_suppkey % 9 + 1 AS m_min, s_suppkey % 9 + 3 AS m_max FROM supplier)
 SELECT t.sheet, table_id, label, greatest(min_col, m_min) AS from_col, least(max_col, m_max) AS to_col
 FROM t JOIN m ON t.sheet = m.sheet AND m_last BETWEEN min_row - 3 AND min_row - 1 AND m_max >= min_col AND m_min <= max_col
 """,
@@ -259,7 +259,7 @@ c AS (SELECT layer, bulge, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w
 SELECT layer, round(coalesce(sum(CASE WHEN bulge = 0 THEN chord ELSE chord * 4 * atan(bulge) / (2 * sin(2 * atan(bulge))) END), 0), 4) AS length, count(*) AS vertices FROM c GROUP BY layer
 """,
     "diagram_edges": """
-WITH c AS (SELECT o_orderkey AS id, o_custkey AS src, o_custkey * 3 % 2000 AS dst, list_extract(['triangle', 'none', NULL, 'arrow', 'diamond'], o_orderkey % 5 + 1) AS head, list_extract(['triangle', 'none', NULL, 'arrow', 'diamond'], o_orderkey % 3 + 1) AS tail FROM orders),
+WITH c AS (SELECT o_orderkey AS id, o_custkey AS src, o_custkey * 3 AS dst, list_extract(['triangle', 'none', NULL, 'arrow', 'diamond'], o_orderkey % 5 + 1) AS head, list_extract(['triangle', 'none', NULL, 'arrow', 'diamond'], o_orderkey % 3 + 1) AS tail FROM orders),
 s AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 9 <> 0),
 e AS (SELECT c.id, head, tail, coalesce(a.name, 'figura ' || src) AS x, coalesce(b.name, 'figura ' || dst) AS y FROM c LEFT JOIN s a ON a.id = src LEFT JOIN s b ON b.id = dst)
 SELECT id AS connector_id,

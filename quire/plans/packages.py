@@ -67,7 +67,7 @@ def prepared_lookup(spark, sf_dir):
 def _batches(spark, sf_dir):
     k = F.col("o_custkey")
     state = F.when(F.col("o_orderstatus") == "F", "finalizado").otherwise("pausado")
-    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch"), k.alias("source"), F.when(F.col("o_orderkey") % 3 == 0, k * 3 % 2000).alias("output"), state.alias("state"))
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch"), k.alias("source"), F.when(F.col("o_orderkey") % 3 == 0, k * 3).alias("output"), state.alias("state"))
 
 
 @query("SELECT o_custkey AS source, max(o_orderkey) AS batch FROM orders WHERE o_orderstatus <> 'F' AND o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1")
@@ -77,7 +77,7 @@ def pending_batches(spark, sf_dir):
 
 @query("""
 WITH intact AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 9 <> 0)
-SELECT DISTINCT o_orderkey AS batch FROM orders WHERE o_custkey NOT IN (SELECT k FROM intact) OR (o_orderkey % 3 = 0 AND o_custkey * 3 % 2000 NOT IN (SELECT k FROM intact))
+SELECT DISTINCT o_orderkey AS batch FROM orders WHERE o_custkey NOT IN (SELECT k FROM intact) OR (o_orderkey % 3 = 0 AND o_custkey * 3 NOT IN (SELECT k FROM intact))
 """)
 def orphan_batches(spark, sf_dir):
     return P.orphan_batches(_batches(spark, sf_dir), _t(spark, sf_dir, "customer").filter("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("package")))
@@ -303,7 +303,7 @@ def vision_pages(spark, sf_dir):
 
 @query("""
 WITH cells AS (SELECT DISTINCT l_orderkey // 2000 AS sheet, l_orderkey % 2000 + 1 AS "row", l_linenumber AS col FROM lineitem WHERE l_quantity > 20),
-t AS (SELECT s_suppkey AS table_id, s_suppkey % 8 AS sheet, s_suppkey * 19 % 1990 + 2 AS header_row, s_suppkey % 4 + 1 AS min_col, s_suppkey % 4 + 5 AS max_col FROM supplier),
+t AS (SELECT s_suppkey AS table_id, s_suppkey // 14 AS sheet, s_suppkey * 19 % 1990 + 2 AS header_row, s_suppkey % 4 + 1 AS min_col, s_suppkey % 4 + 5 AS max_col FROM supplier),
 f AS (SELECT table_id, min_col, max_col, count(c.col) AS filled FROM t LEFT JOIN cells c ON t.sheet = c.sheet AND c."row" = header_row - 1 AND col BETWEEN min_col AND max_col GROUP BY ALL)
 SELECT table_id, filled, filled / (max_col - min_col + 1) >= 0.35 AS visual FROM f
 """)
@@ -311,7 +311,7 @@ def visual_headers(spark, sf_dir):
     key = F.col("l_orderkey")
     cells = _t(spark, sf_dir, "lineitem").select(F.floor(key / 2000).alias("sheet"), (key % 2000 + 1).alias("row"), F.col("l_linenumber").alias("col"), F.when(F.col("l_quantity") > 20, F.col("l_returnflag")).otherwise("").alias("value"))
     k = F.col("s_suppkey")
-    tables = _t(spark, sf_dir, "supplier").select(k.alias("table_id"), (k % 8).alias("sheet"), (k * 19 % 1990 + 2).alias("header_row"), (k % 4 + 1).alias("min_col"), (k % 4 + 5).alias("max_col"))
+    tables = _t(spark, sf_dir, "supplier").select(k.alias("table_id"), F.floor(k / 14).alias("sheet"), (k * 19 % 1990 + 2).alias("header_row"), (k % 4 + 1).alias("min_col"), (k % 4 + 5).alias("max_col"))
     return V.visual_headers(tables, cells)
 
 
@@ -365,10 +365,10 @@ def render_documents(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey AS shape_id, c_name AS text FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 4 % 2000 FROM orders UNION SELECT o_custkey * 6 % 2000 FROM orders)
+SELECT c_custkey AS shape_id, c_name AS text FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 4 FROM orders UNION SELECT o_custkey * 6 FROM orders)
 """)
 def loose_shapes(spark, sf_dir):
-    connectors = _t(spark, sf_dir, "orders").select((F.col("o_custkey") * 4 % 2000).alias("src"), (F.col("o_custkey") * 6 % 2000).alias("dst"))
+    connectors = _t(spark, sf_dir, "orders").select((F.col("o_custkey") * 4).alias("src"), (F.col("o_custkey") * 6).alias("dst"))
     return S.loose_shapes(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("shape_id"), F.col("c_name").alias("text")), connectors)
 
 

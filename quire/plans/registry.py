@@ -256,9 +256,9 @@ def wide_table_titles(spark, sf_dir):
 
 def merge_overlap_join(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
-    tables = o.select((F.col("o_custkey") % 200).alias("sheet"), F.col("o_orderkey").alias("table_id"), (F.col("o_orderkey") % 30 + 4).alias("min_row"), (F.col("o_orderkey") % 11 + 1).alias("min_col"), (F.col("o_orderkey") % 11 + 6).alias("max_col"))
+    tables = o.select(F.floor(F.col("o_orderkey") / 400).alias("sheet"), F.col("o_orderkey").alias("table_id"), (F.col("o_orderkey") % 30 + 4).alias("min_row"), (F.col("o_orderkey") % 11 + 1).alias("min_col"), (F.col("o_orderkey") % 11 + 6).alias("max_col"))
     s = _t(spark, sf_dir, "supplier")
-    merges = s.select((F.col("s_suppkey") % 200).alias("sheet"), F.col("s_name").alias("label"), (F.col("s_suppkey") % 30 + 2).alias("min_row"), (F.col("s_suppkey") % 30 + 2).alias("max_row"), (F.col("s_suppkey") % 9 + 1).alias("min_col"), (F.col("s_suppkey") % 9 + 3).alias("max_col"))
+    merges = s.select(F.floor(F.col("s_suppkey") / 3).alias("sheet"), F.col("s_name").alias("label"), (F.col("s_suppkey") % 30 + 2).alias("min_row"), (F.col("s_suppkey") % 30 + 2).alias("max_row"), (F.col("s_suppkey") % 9 + 1).alias("min_col"), (F.col("s_suppkey") % 9 + 3).alias("max_col"))
     return S.merged_labels(tables, merges)
 
 
@@ -289,7 +289,7 @@ def cad_layer_length(spark, sf_dir):
 def diagram_edges(spark, sf_dir):
     ends = F.array(F.lit("triangle"), F.lit("none"), F.lit(None), F.lit("arrow"), F.lit("diamond"))
     o = _t(spark, sf_dir, "orders")
-    connectors = o.select(F.col("o_orderkey").alias("connector_id"), F.col("o_custkey").alias("src"), (F.col("o_custkey") * 3 % 2000).alias("dst"), F.get(ends, (F.col("o_orderkey") % 5).cast("int")).alias("head"), F.get(ends, (F.col("o_orderkey") % 3).cast("int")).alias("tail"))
+    connectors = o.select(F.col("o_orderkey").alias("connector_id"), F.col("o_custkey").alias("src"), (F.col("o_custkey") * 3).alias("dst"), F.get(ends, (F.col("o_orderkey") % 5).cast("int")).alias("head"), F.get(ends, (F.col("o_orderkey") % 3).cast("int")).alias("tail"))
     shapes = _t(spark, sf_dir, "customer").filter("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("shape_id"), F.concat("c_name", F.lit("\n"), "c_mktsegment").alias("text"))
     return S.diagram_edges(connectors, shapes)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -10,16 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-
-def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local master may use one of our own where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quire.scratch.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        found = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("quire.scratch.dir", found)
-    return found.rstrip("/")
+from quire.session import shared_dir
 
 
 def ingest(spark: SparkSession, source: str, schema, state: str, keys: list[str], max_files: int = 4) -> DataFrame:
@@ -50,7 +40,7 @@ def ingest(spark: SparkSession, source: str, schema, state: str, keys: list[str]
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in several files, some of them twice, taken in two runs; counts by type."""
-    base = f"{folder(spark)}/quire/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/quire/stream-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.col("value"))
     half = F.col("event_id") % 2
     events.filter(half == 0).repartition(3).write.parquet(f"{base}/in")
