@@ -15,6 +15,9 @@ READY, WAITING = ("listo", "requiere_paginas"), ("pendiente", "en_nube")
 #: Files a run may take, its default; candidates, and characters, of one judgement.
 MOST_FILES, USUAL_FILES = 200, 20
 MOST_CANDIDATES, QUERY_CHARS, EXCERPT_CHARS, BLOCK_CHARS = 10, 2000, 5000, 100
+#: Bytes of a whole request; what a report says of the limits it tells.
+MOST_REQUEST = 60_000
+NOTICE = "> Este control limita invocaciones del programa. Un CLI puede realizar llamadas internas. Los tokens reportados se conocen después de la respuesta y pueden superar el umbral en la última página."
 
 
 def last_name(path: Column) -> Column:
@@ -114,7 +117,8 @@ def judgement_payloads(hits: DataFrame) -> DataFrame:
 
     The body is JSON of the query and its candidates by rank: identities and excerpts, no paths. A request with
     more candidates than allowed, a blank or overlong query or excerpt, a wrong identity or a repeated one is
-    refused whole: its fault is told and it has no body. Refused requests never gather their hits.
+    refused whole: its fault is told and it has no body. Refused requests never gather their hits. A body of over
+    MOST_REQUEST bytes is refused as well, not cut.
     """
     blank = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", "")) == ""
     wrong = ~F.coalesce(F.rlike("document_id", F.lit(f"^{PACKAGE}\\z")) & (F.col("unit") >= 1) & (F.length("block_id").between(1, BLOCK_CHARS)), F.lit(False))
@@ -127,13 +131,16 @@ def judgement_payloads(hits: DataFrame) -> DataFrame:
     sent = hits.join(checked.filter("fault IS NULL").select("query_id"), "query_id", "left_semi")
     candidate = F.struct("rank", F.struct("document_id", "unit", "block_id", F.col("excerpt").alias("text"), F.coalesce("excerpt_truncated", F.lit(False)).alias("truncated")).alias("c"))
     bodies = sent.groupBy("query_id").agg(F.min("query").alias("query"), F.transform(F.array_sort(F.collect_list(candidate)), lambda x: x["c"]).alias("candidates"))
-    return checked.join(bodies.select("query_id", F.to_json(F.struct("query", "candidates")).alias("body")), "query_id", "left")
+    told = checked.join(bodies.select("query_id", F.to_json(F.struct("query", "candidates")).alias("body")), "query_id", "left")
+    large = F.octet_length("body") > MOST_REQUEST
+    return told.select("query_id", "candidates", F.when(large, "size").otherwise(F.col("fault")).alias("fault"), F.when(~large, F.col("body")).alias("body"))
 
 
 def batch_reports(batches: DataFrame, items: DataFrame) -> DataFrame:
-    """batch, markdown: a batch's title, state and budget, then a line for each page with its output, tokens or error.
+    """batch, markdown: a batch's title, state, policy and budget, then a line for each page with its output, tokens or error.
 
-    Batches (batch, title, state, calls, call_budget, tokens, token_budget, output), items (batch, position, unit,
+    Batches (batch, title, state, provider, model, key_slot, cli_profile, calls, call_budget, tokens, token_budget,
+    unknown: calls of unknown consumption, output), items (batch, position, unit,
     state, output, tokens, signature, error). A plan holds at most 200 pages, so a batch's lines fit one row.
     """
     link = lambda c: F.concat(F.lit("[MD](<../documentos/"), package_name(c), F.lit("/documento.md>)"))
@@ -142,6 +149,11 @@ def batch_reports(batches: DataFrame, items: DataFrame) -> DataFrame:
         F.concat(F.lit("error `"), F.coalesce("signature", F.lit("sin-firma")), F.lit("`: "), "error"),
     )
     lines = items.select("batch", F.struct("position", line.alias("line")).alias("l")).groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("lines"))
-    head = F.concat(F.lit("# Lote IA — "), "title", F.lit("\n\nID: `"), F.col("batch").cast("string"), F.lit("` · estado: **"), "state", F.lit("**\n\nInvocaciones: "), "calls", F.lit("/"), "call_budget", F.lit(" · tokens: "), "tokens", F.lit("/"), "token_budget", F.lit("\n\n"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    head = F.concat(
+        F.lit("# Lote IA — "), text("title"), F.lit("\n\nID: `"), text("batch"), F.lit("` · estado: **"), text("state"), F.lit("**\n\nProveedor/modelo: `"), text("provider"), F.lit("` / `"), text("model"), F.lit("` · perfil API: "), text("key_slot"),
+        F.lit(" · perfil CLI: `"), text("cli_profile"), F.lit("`\n\nPresupuesto: "), text("call_budget"), F.lit(" invocaciones · "), text("token_budget"), F.lit(" tokens reportados. Acumulado: "), text("calls"), F.lit(" · "), text("tokens"),
+        F.lit("; desconocidas: "), text("unknown"), F.lit(f".\n\n{NOTICE}\n\n"),
+    )
     united = F.concat(F.lit("\n\n## Resultado unido\n\n"), link(F.col("output")))
     return batches.join(lines, "batch", "left").select("batch", F.concat(head, F.coalesce("lines", F.lit("")), F.coalesce(united, F.lit("")), F.lit("\n")).alias("markdown"))

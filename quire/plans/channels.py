@@ -99,3 +99,12 @@ def grouped_edges(spark, sf_dir):
     at = lambda d, *keys: d.withColumns({k: F.concat_ws("#", "path", "slide", k) for k in keys})
     edges = S.diagram_edges(at(office.slide_connectors(found), "connector_id", "src", "dst"), at(office.slide_shapes(found), "shape_id"))
     return edges.select(F.split_part("connector_id", F.lit("#"), F.lit(1)).alias("path"), F.split_part("connector_id", F.lit("#"), F.lit(2)).cast("int").alias("slide"), "edge")
+
+
+@query("""
+SELECT '/in/' || p_partkey AS path, NULL AS member, CASE WHEN p_partkey % 6 = 1 THEN 'repeated names' ELSE 'damaged' END AS fault, NULL AS bytes FROM part WHERE p_partkey % 6 > 0
+UNION ALL SELECT '/in/' || p_partkey, 'a.xml', NULL, strlen(p_name) + 7 FROM part WHERE p_partkey % 6 = 0 UNION ALL SELECT '/in/' || p_partkey, 'b.xml', NULL, 4 FROM part WHERE p_partkey % 6 = 0
+""")
+def archive_guard(spark, sf_dir):
+    """What is opened and what is refused; a refused archive is one row."""
+    return office.members(samples.odd_archives(_t(spark, sf_dir, "part"))).select("path", "member", "fault", F.octet_length("content").alias("bytes"))

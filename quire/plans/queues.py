@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import library as L
 from quire.operators import queues as Q
+from quire.session import shared_dir
 from quire.sources import listings
-from quire.streaming.resumable import folder
 
 from .packages import _ITEMS, _items, _t, query
 
@@ -127,18 +127,18 @@ def warnings_shown(spark, sf_dir):
 @query("""
 WITH h AS (
   SELECT l_orderkey AS query_id, CASE WHEN l_orderkey % 17 = 0 THEN ' ' ELSE 'size ' || l_orderkey END AS query, CASE WHEN l_partkey % 37 = 0 THEN 'x' ELSE sha256(CAST(l_partkey AS VARCHAR)) END AS d, l_linenumber AS unit,
-         'b' || l_suppkey AS block, CASE WHEN l_suppkey % 41 = 0 THEN ' ' ELSE 'text "' || l_partkey || '"' END AS excerpt, l_linenumber % 2 = 0 AS cut FROM lineitem),
+         'b' || l_suppkey AS block, CASE WHEN l_suppkey % 41 = 0 THEN ' ' WHEN l_orderkey % 5 = 0 THEN repeat('漢', 4000) || l_partkey ELSE 'text "' || l_partkey || '"' END AS excerpt, l_linenumber % 2 = 0 AS cut FROM lineitem),
 g AS (SELECT query_id, count(*) AS n, bool_or(query = ' ') AS q, bool_or(d = 'x') AS w, bool_or(excerpt = ' ') AS x, count(DISTINCT (d, unit, block)) AS ids,
              '{"query":"' || min(query) || '","candidates":[' || string_agg('{"document_id":"' || d || '","unit":' || unit || ',"block_id":"' || block || '","text":"' || replace(excerpt, '"', '\\"') || '","truncated":' || cut || '}', ',' ORDER BY unit, d, block, excerpt) || ']}' AS body
       FROM h GROUP BY query_id),
-f AS (SELECT *, CASE WHEN q THEN 'query' WHEN n > 10 THEN 'candidates' WHEN w THEN 'identity' WHEN ids < n THEN 'repeated' WHEN x THEN 'excerpt' END AS fault FROM g)
+f AS (SELECT *, CASE WHEN q THEN 'query' WHEN n > 10 THEN 'candidates' WHEN w THEN 'identity' WHEN ids < n THEN 'repeated' WHEN x THEN 'excerpt' WHEN strlen(body) > 60000 THEN 'size' END AS fault FROM g)
 SELECT query_id, n AS candidates, fault, CASE WHEN fault IS NULL THEN body END AS body FROM f
 """)
 def judgement_payloads(spark, sf_dir):
     o, p, s, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     hits = _t(spark, sf_dir, "lineitem").select(
         o.alias("query_id"), F.when(o % 17 == 0, " ").otherwise(F.concat(F.lit("size "), o)).alias("query"), F.when(p % 37 == 0, "x").otherwise(T.sha256(p)).alias("document_id"), n.alias("unit"), F.concat(F.lit("b"), s).alias("block_id"),
-        F.when(s % 41 == 0, " ").otherwise(F.concat(F.lit('text "'), p, F.lit('"'))).alias("excerpt"), (n % 2 == 0).alias("excerpt_truncated"), n.alias("rank"), F.lit("/home/me").alias("path"),
+        F.when(s % 41 == 0, " ").when(o % 5 == 0, F.concat(F.repeat(F.lit("漢"), F.lit(4000)), p)).otherwise(F.concat(F.lit('text "'), p, F.lit('"'))).alias("excerpt"), (n % 2 == 0).alias("excerpt_truncated"), n.alias("rank"), F.lit("/home/me").alias("path"),
     )
     return Q.judgement_payloads(hits)
 
@@ -147,14 +147,16 @@ def judgement_payloads(spark, sf_dir):
 WITH {_ITEMS},
 l AS (SELECT batch, string_agg('- Página ' || unit || ': **' || CASE WHEN package % 2 = 0 THEN 'terminado' ELSE 'error' END || '**' || CASE WHEN package % 4 = 0 THEN ' · [MD](<../documentos/' || sha256(CAST(package AS VARCHAR)) || '/documento.md>)' ELSE '' END
         || CASE WHEN package % 3 = 0 THEN ' · ' || package || ' tokens' ELSE '' END || CASE WHEN package % 5 = 0 THEN ' · error `' || CASE WHEN package % 7 = 0 THEN 'sin-firma' ELSE 's' || package END || '`: lost' ELSE '' END, chr(10) ORDER BY position) AS lines FROM items GROUP BY batch)
-SELECT o_orderkey AS batch, '# Lote IA — T' || o_custkey || chr(10) || chr(10) || 'ID: `' || o_orderkey || '` · estado: **' || o_orderstatus || '**' || chr(10) || chr(10) || 'Invocaciones: 1/20 · tokens: ' || o_custkey || '/5000' || chr(10) || chr(10) || coalesce(lines, '')
+SELECT o_orderkey AS batch, '# Lote IA — T' || o_custkey || chr(10) || chr(10) || 'ID: `' || o_orderkey || '` · estado: **' || o_orderstatus || '**' || chr(10) || chr(10) || 'Proveedor/modelo: `local` / `m' || o_custkey % 3 || '` · perfil API: ' || CASE WHEN o_custkey % 4 = 0 THEN '-' ELSE 'k' || o_custkey % 4 END || ' · perfil CLI: `base`' || chr(10) || chr(10)
+       || 'Presupuesto: 20 invocaciones · 5000 tokens reportados. Acumulado: 1 · ' || o_custkey || '; desconocidas: ' || o_custkey % 2 || '.' || chr(10) || chr(10) || '{Q.NOTICE}' || chr(10) || chr(10) || coalesce(lines, '')
        || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || chr(10) || '## Resultado unido' || chr(10) || chr(10) || '[MD](<../documentos/' || sha256(CAST(o_orderkey AS VARCHAR)) || '/documento.md>)' ELSE '' END || chr(10) AS markdown
 FROM orders LEFT JOIN l ON o_orderkey = batch
 """)
 def ai_batch_reports(spark, sf_dir):
     p, k = F.col("package"), F.col("o_orderkey")
     batches = _t(spark, sf_dir, "orders").select(
-        k.alias("batch"), F.concat(F.lit("T"), "o_custkey").alias("title"), F.col("o_orderstatus").alias("state"), F.lit(1).alias("calls"), F.lit(20).alias("call_budget"), F.col("o_custkey").alias("tokens"), F.lit(5000).alias("token_budget"),
+        k.alias("batch"), F.concat(F.lit("T"), "o_custkey").alias("title"), F.col("o_orderstatus").alias("state"), F.lit("local").alias("provider"), F.concat(F.lit("m"), F.col("o_custkey") % 3).alias("model"),
+        F.when(F.col("o_custkey") % 4 > 0, F.concat(F.lit("k"), F.col("o_custkey") % 4)).alias("key_slot"), F.lit("base").alias("cli_profile"), (F.col("o_custkey") % 2).alias("unknown"), F.lit(1).alias("calls"), F.lit(20).alias("call_budget"), F.col("o_custkey").alias("tokens"), F.lit(5000).alias("token_budget"),
         F.when(k % 3 == 0, F.concat(F.lit("/mem/"), T.sha256(k))).alias("output"),
     )
     items = _items(spark, sf_dir).select(
@@ -168,7 +170,7 @@ def ai_batch_reports(spark, sf_dir):
 def formula_listing(spark, sf_dir):
     """A listing of formulas written and read again: separators, quotes, blanks and line ends stay."""
     own = _t(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(';\n"x" ')).alias("formula"), F.when(F.col("p_size") % 3 > 0, F.concat(F.lit(" "), "p_size")).alias("value"))
-    place = f"{folder(spark)}/quire/listing-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/quire/listing-{uuid.uuid4().hex}"
     listings.write_listing(own, place)
     return listings.read_listing(spark, place, "p_partkey long, formula string, value string")
 

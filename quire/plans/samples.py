@@ -228,3 +228,12 @@ def shared_books(part: DataFrame) -> DataFrame:
     own = F.lit(HEAD + '<Relationships xmlns="urn:p"><Relationship Id="rId5" Type="t" Target="../tables/table1.xml"/></Relationships>')
     parts = {"xl/workbook.xml": fixed, "xl/_rels/workbook.xml.rels": rels, "xl/worksheets/sheet1.xml": sheet, "xl/worksheets/_rels/sheet1.xml.rels": own, "xl/tables/table1.xml": table}
     return books.select(F.concat(F.lit("/in/"), "book", F.lit(".xlsx")).alias("path"), _archive(parts).alias("content"))
+
+
+def odd_archives(part: DataFrame) -> DataFrame:
+    """path, content: an archive a part: whole, with a repeated name, cut short, of other bytes, empty or null in turn."""
+    k = F.col("p_partkey") % 6
+    name = F.when(k == 1, "a.xml").otherwise("b.xml")
+    whole = zipped(F.array(F.lit("a.xml"), name), F.array(F.concat(F.lit("<a>"), "p_name", F.lit("</a>")), F.lit("<b/>")))
+    content = F.when(k < 2, whole).when(k == 2, F.substring(whole, 1, 40)).when(k == 3, F.encode("p_name", "UTF-8")).when(k == 4, F.lit(b""))
+    return part.select(F.concat(F.lit("/in/"), "p_partkey").alias("path"), content.alias("content"))
