@@ -57,24 +57,38 @@ def _pointer(image: Column, text: Column, target: Column, assets: Column) -> Col
     return F.when(image == "!", picture).otherwise(link)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often, and in however many lambdas, body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def inline(text: Column, assets: Column) -> Column:
     """A text as HTML, with the sign MARK before each mark of doubt (see numbered)."""
     raw = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x00-\\x08]", "")
-    codes = F.regexp_extract_all(raw, F.lit("`([^`]+)`"), F.lit(1))
-    plain = sub(escaped(sub(raw, "`[^`]+`", CODE)), r"\\([\\`*_{}\[\]()#+\-.!|>~])", "$1")
-    said = lambda k: F.regexp_extract_all(plain, F.lit(POINTER), F.lit(k))
-    images, targets = said(1), F.zip_with(said(3), said(4), lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b))
-    s = sub(plain, POINTER, f"{LINK}$2{END}")
-    for sign in ("\\*\\*", "__"):
-        s = sub(s, f"{sign}(.+?){sign}", "<strong>$1</strong>")
-    s = sub(s, r"(?<![\w*])\*(?!\s)(.+?)(?<!\s)\*(?![\w*])", "<em>$1</em>")
-    s = sub(s, DOUBT, f"{MARK}$0")
-    s = sub(sub(s, "&lt;br\\s*/?&gt;", "<br>"), "&lt;(/?)u&gt;", "<$1u>")
-    s = sub(s, "&amp;(#\\d{1,6}|#x[0-9a-fA-F]{1,6}|lt|gt|amp|quot|nbsp);", "&$1;")
+    said = lambda plain, k: F.regexp_extract_all(plain, F.lit(POINTER), F.lit(k))
     back = lambda target: F.replace(F.replace(F.replace(F.replace(target, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    at = lambda values, i: F.get(values, i - 1)
-    s = restored(s, LINK, lambda p, i: F.concat(_pointer(at(images, i), F.split_part(p, F.lit(END), F.lit(1)), back(at(targets, i)), assets), F.substring(p, F.length(F.split_part(p, F.lit(END), F.lit(1))) + 2, F.length(p))))
-    return restored(s, CODE, lambda p, i: F.concat(F.lit("<code>"), escaped(at(codes, i)), F.lit("</code>"), p))
+
+    def shown(plain: Column) -> Column:
+        s = sub(plain, POINTER, f"{LINK}$2{END}")
+        for sign in ("\\*\\*", "__"):
+            s = sub(s, f"{sign}(.+?){sign}", "<strong>$1</strong>")
+        s = sub(s, r"(?<![\w*])\*(?!\s)(.+?)(?<!\s)\*(?![\w*])", "<em>$1</em>")
+        s = sub(s, DOUBT, f"{MARK}$0")
+        s = sub(sub(s, "&lt;br\\s*/?&gt;", "<br>"), "&lt;(/?)u&gt;", "<$1u>")
+        return sub(s, "&amp;(#\\d{1,6}|#x[0-9a-fA-F]{1,6}|lt|gt|amp|quot|nbsp);", "&$1;")
+
+    def linked(plain: Column) -> Column:
+        targets = F.zip_with(said(plain, 3), said(plain, 4), lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b))
+        made = lambda x: restored(x["s"], LINK, lambda p, i: bound(F.split_part(p, F.lit(END), F.lit(1)), lambda t: F.concat(_pointer(F.get(x["images"], i - 1), t, back(F.get(x["targets"], i - 1)), assets), F.substring(p, F.length(t) + 2, F.length(p)))))
+        return F.when(F.contains(plain, F.lit("](")), bound(F.struct(shown(plain).alias("s"), said(plain, 1).alias("images"), targets.alias("targets")), made)).otherwise(shown(plain))
+
+    def coded(raw: Column) -> Column:
+        plain = sub(escaped(sub(raw, "`[^`]+`", CODE)), r"\\([\\`*_{}\[\]()#+\-.!|>~])", "$1")
+        codes = F.regexp_extract_all(raw, F.lit("`([^`]+)`"), F.lit(1))
+        made = lambda x: restored(x["s"], CODE, lambda p, i: F.concat(F.lit("<code>"), escaped(F.get(x["codes"], i - 1)), F.lit("</code>"), p))
+        return F.when(F.contains(raw, F.lit("`")), bound(F.struct(bound(plain, linked).alias("s"), codes.alias("codes")), made)).otherwise(bound(plain, linked))
+
+    return bound(raw, coded)
 
 
 def numbered(html: Column, before: Column) -> Column:
@@ -87,7 +101,11 @@ def _table(rows: Column, head: Column, width: Column, assets: Column) -> Column:
     """A table; wide ones tell their size, their empty columns are marked."""
     body = F.when(head, F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(rows)
     columns = F.sequence(F.lit(0), width - 1)
-    empty = F.transform(columns, lambda i: F.forall(body, lambda r: F.get(r, i) == ""))
+    return bound(body, lambda own: bound(F.transform(columns, lambda i: F.forall(own, lambda r: F.get(r, i) == "")), lambda empty: _laid_out(own, empty, rows, head, width, columns, assets)))
+
+
+def _laid_out(body: Column, empty: Column, rows: Column, head: Column, width: Column, columns: Column, assets: Column) -> Column:
+    """body: the rows beneath the header; empty: which columns have no text in them."""
     blank = F.aggregate(body, F.lit(0), lambda a, r: a + F.size(F.filter(r, lambda c: c == "")))
     share = F.round(100 * blank / F.greatest(width * F.size(body), F.lit(1))).cast("int")
     wide = width > WIDE

@@ -17,7 +17,7 @@ b AS (SELECT path, position, unnest([1, 2, 3]) AS own, unnest(['heading', 'parag
 SELECT path, position, row_number() OVER (PARTITION BY path ORDER BY position, own) AS block_no, kind, level, text FROM b
 """)
 def book_blocks(spark, sf_dir):
-    return books.book_blocks(office.members(samples.epubs(_t(spark, sf_dir, "orders")), "\\.(xml|opf|xhtml)$"))
+    return books.book_blocks(office.unpacked(samples.epubs(_t(spark, sf_dir, "orders")), "\\.(xml|opf|xhtml)$"))
 
 
 @query("""
@@ -35,7 +35,7 @@ SELECT path, 'B' || r AS cell, 'A' || r || '*2+$A$1+SUM(A' || r || ':C' || (r +
 UNION ALL SELECT path, 'A' || r, NULL, p_size::varchar FROM p
 """)
 def shared_formulas(spark, sf_dir):
-    return office.workbook_cells(office.members(samples.shared_books(_t(spark, sf_dir, "part")), "^xl/.*\\.(xml|rels)$")).select("path", "cell", "formula", "value")
+    return office.workbook_cells(office.unpacked(samples.shared_books(_t(spark, sf_dir, "part")), "^xl/.*\\.(xml|rels)$")).select("path", "cell", "formula", "value")
 
 
 @query("""
@@ -44,7 +44,7 @@ SELECT '/in/' || b || '.xlsx' AS path, 'merge' AS kind, NULL AS name, 1 AS min_r
 UNION ALL SELECT '/in/' || b || '.xlsx', 'table', 'Tabla_' || b, 2, 1, n + 2, 2 FROM p
 """)
 def workbook_ranges(spark, sf_dir):
-    found = office.members(samples.shared_books(_t(spark, sf_dir, "part")), "^xl/.*\\.(xml|rels)$")
+    found = office.unpacked(samples.shared_books(_t(spark, sf_dir, "part")), "^xl/.*\\.(xml|rels)$")
     corners = ("min_row", "min_col", "max_row", "max_col")
     merges = office.workbook_merges(found).select("path", F.lit("merge").alias("kind"), F.lit(None).cast("string").alias("name"), *corners)
     return merges.unionByName(office.workbook_tables(found).select("path", F.lit("table").alias("kind"), "name", *corners))

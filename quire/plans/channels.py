@@ -15,11 +15,11 @@ _SLIDES = "s AS (SELECT '/in/' || o_orderkey // 40 || '.pptx' AS path, o_orderke
 
 
 def _word(spark, sf_dir):
-    return office.members(samples.word_margins(_t(spark, sf_dir, "part")), "^word/")
+    return office.unpacked(samples.word_margins(_t(spark, sf_dir, "part")), "^word/")
 
 
 def _deck(spark, sf_dir):
-    return office.members(samples.decks(_t(spark, sf_dir, "orders")), "^ppt/(slides|notesSlides)/")
+    return office.unpacked(samples.decks(_t(spark, sf_dir, "orders")), "^ppt/(slides|notesSlides)/")
 
 
 @query(f"""
@@ -89,13 +89,13 @@ SELECT path, slide, 2 AS shape_id, 0 AS depth, 'c' || o_custkey AS text, o_order
 UNION ALL SELECT path, slide, 5, 2, o_orderpriority, o_orderkey % 7 = 0 FROM s
 """)
 def slide_order(spark, sf_dir):
-    found = office.members(samples.listed_decks(_t(spark, sf_dir, "orders")), "^ppt/")
+    found = office.unpacked(samples.listed_decks(_t(spark, sf_dir, "orders")), "^ppt/")
     return office.slide_shapes(found).select("path", "slide", "shape_id", F.size("groups").alias("depth"), "text", "hidden")
 
 
 @query(f"WITH {_LISTED} SELECT path, slide, 'c' || o_custkey || ' → ' || o_orderpriority AS edge FROM s")
 def grouped_edges(spark, sf_dir):
-    found = office.members(samples.listed_decks(_t(spark, sf_dir, "orders")), "^ppt/")
+    found = office.unpacked(samples.listed_decks(_t(spark, sf_dir, "orders")), "^ppt/")
     at = lambda d, *keys: d.withColumns({k: F.concat_ws("#", "path", "slide", k) for k in keys})
     edges = S.diagram_edges(at(office.slide_connectors(found), "connector_id", "src", "dst"), at(office.slide_shapes(found), "shape_id"))
     return edges.select(F.split_part("connector_id", F.lit("#"), F.lit(1)).alias("path"), F.split_part("connector_id", F.lit("#"), F.lit(2)).cast("int").alias("slide"), "edge")

@@ -319,20 +319,20 @@ def inventory_sniff(spark, sf_dir):
 
 
 def workbook_cells(spark, sf_dir):
-    return office.workbook_cells(office.members(samples.workbooks(_t(spark, sf_dir, "part")), "^xl/.*\\.(xml|rels)$"))
+    return office.workbook_cells(office.unpacked(samples.workbooks(_t(spark, sf_dir, "part")), "^xl/.*\\.(xml|rels)$"))
 
 
 def word_paragraphs(spark, sf_dir):
-    return office.word_paragraphs(office.members(samples.word_files(_t(spark, sf_dir, "part")), "^word/"))
+    return office.word_paragraphs(office.unpacked(samples.word_files(_t(spark, sf_dir, "part")), "^word/"))
 
 
 def word_tables(spark, sf_dir):
-    return office.word_tables(office.members(samples.word_files(_t(spark, sf_dir, "part")), "^word/"))
+    return office.word_tables(office.unpacked(samples.word_files(_t(spark, sf_dir, "part")), "^word/"))
 
 
 def slide_edges(spark, sf_dir):
     """Shapes are numbered within their slide, so that ends are told by deck, slide and number."""
-    found = office.members(samples.presentations(_t(spark, sf_dir, "orders")), "^ppt/slides/")
+    found = office.unpacked(samples.presentations(_t(spark, sf_dir, "orders")), "^ppt/slides/")
     at = lambda d, *keys: d.withColumns({k: F.concat_ws("#", F.regexp_extract("path", "([^/.]+)[^/]*$", 1), "slide", k) for k in keys})
     connectors, shapes = at(office.slide_connectors(found), "connector_id", "src", "dst"), at(office.slide_shapes(found), "shape_id")
     return S.diagram_edges(connectors, shapes)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import column_letter, ooxml_text
+from quire.session import settled
 
 from .ooxml import DeckPart, SheetPart, SlidePart, StringsPart, TablePart, WordPart, rows_of
 
@@ -87,6 +88,11 @@ def members(archives: DataFrame, wanted: str = ".*") -> DataFrame:
     return archives.select("path", "content").mapInPandas(opened, schema)
 
 
+def unpacked(archives: DataFrame, wanted: str = ".*") -> DataFrame:
+    """members(), written once to the shared folder: for readers that branch, as those of slides, workbooks and books do."""
+    return settled(members(archives, wanted), "members")
+
+
 def _xml(found: DataFrame, member: str, schema: str) -> DataFrame:
     """The members of this name (a pattern) as structs."""
     return found.filter(F.rlike("member", F.lit(member))).select("path", "member", F.from_xml(F.col("content").cast("string"), schema, XML).alias("x"))
