@@ -91,6 +91,9 @@ class Part:
         if self.hidden or name in UNSAID:
             self.hidden += 1
             return
+        if not any(":" in key for key in attributes):
+            self.opened(name, attributes)
+            return
         told = {}
         for key, value in attributes.items():  # *id: an attribute with a prefix, where another has none
             prefix, _, local = key.rpartition(":")
