@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -13,18 +12,14 @@ from pyspark.sql.types import BinaryType
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
 
 
-@F.pandas_udf(BinaryType())
-def zipped(names: pd.Series, texts: pd.Series) -> pd.Series:
-    """An archive of members with these names and texts."""
-
-    def archive(inside) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, text in zip(*inside, strict=True):
-                z.writestr(name, text)
-        return out.getvalue()
-
-    return pd.Series([archive(x) for x in zip(names, texts, strict=True)])
+@F.udf(BinaryType(), useArrow=False)
+def zipped(names: list[str], texts: list[str]) -> bytes:
+    """An archive of members with these names and texts; not in Arrow's batches, which would hold thousands of archives' texts."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in zip(names, texts, strict=True):
+            z.writestr(name, text)
+    return out.getvalue()
 
 
 def _archive(parts: dict[str, Column]) -> Column:

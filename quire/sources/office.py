@@ -6,9 +6,8 @@ import io
 import re
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +18,6 @@ from .ooxml import DeckPart, SheetPart, SlidePart, StringsPart, TablePart, WordP
 
 #: What an archive may hold: bytes, entries, bytes of all entries, bytes of one.
 MOST_BYTES, MOST_ENTRIES, MOST_TOTAL, MOST_ENTRY = 100_000_000, 20_000, 200_000_000, 50_000_000
-#: Bytes of members after which a task hands them on.
-HELD_BYTES = 16_000_000
 NO_CACHE = "[SIN CACHÉ] "
 WORD_BODY = "^word/document\\.xml$"
 XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
@@ -68,24 +65,17 @@ def members(archives: DataFrame, wanted: str = ".*") -> DataFrame:
     """path, member, content and fault of archives (path, content): members whose names match, one row each.
 
     An archive that the guard refuses, or that is damaged or null, is one row with its fault and no member. Only the
-    wanted members are unpacked, one at a time.
+    wanted members are unpacked, one at a time. Archives travel as an RDD, whose batches are bounded by bytes.
     """
-    schema, names, pattern = "path string, member string, content binary, fault string", ["path", "member", "content", "fault"], re.compile(wanted)
-
-    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, held = [], 0
-        for frame in frames:
-            for path, data in zip(frame["path"], frame["content"], strict=True):
-                for member, content, fault in _unpacked(data, pattern):
-                    rows.append((path, member, content, fault))
-                    held += len(content or b"")
-                    if held > HELD_BYTES:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, held = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-    return archives.select("path", "content").mapInPandas(opened, schema)
+    pattern = re.compile(wanted)
+
+    def opened(rows: Iterable[tuple[str, bytes | None]]) -> Iterator[tuple[str, str | None, bytes | None, str | None]]:
+        for path, data in rows:
+            for member, content, fault in _unpacked(data, pattern):
+                yield path, member, content, fault
+
+    found = archives.select("path", "content").rdd.mapPartitions(opened)
+    return archives.sparkSession.createDataFrame(found, "path string, member string, content binary, fault string", verifySchema=False)
 
 
 def unpacked(archives: DataFrame, wanted: str = ".*") -> DataFrame:

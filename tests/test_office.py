@@ -5,6 +5,7 @@ import zipfile
 
 import pytest
 
+from quire.plans import samples
 from quire.sources import channels, office, ooxml
 
 NS = 'xmlns="urn:s" xmlns:r="urn:r" xmlns:w="urn:w"'
@@ -193,3 +194,13 @@ def test_declared_tables_and_merges(spark):
     found = members(spark, book)
     assert [tuple(r) for r in office.workbook_tables(found).select("path", "sheet", "name", "min_row", "min_col", "max_row", "max_col").collect()] == [("f0", "S", "Tabla_1", 5, 2, 9, 27)]
     assert [tuple(r) for r in office.workbook_merges(found).select("sheet", "min_row", "min_col", "max_row", "max_col").collect()] == [("S", 2, 2, 3, 3)]
+
+
+def test_archives_do_not_travel_in_batches_of_thousands(spark):
+    """Arrow's batches are counted in rows: ten thousand archives, or their texts, would be held at once."""
+    orders = spark.createDataFrame([(k, 1, "O", "1-URGENT") for k in range(90)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    archives = samples.presentations(orders)
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (archives, office.members(archives))]
+    assert not [name for name in ("ArrowEvalPython", "MapInPandas", "MapInArrow") for plan in plans if name in plan]
+    found = office.members(archives, "slide1\\.xml$").collect()
+    assert sorted((r.path, r.member, r.fault) for r in found) == [(f"/in/{k}.pptx", "ppt/slides/slide1.xml", None) for k in range(3)]
