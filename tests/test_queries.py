@@ -18,3 +18,11 @@ def test_query_equals_its_sql(spark, name):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES) and registry.FLAGSHIP in registry.QUERIES
+
+
+def test_merges_and_tables_lie_on_the_same_two_hundred_sheets(spark):
+    """A sheet's tables are its customers', so that every sheet that holds merges holds tables as well."""
+    found = registry.QUERIES["merge_overlap_join"](spark, SF_DIR).select("sheet", "table_id")
+    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet")
+    told = found.join(orders.withColumnRenamed("o_orderkey", "table_id"), "table_id")
+    assert told.count() > 0 and told.filter("sheet <> o_custkey % 200").count() == 0
