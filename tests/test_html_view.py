@@ -68,3 +68,11 @@ def test_documents_views_and_stamps(spark):
     views = H.pages(docs.filter("doc_id < 3")).select("doc_id", "stamp").unionByName(spark.createDataFrame([(3, "old")], "doc_id long, stamp string"))
     declared = spark.createDataFrame([(2, "vista.html"), (3, "other")], "doc_id long, name string")
     assert {r.doc_id: r.state for r in H.views_due(docs, views, declared).collect()} == {1: "written", 2: "refused", 3: "due"}
+
+
+def test_documents_of_one_small_file_are_dealt_before_they_are_read(spark):
+    docs = spark.range(5000).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("# t\n"), "id").alias("text"))
+    found = M.tokens_of(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning(doc_id" in plan[plan.index("MapInArrow") :]
+    assert found.groupBy("kind").count().orderBy("kind").collect() == [("heading", 5000), ("paragraph", 5000)]
