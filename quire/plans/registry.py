@@ -339,7 +339,7 @@ def slide_edges(spark, sf_dir):
 
 
 def drawing_edges(spark, sf_dir):
-    return office.drawing_edges(office.members(samples.drawings(_t(spark, sf_dir, "orders")), "^visio/pages/"))
+    return office.drawing_edges(office.unpacked(samples.drawings(_t(spark, sf_dir, "orders")), "^visio/pages/"))
 
 
 def stream_resumable(spark, sf_dir):
