@@ -11,6 +11,8 @@ from quire.session import settled
 
 #: Rows of a key that one task may order; keys of more are hot.
 HOT = 1_000_000
+#: Narrow rows that a task may sort or count by key.
+TASK_ROWS = 400_000
 KEY, PART, PLACE = "_key", "_part", "_place"
 
 
@@ -65,3 +67,18 @@ def followed(df: DataFrame, key: str, order: str, values: Sequence[str], most: i
     first = hot.filter(F.col(PLACE) % most == 0).select(F.col(KEY).alias("k_"), (F.col(PART) - 1).alias("p_"), F.struct(*values).alias("after"))
     told = hot.withColumn("next", F.lead(F.struct(*values)).over(inside)).join(first, (F.col(KEY) == F.col("k_")) & (F.col(PART) == F.col("p_")), "left")
     return own.unionByName(told.withColumn("next", F.coalesce("next", "after")).drop("k_", "p_", "after", KEY, PART, PLACE))
+
+
+def tasks_for(rows: int, most: int = TASK_ROWS) -> int:
+    """Tasks that hold at most about `most` rows each."""
+    return max(1, -(-rows // most))
+
+
+def dealt(df: DataFrame, *key: str, most: int = TASK_ROWS) -> DataFrame:
+    """df dealt by key to as many tasks as its rows need.
+
+    Adaptive execution merges partitions by their compressed bytes, so that of narrow rows a task gets ever more as a
+    table grows; it leaves a number that is told. A table of one task's rows stays as it is.
+    """
+    tasks = tasks_for(df.count(), most)
+    return df.repartition(tasks, *key) if tasks > 1 else df

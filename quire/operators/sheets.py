@@ -9,7 +9,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.functions.text import column_letter, connector, helper_header, md_cell, range_ref
 
-from .ranges import HOT, followed
+from .ranges import HOT, dealt, followed
 
 CHUNK = 9
 #: Fixed value: cells of a sheet beyond which it is not read.
@@ -101,10 +101,10 @@ def merged_labels(tables: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def difference_both_ways(source: DataFrame, found: DataFrame, *key: str) -> DataFrame:
-    """Rows of the key that only one side has: side and key."""
-    lost = source.select(*key).distinct().join(found.select(*key).distinct(), list(key), "left_anti").withColumn("side", F.lit("lost"))
-    added = found.select(*key).distinct().join(source.select(*key).distinct(), list(key), "left_anti").withColumn("side", F.lit("added"))
-    return lost.unionByName(added).select("side", *key)
+    """Rows of the key that only one side has: side and key. One pass over both: a key tells which sides it was seen on."""
+    sides = source.select(*key, F.lit(1).alias("_seen")).unionByName(found.select(*key, F.lit(2).alias("_seen")))
+    seen = dealt(sides, *key).groupBy(*key).agg(F.bit_or("_seen").alias("_seen")).filter("_seen < 3")
+    return seen.select(F.when(F.col("_seen") == 1, "lost").otherwise("added").alias("side"), *key)
 
 
 def grid_markdown(cells: DataFrame) -> DataFrame:

@@ -321,3 +321,18 @@ def test_a_hot_key_is_parted_within_itself(spark):
     assert hot.filter("layer = 'hot'").select(ranges.PART).distinct().count() == 9 and hot.filter("layer = 'hot' AND ord - 1000 <> _place").count() == 0 and rest.count() + hot.count() == 3000
     plain, parts = ({r.layer: (round(r.length, 6), r.vertices) for r in S.path_lengths(rows, most).collect()} for most in (10_000, 100))
     assert plain == parts and len(parts) == 52
+
+
+def test_dealt_rows_stay_in_as_many_tasks_as_they_need(spark):
+    from quire.operators.ranges import dealt
+
+    rows = spark.range(1000)
+    per_task = dealt(rows, "id", most=100).groupBy(F.spark_partition_id()).count()
+    assert per_task.count() == 10 and per_task.agg(F.max("count")).first()[0] < 200
+    assert dealt(rows, "id", most=1000) is rows
+
+
+def test_difference_is_one_pass_and_takes_nulls_as_equal(spark):
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    got = S.difference_both_ways(rows(1, 1, 2, None), rows(2, 3, 3, None), "id")
+    assert sorted(map(tuple, got.collect())) == [("added", 3), ("lost", 1)]
