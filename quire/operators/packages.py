@@ -7,6 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import settled
+
+from .ranges import tasks_for
+
 #: A plan holds this many pages at most, a history this many runs.
 MOST_PAGES, MOST_RUNS = 200, 200
 BLANK = "^[\\s\\ufeff]*$"
@@ -57,8 +61,12 @@ def merge_batch(items: DataFrame, units: DataFrame) -> DataFrame:
     Each item needs exactly one unit of its number in its package. batch, items, merged, problems (`unit: absent`
     or `unit: several`, in order), status and markdown (null if refused). A batch holds at most 200 pages.
     """
-    own = units.groupBy("package", "unit").agg(F.count(F.lit(1)).alias("found"), F.min("text").alias("text"))
-    rows = items.join(own, ["package", "unit"], "left")
+    items = settled(items, "items")
+    tasks = tasks_for(items.count())
+    tasks = max(tasks, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if tasks > 1 else tasks
+    in_tasks = lambda df, *key: df.repartition(tasks, *key) if tasks > 1 else df  # noqa: E731  more than one task's rows are not merged again by their compressed bytes
+    own = in_tasks(units, "package", "unit").groupBy("package", "unit").agg(F.count(F.lit(1)).alias("found"), F.min("text").alias("text"))
+    rows = in_tasks(in_tasks(items, "package", "unit").join(own, ["package", "unit"], "left"), "batch")
     fault = F.when(F.col("found").isNull(), "absent").when(F.col("found") > 1, "several")
     ordered = F.array_sort(F.collect_list(F.struct("position", "unit", fault.alias("fault"), F.coalesce("text", F.lit("")).alias("text"))))
     out = rows.groupBy("batch").agg(ordered.alias("all"))

@@ -9,6 +9,7 @@ from quire.operators import documents as D
 from quire.operators import packages as P
 from quire.operators import sheets as S
 from quire.operators import views as V
+from quire.operators.ranges import dealt
 
 QUERIES, ORACLES = {}, {}
 
@@ -101,7 +102,7 @@ items AS (SELECT DISTINCT l_orderkey AS batch, l_linenumber AS position, l_linen
 
 
 def _items(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("package"))
+    li = dealt(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("package"))
     return li.select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("position"), F.col("l_linenumber").alias("unit"), "package")
 
 

@@ -129,3 +129,14 @@ def test_labels(spark):
     assert [r[0] for r in d.select(T.header_label(F.col("h"), F.col("c"))).collect()] == ["Code [AA]", "A", "B", "C"]
     d = spark.createDataFrame([("Tabla12",), ("My_table",), (None,), ("a<br />b|c",)], "n string")
     assert [r[0] for r in d.select(T.table_heading(F.col("n"), F.lit("-"))).collect()] == ["-", "My table", "-", "a — b&#124;c"]
+
+
+def test_a_merge_keeps_the_tasks_that_its_rows_need(spark, monkeypatch):
+    """Partitions of a number that is told are not merged again by their compressed bytes."""
+    items = spark.createDataFrame([(1, 2, 9, "p"), (1, 1, 1, "p"), (2, 1, 3, "p")], "batch long, position int, unit int, package string")
+    units = spark.createDataFrame([("p", 1, "a"), ("p", 9, "b")], "package string, unit int, text string")
+    told = lambda: sorted((r.batch, r.merged, r.problems, r.markdown) for r in P.merge_batch(items, units).collect())
+    one = told()
+    monkeypatch.setattr(P, "tasks_for", lambda rows: 3)
+    assert told() == one == [(1, 2, "", "ab"), (2, 0, "3: absent", None)]
+    assert "REPARTITION_BY_NUM" in P.merge_batch(items, units)._jdf.queryExecution().executedPlan().toString()
