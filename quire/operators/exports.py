@@ -19,6 +19,11 @@ ENDING = ".md"
 NUMBER = "^(.*) \\(([1-9][0-9]{0,2})\\)$"
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents: a broadcast, which Spark picks by compressed bytes, would go through the driver."""
+    return side.hint("merge")
+
+
 def url_path(path: Column) -> Column:
     """A path with everything escaped but letters, digits, `/` and `_.-~`."""
     out = F.url_encode(path)
@@ -69,23 +74,23 @@ def plan_exports(documents: DataFrame, registry: DataFrame, disk: DataFrame, mos
     d = d.select("doc_id", "source_id", "stem", "key", "content", F.sha2("content", 256).alias("sha256"), F.coalesce("integrity_ok", F.lit(False)).alias("fine"))
     fine = d.filter("fine")
     last = fine.groupBy("key", "source_id").agg(F.max("doc_id").alias("last"), F.min("doc_id").alias("first"))
-    d = d.join(last.withColumnsRenamed({"key": "k_", "source_id": "s_"}), (F.col("key") == F.col("k_")) & F.col("source_id").eqNullSafe(F.col("s_")), "left").drop("k_", "s_")
+    d = d.join(_shuffled(last.withColumnsRenamed({"key": "k_", "source_id": "s_"})), (F.col("key") == F.col("k_")) & F.col("source_id").eqNullSafe(F.col("s_")), "left").drop("k_", "s_")
     asking = d.filter("fine AND doc_id = last")
 
     there = disk.select(_stem("target").alias("stem"), F.col("sha256").alias("held"), F.lower("target").alias("path"))
     mine = registry.select(F.lower("target").alias("path"), F.col("source_id").alias("owner"), F.col("sha256").alias("wrote"))
-    held = _slots(there).join(there, "stem").join(mine, "path", "left").filter(f"slot <= {MOST_NAMES}")
-    near = asking.join(held.select("key", "slot", "held", "owner", "wrote", F.col("stem").alias("stem_there")), "key")
+    held = _slots(there).join(_shuffled(there), "stem").join(_shuffled(mine), "path", "left").filter(f"slot <= {MOST_NAMES}")
+    near = asking.join(_shuffled(held.select("key", "slot", "held", "owner", "wrote", F.col("stem").alias("stem_there"))), "key")
     equal, owned = F.col("held") == F.col("sha256"), F.col("owner").eqNullSafe(F.col("source_id")) & (F.col("wrote") == F.col("held"))
     found = near.filter(equal | owned).groupBy("doc_id").agg(F.min(F.struct("slot", (~equal).alias("writes"), "stem_there")).alias("f"))
-    met = asking.join(found, "doc_id", "left")
+    met = asking.join(_shuffled(found), "doc_id", "left")
 
     reserved = _slots(asking.select("stem").distinct()).filter("slot > 1").select("key", "slot")
     taken = held.select("key", "slot").unionByName(reserved).groupBy("key").agg(F.array_sort(F.collect_set("slot")).alias("taken"))
     new = met.filter("f IS NULL").groupBy("key", "sha256").agg(F.min("first").alias("first"))
-    ranked = numbered(new, "key", ["first", "sha256"], "rank", most).join(taken, "key", "left")
+    ranked = numbered(new, "key", ["first", "sha256"], "rank", most).join(_shuffled(taken), "key", "left")
     slot = F.aggregate(F.coalesce("taken", F.array().cast("array<int>")), F.col("rank").cast("int"), lambda at, t: F.when(t <= at, at + 1).otherwise(at))
-    met = met.join(ranked.select("key", "sha256", slot.alias("slot")), ["key", "sha256"], "left")
+    met = met.join(_shuffled(ranked.select("key", "sha256", slot.alias("slot"))), ["key", "sha256"], "left")
 
     action = F.when(F.col("f").isNotNull(), F.when(F.col("f.writes"), "overwrite").otherwise("unchanged")).when(F.col("slot") > MOST_NAMES, "full").otherwise("create")
     name = F.when(F.col("slot") > 1, F.concat("stem", F.lit(" ("), F.col("slot").cast("string"), F.lit(")"))).otherwise(F.col("stem"))
@@ -100,4 +105,4 @@ def exported(plan: DataFrame, registry: DataFrame) -> DataFrame:
     """The registry (target, source_id, sha256) after a plan is carried out: what it wrote is its sources', the rest stays."""
     wrote = plan.filter("action IN ('create', 'overwrite')").groupBy("target").agg(F.min(F.struct("doc_id", "source_id", "sha256")).alias("w"))
     mine = wrote.select("target", F.col("w.source_id").alias("source_id"), F.col("w.sha256").alias("sha256"))
-    return registry.select("target", "source_id", "sha256").join(mine.select(F.lower("target").alias("path")), F.lower("target") == F.col("path"), "left_anti").unionByName(mine)
+    return registry.select("target", "source_id", "sha256").join(_shuffled(mine.select(F.lower("target").alias("path"))), F.lower("target") == F.col("path"), "left_anti").unionByName(mine)

@@ -48,3 +48,11 @@ def test_a_title_of_very_many_documents(spark):
     got = told(plan(spark, docs, disk=[("Hot (5).md", "z")], most=100))
     assert got[3] == ("create", "Hot (4).md") and got[4] == ("create", "Hot (6).md") and got[997] == ("create", "Hot (999).md") and got[998] == ("full", None)
     assert got == told(plan(spark, docs, disk=[("Hot (5).md", "z")]))
+
+
+def test_no_side_of_a_plan_goes_through_the_driver(spark):
+    docs = spark.createDataFrame([(k, f"s{k}", f"T {k % 3}", "text", [], "b", True) for k in range(9)], "doc_id long, source_id string, title string, text string, names array<string>, base string, integrity_ok boolean")
+    none = spark.createDataFrame([], "target string, source_id string, sha256 string")
+    plan = E.plan_exports(docs, none, none.select("target", "sha256"))
+    for found, rows in ((plan, 9), (E.exported(plan, none), 3)):
+        assert found.count() == rows and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
