@@ -80,5 +80,14 @@ def dealt(df: DataFrame, *key: str, most: int = TASK_ROWS) -> DataFrame:
     Adaptive execution merges partitions by their compressed bytes, so that of narrow rows a task gets ever more as a
     table grows; it leaves a number that is told. A table of one task's rows stays as it is.
     """
-    tasks = tasks_for(df.count(), most)
+    return dealt_to(df, tasks_for(df.count(), most), *key)
+
+
+def dealt_to(df: DataFrame, tasks: int, *key: str) -> DataFrame:
+    """df dealt by key to this number of tasks; as it is for one."""
     return df.repartition(tasks, *key) if tasks > 1 else df
+
+
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with its table: a broadcast, which Spark picks by compressed bytes, would go through the driver."""
+    return side.hint("merge")

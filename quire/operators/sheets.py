@@ -9,9 +9,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.functions.text import column_letter, connector, helper_header, md_cell, range_ref
 
-from .ranges import HOT, dealt, followed
+from .ranges import HOT, dealt, dealt_to, followed, shuffled, tasks_for
 
 CHUNK = 9
+#: Connectors whose ends a task meets with their shapes.
+EDGE_ROWS = 100_000
 #: Fixed value: cells of a sheet beyond which it is not read.
 MOST_CELLS = 1_000_000
 SEPARATOR = "^\\|(?:\\s*:?-+:?\\s*\\|)+$"
@@ -161,7 +163,9 @@ def diagram_edges(connectors: DataFrame, shapes: DataFrame) -> DataFrame:
     """connector_id and its reading: ends told by their shapes' first lines (60 characters), or `figura n`."""
     name = lambda c: F.substring(F.split_part(c, F.lit("\n"), F.lit(1)), 1, 60)
     side = lambda k: shapes.select(F.col("shape_id").alias(k), name(F.col("text")).alias(f"{k}_text"))
-    both = connectors.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    tasks = tasks_for(connectors.count(), EDGE_ROWS)
+    both = dealt_to(connectors, tasks, "src").join(shuffled(side("src")), "src", "left")
+    both = dealt_to(both, tasks, "dst").join(shuffled(side("dst")), "dst", "left")
     end = lambda k: F.coalesce(F.nullif(f"{k}_text", F.lit("")), F.concat(F.lit("figura "), F.col(k)))
     return both.select("connector_id", connector(F.col("head"), F.col("tail"), end("src"), end("dst")).alias("edge"))
 

@@ -97,7 +97,8 @@ def slide_order(spark, sf_dir):
 def grouped_edges(spark, sf_dir):
     found = office.unpacked(samples.listed_decks(_t(spark, sf_dir, "orders")), "^ppt/")
     at = lambda d, *keys: d.withColumns({k: F.concat_ws("#", "path", "slide", k) for k in keys})
-    edges = S.diagram_edges(at(office.slide_connectors(found), "connector_id", "src", "dst"), at(office.slide_shapes(found), "shape_id"))
+    connectors, shapes = office.slide_diagrams(found)
+    edges = S.diagram_edges(at(connectors, "connector_id", "src", "dst"), at(shapes, "shape_id"))
     return edges.select(F.split_part("connector_id", F.lit("#"), F.lit(1)).alias("path"), F.split_part("connector_id", F.lit("#"), F.lit(2)).cast("int").alias("slide"), "edge")
 
 

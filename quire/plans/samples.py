@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from quire.operators.ranges import dealt
+
+#: Rows of a table whose texts a task makes and zips.
+TEXT_ROWS = 10_000
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
 
 
@@ -26,6 +30,11 @@ def _archive(parts: dict[str, Column]) -> Column:
     return zipped(F.array(*map(F.lit, parts)), F.array(*parts.values()))
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to their archives while they are narrow: their texts are made where the archive is, and don't move."""
+    return dealt(rows, key, most=TEXT_ROWS)
+
+
 def _gathered(table: DataFrame, key: str, order: str, **texts: Column) -> DataFrame:
     """One row a key, each text the concatenation of its rows in order."""
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), c.alias("t")))), lambda x: x["t"]), "")
@@ -36,13 +45,14 @@ def _sheaf(table: DataFrame, suffix: str, *parts: tuple[str, Column]) -> DataFra
     """path, content: forty orders an archive, a member each for every name (# is the order's number in its archive)."""
     k = F.col("o_orderkey")
     own = F.array(*[F.struct(F.replace(F.lit(name), F.lit("#"), (k % 40 + 1).cast("string")).alias("name"), text.alias("text")) for name, text in parts])
-    sheaf = table.groupBy(F.concat(F.lit("/in/"), F.floor(k / 40).cast("string"), F.lit(suffix)).alias("path")).agg(F.array_sort(F.flatten(F.collect_list(own))).alias("m"))
+    own_rows = _dealt(table.withColumn("path", F.concat(F.lit("/in/"), F.floor(k / 40).cast("string"), F.lit(suffix))), "path")
+    sheaf = own_rows.groupBy("path").agg(F.array_sort(F.flatten(F.collect_list(own))).alias("m"))
     return sheaf.select("path", zipped(F.transform("m", lambda x: x["name"]), F.transform("m", lambda x: x["text"])).alias("content"))
 
 
 def workbooks(part: DataFrame) -> DataFrame:
     """path, content: forty parts a workbook: a shared string, a number, a formula (every third without cache), a boolean."""
-    p = part.select(F.concat(F.lit("/in/"), F.floor(F.col("p_partkey") / 40).cast("string"), F.lit(".xlsx")).alias("path"), (F.col("p_partkey") % 40).cast("int").alias("k"), "p_name", F.col("p_size").cast("int").alias("size"))
+    p = _dealt(part.select(F.concat(F.lit("/in/"), F.floor(F.col("p_partkey") / 40).cast("string"), F.lit(".xlsx")).alias("path"), (F.col("p_partkey") % 40).cast("int").alias("k"), "p_name", F.col("p_size").cast("int").alias("size")), "path")
     rank = F.concat(F.lit("<v>"), F.col("size") * 2, F.lit("</v>"))
     r = (F.col("k") + 1).cast("string")
     row = F.concat(
@@ -62,7 +72,7 @@ def workbooks(part: DataFrame) -> DataFrame:
 
 def word_files(part: DataFrame) -> DataFrame:
     """path, content: twenty parts a document: a heading, a numbered item and a table row of three grid columns each."""
-    p = part.select(F.concat(F.lit("/in/"), F.floor(F.col("p_partkey") / 20).cast("string"), F.lit(".docx")).alias("path"), (F.col("p_partkey") % 20).cast("int").alias("k"), "p_name", F.col("p_size").cast("int").alias("size"))
+    p = _dealt(part.select(F.concat(F.lit("/in/"), F.floor(F.col("p_partkey") / 20).cast("string"), F.lit(".docx")).alias("path"), (F.col("p_partkey") % 20).cast("int").alias("k"), "p_name", F.col("p_size").cast("int").alias("size")), "path")
     run = lambda t: F.concat(F.lit("<w:r><w:t>"), t, F.lit("</w:t></w:r></w:p>"))
     head = F.concat(F.lit('<w:p w:rsidR="0"><w:pPr><w:pStyle w:val="Heading'), F.col("size") % 6 + 1, F.lit('"/></w:pPr>'), run(F.col("p_name")))
     item = F.concat(F.lit('<w:p><w:pPr><w:numPr><w:ilvl w:val="'), F.col("size") % 2, F.lit('"/><w:numId w:val="3"/></w:numPr></w:pPr>'), run(F.concat(F.lit("item &lt;"), F.col("size"), F.lit("&gt;"))))
@@ -100,7 +110,7 @@ def drawings(orders: DataFrame) -> DataFrame:
 def word_margins(part: DataFrame) -> DataFrame:
     """path, content: twenty parts a document, each with a footnote, a link, a formula and sometimes a comment; one header, an empty footer."""
     k, size = F.col("k"), F.col("size")
-    p = part.select(F.concat(F.lit("/in/"), F.floor(F.col("p_partkey") / 20).cast("string"), F.lit(".docx")).alias("path"), (F.col("p_partkey") % 20).cast("int").alias("k"), "p_partkey", "p_name", F.col("p_size").cast("int").alias("size"))
+    p = _dealt(part.select(F.concat(F.lit("/in/"), F.floor(F.col("p_partkey") / 20).cast("string"), F.lit(".docx")).alias("path"), (F.col("p_partkey") % 20).cast("int").alias("k"), "p_partkey", "p_name", F.col("p_size").cast("int").alias("size")), "path")
     says = lambda t: F.concat(F.lit("<w:p><w:r><w:t>"), t, F.lit("</w:t></w:r></w:p>"))
     math = lambda t: F.concat(F.lit("<m:r><m:t>"), t, F.lit("</m:t></m:r>"))
     note = F.concat(F.lit('<w:footnote w:id="'), k, F.lit('">'), says(F.concat(F.lit("note "), "p_name")), F.lit("</w:footnote>"))
@@ -142,7 +152,7 @@ def nested_word_files(part: DataFrame) -> DataFrame:
     Paragraphs have tab stops, hyphens that don't break and breaks; the inner table has cells over columns and rows.
     """
     size = F.col("size")
-    p = part.select(F.floor(F.col("p_partkey") / 20).alias("doc"), (F.col("p_partkey") % 20).cast("int").alias("k"), "p_partkey", "p_name", F.col("p_size").cast("int").alias("size"))
+    p = _dealt(part.select(F.floor(F.col("p_partkey") / 20).alias("doc"), (F.col("p_partkey") % 20).cast("int").alias("k"), "p_partkey", "p_name", F.col("p_size").cast("int").alias("size")), "doc")
     says = lambda *t: F.concat(F.lit('<w:p><w:pPr><w:tabs><w:tab w:val="left" w:pos="9"/></w:tabs></w:pPr><w:r><w:t>'), *t, F.lit("</w:t></w:r></w:p>"))
     cell = lambda inside, props="": F.concat(F.lit(f"<w:tc><w:tcPr>{props}</w:tcPr>"), inside, F.lit("</w:tc>"))
     table = lambda *rows: F.concat(F.lit("<w:tbl><w:tblPr/>"), *[x for r in rows for x in (F.lit('<w:tr w:rsidR="1">'), r, F.lit("</w:tr>"))], F.lit("</w:tbl>"))
@@ -173,7 +183,8 @@ def listed_decks(orders: DataFrame) -> DataFrame:
     listed = F.concat(F.lit('<p:sldId id="'), k % 40 + 256, F.lit('" r:id="rId'), nth, F.lit('"/>'))
     related = F.concat(F.lit('<Relationship Id="rId'), nth, F.lit('" Type="t" Target="slides/slide'), nth, F.lit('.xml"/>'))
     one = F.struct((-k).alias("o"), F.concat(F.lit("ppt/slides/slide"), nth, F.lit(".xml")).alias("name"), slide.alias("text"), listed.alias("listed"), related.alias("related"))
-    decks = orders.groupBy(F.concat(F.lit("/in/"), F.floor(k / 40).cast("string"), F.lit(".pptx")).alias("path")).agg(F.array_sort(F.collect_list(one)).alias("m"))
+    own = _dealt(orders.withColumn("path", F.concat(F.lit("/in/"), F.floor(k / 40).cast("string"), F.lit(".pptx"))), "path")
+    decks = own.groupBy("path").agg(F.array_sort(F.collect_list(one)).alias("m"))
     joined = lambda field: F.array_join(F.transform("m", lambda x: x[field]), "")
     whole = F.concat(F.lit(HEAD + '<p:presentation xmlns:p="urn:p" xmlns:r="urn:r"><p:sldIdLst>'), joined("listed"), F.lit("</p:sldIdLst></p:presentation>"))
     rels = F.concat(F.lit(HEAD + '<Relationships xmlns="urn:q">'), joined("related"), F.lit("</Relationships>"))
@@ -187,7 +198,8 @@ def epubs(orders: DataFrame) -> DataFrame:
     html = F.concat(F.lit("<html><head><title/></head><body><h2>c"), "o_custkey", F.lit("</h2><p>"), "o_orderpriority", F.lit(" &amp; "), k, F.lit("</p><ul><li>i"), "o_orderstatus", F.lit("</li></ul></body></html>"))
     item = F.concat(F.lit('<item id="x'), nth, F.lit('" href="text/c%20'), nth, F.lit('.xhtml" media-type="application/xhtml+xml"/>'))
     one = F.struct((-k).alias("o"), F.concat(F.lit("OPS/text/c "), nth, F.lit(".xhtml")).alias("name"), html.alias("text"), item.alias("item"), F.concat(F.lit('<itemref idref="x'), nth, F.lit('"/>')).alias("ref"))
-    found = orders.groupBy(F.concat(F.lit("/in/"), F.floor(k / 40).cast("string"), F.lit(".epub")).alias("path")).agg(F.array_sort(F.collect_list(one)).alias("m"))
+    own = _dealt(orders.withColumn("path", F.concat(F.lit("/in/"), F.floor(k / 40).cast("string"), F.lit(".epub"))), "path")
+    found = own.groupBy("path").agg(F.array_sort(F.collect_list(one)).alias("m"))
     joined = lambda field: F.array_join(F.transform("m", lambda x: x[field]), "")
     package = F.concat(F.lit(HEAD + '<o:package xmlns:o="urn:o"><o:manifest>'), joined("item"), F.lit("</o:manifest><o:spine>"), joined("ref"), F.lit("</o:spine></o:package>"))
     container = F.lit(HEAD + '<container><rootfiles><rootfile full-path="OPS/book.opf" media-type="x"/><rootfile full-path="other.opf"/></rootfiles></container>')
@@ -199,7 +211,7 @@ def csv_files(part: DataFrame) -> DataFrame:
     """path, content: thirty parts a file, with one of four separators, quoted cells over two lines, some with a mark of their encoding."""
     file, k = F.floor(F.col("p_partkey") / 30), F.col("p_partkey")
     sign = F.get(F.array(*map(F.lit, (",", ";", "\t", "|"))), (F.col("file") % 4).cast("int"))
-    p = part.select(file.alias("file"), k, "p_name", "p_size").withColumn("sign", sign)
+    p = _dealt(part.select(file.alias("file"), k, "p_name", "p_size"), "file").withColumn("sign", sign)
     line = F.concat(F.col("p_partkey").cast("string"), "sign", F.lit('"a ""b""'), "sign", F.lit("\n"), "p_name", F.lit('"'), "sign", F.col("p_size").cast("string"), F.lit("\r\n"), F.when(F.col("p_size") % 9 == 0, "\r\n").otherwise(""))
     files = _gathered(p.withColumn("line", line), "file", "p_partkey", text=F.col("line"))
     mark = F.when(F.col("file") % 3 == 0, "﻿").otherwise("")
@@ -208,7 +220,7 @@ def csv_files(part: DataFrame) -> DataFrame:
 
 def shared_books(part: DataFrame) -> DataFrame:
     """path, content: forty parts a workbook: a number, and a formula that the first row shares with the others (every third without cache); a merge and a declared table."""
-    p = part.select(F.floor(F.col("p_partkey") / 40).alias("book"), (F.col("p_partkey") % 40).cast("int").alias("k"), F.col("p_size").cast("int").alias("size"))
+    p = _dealt(part.select(F.floor(F.col("p_partkey") / 40).alias("book"), (F.col("p_partkey") % 40).cast("int").alias("k"), F.col("p_size").cast("int").alias("size")), "book")
     first = F.row_number().over(Window.partitionBy("book").orderBy("k")) == 1
     r = (F.col("k") + 1).cast("string")
     shared = F.when(first, F.concat(F.lit('<f t="shared" ref="B1:B40" si="0">A'), r, F.lit("*2+$A$1+SUM(A"), r, F.lit(":C"), (F.col("k") + 2).cast("string"), F.lit(")</f>"))).otherwise(F.lit('<f t="shared" si="0"/>'))

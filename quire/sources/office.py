@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import column_letter, ooxml_text
+from quire.operators.ranges import dealt_to, shuffled, tasks_for
 from quire.session import settled
 
 from .ooxml import DeckPart, SheetPart, SlidePart, StringsPart, TablePart, WordPart, rows_of
 
 #: What an archive may hold: bytes, entries, bytes of all entries, bytes of one.
 MOST_BYTES, MOST_ENTRIES, MOST_TOTAL, MOST_ENTRY = 100_000_000, 20_000, 200_000_000, 50_000_000
+#: Members whose rows a task may join or sort.
+TASK_MEMBERS = 20_000
 NO_CACHE = "[SIN CACHÉ] "
 WORD_BODY = "^word/document\\.xml$"
 XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
@@ -83,6 +86,11 @@ def unpacked(archives: DataFrame, wanted: str = ".*") -> DataFrame:
     return settled(members(archives, wanted), "members")
 
 
+def tasks_of(found: DataFrame) -> int:
+    """Tasks to which the rows of these members are dealt: adaptive execution would merge them by compressed bytes."""
+    return tasks_for(found.count(), TASK_MEMBERS)
+
+
 def _xml(found: DataFrame, member: str, schema: str) -> DataFrame:
     """The members of this name (a pattern) as structs."""
     return found.filter(F.rlike("member", F.lit(member))).select("path", "member", F.from_xml(F.col("content").cast("string"), schema, XML).alias("x"))
@@ -205,9 +213,10 @@ def numbered_slides(rows: DataFrame, found: DataFrame) -> DataFrame:
     listed = rows_of(found, "^ppt/presentation\\.xml$", DeckPart).filter("kind = 'slide'").select("path", F.col("nth").alias("slide"), "rel")
     targets = _xml(found, "^ppt/_rels/presentation\\.xml\\.rels$", RELATIONS).select("path", F.inline("x.Relationship"))
     member = F.when(F.startswith("_Target", F.lit("/")), F.substring("_Target", 2, 1 << 30)).otherwise(F.concat(F.lit("ppt/"), "_Target"))
-    placed = listed.join(targets.select("path", F.col("_Id").alias("rel"), member.alias("member")), ["path", "rel"]).drop("rel")
+    tasks = tasks_of(found)
+    placed = dealt_to(listed, tasks, "path", "rel").join(shuffled(targets.select("path", F.col("_Id").alias("rel"), member.alias("member"))), ["path", "rel"]).drop("rel")
     own = F.regexp_extract("member", "(\\d+)\\.xml$", 1).try_cast("int")
-    return rows.join(placed, ["path", "member"], "left").withColumn("slide", F.coalesce("slide", own))
+    return dealt_to(rows, tasks, "path", "member").join(shuffled(placed), ["path", "member"], "left").withColumn("slide", F.coalesce("slide", own))
 
 
 def _slide_rows(found: DataFrame) -> DataFrame:
@@ -219,13 +228,26 @@ def slide_shapes(found: DataFrame) -> DataFrame:
 
     A deck without such a list has its slides by the number of their file. hidden: the slide is not shown.
     """
-    rows = _slide_rows(found).filter("kind = 'shape'")
-    return rows.select("path", "slide", "nth", "shape_id", "groups", "text", "hidden")
+    return _shapes(_slide_rows(found))
+
+
+def _shapes(rows: DataFrame) -> DataFrame:
+    return rows.filter("kind = 'shape'").select("path", "slide", "nth", "shape_id", "groups", "text", "hidden")
 
 
 def slide_connectors(found: DataFrame) -> DataFrame:
     """path, slide, connector_id, src, dst, head, tail, as `diagram_edges` takes them by slide; ends may be shapes within groups."""
-    return _slide_rows(found).filter("kind = 'connector'").select("path", "slide", F.col("shape_id").alias("connector_id"), "src", "dst", "head", "tail")
+    return _connectors(_slide_rows(found))
+
+
+def _connectors(rows: DataFrame) -> DataFrame:
+    return rows.filter("kind = 'connector'").select("path", "slide", F.col("shape_id").alias("connector_id"), "src", "dst", "head", "tail")
+
+
+def slide_diagrams(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """slide_connectors and slide_shapes of the same slides, whose parts are read once."""
+    rows = settled(_slide_rows(found), "slides")
+    return _connectors(rows), _shapes(rows)
 
 
 def drawing_edges(found: DataFrame) -> DataFrame:

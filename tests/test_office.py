@@ -204,3 +204,24 @@ def test_archives_do_not_travel_in_batches_of_thousands(spark):
     assert not [name for name in ("ArrowEvalPython", "MapInPandas", "MapInArrow") for plan in plans if name in plan]
     found = office.members(archives, "slide1\\.xml$").collect()
     assert sorted((r.path, r.member, r.fault) for r in found) == [(f"/in/{k}.pptx", "ppt/slides/slide1.xml", None) for k in range(3)]
+
+
+def test_parts_are_not_read_in_arrow_batches_and_slides_once(spark, monkeypatch):
+    """Arrow's batches hold ten thousand members or 64 MB, whatever a worker's memory; both readers of a diagram share one pass."""
+    orders = spark.createDataFrame([(k, 1, "O", "1-URGENT") for k in range(90)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    found = office.unpacked(samples.listed_decks(orders), "^ppt/")
+    read = []
+    monkeypatch.setattr(office, "rows_of", lambda f, member, reader: read.append(reader) or ooxml.rows_of(f, member, reader))
+    connectors, shapes = office.slide_diagrams(found)
+    assert read.count(ooxml.SlidePart) == 1 and connectors.count() == 90 and shapes.count() == 180
+    rows = ooxml.rows_of(found, "^ppt/slides/", ooxml.SlidePart)
+    assert not [n for n in ("MapInArrow", "ArrowEvalPython") if n in rows._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_texts_of_archives_are_made_after_their_rows_are_dealt(spark, monkeypatch):
+    """Texts made before the shuffle were one task's, as a table in one small file is, and moved whole."""
+    monkeypatch.setattr(samples, "TEXT_ROWS", 20)
+    orders = spark.createDataFrame([(k, k % 7, "O", "1-URGENT") for k in range(90)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    for made in (samples.listed_decks, samples.presentations, samples.decks, samples.epubs):
+        plan = made(orders)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
