@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import settled
+
+from .ranges import dealt_to, tasks_for
+
+#: Bytes of excerpts that a task gathers.
+TASK_BYTES = 64_000_000
 #: A package's identity, the control files of a package, what a listing tells of a result.
 PACKAGE = "[0-9a-f]{64}(?:-recuperado-[0-9a-f]{8})?"
 CONTROL_FILES = ("document.json", "documento.md", "verificacion.json", "manifest.json")
@@ -118,22 +124,34 @@ def judgement_payloads(hits: DataFrame) -> DataFrame:
     The body is JSON of the query and its candidates by rank: identities and excerpts, no paths. A request with
     more candidates than allowed, a blank or overlong query or excerpt, a wrong identity or a repeated one is
     refused whole: its fault is told and it has no body. Refused requests never gather their hits. A body of over
-    MOST_REQUEST bytes is refused as well, not cut.
+    MOST_REQUEST bytes is refused as well, not cut; one whose excerpts alone are more is refused before it is gathered.
+
+    What is told of requests is written once. Excerpts are dealt by request to tasks of TASK_BYTES that are sent, and
+    pass by the requests' ids unsorted.
     """
-    blank = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", "")) == ""
+    blank = lambda c: ~F.rlike(F.coalesce(c, F.lit("")), F.lit("\\S"))
     wrong = ~F.coalesce(F.rlike("document_id", F.lit(f"^{PACKAGE}\\z")) & (F.col("unit") >= 1) & (F.length("block_id").between(1, BLOCK_CHARS)), F.lit(False))
-    one = hits.groupBy("query_id", "document_id", "unit", "block_id").agg(
+    # An identity that is not wrong is told by this text, and moves as its digest.
+    identity = F.unhex(F.sha2(F.concat_ws(" ", "document_id", F.col("unit").cast("string"), "block_id"), 256)).alias("identity")
+    one = hits.groupBy("query_id", identity).agg(
         F.count(F.lit(1)).alias("n"), F.bool_or(blank("query") | (F.length("query") > QUERY_CHARS)).alias("query_bad"), F.bool_or(wrong).alias("wrong"), F.bool_or(blank("excerpt") | (F.length("excerpt") > EXCERPT_CHARS)).alias("excerpt_bad"),
+        F.sum(F.octet_length("excerpt").cast("long")).alias("bytes"),
     )
-    checked = one.groupBy("query_id").agg(F.sum("n").alias("candidates"), F.max("n").alias("most"), *[F.bool_or(c).alias(c) for c in ("query_bad", "wrong", "excerpt_bad")])
+    checked = one.groupBy("query_id").agg(F.sum("n").alias("candidates"), F.max("n").alias("most"), F.sum("bytes").alias("bytes"), *[F.bool_or(c).alias(c) for c in ("query_bad", "wrong", "excerpt_bad")])
     fault = F.when(F.col("query_bad"), "query").when(F.col("candidates") > MOST_CANDIDATES, "candidates").when(F.col("wrong"), "identity").when(F.col("most") > 1, "repeated").when(F.col("excerpt_bad"), "excerpt")
-    checked = checked.select("query_id", "candidates", fault.alias("fault"))
-    sent = hits.join(checked.filter("fault IS NULL").select("query_id"), "query_id", "left_semi")
+    fault = F.coalesce(fault, F.when(F.col("bytes") > MOST_REQUEST, "size"))
+    checked = settled(checked.select("query_id", "candidates", fault.alias("fault"), "bytes"), "requests")
+    asked, other = checked.filter("fault IS NULL AND query_id IS NOT NULL"), checked.filter("fault IS NOT NULL OR query_id IS NULL")
+    size = asked.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("candidates"), F.lit(0)).alias("rows")).first()
+    tasks = max(tasks_for(size["rows"]), tasks_for(size["bytes"], TASK_BYTES))
+    # An inner join by unique ids: Spark would push a semi join below the dealing, and move the excerpts twice.
+    sent = dealt_to(hits, tasks, "query_id").join(asked.select("query_id").hint("shuffle_hash"), "query_id")
     candidate = F.struct("rank", F.struct("document_id", "unit", "block_id", F.col("excerpt").alias("text"), F.coalesce("excerpt_truncated", F.lit(False)).alias("truncated")).alias("c"))
-    bodies = sent.groupBy("query_id").agg(F.min("query").alias("query"), F.transform(F.array_sort(F.collect_list(candidate)), lambda x: x["c"]).alias("candidates"))
-    told = checked.join(bodies.select("query_id", F.to_json(F.struct("query", "candidates")).alias("body")), "query_id", "left")
+    bodies = sent.groupBy("query_id").agg(F.min("query").alias("query"), F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(candidate)), lambda x: x["c"]).alias("candidates"))
+    told = bodies.select("query_id", F.col("n").alias("candidates"), F.to_json(F.struct("query", "candidates")).alias("body"))
     large = F.octet_length("body") > MOST_REQUEST
-    return told.select("query_id", "candidates", F.when(large, "size").otherwise(F.col("fault")).alias("fault"), F.when(~large, F.col("body")).alias("body"))
+    told = told.select("query_id", "candidates", F.when(large, "size").alias("fault"), F.when(~large, F.col("body")).alias("body"))
+    return told.unionByName(other.select("query_id", "candidates", "fault", F.lit(None).cast("string").alias("body")))
 
 
 def batch_reports(batches: DataFrame, items: DataFrame) -> DataFrame:

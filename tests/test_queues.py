@@ -44,3 +44,14 @@ def test_refused_judgements_have_no_body(spark):
     assert {k: v[1] for k, v in got.items()} == {1: None, 2: "query", 3: "candidates", 4: "identity", 5: "repeated", 6: "excerpt", 7: "identity", 8: "excerpt", 9: "query"}
     assert all(v[2] is None for k, v in got.items() if k > 1)
     assert got[1][2] == f'{{"query":"ask","candidates":[{{"document_id":"{SHA}","unit":2,"block_id":"b","text":"\\"","truncated":true}},{{"document_id":"{SHA}","unit":1,"block_id":"b","text":"t","truncated":false}}]}}'
+
+
+def test_excerpts_are_dealt_by_their_bytes_and_do_not_sort(spark, monkeypatch):
+    """Merged by compressed bytes, a task sorted a hundred thousand excerpts of twelve kilobytes and spilled them."""
+    monkeypatch.setattr(Q, "TASK_BYTES", 20_000)
+    schema = "query_id int, query string, document_id string, unit int, block_id string, excerpt string, excerpt_truncated boolean, rank int"
+    rows = [(q, "ask", SHA, u, "b", "漢" * 4000, False, u) for q in range(8) for u in range(1, 2 + q % 2 * 5)]
+    told = Q.judgement_payloads(spark.createDataFrame([*rows, (None, "ask", SHA, 1, "b", "t", False, 1)], schema))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert {r.query_id: (r.candidates, r.fault, r.body is None) for r in told.collect()} == {None: (1, None, True)} | {q: (6, "size", True) if q % 2 else (1, None, False) for q in range(8)}
