@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.documents import KINDS, unit_flags
+from quire.operators.ranges import dealt_to, shuffled, tasks_for
 
 #: The contract's version, and the ranks that a heading may have.
 VERSION, RANKS = 1, (1, 6)
@@ -36,21 +37,24 @@ def contract_faults(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     none = F.lit(None).cast("int").alias("unit")
     of_document = documents.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(broken, rule) for rule, broken in own.items()]))).alias("rule"), none, F.lit(1).cast("long").alias("n"))
 
+    # Adaptive execution would merge these narrow rows by compressed bytes, however many a task gets.
+    tasks = tasks_for(blocks.count())
     asked = documents.select("doc_id", F.explode(F.array_distinct(expected)).alias("unit")).withColumn("asked", F.lit(True))
-    entries = blocks.groupBy("doc_id", "unit", "entry").agg(F.bool_and(_blank(F.col("text"))).alias("blank"))
+    entries = dealt_to(blocks, tasks, "doc_id", "unit").groupBy("doc_id", "unit", "entry").agg(F.bool_and(_blank(F.col("text"))).alias("blank"))
     per_unit = entries.groupBy("doc_id", "unit").agg(F.count(F.lit(1)).alias("entries"), F.count_if("blank").alias("empty"))
-    both = per_unit.join(asked, ["doc_id", "unit"], "full_outer")
+    both = per_unit.join(shuffled(asked), ["doc_id", "unit"], "full_outer")
     unexpected = F.coalesce(F.when(F.col("asked"), F.col("entries") - 1).otherwise(F.col("entries")), F.lit(0))
     told = F.array(*[F.struct(F.lit(rule).alias("rule"), F.coalesce(n, F.lit(0)).cast("long").alias("n")) for rule, n in (("unit", unexpected), ("empty", F.col("empty")), ("missing", F.col("entries").isNull().cast("int")))])
     of_units = both.select("doc_id", "unit", F.inline(told)).filter("n > 0")
 
     # Blocks that share an id are few: a window over one id of one document.
     seen = F.row_number().over(Window.partitionBy("doc_id", "block_id").orderBy("entry", "pos"))
-    real = blocks.filter("block_id IS NOT NULL OR kind IS NOT NULL OR text IS NOT NULL").withColumn("nth", seen)
+    real = blocks.filter("block_id IS NOT NULL OR kind IS NOT NULL OR text IS NOT NULL")
+    real = dealt_to(real, tasks, "doc_id", "block_id").withColumn("nth", seen)
     bad = (F.coalesce("block_id", F.lit("")) == "") | (F.col("nth") > 1) | ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))
     off = (F.col("kind") == "heading") & F.col("level").isNotNull() & ~F.col("level").between(*RANKS)
     rules = F.array_compact(F.array(F.when(bad, "block"), F.when(off, "level")))
-    of_blocks = real.select("doc_id", "unit", F.explode(rules).alias("rule")).groupBy("doc_id", "rule", "unit").agg(F.count(F.lit(1)).alias("n"))
+    of_blocks = dealt_to(real.select("doc_id", "unit", F.explode(rules).alias("rule")), tasks, "doc_id", "unit").groupBy("doc_id", "rule", "unit").agg(F.count(F.lit(1)).alias("n"))
     images = documents.select("doc_id", F.lit("image").alias("rule"), F.explode("missing_images").alias("unit")).groupBy("doc_id", "rule", "unit").agg(F.count(F.lit(1)).alias("n"))
     columns = ["doc_id", "rule", "unit", "n"]
     return of_document.select(*columns).unionByName(of_units.select(*columns)).unionByName(of_blocks.select(*columns)).unionByName(images)

@@ -10,6 +10,7 @@ from quire.functions import text as T
 from quire.operators import contracts as C
 from quire.operators import library as L
 from quire.operators import retrieval as R
+from quire.operators.ranges import dealt_to, tasks_for
 from quire.session import shared_dir
 from quire.sources import answers, files
 
@@ -40,7 +41,8 @@ faults AS (
 def _contract(spark, sf_dir):
     """A document an order, its lines as units; every kind of fault somewhere."""
     li, k = _t(spark, sf_dir, "lineitem"), F.col("doc_id")
-    documents = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("l_linenumber").alias("n")).select(
+    tasks = tasks_for(li.count())
+    documents = dealt_to(li.select("l_orderkey", "l_linenumber"), tasks, "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("l_linenumber").alias("n")).select(
         "doc_id", F.when(k % 11 == 0, 2).otherwise(1).alias("schema_version"), F.when(k % 13 == 0, None).when(k % 17 == 0, " \t").otherwise("Title").alias("title"),
         F.concat(F.when(k % 19 == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), "n")), F.when(k % 23 == 0, F.when(k % 19 == 0, F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(1)))).otherwise(F.array().cast("array<int>"))).alias("expected"),
         F.when(k % 29 == 0, F.array(F.lit(2))).alias("missing_images"),
@@ -50,7 +52,7 @@ def _contract(spark, sf_dir):
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     pos = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     text = F.when(F.col("l_quantity") < 4, " \n").when(F.col("l_quantity") > 45, "[Verificar cota] text").otherwise("text")
-    blocks = li.select(
+    blocks = dealt_to(li, tasks, "l_orderkey", "l_linenumber").select(
         F.col("l_orderkey").alias("doc_id"), F.when(p % 37 == 0, 99).otherwise(F.col("l_linenumber")).alias("unit"), F.col("l_linenumber").alias("entry"), pos.alias("pos"), F.concat(F.lit("b"), s % 60).alias("block_id"),
         F.when(p % 31 == 0, "poem").when(p % 3 == 0, "heading").otherwise("paragraph").alias("kind"), F.when(s % 2 == 0, (s % 9).cast("int")).alias("level"), text.alias("text"),
     )

@@ -336,3 +336,15 @@ def test_difference_is_one_pass_and_takes_nulls_as_equal(spark):
     rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
     got = S.difference_both_ways(rows(1, 1, 2, None), rows(2, 3, 3, None), "id")
     assert sorted(map(tuple, got.collect())) == [("added", 3), ("lost", 1)]
+
+
+def test_contracts_are_dealt_by_the_number_of_their_blocks(spark, monkeypatch):
+    """Merged by compressed bytes, a task sorted and gathered ever more narrow rows as a table grew."""
+    from quire.operators import contracts, ranges
+
+    monkeypatch.setattr(contracts, "tasks_for", lambda rows: ranges.tasks_for(rows, 5))
+    documents = spark.createDataFrame([(d, 1, "T", [1, 2], None) for d in range(10)], "doc_id int, schema_version int, title string, expected array<int>, missing_images array<int>")
+    blocks = spark.createDataFrame([(d, 1, 1, k, "b" if d == 3 else f"b{k}", "paragraph", None, "t") for d in range(10) for k in range(3)], "doc_id int, unit int, entry int, pos int, block_id string, kind string, level int, text string")
+    faults = contracts.contract_faults(documents, blocks)
+    assert faults._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 3
+    assert sorted(tuple(r) for r in faults.collect()) == sorted([(3, "block", 1, 2), *[(d, "missing", 2, 1) for d in range(10)]])
