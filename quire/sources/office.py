@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import column_letter, ooxml_text
-from quire.operators.ranges import dealt_to, shuffled, tasks_for
+from quire.operators.ranges import dealt, dealt_to, shuffled, tasks_for
 from quire.session import settled
 
 from .ooxml import DeckPart, SheetPart, SlidePart, StringsPart, TablePart, WordPart, rows_of
@@ -276,12 +276,12 @@ def word_grids(found: DataFrame) -> DataFrame:
     over several columns is repeated in each, columns that a row skips stay empty, and a cell that goes on from above
     has the text of its beginning. Paragraphs of a cell are lines; an inner table is told there by its label.
     """
-    cells = rows_of(found, WORD_BODY, WordPart).filter("kind = 'cell'")
+    cells = settled(rows_of(found, WORD_BODY, WordPart).filter("kind = 'cell'").select("path", "label", "row_no", "col", "span", "goes_on", "text"), "cells")
     columns = F.explode(F.sequence("col", F.col("col") + F.col("span") - 1)).alias("col")
     grid = cells.select("path", "label", "row_no", columns, F.when(~F.col("goes_on"), F.col("text")).alias("text"))
     above = Window.partitionBy("path", "label", "col").orderBy("row_no")
     parent = F.nullif(F.regexp_extract("label", "^(.*)\\.\\d+$", 1), F.lit(""))
-    return grid.select("path", "label", parent.alias("parent"), "row_no", "col", F.coalesce(F.last("text", ignorenulls=True).over(above), F.lit("")).alias("text"))
+    return dealt(grid, "path", "label", "col").select("path", "label", parent.alias("parent"), "row_no", "col", F.coalesce(F.last("text", ignorenulls=True).over(above), F.lit("")).alias("text"))
 
 
 def word_tables(found: DataFrame) -> DataFrame:

@@ -225,3 +225,13 @@ def test_texts_of_archives_are_made_after_their_rows_are_dealt(spark, monkeypatc
     for made in (samples.listed_decks, samples.presentations, samples.decks, samples.epubs):
         plan = made(orders)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_cells_of_word_tables_are_dealt_by_their_number(spark, monkeypatch):
+    """Cells are parsed and written once, which counts them; merged by compressed bytes, a task sorted ever more of them."""
+    monkeypatch.setattr(office, "dealt", lambda df, *key: df.repartition(3, *key))
+    cell = f"<w:tc>{paragraph('a')}</w:tc>"
+    found = members(spark, zipped(**{"word/document.xml": f"<w:document {NS}><w:tbl><w:tr>{cell}</w:tr></w:tbl></w:document>"}))
+    grids = office.word_grids(found)
+    plan = grids._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "FileScan" in plan and grids.count() == 1
