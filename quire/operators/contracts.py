@@ -67,12 +67,13 @@ def contract_verdict(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     named = lambda rule, unit: F.concat_ws(" ", rule, unit.cast("string"))
     faults = contract_faults(documents, blocks).select("doc_id", F.explode(F.array_repeat(named(F.col("rule"), F.col("unit")), F.col("n").cast("int"))).alias("error"))
-    errors = faults.groupBy("doc_id").agg(F.array_sort(F.collect_list("error")).alias("errors"))
-    whole = blocks.groupBy("doc_id", "unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry", "pos", "text"))), lambda b: F.coalesce(b["text"], F.lit(""))), "").alias("text"))
+    tasks = tasks_for(blocks.count())
+    errors = dealt_to(faults, tasks, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list("error")).alias("errors"))
+    whole = dealt_to(blocks, tasks, "doc_id", "unit").groupBy("doc_id", "unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry", "pos", "text"))), lambda b: F.coalesce(b["text"], F.lit(""))), "").alias("text"))
     flags = unit_flags(whole)
     marks = F.array_compact(F.array(*[F.when(F.col(c), named(F.lit(c), F.col("unit"))) for c in ("doubt", "linked_image", "active_content")]))
-    warnings = flags.select("doc_id", F.explode(marks).alias("warning")).groupBy("doc_id").agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
+    warnings = dealt_to(flags.select("doc_id", F.explode(marks).alias("warning")), tasks, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
     none = F.array().cast("array<string>")
-    out = documents.select("doc_id").join(errors, "doc_id", "left").join(warnings, "doc_id", "left")
+    out = dealt_to(documents.select("doc_id"), tasks, "doc_id").join(shuffled(errors), "doc_id", "left").join(shuffled(warnings), "doc_id", "left")
     out = out.select("doc_id", F.coalesce("errors", none).alias("errors"), F.coalesce("warnings", none).alias("warnings"))
     return out.select("doc_id", F.when(F.size("errors") > 0, "parcial").otherwise("revisar").alias("status"), "errors", "warnings")

@@ -348,3 +348,7 @@ def test_contracts_are_dealt_by_the_number_of_their_blocks(spark, monkeypatch):
     faults = contracts.contract_faults(documents, blocks)
     assert faults._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 3
     assert sorted(tuple(r) for r in faults.collect()) == sorted([(3, "block", 1, 2), *[(d, "missing", 2, 1) for d in range(10)]])
+    told = contracts.contract_verdict(documents, blocks)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("REPARTITION_BY_NUM") >= 6
+    assert {r.doc_id: r.errors for r in told.collect()}[3] == ["block 1", "block 1", "missing 2"]
