@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import md_text, ooxml_text
+from quire.operators.ranges import dealt_to, shuffled
 
-from .office import RELATIONS, WORD_BODY, _slide_rows, _xml, numbered_slides
+from .office import RELATIONS, WORD_BODY, _slide_rows, _xml, numbered_slides, tasks_of
 from .ooxml import NOTES, SlidePart, WordPart, rows_of
 
 CHANNELS = "^word/(?:(?:footnotes|endnotes|comments)|(?:header|footer)\\d*)\\.xml$"
@@ -57,8 +58,9 @@ def slide_notes(found: DataFrame) -> DataFrame:
     related = _xml(found, "^ppt/slides/_rels/[^/]+\\.xml\\.rels$", RELATIONS).select("path", F.regexp_replace("member", "_rels/|\\.rels$", "").alias("member"), F.inline("x.Relationship"))
     related = numbered_slides(related.select("path", "member", page("_Target").alias("page")).filter("page IS NOT NULL"), found)
     shapes = rows_of(found, "^ppt/notesSlides/notesSlide\\d+\\.xml$", SlidePart).filter("kind = 'shape' AND ph = 'body'")
-    pages = shapes.groupBy("path", page("member").alias("page")).agg(F.min_by("text", "nth").alias("body"))
+    shapes = dealt_to(shapes.select("path", page("member").alias("page"), "nth", "text"), tasks_of(found), "path", "page")
+    pages = shapes.groupBy("path", "page").agg(F.min_by("text", "nth").alias("body"))
     text = F.regexp_replace(ooxml_text(F.col("body")), "^\\s+|\\s+\\z", "")
-    told = pages.select("path", "page", text.alias("text")).filter("text <> ''").join(related, ["path", "page"])
+    told = pages.select("path", "page", text.alias("text")).filter("text <> ''").join(shuffled(related), ["path", "page"])
     lines = F.transform(F.split(md_text(F.col("text")), "\n"), lambda line, n: F.concat(F.when(n == 0, F.lit(SPEAKER)).when(F.trim(line) == "", F.lit(">")).otherwise(F.lit("> ")), F.when((n == 0) | (F.trim(line) != ""), line).otherwise(F.lit(""))))
     return told.select("path", "slide", "text", F.array_join(lines, "\n").alias("quoted"))
