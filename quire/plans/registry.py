@@ -334,8 +334,8 @@ def slide_edges(spark, sf_dir):
     """Shapes are numbered within their slide, so that ends are told by deck, slide and number."""
     found = office.unpacked(samples.presentations(_t(spark, sf_dir, "orders")), "^ppt/slides/")
     at = lambda d, *keys: d.withColumns({k: F.concat_ws("#", F.regexp_extract("path", "([^/.]+)[^/]*$", 1), "slide", k) for k in keys})
-    connectors, shapes = at(office.slide_connectors(found), "connector_id", "src", "dst"), at(office.slide_shapes(found), "shape_id")
-    return S.diagram_edges(connectors, shapes)
+    connectors, shapes = office.slide_diagrams(found)
+    return S.diagram_edges(at(connectors, "connector_id", "src", "dst"), at(shapes, "shape_id"))
 
 
 def drawing_edges(spark, sf_dir):
