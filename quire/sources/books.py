@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ranges import dealt_to, shuffled
+
+from .office import tasks_of
 from .ooxml import Part, rows_of
 from .pages import html_blocks
 
@@ -58,7 +61,9 @@ def book_chapters(found: DataFrame) -> DataFrame:
     items = told.filter("kind = 'item'").select("path", "id", F.concat(F.coalesce(folder, F.lit("")), F.coalesce(name, "href")).alias("member"))
     spine = told.filter("kind = 'spine'").select("path", "id", F.col("nth").alias("position"))
     content = found.filter("content IS NOT NULL").select("path", "member", F.col("content").cast("string").alias("html"))
-    return spine.join(items, ["path", "id"]).join(content, ["path", "member"], "left").select("path", "position", "member", "html")
+    tasks = tasks_of(found)
+    placed = dealt_to(dealt_to(spine, tasks, "path", "id").join(shuffled(items), ["path", "id"]), tasks, "path", "member")
+    return placed.join(shuffled(content), ["path", "member"], "left").select("path", "position", "member", "html")
 
 
 def book_blocks(found: DataFrame) -> DataFrame:
@@ -66,7 +71,7 @@ def book_blocks(found: DataFrame) -> DataFrame:
     chapters = book_chapters(found).withColumn("page_id", F.struct("path", "position"))
     blocks = html_blocks(chapters.select("page_id", "html"))
     nth = F.row_number().over(Window.partitionBy("path").orderBy("position", "own"))
-    out = blocks.select("page_id.path", "page_id.position", F.col("block_no").alias("own"), "kind", "level", "text")
+    out = dealt_to(blocks.select("page_id.path", "page_id.position", F.col("block_no").alias("own"), "kind", "level", "text"), tasks_of(found), "path")
     return out.withColumn("block_no", nth).select("path", "position", "block_no", "kind", "level", "text")
 
 
