@@ -235,3 +235,22 @@ def test_cells_of_word_tables_are_dealt_by_their_number(spark, monkeypatch):
     grids = office.word_grids(found)
     plan = grids._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "FileScan" in plan and grids.count() == 1
+
+
+def test_notes_chapters_and_edges_are_dealt_by_number_and_slides_read_once(spark, monkeypatch):
+    """Merged by compressed bytes, a task joined ever more narrow rows; edges read every slide for shapes and again for connectors."""
+    from quire.plans import registry
+    from quire.sources import books
+
+    monkeypatch.setattr(office, "TASK_MEMBERS", 20)
+    orders = spark.createDataFrame([(k, k % 7, "O", "1-URGENT") for k in range(90)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    notes = channels.slide_notes(office.unpacked(samples.decks(orders), "^ppt/"))
+    blocks = books.book_blocks(office.unpacked(samples.epubs(orders), "\\.(xml|opf|xhtml)$"))
+    for told, rows in ((notes, 72), (blocks, 270)):
+        plan = told._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_NUM") >= 2 and "BroadcastHashJoin" not in plan and told.count() == rows
+    read = []
+    monkeypatch.setattr(office, "rows_of", lambda f, member, reader: read.append(reader) or ooxml.rows_of(f, member, reader))
+    monkeypatch.setattr(registry, "_t", lambda *_: orders)
+    registry.QUERIES["slide_edges"](spark, "")
+    assert read.count(ooxml.SlidePart) == 1
