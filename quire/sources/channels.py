@@ -45,7 +45,7 @@ def word_formulas(found: DataFrame) -> DataFrame:
 
 def slide_tables(found: DataFrame) -> DataFrame:
     """path, slide, table_no, row_no, col, text: the cells of the tables on slides, merged ones as they are written."""
-    return _slide_rows(found).filter("kind = 'cell'").select("path", "slide", "table_no", "row_no", "col", ooxml_text(F.col("text")).alias("text"))
+    return _slide_rows(found, SlidePart.only("cell")).filter("kind = 'cell'").select("path", "slide", "table_no", "row_no", "col", ooxml_text(F.col("text")).alias("text"))
 
 
 def slide_notes(found: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def slide_notes(found: DataFrame) -> DataFrame:
     page = lambda c: F.regexp_extract(c, "notesSlide(\\d+)\\.xml$", 1).try_cast("int")
     related = _xml(found, "^ppt/slides/_rels/[^/]+\\.xml\\.rels$", RELATIONS).select("path", F.regexp_replace("member", "_rels/|\\.rels$", "").alias("member"), F.inline("x.Relationship"))
     related = numbered_slides(related.select("path", "member", page("_Target").alias("page")).filter("page IS NOT NULL"), found)
-    shapes = rows_of(found, "^ppt/notesSlides/notesSlide\\d+\\.xml$", SlidePart).filter("kind = 'shape' AND ph = 'body'")
+    shapes = rows_of(found, "^ppt/notesSlides/notesSlide\\d+\\.xml$", SlidePart.only("shape")).filter("kind = 'shape' AND ph = 'body'")
     shapes = dealt_to(shapes.select("path", page("member").alias("page"), "nth", "text"), tasks_of(found), "path", "page")
     pages = shapes.groupBy("path", "page").agg(F.min_by("text", "nth").alias("body"))
     text = F.regexp_replace(ooxml_text(F.col("body")), "^\\s+|\\s+\\z", "")

@@ -219,8 +219,8 @@ def numbered_slides(rows: DataFrame, found: DataFrame) -> DataFrame:
     return dealt_to(rows, tasks, "path", "member").join(shuffled(placed), ["path", "member"], "left").withColumn("slide", F.coalesce("slide", own))
 
 
-def _slide_rows(found: DataFrame) -> DataFrame:
-    return numbered_slides(rows_of(found, "^ppt/slides/[^/]+\\.xml$", SlidePart), found)
+def _slide_rows(found: DataFrame, reader: type[SlidePart] = SlidePart) -> DataFrame:
+    return numbered_slides(rows_of(found, "^ppt/slides/[^/]+\\.xml$", reader), found)
 
 
 def slide_shapes(found: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def slide_shapes(found: DataFrame) -> DataFrame:
 
     A deck without such a list has its slides by the number of their file. hidden: the slide is not shown.
     """
-    return _shapes(_slide_rows(found))
+    return _shapes(_slide_rows(found, SlidePart.only("shape")))
 
 
 def _shapes(rows: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def _shapes(rows: DataFrame) -> DataFrame:
 
 def slide_connectors(found: DataFrame) -> DataFrame:
     """path, slide, connector_id, src, dst, head, tail, as `diagram_edges` takes them by slide; ends may be shapes within groups."""
-    return _connectors(_slide_rows(found))
+    return _connectors(_slide_rows(found, SlidePart.only("connector")))
 
 
 def _connectors(rows: DataFrame) -> DataFrame:

@@ -254,3 +254,18 @@ def test_notes_chapters_and_edges_are_dealt_by_number_and_slides_read_once(spark
     monkeypatch.setattr(registry, "_t", lambda *_: orders)
     registry.QUERIES["slide_edges"](spark, "")
     assert read.count(ooxml.SlidePart) == 1
+
+
+def test_slide_readers_hold_only_the_rows_that_are_asked_for(spark, monkeypatch):
+    """Rows are held to the end of their part: a slide's cells and connectors were held and handed on for its shapes."""
+    slide = b"<sld><sp><cNvPr id='2'/><txBody><p><r><t>a</t></r></p></txBody></sp><cxnSp><cNvPr id='3'/></cxnSp><graphicFrame><tbl><tr><tc><txBody><p/></txBody></tc></tr></tbl></graphicFrame></sld>"
+    found = members(spark, zipped(**{"ppt/slides/slide1.xml": slide}))
+    read = []
+    monkeypatch.setattr(office, "rows_of", lambda f, member, reader: read.append(reader) or ooxml.rows_of(f, member, reader))
+    for told, kind in ((office.slide_shapes, "shape"), (office.slide_connectors, "connector"), (channels.slide_tables, "cell")):
+        rows = told(found)
+        [reader] = [r for r in read if issubclass(r, ooxml.SlidePart)]
+        assert [r["kind"] for r in reader().read(slide)] == [kind] and rows.count() == 1
+        assert reader().read(b"<sld><sp/>") == [{"kind": "damaged"}]
+        read.clear()
+    assert len(ooxml.SlidePart().read(slide)) == 3
