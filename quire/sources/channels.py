@@ -9,7 +9,7 @@ from quire.functions.text import md_text, ooxml_text
 from quire.operators.ranges import dealt_to, shuffled
 
 from .office import RELATIONS, WORD_BODY, _slide_rows, _xml, numbered_slides, tasks_of
-from .ooxml import NOTES, SlidePart, WordPart, rows_of
+from .ooxml import MARGINS, NOTES, SlidePart, WordPart, rows_of
 
 CHANNELS = "^word/(?:(?:footnotes|endnotes|comments)|(?:header|footer)\\d*)\\.xml$"
 SPEAKER = "> **Notas del orador:** "
@@ -21,7 +21,7 @@ def word_channels(found: DataFrame) -> DataFrame:
     Separators of notes and parts without text are no rows; a header or footer is one row a member, and
     paragraphs are lines. Only narrow rows leave the scan: nothing is shuffled.
     """
-    rows = rows_of(found, CHANNELS, WordPart).filter(F.col("kind").isin(*NOTES, "header", "footer"))
+    rows = rows_of(found, CHANNELS, WordPart.only(*NOTES, *MARGINS.values())).filter(F.col("kind").isin(*NOTES, "header", "footer"))
     kept = rows.filter("type IS NULL OR kind NOT IN ('footnote', 'endnote')")
     return kept.select("path", "member", F.col("kind").alias("channel"), "nth", "id", "author", "text").filter(F.trim(F.regexp_replace("text", "\\s+", "")) != "")
 
@@ -31,7 +31,7 @@ def word_links(found: DataFrame) -> DataFrame:
 
     A link whose relation is missing has a null target.
     """
-    links = rows_of(found, WORD_BODY, WordPart).filter("kind = 'link'").select("path", "nth", "text", "rel", "anchor")
+    links = rows_of(found, WORD_BODY, WordPart.only("link")).filter("kind = 'link'").select("path", "nth", "text", "rel", "anchor")
     targets = _xml(found, "^word/_rels/document\\.xml\\.rels$", RELATIONS).select("path", F.inline("x.Relationship")).select("path", F.col("_Id").alias("rel"), F.col("_Target").alias("outer"))
     told = links.join(targets, ["path", "rel"], "left")
     mark = F.concat(F.lit("#"), "anchor")
@@ -39,8 +39,8 @@ def word_links(found: DataFrame) -> DataFrame:
 
 
 def word_formulas(found: DataFrame) -> DataFrame:
-    """path, nth, text of the formulas of Word bodies, in order, each on one line."""
-    return rows_of(found, WORD_BODY, WordPart).filter("kind = 'formula'").select("path", "nth", "text")
+    """path, nth, text of the formulas of Word bodies, in order, each on one line; no other rows of a body are held or handed on."""
+    return rows_of(found, WORD_BODY, WordPart.only("formula")).filter("kind = 'formula'").select("path", "nth", "text")
 
 
 def slide_tables(found: DataFrame) -> DataFrame:

@@ -276,7 +276,7 @@ def word_grids(found: DataFrame) -> DataFrame:
     over several columns is repeated in each, columns that a row skips stay empty, and a cell that goes on from above
     has the text of its beginning. Paragraphs of a cell are lines; an inner table is told there by its label.
     """
-    cells = settled(rows_of(found, WORD_BODY, WordPart).filter("kind = 'cell'").select("path", "label", "row_no", "col", "span", "goes_on", "text"), "cells")
+    cells = settled(rows_of(found, WORD_BODY, WordPart.only("cell")).filter("kind = 'cell'").select("path", "label", "row_no", "col", "span", "goes_on", "text"), "cells")
     columns = F.explode(F.sequence("col", F.col("col") + F.col("span") - 1)).alias("col")
     grid = cells.select("path", "label", "row_no", columns, F.when(~F.col("goes_on"), F.col("text")).alias("text"))
     above = Window.partitionBy("path", "label", "col").orderBy("row_no")
@@ -295,7 +295,7 @@ def word_paragraphs(found: DataFrame) -> DataFrame:
     table_no is the outermost table's. List formats come by number and level from the numbering, two lookups by path.
     """
     order = Window.partitionBy("path").orderBy("at")
-    rows = rows_of(found, WORD_BODY, WordPart).filter("kind = 'paragraph'")
+    rows = rows_of(found, WORD_BODY, WordPart.only("paragraph")).filter("kind = 'paragraph'")
     level = F.regexp_extract(F.coalesce("style", F.lit("")), "(?i)^(?:heading|título|titulo|ttulo)\\s*([1-6])$", 1).try_cast("int")
     own = rows.select(
         "path", F.col("nth").alias("at"), F.col("label").isNotNull().alias("in_table"), F.split_part("label", F.lit("."), F.lit(1)).try_cast("int").alias("table_no"), "row_no", "cell_no",

@@ -269,3 +269,18 @@ def test_slide_readers_hold_only_the_rows_that_are_asked_for(spark, monkeypatch)
         assert reader().read(b"<sld><sp/>") == [{"kind": "damaged"}]
         read.clear()
     assert len(ooxml.SlidePart().read(slide)) == 3
+
+
+def test_word_readers_hold_only_the_rows_that_are_asked_for(spark, monkeypatch):
+    """A body's paragraphs, cells and links were held and handed on for its formulas, its paragraphs' texts twice."""
+    body = b"<document><p><r><t>a</t></r><hyperlink><r><t>b</t></r></hyperlink><oMath><r><t>x</t></r></oMath></p><tbl><tr><tc><p><r><t>c</t></r></p></tc></tr></tbl></document>"
+    found = members(spark, zipped(**{"word/document.xml": body}))
+    read = []
+    for module in (channels, office):
+        monkeypatch.setattr(module, "rows_of", lambda f, member, reader: read.append(reader) or ooxml.rows_of(f, member, reader))
+    for told, kinds in ((channels.word_formulas, ["formula"]), (channels.word_links, ["link"]), (office.word_paragraphs, ["paragraph"] * 2), (office.word_grids, ["cell"])):
+        rows, part = told(found), read.pop()()
+        assert [r["kind"] for r in part.read(body)] == kinds and part.told == [] and rows.count() == len(kinds)
+    notes = b"<footnotes><p><r><t>no</t></r></p><footnote id='1'><p><r><t>a</t></r></p><p><r><t>b</t></r></p></footnote></footnotes>"
+    assert [(r.id, r.text) for r in channels.word_channels(members(spark, zipped(**{"word/footnotes.xml": notes}))).collect()] == [(1, "a\nb")]
+    assert [r["kind"] for r in read.pop()().read(notes)] == ["footnote"]
