@@ -18,6 +18,8 @@ ACCENTS, PLAIN = "áéíóúüñÁÉÍÓÚÜÑ", "aeiouunAEIOUUN"
 ARROWS, ENDS = ("triangle", "arrow", "stealth"), ("triangle", "arrow", "stealth", "none")
 #: Signs of CommonMark's blocks: those that start one whatever follows, bullets, those of thematic breaks, the fences.
 OPENERS, BULLETS, BREAKS, FENCES = ("#", ">", "|"), ("-", "+", "*"), "*-_", ("```", "~~~")
+#: Lines that one of these, a list's number or the line under a heading may begin.
+MAY_START = "^\\s*[-#>|+*_`~=0-9]"
 #: Signs of CAD text by their code (fixed values of the format); other codes leave nothing, paragraphs and hard blanks a space.
 CAD_SIGNS = {"%%c": "Ø", "%%d": "°", "%%p": "±", "%%%": "%", "\\p": " ", "\\~": " "}
 CAD_CODE = r"(%%[CcDdPp%]|\\[A-Za-z][^;]*;|\\[P~]|[{}])"
@@ -45,6 +47,7 @@ def _literal_line(line: Column) -> Column:
     """A line with a backslash where its first token would start a block, unless it is indented by four or more.
 
     A token of up to nine digits and a dot or bracket is a list's number: there the backslash stands before the sign.
+    Most lines begin with no sign or digit that could start a block, and stay as they are at one look.
     """
     body = sub(line, "^\\s+", "")
     indent = F.length(line) - F.length(body)
@@ -58,7 +61,7 @@ def _literal_line(line: Column) -> Column:
     digits = F.substring(token, 1, F.length(token) - 1)
     numbered = F.substring(token, -1, 1).isin(".", ")") & (F.length(digits) <= 9) & only(digits, "0123456789")
     at = F.when(indent > 3, 0).when(starts, indent + 1).when(numbered, indent + F.length(token)).otherwise(0)
-    return F.when(at == 0, line).otherwise(F.concat(F.substring(line, F.lit(1), at - 1), F.lit("\\"), F.substring(line, at, F.length(line))))
+    return F.when(~F.rlike(line, F.lit(MAY_START)) | (at == 0), line).otherwise(F.concat(F.substring(line, F.lit(1), at - 1), F.lit("\\"), F.substring(line, at, F.length(line))))
 
 
 def md_text(text: Column) -> Column:
@@ -203,14 +206,14 @@ def code_fence(text: Column) -> Column:
 def ooxml_text(text: Column) -> Column:
     """`_xHHHH_` escapes read in one pass from the left, so that `_x005F_x000D_` is the literal `_x000D_`.
 
-    The text is cut at its escapes; each piece that begins with one gives its character and its rest.
+    The text is cut at its escapes; each piece that begins with one gives its character and its rest. A text without any stays as it is.
     """
     escape = "_x([0-9A-Fa-f]{4})_"
     pieces = F.split(F.regexp_replace(text, F.lit(escape), F.lit("\u0001$1\u0002")), "\u0001")
     code = lambda x: F.conv(F.substring(x, 1, 4), 16, 10).cast("int")
     sign = lambda x: F.decode(F.unhex(F.substring(x, 1, 4)), "UTF-16BE")
     read = F.transform(pieces, lambda x: F.when(F.substring(x, 5, 1) == "\u0002", F.concat(F.when(code(x).between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(sign(x)), F.substring(x, 6, 1 << 30))).otherwise(x))
-    return F.array_join(read, "")
+    return F.when(F.contains(text, F.lit("_x")), F.array_join(read, "")).otherwise(text)
 
 
 def canonical(fields: dict[str, Column]) -> Column:

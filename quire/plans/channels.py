@@ -62,7 +62,7 @@ WITH {_SLIDES}
 SELECT path, slide, 'say ' || o_custkey || chr(10) || ' ' || chr(10) || o_orderstatus AS text, '> **Notas del orador:** say ' || o_custkey || chr(10) || '>' || chr(10) || '> ' || o_orderstatus AS quoted FROM s WHERE o_orderkey % 5 <> 0
 """)
 def slide_notes(spark, sf_dir):
-    return channels.slide_notes(_deck(spark, sf_dir))
+    return channels.deck_notes(samples.decks(_t(spark, sf_dir, "orders")))
 
 
 @query(r"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import md_text, ooxml_text
 from quire.operators.ranges import dealt_to, shuffled
 
+from . import decks
 from .office import RELATIONS, WORD_BODY, _slide_rows, _xml, numbered_slides, tasks_of
 from .ooxml import MARGINS, NOTES, SlidePart, WordPart, rows_of
 
@@ -60,7 +61,21 @@ def slide_notes(found: DataFrame) -> DataFrame:
     shapes = rows_of(found, "^ppt/notesSlides/notesSlide\\d+\\.xml$", SlidePart.only("shape")).filter("kind = 'shape' AND ph = 'body'")
     shapes = dealt_to(shapes.select("path", page("member").alias("page"), "nth", "text"), tasks_of(found), "path", "page")
     pages = shapes.groupBy("path", "page").agg(F.min_by("text", "nth").alias("body"))
+    told = _said(pages).join(shuffled(related), ["path", "page"])
+    return told.select("path", "slide", "text", _quoted(F.col("text")).alias("quoted"))
+
+
+def deck_notes(archives: DataFrame) -> DataFrame:
+    """slide_notes of decks (path, content), each read in one pass."""
+    return _said(decks.notes_bodies(archives)).select("path", "slide", "text", _quoted(F.col("text")).alias("quoted"))
+
+
+def _said(pages: DataFrame) -> DataFrame:
+    """Notes pages whose body says something, with its text."""
     text = F.regexp_replace(ooxml_text(F.col("body")), "^\\s+|\\s+\\z", "")
-    told = pages.select("path", "page", text.alias("text")).filter("text <> ''").join(shuffled(related), ["path", "page"])
-    lines = F.transform(F.split(md_text(F.col("text")), "\n"), lambda line, n: F.concat(F.when(n == 0, F.lit(SPEAKER)).when(F.trim(line) == "", F.lit(">")).otherwise(F.lit("> ")), F.when((n == 0) | (F.trim(line) != ""), line).otherwise(F.lit(""))))
-    return told.select("path", "slide", "text", F.array_join(lines, "\n").alias("quoted"))
+    return pages.withColumn("text", text).drop("body").filter("text <> ''")
+
+
+def _quoted(text: Column) -> Column:
+    lines = F.transform(F.split(md_text(text), "\n"), lambda line, n: F.concat(F.when(n == 0, F.lit(SPEAKER)).when(F.trim(line) == "", F.lit(">")).otherwise(F.lit("> ")), F.when((n == 0) | (F.trim(line) != ""), line).otherwise(F.lit(""))))
+    return F.array_join(lines, "\n")

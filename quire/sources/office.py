@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
@@ -43,25 +44,61 @@ def archive_fault(names: list[str], sizes: list[int], encrypted: bool, size: int
     return "encrypted" if encrypted else None
 
 
+class Archive:
+    """An archive under the guard: fault says why it is not opened, infos are its entries, read() unpacks one."""
+
+    LOCAL = struct.Struct("<4s22xHH")
+
+    def __init__(self, data: bytes | None):
+        self.data, self.infos = data, []
+        try:
+            self.zip = zipfile.ZipFile(io.BytesIO(data))
+            infos = self.zip.infolist()
+            self.fault = archive_fault([i.filename for i in infos], [i.file_size for i in infos], any(i.flag_bits & 1 for i in infos), len(data))
+        except (zipfile.BadZipFile, ValueError, TypeError):
+            self.fault = "damaged"
+        if not self.fault:
+            self.infos = infos
+            places = [*sorted(i.header_offset for i in infos), self.zip.start_dir]
+            self.ends = dict(zip(places, places[1:], strict=False))
+
+    def read(self, info: zipfile.ZipInfo) -> bytes | None:
+        """An entry's content, null if it is damaged."""
+        content = self._inflated(info)
+        if content is None:
+            try:
+                content = self.zip.read(info)
+            except (zipfile.BadZipFile, ValueError, EOFError, NotImplementedError, zlib.error):
+                return None
+        return content
+
+    def _inflated(self, info: zipfile.ZipInfo) -> bytes | None:
+        """The content of a plain deflated entry that is whole, in one step; null for others, about which zipfile decides."""
+        at = info.header_offset
+        if info.compress_type != zipfile.ZIP_DEFLATED or info.flag_bits & 0x61 or not 0 <= at <= len(self.data) - self.LOCAL.size:
+            return None
+        sign, name, extra = self.LOCAL.unpack_from(self.data, at)
+        begin = at + self.LOCAL.size
+        end = begin + name + extra + info.compress_size
+        if sign != b"PK\3\4" or not info.orig_filename.isascii() or self.data[begin : begin + name] != info.orig_filename.encode() or end > self.ends[at]:
+            return None
+        stream = zlib.decompressobj(-zlib.MAX_WBITS)
+        try:
+            content = stream.decompress(self.data[end - info.compress_size : end], info.file_size + 1)
+        except zlib.error:
+            return None
+        return content if stream.eof and len(content) == info.file_size and zlib.crc32(content) == info.CRC else None
+
+
 def _unpacked(data: bytes | None, pattern: re.Pattern) -> Iterator[tuple[str | None, bytes | None, str | None]]:
     """member, content and fault of the wanted members, one at a time."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(data))
-        infos = archive.infolist()
-        fault = archive_fault([i.filename for i in infos], [i.file_size for i in infos], any(i.flag_bits & 1 for i in infos), len(data))
-    except (zipfile.BadZipFile, ValueError, TypeError):
-        fault = "damaged"
-    if fault:
-        yield None, None, fault
-        return
-    for info in infos:
+    archive = Archive(data)
+    if archive.fault:
+        yield None, None, archive.fault
+    for info in archive.infos:
         if pattern.search(info.filename):
-            try:
-                content = archive.read(info)
-            except (zipfile.BadZipFile, ValueError, EOFError, NotImplementedError, zlib.error):
-                yield info.filename, None, "damaged"
-                continue
-            yield info.filename, content, None
+            content = archive.read(info)
+            yield info.filename, content, "damaged" if content is None else None
 
 
 def members(archives: DataFrame, wanted: str = ".*") -> DataFrame:
