@@ -18,8 +18,8 @@ def _word(spark, sf_dir):
     return office.unpacked(samples.word_margins(_t(spark, sf_dir, "part")), "^word/")
 
 
-def _deck(spark, sf_dir):
-    return office.unpacked(samples.decks(_t(spark, sf_dir, "orders")), "^ppt/(slides|notesSlides)/")
+def _decks(spark, sf_dir):
+    return samples.decks(_t(spark, sf_dir, "orders"))
 
 
 @query(f"""
@@ -54,7 +54,7 @@ SELECT path, slide, 1 AS table_no, 1 AS row_no, 1 AS col, 'c' || o_custkey AS te
 UNION ALL SELECT path, slide, 1, 2, 1, o_orderstatus || chr(10) || 'a<bA' FROM s UNION ALL SELECT path, slide, 1, 2, 2, o_orderpriority FROM s
 """)
 def slide_tables(spark, sf_dir):
-    return channels.slide_tables(_deck(spark, sf_dir))
+    return channels.deck_tables(_decks(spark, sf_dir))
 
 
 @query(f"""
@@ -62,7 +62,7 @@ WITH {_SLIDES}
 SELECT path, slide, 'say ' || o_custkey || chr(10) || ' ' || chr(10) || o_orderstatus AS text, '> **Notas del orador:** say ' || o_custkey || chr(10) || '>' || chr(10) || '> ' || o_orderstatus AS quoted FROM s WHERE o_orderkey % 5 <> 0
 """)
 def slide_notes(spark, sf_dir):
-    return channels.deck_notes(samples.decks(_t(spark, sf_dir, "orders")))
+    return channels.deck_notes(_decks(spark, sf_dir))
 
 
 @query(r"""

@@ -49,6 +49,11 @@ def slide_tables(found: DataFrame) -> DataFrame:
     return _slide_rows(found, SlidePart.only("cell")).filter("kind = 'cell'").select("path", "slide", "table_no", "row_no", "col", ooxml_text(F.col("text")).alias("text"))
 
 
+def deck_tables(archives: DataFrame) -> DataFrame:
+    """slide_tables of decks (path, content), each read in one pass."""
+    return decks.slide_cells(archives).withColumn("text", ooxml_text(F.col("text")))
+
+
 def slide_notes(found: DataFrame) -> DataFrame:
     """path, slide, text, quoted: what the speaker's notes of a slide say, found over the slide's relations.
 

@@ -94,3 +94,11 @@ def test_readers_are_told_of_the_elements_they_heed_whatever_their_prefix(monkey
     monkeypatch.setattr(ooxml.SlidePart, "MOST_NAMES", 5)
     ooxml.SlidePart().read(b"<x:sld><tblPr/><y:tc a='1' z:a='2' z:b='3'/><r/><q:r/><w:r/><del><tc/></del><x:t>a</x:t></x:sld>")
     assert heard == [("sld", {}), ("tc", {"a": "1", "*a": "2", "*b": "3", "b": "3"}), ("t", {})] and len(ooxml.SlidePart.names) <= 5
+
+
+def test_cells_of_slides_are_told_in_one_pass_over_their_decks(spark, odd, monkeypatch):
+    """Notes and relations were unpacked and written for the sake of cells, which met their slides' numbers in a shuffled join."""
+    archives, found = odd
+    told = rows(channels.deck_tables(archives))
+    assert told == rows(channels.slide_tables(found)) == sorted([("f0", n, 1, 1, col, text) for n in (2, 3) for col, text in ((1, "one"), (2, "A<"))] + [("f0", 12, 1, 1, 1, "own")], key=repr)
+    one_pass(spark, monkeypatch, "slide_tables", 360)
