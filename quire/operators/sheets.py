@@ -166,8 +166,13 @@ def diagram_edges(connectors: DataFrame, shapes: DataFrame) -> DataFrame:
     tasks = tasks_for(connectors.count(), EDGE_ROWS)
     both = dealt_to(connectors, tasks, "src").join(shuffled(side("src")), "src", "left")
     both = dealt_to(both, tasks, "dst").join(shuffled(side("dst")), "dst", "left")
+    return both.select("connector_id", edge_text().alias("edge"))
+
+
+def edge_text() -> Column:
+    """The reading of a connector (head, tail, src, dst) whose ends are told (src_text, dst_text), or else are `figura n`."""
     end = lambda k: F.coalesce(F.nullif(f"{k}_text", F.lit("")), F.concat(F.lit("figura "), F.col(k)))
-    return both.select("connector_id", connector(F.col("head"), F.col("tail"), end("src"), end("dst")).alias("edge"))
+    return connector(F.col("head"), F.col("tail"), end("src"), end("dst"))
 
 
 def loose_shapes(shapes: DataFrame, connectors: DataFrame) -> DataFrame:

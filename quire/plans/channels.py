@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import sheets as S
-from quire.sources import channels, office
+from quire.sources import channels, decks, office
 
 from . import samples
 from .packages import _t, query
@@ -95,11 +95,8 @@ def slide_order(spark, sf_dir):
 
 @query(f"WITH {_LISTED} SELECT path, slide, 'c' || o_custkey || ' → ' || o_orderpriority AS edge FROM s")
 def grouped_edges(spark, sf_dir):
-    found = office.unpacked(samples.listed_decks(_t(spark, sf_dir, "orders")), "^ppt/")
-    at = lambda d, *keys: d.withColumns({k: F.concat_ws("#", "path", "slide", k) for k in keys})
-    connectors, shapes = office.slide_diagrams(found)
-    edges = S.diagram_edges(at(connectors, "connector_id", "src", "dst"), at(shapes, "shape_id"))
-    return edges.select(F.split_part("connector_id", F.lit("#"), F.lit(1)).alias("path"), F.split_part("connector_id", F.lit("#"), F.lit(2)).cast("int").alias("slide"), "edge")
+    edges = decks.slide_edges(samples.listed_decks(_t(spark, sf_dir, "orders")))
+    return edges.select("path", "slide", S.edge_text().alias("edge"))
 
 
 @query("""

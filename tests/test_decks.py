@@ -4,8 +4,9 @@ import zipfile
 import pytest
 from test_office import members, zipped
 
+from quire.operators import sheets as S
 from quire.plans import registry, samples
-from quire.sources import channels, office, ooxml
+from quire.sources import channels, decks, office, ooxml
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"
 
@@ -102,3 +103,12 @@ def test_cells_of_slides_are_told_in_one_pass_over_their_decks(spark, odd, monke
     told = rows(channels.deck_tables(archives))
     assert told == rows(channels.slide_tables(found)) == sorted([("f0", n, 1, 1, col, text) for n in (2, 3) for col, text in ((1, "one"), (2, "A<"))] + [("f0", 12, 1, 1, 1, "own")], key=repr)
     one_pass(spark, monkeypatch, "slide_tables", 360)
+
+
+def test_edges_are_told_in_one_pass_over_their_decks(spark, odd, monkeypatch):
+    """Slides were written, read again on either side and met their own shapes in two shuffled joins by texts of deck, slide and number."""
+    archives, _ = odd
+    told = rows(decks.slide_edges(archives).select("slide", "connector_id", S.edge_text().alias("edge")))
+    first = "first" + "x" * 55
+    assert told == sorted([(n, *e) for n in (2, 3) for e in ((9, f"a → {first}"), (10, f"{first} → figura 4"))] + [(1, 9, f"{a} → {b}") for a in "bc" for b in "bc"] + [(1, 10, None)] * 2, key=repr)
+    one_pass(spark, monkeypatch, "grouped_edges", 90)
