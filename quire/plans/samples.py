@@ -17,27 +17,34 @@ TEXT_ROWS = 10_000
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
 
 
-def archive(names: list[str], texts: list[str]) -> bytes:
+#: A member's beginning (names in UTF-8, deflated, of the first of January 1980), its entry and the end of an archive.
+MEMBER, ENTRY, END = struct.Struct("<4sHHHHHIIIHH"), struct.Struct("<4sHHHHHHIIIHHHHHII"), struct.Struct("<4sHHHHIIH")
+DEFLATED = (20, 0x800, zipfile.ZIP_DEFLATED, 0, 0x21)
+
+
+def archive(names: list[str], texts: list[bytes]) -> bytes:
     """An archive of deflated members: zipfile, made for large ones, takes three times as long for members of some hundred bytes."""
     out, entries, at = [], [], 0
     for name, text in zip(names, texts, strict=True):
-        written, content = name.encode(), text.encode()
-        packed = zlib.compress(content, wbits=-zlib.MAX_WBITS)
-        # names in UTF-8, deflated, of the first of January 1980
-        told = struct.pack("<HHHHHIIIHH", 20, 0x800, zipfile.ZIP_DEFLATED, 0, 0x21, zlib.crc32(content), len(packed), len(content), len(written), 0)
-        out += (b"PK\3\4", told, written, packed)
-        entries += (b"PK\1\2\x14\0", told, struct.pack("<HHHII", 0, 0, 0, 0, at), written)
-        at += 4 + len(told) + len(written) + len(packed)
+        written, packed = name.encode(), zlib.compress(text, wbits=-zlib.MAX_WBITS)
+        told = (zlib.crc32(text), len(packed), len(text), len(written), 0)
+        out += (MEMBER.pack(b"PK\3\4", *DEFLATED, *told), written, packed)
+        entries += (ENTRY.pack(b"PK\1\2", 20, *DEFLATED, *told, 0, 0, 0, 0, at), written)
+        at += MEMBER.size + len(written) + len(packed)
     listed = b"".join(entries)
-    return b"".join((*out, listed, struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, len(names), len(names), len(listed), at, 0)))
+    return b"".join((*out, listed, END.pack(b"PK\5\6", 0, 0, len(names), len(names), len(listed), at, 0)))
 
 
 @F.udf(BinaryType(), useArrow=False)
-def zipped(names: list[str], texts: list[str]) -> bytes:
-    """An archive of members with these names and texts; not in Arrow's batches, which would hold thousands of archives' texts."""
+def _zip(names: list[str], texts: list[bytes]) -> bytes:
     return archive(names, texts)
 
 
+def zipped(names: Column, texts: Column) -> Column:
+    """An archive of members with these names and texts; not in Arrow's batches, which would hold thousands of archives' texts."""
+    return _zip(names, texts.cast("array<binary>"))
+
+
 def _archive(parts: dict[str, Column]) -> Column:
     return zipped(F.array(*map(F.lit, parts)), F.array(*parts.values()))
 
